@@ -9,7 +9,7 @@ from reviewlake.functions import fixed
 from reviewlake.functions.explanations import DEFAULT_TEMPLATE, TEMPLATES
 from reviewlake.functions.lang import resolve_review_language
 from reviewlake.functions.numbers import round_half_even, round_half_up
-from reviewlake.functions.text import contains_any, issue_fix, issue_name
+from reviewlake.functions.text import contains_any, issue_fix, issue_name, lookup
 
 
 def distinct_issues(issues: DataFrame) -> DataFrame:
@@ -92,30 +92,25 @@ def template_table(spark: SparkSession) -> DataFrame:
               "template_fix string")
 
 
-def explain_names(names: DataFrame) -> DataFrame:
-    """Explanation per distinct ``name``: exact, else by its first letters, else default."""
-    # Issue names are few: look up the distinct ones, not every issue.
-    templates = F.broadcast(template_table(names.sparkSession))
-    prefix = F.lower(F.substring("template", 1, 20))
-    text = F.struct("severity_hint", "explanation", "template_fix")
-    exact = F.col("name") == F.col("template")
-    found = (
-        names.select("name").distinct()
-        .join(templates, F.lower("name").startswith(prefix) | exact, "left")
-        .groupBy("name")
-        .agg(F.min_by(text, F.struct((~exact).alias("fuzzy"), "ord")).alias("t"),
-             F.max(F.col("ord")).alias("any"))
-    )
-    default = F.struct(*[F.lit(v).alias(n) for v, n in zip(
-        DEFAULT_TEMPLATE, ("severity_hint", "explanation", "template_fix"))])
-    return found.select("name", F.when(F.col("any").isNull(), default).otherwise(F.col("t"))
-                        .alias("t")).select("name", "t.*")
+def template_order(name: Column) -> Column:
+    """Row of the explanation table: the exact name, else the first whose 20 letters fit."""
+    exact = lookup(name, {t[0]: i for i, t in enumerate(TEMPLATES)})
+    fuzzy = None
+    for i, template in enumerate(TEMPLATES):
+        fits = F.lower(name).startswith(template[0].lower()[:20])
+        fuzzy = F.when(fits, i) if fuzzy is None else fuzzy.when(fits, i)
+    return F.coalesce(exact, fuzzy)
 
 
 def template_lookup(issues: DataFrame) -> DataFrame:
-    # One row per issue name, so the broadcast side is bounded by the rule list;
-    # names from outside go through the planner's own size check instead.
-    return issues.join(explain_names(issues), "name", "left")
+    """Add ``severity_hint, explanation, template_fix`` to rows with ``name``."""
+    default = dict(zip(("severity_hint", "explanation", "template_fix"), DEFAULT_TEMPLATE))
+    # The explanation table has a fixed number of rows.
+    joined = issues.withColumn("ord", template_order(F.col("name"))).join(
+        F.broadcast(template_table(issues.sparkSession)), "ord", "left")
+    for column, value in default.items():
+        joined = joined.withColumn(column, F.coalesce(column, F.lit(value)))
+    return joined.drop("ord", "template")
 
 
 def issue_severity(name: Column, confidence: Column) -> Column:

@@ -47,11 +47,12 @@ def all_issues(snippets: DataFrame, nodes: DataFrame, facts: DataFrame,
 class ReviewTables:
     """The tables behind a review of distinct snippets, each computed once.
 
-    ``snippets`` needs ``snippet_id, code, review_language``.
+    ``snippets`` needs ``snippet_id, code, review_language`` and is read several
+    times, so it should be a stored table.
     """
 
     def __init__(self, snippets: DataFrame):
-        self.snippets = staged(snippets, "snippets")
+        self.snippets = snippets
         self.nodes = staged(node_table(self.snippets), "nodes")
         self.errors = staged(syntax_errors(self.snippets, self.nodes), "errors")
         parsed = self.snippets.join(self.errors, "snippet_id", "left_anti")
