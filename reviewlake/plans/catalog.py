@@ -17,7 +17,7 @@ from reviewlake.operators.tokens import c_like_syntax
 from reviewlake.plans import inputs
 from reviewlake.plans.corpus import code_corpus
 from reviewlake.plans.review import (
-    ReviewTables, find_syntax_error, logical_issues, review, review_distinct,
+    ReviewTables, find_syntax_error, logical_issues, review,
 )
 from reviewlake.sources import corpus as readers
 from reviewlake.sources import sinks
@@ -250,10 +250,13 @@ def sx_1(spark, sf_dir):
 
 @query("sx_1b_c_like_syntax_of_pages")
 def sx_1_pages(spark, sf_dir):
-    """The bracket check over whole web pages."""
+    """The bracket check over whole web pages, three of four made faulty."""
+    html, kind = F.col("html"), F.col("page_id") % 4
+    code = (F.when(kind == 0, html).when(kind == 1, F.replace(html, F.lit("track("), F.lit("track[")))
+            .when(kind == 2, F.concat(html, F.lit("'tail"))).otherwise(F.concat(F.lit("{"), html)))
     pages = inputs.table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("snippet_id"), F.lit("cpp").alias("review_language"),
-        F.col("html").alias("code"))
+        code.alias("code"))
     return c_like_syntax(pages)
 
 
@@ -599,13 +602,9 @@ def _scored_by_model(spark, sf_dir, folder=None):
 
 @query("ml_8_batch_score")
 def ml_8(spark, sf_dir):
-    _, distinct, tables = review_distinct(code_corpus(spark, sf_dir))
-    package, meta = models.train_models(_train_rows(spark, sf_dir), SMALL)
-    counts = tables.issues.groupBy("snippet_id").agg(F.count("*").alias("n_issues"))
-    rows = tables.features.join(counts, "snippet_id", "left").withColumn(
-        "n_issues", F.coalesce("n_issues", F.lit(0)))
-    probabilities = models.batch_probabilities(rows, package, meta)
-    return tables.results(probabilities).select("snippet_id", "review_language", "confidence")
+    package = models.train_models(_train_rows(spark, sf_dir), SMALL)
+    return review(code_corpus(spark, sf_dir), package).select(
+        "snippet_id", "review_language", "confidence")
 
 
 @query("io_9_model_package")

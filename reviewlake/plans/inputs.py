@@ -130,6 +130,7 @@ def write_source_tree(rows: DataFrame, folder: str) -> None:
      .select("line", "snippet_id").write.partitionBy("snippet_id")
      .option("extension", "cpp").option("quote", "\u0000").option("sep", "\u0001")
      .option("escapeQuotes", False).option("escape", "\u0002").option("emptyValue", "")
+     .option("comment", "\u0003")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(folder))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewlake.operators import scoring
 from reviewlake.operators.features import distinct_snippets, features, join_by_code
 from reviewlake.operators.lines import clean_c_like, line_facts, with_review_language
+from reviewlake.operators.models import batch_probabilities
 from reviewlake.operators.nodes import node_table
 from reviewlake.operators.rules_clike import c_like_issues
 from reviewlake.operators.rules_python import python_issues
@@ -62,6 +63,13 @@ class ReviewTables:
         self.issues = staged(
             all_issues(parsed, self.nodes.filter("parse_ok"), self.facts, ok_features), "issues")
 
+    def with_issue_counts(self) -> DataFrame:
+        """Features and ``n_issues`` of the snippets that parse."""
+        counts = self.issues.groupBy("snippet_id").agg(F.count("*").alias("n_issues"))
+        return (self.features.join(self.errors, "snippet_id", "left_anti")
+                .join(counts, "snippet_id", "left")
+                .withColumn("n_issues", F.coalesce("n_issues", F.lit(0))))
+
     def ranked(self) -> DataFrame:
         return scoring.rank_issues(self.issues)
 
@@ -111,11 +119,18 @@ def review_distinct(snippets: DataFrame) -> tuple[DataFrame, DataFrame, ReviewTa
     return source, distinct, tables
 
 
-def review(snippets: DataFrame) -> DataFrame:
-    """Review result per snippet: ``snippet_id, review_language`` and the result columns."""
+def review(snippets: DataFrame, package: tuple[dict, dict] | None = None) -> DataFrame:
+    """Review result per snippet: ``snippet_id, review_language`` and the result columns.
+
+    With a model package (models by language, meta data) the risk of the snippets
+    that the rules do not settle comes from the model.
+    """
     source, distinct, tables = review_distinct(snippets)
+    probabilities = None
+    if package is not None:
+        probabilities = batch_probabilities(tables.with_issue_counts(), *package)
     per_code = distinct.select("snippet_id", "code_hash").join(
-        tables.results(), "snippet_id").drop("snippet_id")
+        tables.results(probabilities), "snippet_id").drop("snippet_id")
     return join_by_code(source, per_code).select("snippet_id", "review_language", *RESULT_COLUMNS)
 
 
