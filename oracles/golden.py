@@ -109,7 +109,7 @@ NODE_COUNTS = {
     # result label flag v values | result v | label label v | flag v | result label flag
     3: (15, 0, 9),
     # list | a b | a b list | a b a | a b b | a b a | sum int sum
-    4: (20, 0, 15),
+    4: (18, 0, 15),
     # flag, print flag, r rows, r, print r, print r, print rows
     5: (12, 4, 13),
     # q queue, queue q, queue q, queue

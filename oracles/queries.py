@@ -587,8 +587,13 @@ SELECT c_custkey AS user_id, c_name AS username, coalesce(total_reviews, 0) AS t
 FROM customer LEFT JOIN ws ON user_id = c_custkey""")
 
 # ---- streaming and the node table --------------------------------------------------------------------
+# A request without a file name is filed as untitled.py, so the C++ text that has
+# none is reviewed as Python, which its second line is not.
 SQL["st_1_review_stream"] = sql(base.RESULTS, """
-SELECT snippet_id, snippet_id % 10 AS user_id, confidence, syntax_error, n::INT AS n_issues FROM rs""")
+SELECT snippet_id, snippet_id % 10 AS user_id,
+  CASE WHEN c.filename IS NULL THEN 95.0 ELSE confidence END AS confidence,
+  syntax_error OR c.filename IS NULL AS syntax_error, n::INT AS n_issues
+FROM rs JOIN corpus c USING (snippet_id)""")
 SQL["uf_1_node_table"] = sql(
     SNIP + ",\nnc(tid, names, calls, last_line) AS "
     + values([(t, *v) for t, v in golden.NODE_COUNTS.items()]),
