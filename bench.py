@@ -83,6 +83,8 @@ def main():
     spark = (SparkSession.builder.master(f"local[{CPUS}]")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "16g")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             # Little data, much work per byte: let small partitions stay apart.
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times = {}

@@ -12,6 +12,7 @@ import warnings
 from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,21 @@ sig struct<args:array<string>,other:array<string>,defaults:array<string>,n_defau
            open:boolean>,
 path array<struct<node:int,type:string,field:string,name:string>>
 """
-COLUMNS = ["snippet_id", "parse_ok", "error_line", "error_msg", "node", "type", "field", "idx",
-           "line", "end_line", "name", "ctx", "ops", "names", "kids", "sig", "path"]
+_TEXT, _INT = pa.string(), pa.int32()
+_KID = pa.struct([("field", _TEXT), ("idx", _INT), ("type", _TEXT), ("line", _INT),
+                  ("name", _TEXT), ("base", _TEXT), ("const_type", _TEXT), ("const", _TEXT),
+                  ("n", _INT)])
+_SIG = pa.struct([("args", pa.list_(_TEXT)), ("other", pa.list_(_TEXT)),
+                  ("defaults", pa.list_(_TEXT)), ("n_defaults", _INT), ("open", pa.bool_())])
+_STEP = pa.struct([("node", _INT), ("type", _TEXT), ("field", _TEXT), ("name", _TEXT)])
+ARROW_SCHEMA = pa.schema([
+    ("snippet_id", pa.int64()), ("parse_ok", pa.bool_()), ("error_line", _INT),
+    ("error_msg", _TEXT), ("node", _INT), ("type", _TEXT), ("field", _TEXT), ("idx", _INT),
+    ("line", _INT), ("end_line", _INT), ("name", _TEXT), ("ctx", _TEXT),
+    ("ops", pa.list_(_TEXT)), ("names", pa.list_(_TEXT)), ("kids", pa.list_(_KID)),
+    ("sig", _SIG), ("path", pa.list_(_STEP)),
+])
+BATCH = 4096
 # Expressions that get a row of their own; all statements and handlers do.
 KEPT_EXPR = (ast.BinOp, ast.BoolOp, ast.Call, ast.Compare, ast.Attribute, ast.Name)
 MARKS = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
@@ -101,17 +115,16 @@ def _children(node):
 
 def node_rows(snippet_id, code):
     """Rows of one snippet, nodes numbered breadth first."""
-    blank = dict.fromkeys(COLUMNS)
+    blank = {"snippet_id": snippet_id, "parse_ok": False}
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(code)
     except SyntaxError as exc:
-        yield {**blank, "snippet_id": snippet_id, "parse_ok": False, "error_line": exc.lineno,
-               "error_msg": str(exc)}
+        yield {**blank, "error_line": exc.lineno, "error_msg": str(exc)}
         return
     except Exception as exc:     # too deep, too large: not parsable, and no line to name
-        yield {**blank, "snippet_id": snippet_id, "parse_ok": False, "error_msg": str(exc)}
+        yield {**blank, "error_msg": str(exc)}
         return
     queue = deque([(tree, None, None, [])])
     number = 0
@@ -121,7 +134,7 @@ def node_rows(snippet_id, code):
         is_block = isinstance(node, (ast.stmt, ast.excepthandler))
         if is_block or isinstance(node, (ast.Module, *KEPT_EXPR)):
             yield {
-                **blank, "snippet_id": snippet_id, "parse_ok": True, "node": number,
+                "snippet_id": snippet_id, "parse_ok": True, "node": number,
                 "type": type(node).__name__, "field": field, "idx": idx,
                 "line": getattr(node, "lineno", None),
                 "end_line": getattr(node, "end_lineno", None),
@@ -143,26 +156,23 @@ def node_rows(snippet_id, code):
 
 
 def _parse_batches(batches):
+    rows = []
     for batch in batches:
-        for snippet_id, code in zip(batch["snippet_id"], batch["code"]):
-            rows = []
+        ids, codes = batch.column("snippet_id").to_pylist(), batch.column("code").to_pylist()
+        for snippet_id, code in zip(ids, codes):
             for row in node_rows(snippet_id, code):
                 rows.append(row)
-                if len(rows) >= 4096:
-                    yield _frame(rows)
+                if len(rows) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
                     rows = []
-            if rows:
-                yield _frame(rows)
-
-
-def _frame(rows):
-    return pd.DataFrame(rows, columns=COLUMNS, dtype=object)
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
 
 
 def node_table(snippets: DataFrame) -> DataFrame:
     """Node rows of the Python snippets; an unparsable one gives a single row."""
     python = snippets.filter(F.col("review_language") == "python").select("snippet_id", "code")
-    return python.mapInPandas(_parse_batches, NODE_SCHEMA)
+    return python.mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
 def parse_status(snippets: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Defect rules for Python, as queries over the syntax-node table.
 
 A node row lists its direct children and the statements around it, so most
-rules look at one row. The others meet on ``(snippet_id, node)`` or
-``(snippet_id, name)``: equality joins only.
+rules look at one row: they are array expressions, and all of them run in one
+scan. The others meet on ``(snippet_id, node)`` or ``(snippet_id, name)``:
+equality joins only.
 """
 
 from __future__ import annotations
@@ -77,35 +78,155 @@ ZEROS = [("int", "0"), ("float", "0.0"), ("complex", "0j"), ("bool", "False")]
 ONES = [("int", "1"), ("float", "1.0"), ("complex", "(1+0j)"), ("bool", "True")]
 
 
-def infinite_loops(nodes: DataFrame) -> DataFrame:
-    test = _kid("test")
-    rows = _of_type(nodes, "While").filter(_in_set(test, [("bool", "True")]))
-    return _issues(rows, "PY-1", 1)
+ENTRY = "struct<rule:string,name:string,line:int,fix:string,phase:int,o1:int,o2:int>"
 
 
-def zero_divisions(nodes: DataFrame) -> DataFrame:
-    rows = _of_type(nodes, "BinOp").filter(
-        (F.try_element_at("ops", F.lit(1)) == "Div") & _in_set(_kid("right"), ZEROS))
-    return _issues(rows, "PY-2", 1, o2=1)
+def _entry(rule: str, phase: int, *args, line: Column | None = None,
+           o2: Column | int = 0) -> Column:
+    """An issue found in the row at hand."""
+    line = F.col("line") if line is None else line
+    o2 = F.lit(o2) if isinstance(o2, int) else o2
+    return F.struct(F.lit(rule.rstrip("ab")), issue_name(rule), line, issue_fix(rule, *args),
+                    F.lit(phase), F.col("node"), o2).cast(ENTRY)
+
+
+def _found(types: list[str], test: Column, entry: Column) -> Column:
+    """One issue if a node of these types passes the test."""
+    return F.when(F.col("type").isin(types) & test, F.array(entry))
+
+
+# ---- rules on one row ------------------------------------------------------
 
+def infinite_loops() -> Column:
+    return _found(["While"], _in_set(_kid("test"), [("bool", "True")]), _entry("PY-1", 1))
 
-def input_in_loops(nodes: DataFrame) -> DataFrame:
+
+def zero_divisions() -> Column:
+    divides = F.try_element_at("ops", F.lit(1)) == "Div"
+    return _found(["BinOp"], divides & _in_set(_kid("right"), ZEROS), _entry("PY-2", 1, o2=1))
+
+
+def input_in_loops() -> Column:
     func = _kid("func")
-    rows = _of_type(nodes, "Call").filter(
-        (func["type"] == "Name") & (func["name"] == "input") & _inside(*LOOPS))
-    return _issues(rows, "PY-3", 1, o2=2)
+    test = (func["type"] == "Name") & (func["name"] == "input") & _inside(*LOOPS)
+    return _found(["Call"], test, _entry("PY-3", 1, o2=2))
 
 
-def sort_in_loops(nodes: DataFrame) -> DataFrame:
+def sort_in_loops() -> Column:
     func = _kid("func")
-    rows = _of_type(nodes, "Call").filter(
-        (func["type"] == "Attribute") & (func["name"] == "sort") & _inside(*LOOPS))
-    return _issues(rows, "PY-4", 1, o2=3)
+    test = (func["type"] == "Attribute") & (func["name"] == "sort") & _inside(*LOOPS)
+    return _found(["Call"], test, _entry("PY-4", 1, o2=3))
+
+
+def nested_loops() -> Column:
+    return _found(LOOPS, _inside("For"), _entry("PY-5", 2))
+
+
+def mutable_defaults() -> Column:
+    mutable = F.arrays_overlap("sig.defaults", F.array(*map(F.lit, ["List", "Dict", "Set"])))
+    return _found(["FunctionDef"], mutable, _entry("PY-10", 5, F.col("name")))
+
+
+def shadowed_builtins() -> Column:
+    names = fixed.SHADOWED_BUILTINS
+    targets = F.filter("names", lambda n: n.isin(names))
+    return F.when(
+        F.col("type").isin("Assign", "AugAssign", "AnnAssign"),
+        F.transform(targets, lambda n, i: _entry("PY-11a", 6, n, o2=i)),
+    ).when((F.col("type") == "FunctionDef") & F.col("name").isin(names),
+           F.array(_entry("PY-11b", 6, F.col("name"))))
+
+
+def _comparisons(ops: list[str], test, entry) -> Column:
+    """``entry(right, position)`` per operator of a comparison whose right side passes."""
+    pairs = F.arrays_zip(F.col("ops"), _kids("comparators").alias("right"))
+    placed = F.transform(pairs, lambda p, i: F.struct(
+        p["ops"].alias("op"), p["right"].alias("right"), i.alias("pos")))
+    hits = F.filter(placed, lambda p: p["op"].isin(ops) & test(p["right"]))
+    return F.when(F.col("type") == "Compare",
+                  F.transform(hits, lambda p: entry(p["right"], p["pos"])))
+
+
+def none_comparisons() -> Column:
+    return _comparisons(["Eq", "NotEq"], _is_none, lambda right, pos: _entry("PY-12", 7, o2=pos))
 
 
-def nested_loops(nodes: DataFrame) -> DataFrame:
-    return _issues(_of_type(nodes, *LOOPS).filter(_inside("For")), "PY-5", 2)
+def literal_identities() -> Column:
+    # 0, 1 and their equals count as the singletons True and False.
+    def test(right):
+        return (right["const_type"].isNotNull() & ~_is_none(right)
+                & ~F.coalesce(_in_set(right, ZEROS + ONES), F.lit(False)))
+
+    return _comparisons(["Is", "IsNot"], test,
+                        lambda right, pos: _entry("PY-13", 8, right["const"], o2=pos))
+
+
+def float_equalities() -> Column:
+    left = F.coalesce(_kid("left")["const_type"] == "float", F.lit(False))
+    return _comparisons(["Eq", "NotEq"],
+                        lambda right: left | (right["const_type"] == "float"),
+                        lambda right, pos: _entry("PY-14", 9, o2=pos))
+
+
+def _after_first(*stops: str):
+    """First body statement of these types that is not the last, and the one after it."""
+    body = _kids("body")
+    stop = F.try_element_at(F.filter(body, lambda k: k["type"].isin(*stops)
+                                     & (k["idx"] < F.size(body) - 1)), F.lit(1))
+    return stop, F.try_element_at(body, stop["idx"] + 2)
+
+
+def dead_code_after_return() -> Column:
+    stop, after = _after_first("Return")
+    return _found(["FunctionDef"], stop.isNotNull(),
+                  _entry("PY-16", 11, stop["line"], line=after["line"]))
+
 
+def bare_excepts() -> Column:
+    test = _kid("type").isNull() & (_around()["type"] == "Try")
+    return _found(["ExceptHandler"], test, _entry("PY-19", 14))
+
+
+def boolean_comparisons() -> Column:
+    def entry(right, pos):
+        hint = F.when(right["const"] == "True", "if x:").otherwise("if not x:")
+        return _entry("PY-21", 16, hint, right["const"], o2=pos)
+
+    return _comparisons(["Eq", "NotEq"], lambda right: right["const_type"] == "bool", entry)
+
+
+def missing_self() -> Column:
+    first = F.coalesce(F.try_element_at("sig.args", F.lit(1)), F.lit(""))
+    return _found(["FunctionDef"], F.col("name").isin(fixed.SELF_METHODS) & (first != "self"),
+                  _entry("PY-22", 17, F.col("name")))
+
+
+def dead_code_after_break() -> Column:
+    stop, after = _after_first("Break", "Continue")
+    return _found(LOOPS, stop.isNotNull(), _entry("PY-24", 19, F.lower(stop["type"]),
+                                                  stop["line"], line=after["line"]))
+
+
+ROW_RULES = {
+    "PY-1": infinite_loops, "PY-2": zero_divisions, "PY-3": input_in_loops, "PY-4": sort_in_loops,
+    "PY-5": nested_loops, "PY-10": mutable_defaults, "PY-11": shadowed_builtins,
+    "PY-12": none_comparisons, "PY-13": literal_identities, "PY-14": float_equalities,
+    "PY-16": dead_code_after_return, "PY-19": bare_excepts, "PY-21": boolean_comparisons,
+    "PY-22": missing_self, "PY-24": dead_code_after_break,
+}
+
+
+def row_issues(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """The chosen one-row rules in one scan of the node table."""
+    none = F.array().cast(f"array<{ENTRY}>")
+    found = F.flatten(F.array(*[F.coalesce(ROW_RULES[r](), none) for r in rules or ROW_RULES]))
+    rows = _of_type(nodes, "While", "For", "BinOp", "Call", "FunctionDef", "Assign", "AugAssign",
+                    "AnnAssign", "Compare", "ExceptHandler")
+    return rows.select("snippet_id", F.inline(found)).select(
+        "snippet_id", "rule", "name", "line", "fix", "phase", "o1", "o2")
+
+
+# ---- rules that join -------------------------------------------------------
 
 def function_facts(nodes: DataFrame) -> DataFrame:
     """What lies below each function: returns, a call of itself, a test."""
@@ -183,52 +304,6 @@ def wrong_argument_counts(nodes: DataFrame) -> DataFrame:
     return few.unionByName(many)
 
 
-def mutable_defaults(nodes: DataFrame) -> DataFrame:
-    mutable = F.arrays_overlap("sig.defaults", F.array(*map(F.lit, ["List", "Dict", "Set"])))
-    return _issues(_functions(nodes).filter(mutable), "PY-10", 5, F.col("name"))
-
-
-def shadowed_builtins(nodes: DataFrame) -> DataFrame:
-    names = fixed.SHADOWED_BUILTINS
-    variables = _of_type(nodes, "Assign", "AugAssign", "AnnAssign").select(
-        "snippet_id", "node", "line", F.posexplode("names").alias("pos", "target")
-    ).filter(F.col("target").isin(names))
-    functions = _functions(nodes).filter(F.col("name").isin(names))
-    return _issues(variables, "PY-11a", 6, F.col("target"), o2=F.col("pos")).unionByName(
-        _issues(functions, "PY-11b", 6, F.col("name")))
-
-
-def _comparisons(nodes: DataFrame, *ops: str) -> DataFrame:
-    """One row per operator of a comparison and its right operand."""
-    zipped = F.arrays_zip(F.col("ops"), _kids("comparators").alias("right"))
-    return (_of_type(nodes, "Compare")
-            .select("snippet_id", "node", "line", _kid("left").alias("left"),
-                    F.posexplode(zipped).alias("pos", "pair"))
-            .select("snippet_id", "node", "line", "left", "pos", F.col("pair.ops").alias("op"),
-                    F.col("pair.right").alias("right"))
-            .filter(F.col("op").isin(*ops)))
-
-
-def none_comparisons(nodes: DataFrame) -> DataFrame:
-    rows = _comparisons(nodes, "Eq", "NotEq").filter(_is_none(F.col("right")))
-    return _issues(rows, "PY-12", 7, o2=F.col("pos"))
-
-
-def literal_identities(nodes: DataFrame) -> DataFrame:
-    right = F.col("right")
-    # 0, 1 and their equals count as the singletons True and False.
-    rows = _comparisons(nodes, "Is", "IsNot").filter(
-        right["const_type"].isNotNull() & ~_is_none(right)
-        & ~F.coalesce(_in_set(right, ZEROS + ONES), F.lit(False)))
-    return _issues(rows, "PY-13", 8, F.col("right.const"), o2=F.col("pos"))
-
-
-def float_equalities(nodes: DataFrame) -> DataFrame:
-    rows = _comparisons(nodes, "Eq", "NotEq").filter(
-        "left.const_type = 'float' or right.const_type = 'float'")
-    return _issues(rows, "PY-14", 9, o2=F.col("pos"))
-
-
 def shadowed_loop_variables(nodes: DataFrame) -> DataFrame:
     loops = _of_type(nodes, "For")
     outer = loops.select("snippet_id", F.col("node").alias("outer"), F.col("names").alias("vars"))
@@ -240,22 +315,6 @@ def shadowed_loop_variables(nodes: DataFrame) -> DataFrame:
     return _issues(rows, "PY-15", 10, F.col("target"), o1="outer", o2=F.col("node"))
 
 
-def _after_first(nodes: DataFrame, *types: str) -> DataFrame:
-    """First child statement of these types in a body that is not its last one."""
-    body = _kids("body")
-    return (nodes.withColumn("body", body)
-            .withColumn("stop", F.try_element_at(
-                F.filter("body", lambda k: k["type"].isin(*types)
-                         & (k["idx"] < F.size("body") - 1)), F.lit(1)))
-            .filter("stop is not null")
-            .withColumn("next", F.try_element_at("body", F.col("stop.idx") + 2)))
-
-
-def dead_code_after_return(nodes: DataFrame) -> DataFrame:
-    return _issues(_after_first(_functions(nodes), "Return"), "PY-16", 11, F.col("stop.line"),
-                   line="next.line")
-
-
 def missing_branch_returns(nodes: DataFrame) -> DataFrame:
     around = _around()
     valued = function_facts(nodes).filter("returns_value").select(
@@ -288,13 +347,6 @@ def mutated_while_iterating(nodes: DataFrame) -> DataFrame:
                    o2=F.col("node"))
 
 
-def bare_excepts(nodes: DataFrame) -> DataFrame:
-    around = _around()
-    rows = _of_type(nodes, "ExceptHandler").filter(
-        _kid("type").isNull() & (around["type"] == "Try"))
-    return _issues(rows, "PY-19", 14)
-
-
 def returns_in_finally(nodes: DataFrame) -> DataFrame:
     rows = (_above(_of_type(nodes, "Return"), "Try").filter("up.field = 'finalbody'")
             .groupBy("snippet_id", F.col("up.node").alias("try"))
@@ -302,19 +354,6 @@ def returns_in_finally(nodes: DataFrame) -> DataFrame:
     return _issues(rows, "PY-20", 15, o1="try")
 
 
-def boolean_comparisons(nodes: DataFrame) -> DataFrame:
-    rows = _comparisons(nodes, "Eq", "NotEq").filter("right.const_type = 'bool'")
-    hint = F.when(F.col("right.const") == "True", "if x:").otherwise("if not x:")
-    return _issues(rows, "PY-21", 16, hint, F.col("right.const"), o2=F.col("pos"))
-
-
-def missing_self(nodes: DataFrame) -> DataFrame:
-    first = F.coalesce(F.try_element_at("sig.args", F.lit(1)), F.lit(""))
-    rows = _functions(nodes).filter(
-        F.col("name").isin(fixed.SELF_METHODS) & (first != "self"))
-    return _issues(rows, "PY-22", 17, F.col("name"))
-
-
 def missing_globals(nodes: DataFrame) -> DataFrame:
     top = nodes.filter(F.size("path") == 0)
     module_names = (
@@ -337,12 +376,6 @@ def missing_globals(nodes: DataFrame) -> DataFrame:
                    o2=F.col("node"))
 
 
-def dead_code_after_break(nodes: DataFrame) -> DataFrame:
-    rows = _after_first(_of_type(nodes, *LOOPS), "Break", "Continue")
-    return _issues(rows, "PY-24", 19, F.lower("stop.type"), F.col("stop.line"),
-                   line="next.line")
-
-
 def unused_variable_rows(nodes: DataFrame) -> DataFrame:
     """``snippet_id, target, node, line``: names assigned but never read."""
     # An augmented or annotated name is reported where the name stands.
@@ -379,19 +412,23 @@ def none_dereferences(nodes: DataFrame) -> DataFrame:
     return _issues(rows, "PY-26", 21, F.col("base"), F.col("name"))
 
 
-PYTHON_RULES = {
-    "PY-1": infinite_loops, "PY-2": zero_divisions, "PY-3": input_in_loops, "PY-4": sort_in_loops,
-    "PY-5": nested_loops, "PY-6": no_returns, "PY-7": bare_recursions,
-    "PY-8": overwritten_accumulators, "PY-9": wrong_argument_counts, "PY-10": mutable_defaults,
-    "PY-11": shadowed_builtins, "PY-12": none_comparisons, "PY-13": literal_identities,
-    "PY-14": float_equalities, "PY-15": shadowed_loop_variables, "PY-16": dead_code_after_return,
-    "PY-17": missing_branch_returns, "PY-18": mutated_while_iterating, "PY-19": bare_excepts,
-    "PY-20": returns_in_finally, "PY-21": boolean_comparisons, "PY-22": missing_self,
-    "PY-23": missing_globals, "PY-24": dead_code_after_break, "PY-25": unused_variables,
+JOIN_RULES = {
+    "PY-6": no_returns, "PY-7": bare_recursions, "PY-8": overwritten_accumulators,
+    "PY-9": wrong_argument_counts, "PY-15": shadowed_loop_variables,
+    "PY-17": missing_branch_returns, "PY-18": mutated_while_iterating,
+    "PY-20": returns_in_finally, "PY-23": missing_globals, "PY-25": unused_variables,
     "PY-26": none_dereferences,
 }
+PYTHON_RULES = {rule: {**ROW_RULES, **JOIN_RULES}[rule] for rule in (
+    f"PY-{i}" for i in range(1, 27))}
+
+
+def rule_issues(nodes: DataFrame, rule: str) -> DataFrame:
+    """Issues of one rule."""
+    return row_issues(nodes, [rule]) if rule in ROW_RULES else JOIN_RULES[rule](nodes)
 
 
 def python_issues(nodes: DataFrame) -> DataFrame:
     """All Python rules but the loop count rule, which needs the features."""
-    return reduce(DataFrame.unionByName, [rule(nodes) for rule in PYTHON_RULES.values()])
+    return reduce(DataFrame.unionByName,
+                  [row_issues(nodes), *[rule(nodes) for rule in JOIN_RULES.values()]])

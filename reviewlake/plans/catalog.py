@@ -373,7 +373,7 @@ for _rule in CJ_NAMES:
 
 def _python_query(rule, fn):
     def run(spark, sf_dir):
-        return scoring.distinct_issues(fn(inputs.nodes(spark, sf_dir)))
+        return scoring.distinct_issues(rules_python.rule_issues(inputs.nodes(spark, sf_dir), rule))
 
     _issue_query(f"py_{rule[3:]}_{fn.__name__}", run)
 

@@ -151,7 +151,11 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(tid, *t) for tid, t in enumerate(TEMPLATES)]
     templates = spark.createDataFrame(
         rows, "tid long, language string, filename string, path string, body string")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
+    # The table may be one file of one row group; spread its narrow rows over the
+    # tasks before they are widened to code and parsed.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = (spark.read.parquet(f"{sf_dir}/documents.parquet")
+            .select("doc_id", "source", "n_chars").repartition(tasks, "doc_id"))
     # The template list has a fixed number of rows, so it is safe to broadcast.
     return (
         docs.withColumn("tid", F.col("doc_id") % len(TEMPLATES))
