@@ -69,7 +69,10 @@ def decode_ignoring_errors(content: Column) -> Column:
 
 
 def read_source_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """C and C++ files, one row each."""
+    """C and C++ files, one row each.
+
+    Spark's file sources pass over empty files; cleaning would drop their rows.
+    """
     glob = "*.{" + ",".join(fixed.SOURCE_EXTENSIONS) + "}"
     files = _files(spark, folder, glob, max_files)
     if not files:
