@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import fixed
 from reviewlake.functions.lang import normalize_language, resolve_row_language
 from reviewlake.functions.text import has, strip
-from reviewlake.operators.nodes import parse_status
+from reviewlake.operators.nodes import parse_check
 
 
 def clean_dataset(corpus: DataFrame, allowed: list[str] | None = None) -> DataFrame:
@@ -21,9 +21,9 @@ def clean_dataset(corpus: DataFrame, allowed: list[str] | None = None) -> DataFr
         .withColumn("review_language", resolve_row_language(F.col("language"), F.col("path")))
         .filter(F.col("review_language").isin(names))
     )
-    # Only the Python rows meet the parser, and only their ids come back.
-    broken = parse_status(rows).filter("not parse_ok").select("snippet_id")
-    return rows.join(broken, "snippet_id", "left_anti")
+    # The parser sees the Python texts only; a filter in place, so no text is shuffled.
+    python = F.when(F.col("review_language") == "python", F.col("code"))
+    return rows.filter(parse_check(python)["parse_ok"])
 
 
 def language_distribution(cleaned: DataFrame) -> DataFrame:

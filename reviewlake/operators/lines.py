@@ -81,8 +81,9 @@ def line_facts(clean: DataFrame) -> DataFrame:
     """
     line, lang = F.col("line"), F.col("review_language")
     lines = explode_lines(
-        clean.withColumn("string_word", has(F.col("clean"), fixed.JAVA_STRING_WORD)),
-        keep=("string_word",))
+        clean.withColumn("string_word", has(F.col("clean"), fixed.JAVA_STRING_WORD))
+        .withColumn("switch_word", has(F.col("clean"), fixed.SWITCH_OPEN)),
+        keep=("string_word", "switch_word"))
     tests = _line_tests()
     is_signature = has(line, fixed.SIGNATURE)
     returns = group(line, fixed.SIGNATURE, 1)
@@ -101,7 +102,7 @@ def line_facts(clean: DataFrame) -> DataFrame:
         has(line, fixed.RETURN_WORD).alias("is_return"),
         has(line, fixed.GUARD_WORD).alias("is_guard"),
         F.array_distinct(groups(line, fixed.CALL, 1)).alias("calls"),
-        has(line, fixed.SWITCH_OPEN).alias("is_switch"),
+        "switch_word", has(line, fixed.SWITCH_OPEN).alias("is_switch"),
         has(line, fixed.SWITCH_CASE).alias("is_case"),
         has(line, fixed.SWITCH_BREAK).alias("is_break"),
         F.struct(

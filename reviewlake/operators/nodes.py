@@ -8,14 +8,20 @@ short description of its direct children, and the statements that enclose it.
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections import deque
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The few functions that run in Python workers travel with the job, so executors
+# need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODE_SCHEMA = """
 snippet_id long, parse_ok boolean, error_line int, error_msg string,
 node int, type string, field string, idx int, line int, end_line int,
@@ -113,18 +119,24 @@ def _children(node):
                 yield field, idx, item
 
 
-def node_rows(snippet_id, code):
-    """Rows of one snippet, nodes numbered breadth first."""
-    blank = {"snippet_id": snippet_id, "parse_ok": False}
+def _parse(code):
+    """Tree, or the line and message of the error."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(code)
+            return ast.parse(code), None, None
     except SyntaxError as exc:
-        yield {**blank, "error_line": exc.lineno, "error_msg": str(exc)}
-        return
+        return None, exc.lineno, str(exc)
     except Exception as exc:     # too deep, too large: not parsable, and no line to name
-        yield {**blank, "error_msg": str(exc)}
+        return None, None, str(exc)
+
+
+def node_rows(snippet_id, code):
+    """Rows of one snippet, nodes numbered breadth first."""
+    blank = {"snippet_id": snippet_id, "parse_ok": False}
+    tree, line, message = _parse(code)
+    if tree is None:
+        yield {**blank, "error_line": line, "error_msg": message}
         return
     queue = deque([(tree, None, None, [])])
     number = 0
@@ -175,25 +187,21 @@ def node_table(snippets: DataFrame) -> DataFrame:
     return python.mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
+def _check_texts(code: pd.Series) -> pd.DataFrame:
+    found = [(True, None, None) if text is None else _parse(text) for text in code]
+    found = [(tree is not None, line, message) for tree, line, message in found]
+    return pd.DataFrame(found, columns=["parse_ok", "error_line", "error_msg"], dtype=object)
+
+
+def parse_check(code: Column) -> Column:
+    """``parse_ok, error_line, error_msg`` of a text; a null text passes unparsed."""
+    return F.pandas_udf(_check_texts, "parse_ok boolean, error_line int, error_msg string")(code)
+
+
 def parse_status(snippets: DataFrame) -> DataFrame:
     """``snippet_id, parse_ok, error_line, error_msg`` of the Python snippets.
 
-    A scalar parse test: narrower than the node table when only the status is needed.
+    Narrower than the node table when only the status is needed.
     """
-    @F.pandas_udf("parse_ok boolean, error_line int, error_msg string")
-    def status(code: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in code:
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    ast.parse(text)
-                out.append((True, None, None))
-            except SyntaxError as exc:
-                out.append((False, exc.lineno, str(exc)))
-            except Exception as exc:
-                out.append((False, None, str(exc)))
-        return pd.DataFrame(out, columns=["parse_ok", "error_line", "error_msg"], dtype=object)
-
     python = snippets.filter(F.col("review_language") == "python")
-    return python.select("snippet_id", status("code").alias("s")).select("snippet_id", "s.*")
+    return python.select("snippet_id", parse_check("code").alias("s")).select("snippet_id", "s.*")

@@ -44,6 +44,8 @@ def _fixed_text_issues(df: DataFrame, rule: Column, line: Column, phase: Column,
 def line_issues(facts: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """CJ-1 .. CJ-17: all chosen rules in one pass over the line table."""
     rules = rules or list(LINE_RULES)
+    # A line that passes no test, the loop test included, plays no part.
+    facts = facts.filter(F.size("tests") > 0).select("snippet_id", "n", "has_loop", "tests")
     # A loop is recent when at most six lines back; for nested loops the line
     # itself does not count.
     window = _by_line()
@@ -91,14 +93,15 @@ def file_issues(clean: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 def switch_issues(facts: DataFrame) -> DataFrame:
     """CJ-19: a case that runs into the next case, or into the end of the switch."""
-    has_switch = F.max("is_switch").over(Window.partitionBy("snippet_id"))
     line = _by_line()
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     no = F.lit(False)
+    # Only texts with a switch, and of them the lines that change the state.
     depth = (
-        facts.select("snippet_id", "n", "opens", "closes", "is_switch", "is_case", "is_break")
-        .withColumn("has_switch", has_switch).filter("has_switch")
+        facts.filter("switch_word")
+        .filter("opens <> closes or is_switch or is_case or is_break")
+        .select("snippet_id", "n", "opens", "closes", "is_switch", "is_case", "is_break")
         .withColumn("depth", F.sum(F.col("opens") - F.col("closes")).over(upto))
     )
     # A segment runs from one switch line to the next; `base` is the depth after its first line.
@@ -146,8 +149,10 @@ def function_extents(facts: DataFrame) -> DataFrame:
     is_func = F.col("func_name").isNotNull()
 
     lines = (
-        facts.select("snippet_id", "n", "opens", "closes", "leading", "func_name", "func_brace",
-                     "is_return", "is_guard", "calls")
+        facts.filter("opens > 0 or closes > 0 or func_name is not null or is_return or is_guard "
+                     "or size(calls) > 0")
+        .select("snippet_id", "n", "opens", "closes", "leading", "func_name", "func_brace",
+                "is_return", "is_guard", "calls")
         .withColumn("before", F.coalesce(
             F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)).cast("int"))
         .withColumn("rets", F.sum(ret).over(upto))

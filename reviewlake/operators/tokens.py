@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Comments, strings and character literals (closed, or running to the end),
@@ -13,6 +13,23 @@ TOKEN = (r'//[^\n]*+'
          r"|'(?:[^'\\]++|\\[\s\S])*+(?:'|\\?\z)"
          r'|[()\[\]{}]|\n')
 CLOSED_LITERAL = r"""\A(?:"(?:[^"\\]++|\\[\s\S])*+"|'(?:[^'\\]++|\\[\s\S])*+')\z"""
+COMMENT_OR_LITERAL = (r'//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)'
+                      r'|"(?:[^"\\]++|\\[\s\S])*+"'
+                      r"|'(?:[^'\\]++|\\[\s\S])*+'")
+NESTING_PASSES = 12
+
+
+def _may_be_faulty(code: Column) -> Column:
+    """False only for texts that are surely balanced.
+
+    What is left of the brackets after taking out pairs, innermost first. Deeper
+    nesting than the passes reach, and any open quote, leaves something over.
+    """
+    rest = F.regexp_replace(F.regexp_replace(code, COMMENT_OR_LITERAL, ""),
+                            r"""[^()\[\]{}"']++""", "")
+    for _ in range(NESTING_PASSES):
+        rest = F.regexp_replace(rest, r"\(\)|\[\]|\{\}", "")
+    return rest != ""
 
 
 def bracket_tokens(snippets: DataFrame) -> DataFrame:
@@ -36,8 +53,10 @@ def c_like_syntax(snippets: DataFrame) -> DataFrame:
     """First syntax error per snippet: ``snippet_id, error_line, error_msg``.
 
     An unmatched closer comes first, then an open literal, then the innermost
-    open bracket.
+    open bracket. Only texts that may be faulty are cut into tokens and shuffled.
     """
+    snippets = snippets.filter(F.col("review_language").isin("cpp", "java")).filter(
+        _may_be_faulty(F.col("code")))
     order = Window.partitionBy("snippet_id").orderBy("i")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -37,12 +37,16 @@ def find_syntax_error(snippets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def all_issues(snippets: DataFrame, nodes: DataFrame, facts: DataFrame,
-               feature_rows: DataFrame) -> DataFrame:
-    """Distinct issues of snippets that parse."""
+               feature_rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """Distinct issues of the snippets without a syntax error.
+
+    The erroneous ones are taken out of the issue rows: those are few and narrow,
+    and the texts need not be shuffled for it.
+    """
     found = (c_like_issues(clean_c_like(snippets), facts)
              .unionByName(python_issues(nodes))
              .unionByName(scoring.complexity_issues(feature_rows)))
-    return scoring.distinct_issues(found)
+    return scoring.distinct_issues(found.join(errors, "snippet_id", "left_anti"))
 
 
 class ReviewTables:
@@ -56,12 +60,10 @@ class ReviewTables:
         self.snippets = snippets
         self.nodes = staged(node_table(self.snippets), "nodes")
         self.errors = staged(syntax_errors(self.snippets, self.nodes), "errors")
-        parsed = self.snippets.join(self.errors, "snippet_id", "left_anti")
-        self.facts = staged(line_facts(clean_c_like(parsed)), "lines")
+        self.facts = staged(line_facts(clean_c_like(self.snippets)), "lines")
         self.features = staged(features(self.snippets, self.nodes), "features")
-        ok_features = self.features.join(self.errors, "snippet_id", "left_anti")
-        self.issues = staged(
-            all_issues(parsed, self.nodes.filter("parse_ok"), self.facts, ok_features), "issues")
+        self.issues = staged(all_issues(self.snippets, self.nodes, self.facts, self.features,
+                                        self.errors), "issues")
 
     def with_issue_counts(self) -> DataFrame:
         """Features and ``n_issues`` of the snippets that parse."""
