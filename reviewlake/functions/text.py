@@ -20,8 +20,13 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?dU{flags})" + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
 
 
-def has(col: Column, pattern: str, flags: str = "") -> Column:
-    return col.rlike(rx(pattern, flags))
+def has(col: Column, pattern: str, flags: str = "", words: tuple = ()) -> Column:
+    """Does the pattern occur? ``words``: plain text, one of which each match holds.
+
+    The search for plain text is far cheaper and settles most lines.
+    """
+    found = col.rlike(rx(pattern, flags))
+    return contains_any(col, words) & found if words else found
 
 
 def hits(col: Column, pattern: str, flags: str = "") -> Column:
@@ -86,10 +91,10 @@ def lookup(col: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), col)
 
 
-def contains_any(col: Column, words: list[str]) -> Column:
-    out = F.lit(False)
+def contains_any(col: Column, words) -> Column:
+    out = None
     for word in words:
-        out = out | col.contains(word)
+        out = col.contains(word) if out is None else out | col.contains(word)
     return out
 
 

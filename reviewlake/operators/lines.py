@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
 from reviewlake.functions.lang import resolve_review_language
 from reviewlake.functions.text import (
-    blank_strings, by_language, group, groups, has, occurrences, split_lines, strip,
-    strip_c_comments,
+    blank_strings, by_language, contains_any, group, groups, has, occurrences, split_lines,
+    strip, strip_c_comments,
 )
 
 
@@ -44,33 +44,39 @@ LINE_RULES = {
 }
 
 
+# Plain text that a match of the pattern must hold.
+INPUT_WORDS = {"cpp": ("cin", "getline"), "java": (".next", "readLine")}
+
+
 def _line_tests() -> dict:
     """Test per rule on one line alone."""
     line, lang = F.col("line"), F.col("review_language")
     cpp, java = lang == "cpp", lang == "java"
     no = F.lit(False)
     blanked = blank_strings(line)
-    c_like = {k: v for k, v in fixed.INPUT.items() if k != "python"}
-    c_sort = {k: v for k, v in fixed.SORT.items() if k != "python"}
+    quoted = contains_any(line, ['"', "'"])
+    loop = has(line, fixed.LOOP, words=("for", "while"))
+    inputs = {k: (fixed.INPUT[k], w) for k, w in INPUT_WORDS.items()}
+    sorts = {k: fixed.SORT[k] for k in ("cpp", "java")}
     return {
-        "CJ-1": has(line, fixed.LOOP),
-        "CJ-2": has(line, fixed.INFINITE_LOOP),
-        "CJ-3": has(line, fixed.DIV_ZERO),
-        "CJ-4": by_language(lang, c_like, lambda p: has(line, p), no),
-        "CJ-5": by_language(lang, c_sort, lambda p: has(line, p), no),
-        "CJ-6": has(line, fixed.RETURN_NO_SEMICOLON),
-        "CJ-7": has(line, fixed.STATEMENT_NO_SEMICOLON),
-        "CJ-8": has(blanked, fixed.LITERAL_NO_SEMICOLON) & ~blanked.startswith("#"),
-        "CJ-9": has(line, fixed.ASSIGN_IN_CONDITION),
-        "CJ-10": cpp & has(line, fixed.ENDL),
-        "CJ-11": cpp & has(line, fixed.POW_TO_INT),
-        "CJ-12": cpp & has(line, fixed.RISKY["cpp"]),
-        "CJ-13": java & has(blanked, fixed.JAVA_STRING_EQ),
-        "CJ-14": java & F.col("string_word")
+        "CJ-1": loop,
+        "CJ-2": loop & has(line, fixed.INFINITE_LOOP),
+        "CJ-3": has(line, fixed.DIV_ZERO, words=("/",)),
+        "CJ-4": by_language(lang, inputs, lambda p: has(line, p[0], words=p[1]), no),
+        "CJ-5": by_language(lang, sorts, lambda p: has(line, p, words=("sort",)), no),
+        "CJ-6": has(line, fixed.RETURN_NO_SEMICOLON, words=("return",)),
+        "CJ-7": line.endswith(")") & has(line, fixed.STATEMENT_NO_SEMICOLON),
+        "CJ-8": quoted & has(blanked, fixed.LITERAL_NO_SEMICOLON) & ~blanked.startswith("#"),
+        "CJ-9": has(line, fixed.ASSIGN_IN_CONDITION, words=("if",)),
+        "CJ-10": cpp & has(line, fixed.ENDL, words=("endl",)),
+        "CJ-11": cpp & has(line, fixed.POW_TO_INT, words=("pow",)),
+        "CJ-12": cpp & has(line, fixed.RISKY["cpp"], words=("gets", "strcpy")),
+        "CJ-13": java & line.contains('"') & has(blanked, fixed.JAVA_STRING_EQ),
+        "CJ-14": java & F.col("string_word") & line.contains("+")
         & (has(line, fixed.JAVA_CONCAT_ADD) | has(line, fixed.JAVA_CONCAT_SET)),
-        "CJ-15": java & has(line, fixed.RISKY["java"]),
-        "CJ-16": cpp & has(line, fixed.CPP_OVERFLOW),
-        "CJ-17": java & has(line, fixed.JAVA_OVERFLOW),
+        "CJ-15": java & has(line, fixed.RISKY["java"], words=("catch",)),
+        "CJ-16": cpp & has(line, fixed.CPP_OVERFLOW, words=("int",)),
+        "CJ-17": java & line.contains("*") & has(line, fixed.JAVA_OVERFLOW, words=("int",)),
     }
 
 
@@ -85,9 +91,17 @@ def line_facts(clean: DataFrame) -> DataFrame:
         .withColumn("switch_word", has(F.col("clean"), fixed.SWITCH_OPEN)),
         keep=("string_word", "switch_word"))
     tests = _line_tests()
-    is_signature = has(line, fixed.SIGNATURE)
-    returns = group(line, fixed.SIGNATURE, 1)
-    no_size = F.lit("")
+    none = F.array().cast("array<string>")
+    returns, name = group(line, fixed.SIGNATURE, 1), group(line, fixed.SIGNATURE, 2)
+    indexed = line.contains("[")
+
+    def first(patterns: dict, idx: int) -> Column:
+        found = by_language(lang, patterns, lambda p: group(line, p, idx), F.lit(""))
+        return F.when(indexed, found).otherwise("")
+
+    def every(pattern: str, idx: int, word: str) -> Column:
+        return F.when(line.contains(word), groups(line, pattern, idx)).otherwise(none)
+
     return lines.select(
         "snippet_id", "review_language", "n",
         tests["CJ-1"].alias("has_loop"),
@@ -96,25 +110,21 @@ def line_facts(clean: DataFrame) -> DataFrame:
         occurrences(line, "{").alias("opens"),
         occurrences(line, "}").alias("closes"),
         (F.length(line) - F.length(F.ltrim(line, F.lit("}")))).alias("leading"),
-        F.when(is_signature & (returns != "void"), group(line, fixed.SIGNATURE, 2))
-        .alias("func_name"),
-        (group(line, fixed.SIGNATURE, 3) == "{").alias("func_brace"),
-        has(line, fixed.RETURN_WORD).alias("is_return"),
-        has(line, fixed.GUARD_WORD).alias("is_guard"),
-        F.array_distinct(groups(line, fixed.CALL, 1)).alias("calls"),
-        "switch_word", has(line, fixed.SWITCH_OPEN).alias("is_switch"),
-        has(line, fixed.SWITCH_CASE).alias("is_case"),
-        has(line, fixed.SWITCH_BREAK).alias("is_break"),
-        F.struct(
-            by_language(lang, fixed.ARRAY_INIT, lambda p: group(line, p, 1), no_size).alias("name"),
-            by_language(lang, fixed.ARRAY_INIT, lambda p: group(line, p, 2), no_size).alias("items"),
-        ).alias("init"),
-        F.struct(
-            by_language(lang, fixed.ARRAY_SIZE, lambda p: group(line, p, 1), no_size).alias("name"),
-            by_language(lang, fixed.ARRAY_SIZE, lambda p: group(line, p, 2), no_size).alias("size"),
-        ).alias("sized"),
-        F.arrays_zip(
-            groups(line, fixed.ARRAY_ACCESS, 1).alias("name"),
-            groups(line, fixed.ARRAY_ACCESS, 2).alias("idx"),
-        ).alias("accesses"),
+        F.when(has(line, fixed.SIGNATURE, words=("(",)),
+               F.when(returns != "void", name)).alias("func_name"),
+        # The only brace a signature can hold is at its end.
+        line.endswith("{").alias("func_brace"),
+        has(line, fixed.RETURN_WORD, words=("return",)).alias("is_return"),
+        has(line, fixed.GUARD_WORD, words=("if", "switch")).alias("is_guard"),
+        F.array_distinct(every(fixed.CALL, 1, "(")).alias("calls"),
+        "switch_word", has(line, fixed.SWITCH_OPEN, words=("switch",)).alias("is_switch"),
+        has(line, fixed.SWITCH_CASE, words=("case", "default")).alias("is_case"),
+        has(line, fixed.SWITCH_BREAK, words=("break", "return", "throw", "continue", "goto"))
+        .alias("is_break"),
+        F.struct(first(fixed.ARRAY_INIT, 1).alias("name"),
+                 first(fixed.ARRAY_INIT, 2).alias("items")).alias("init"),
+        F.struct(first(fixed.ARRAY_SIZE, 1).alias("name"),
+                 first(fixed.ARRAY_SIZE, 2).alias("size")).alias("sized"),
+        F.arrays_zip(every(fixed.ARRAY_ACCESS, 1, "[").alias("name"),
+                     every(fixed.ARRAY_ACCESS, 2, "[").alias("idx")).alias("accesses"),
     )

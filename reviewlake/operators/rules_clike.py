@@ -153,20 +153,20 @@ def function_extents(facts: DataFrame) -> DataFrame:
                      "or size(calls) > 0")
         .select("snippet_id", "n", "opens", "closes", "leading", "func_name", "func_brace",
                 "is_return", "is_guard", "calls")
-        .withColumn("before", F.coalesce(
-            F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)).cast("int"))
-        .withColumn("rets", F.sum(ret).over(upto))
-        .withColumn("guards", F.sum(guard).over(upto))
-        .withColumn("all_rets", F.sum(ret).over(whole))
-        .withColumn("all_guards", F.sum(guard).over(whole))
+        .withColumns({
+            "before": F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before),
+                                 F.lit(0)).cast("int"),
+            "rets": F.sum(ret).over(upto), "guards": F.sum(guard).over(upto),
+            "all_rets": F.sum(ret).over(whole), "all_guards": F.sum(guard).over(whole)})
         .withColumn("after", F.col("before") + F.col("opens") - F.col("closes"))
         .withColumn("cur", F.greatest(F.lit(0), F.col("before") - F.col("leading")))
     )
     opening = F.struct("n", "cur", "after", "rets", "guards")
     lines = (
-        lines.withColumn("next_open", F.last(F.when(F.col("opens") > 0, opening), True).over(later))
-        .withColumn("next_waiting", F.last(
-            F.when(is_func & ~F.col("func_brace"), F.col("n")), True).over(later))
+        lines.withColumns({
+            "next_open": F.last(F.when(F.col("opens") > 0, opening), True).over(later),
+            "next_waiting": F.last(F.when(is_func & ~F.col("func_brace"), F.col("n")), True)
+            .over(later)})
         # A signature without brace waits for the next brace, unless another such
         # signature comes first.
         .withColumn("open", F.when(is_func & F.col("func_brace"), opening).when(

@@ -54,8 +54,9 @@ def class_weights(df: DataFrame, label: str, groups: tuple = ()) -> DataFrame:
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     weights = counts.select(*groups, label, (
         F.sum("_n").over(whole) / (F.count("*").over(whole) * F.col("_n"))).alias("weight"))
-    # One row per group and class.
-    return df.join(weights, [*groups, label])
+    # One row per language and class; classes are risk flags, issue names or
+    # severities, so there are a few dozen at most.
+    return df.join(F.broadcast(weights), [*groups, label])
 
 
 def class_guard(rows: DataFrame, supported: list[str], label: str = "bug_risk",

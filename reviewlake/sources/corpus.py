@@ -132,21 +132,22 @@ def read_java_csv(spark: SparkSession, folder: str, max_files: int | None = None
 def take_first(rows: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows in input order, without bringing rows together.
 
-    Row counts per file split say which splits are wholly in, and how many rows
-    the last one gives; only counts meet in one place.
+    Row counts per file split say in which split the last row lies. The splits
+    before it are taken whole, and only that one split is ranked.
     """
     split = POSITION[:3]
     counts = rows.groupBy(*split).agg(F.count("*").alias("size"))
     so_far = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    quota = (counts.withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-             .filter(F.col("before") < n)
-             .select(*split, (F.lit(n) - F.col("before")).alias("quota"), "size"))
-    joined = rows.join(quota, split)
-    whole = joined.filter("size <= quota")
+    last = (counts.withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
+            .filter((F.col("before") < n) & (F.col("before") + F.col("size") >= n)).first())
+    if last is None:        # no more than n rows in all, or n is 0
+        return rows if n > 0 else rows.filter(F.lit(False))
+    here = F.struct(*split)
+    edge = F.struct(*[F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in split])
     order = Window.partitionBy(*split).orderBy("seq")
-    part = (joined.filter("size > quota").withColumn("place", F.row_number().over(order))
-            .filter("place <= quota").drop("place"))
-    return whole.unionByName(part).drop("quota", "size")
+    part = (rows.filter(here == edge).withColumn("place", F.row_number().over(order))
+            .filter(F.col("place") <= n - last["before"]).drop("place"))
+    return rows.filter(here < edge).unionByName(part)
 
 
 def read_corpus(spark: SparkSession, folder: str, max_files: int | None = None,
