@@ -52,13 +52,15 @@ KEPT_EXPR = (ast.BinOp, ast.BoolOp, ast.Call, ast.Compare, ast.Attribute, ast.Na
 MARKS = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
 
 
+# Where a node carries its name.
+NAME_FIELDS = {"Name": "id", "Attribute": "attr", "arg": "arg", "keyword": "arg",
+               "FunctionDef": "name", "AsyncFunctionDef": "name", "ClassDef": "name",
+               "ExceptHandler": "name", "alias": "name"}
+
+
 def _name(node):
-    """The name a node carries: identifier, attribute, argument or definition."""
-    for attr in ("id", "attr", "arg", "name"):
-        value = getattr(node, attr, None)
-        if isinstance(value, str):
-            return value
-    return None
+    field = NAME_FIELDS.get(type(node).__name__)
+    return getattr(node, field) if field else None
 
 
 def _literal(node, parent):
@@ -78,11 +80,12 @@ def _literal(node, parent):
 def _kid(field, idx, node, parent):
     const_type, const = _literal(node, parent)
     base = getattr(node, "value", None) if isinstance(node, ast.Attribute) else None
-    n = sum(not isinstance(c, MARKS) for c in ast.iter_child_nodes(node))
+    # Parts of a list, set or dict display; other nodes have no use for the number.
+    parts = getattr(node, "elts", None) or getattr(node, "keys", None)
     return {"field": field, "idx": idx, "type": type(node).__name__,
             "line": getattr(node, "lineno", None), "name": _name(node),
             "base": base.id if isinstance(base, ast.Name) else None,
-            "const_type": const_type, "const": const, "n": n}
+            "const_type": const_type, "const": const, "n": len(parts) if parts else 0}
 
 
 def _bound(node):
@@ -112,11 +115,16 @@ def _signature(node):
 
 
 def _children(node):
-    for field, value in ast.iter_fields(node):
-        items = value if isinstance(value, list) else [value]
-        for idx, item in enumerate(items):
-            if isinstance(item, ast.AST) and not isinstance(item, MARKS):
-                yield field, idx, item
+    """``(field, index, child)`` in the order of the node's fields."""
+    out = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            out += [(field, i, v) for i, v in enumerate(value)
+                    if isinstance(v, ast.AST) and not isinstance(v, MARKS)]
+        elif isinstance(value, ast.AST) and not isinstance(value, MARKS):
+            out.append((field, 0, value))
+    return out
 
 
 def _parse(code):
@@ -142,7 +150,7 @@ def node_rows(snippet_id, code):
     number = 0
     while queue:
         node, field, idx, path = queue.popleft()
-        kids = list(_children(node))
+        kids = _children(node)
         is_block = isinstance(node, (ast.stmt, ast.excepthandler))
         if is_block or isinstance(node, (ast.Module, *KEPT_EXPR)):
             yield {
