@@ -534,6 +534,20 @@ o AS (UNPIVOT (SELECT {_metrics('by_model')} FROM el) ON COLUMNS(*) INTO NAME me
 SQL["ev_4_synthetic_labels"] = sql(base.RESULTS, """
 SELECT snippet_id, CASE WHEN n > 0 THEN 1 ELSE 0 END AS label FROM rs""")
 
+# The same feature SQL over the cleaned corpus with its own language rule.
+SQL["main_build_dataset"] = sql(
+    base.FEATURES.replace(base.SNIPPETS, CLEANED + ",\nsnip AS (SELECT * FROM cd)"), f"""
+SELECT f.*, {BUG_RISK.replace('review_language', 's.review_language')} AS bug_risk
+FROM fa f JOIN (SELECT snippet_id, code, review_language FROM snip) s USING (snippet_id)""")
+# Reviewed as Python, every C++ and Java snippet of the corpus is a syntax error.
+SQL["main_evaluate_rules"] = sql(base.RESULTS + """,
+el AS (
+  SELECT l.quality AS label, 0.0 AS latency_ms, CASE WHEN r.review_language <> 'python'
+    OR r.n > 0 OR r.confidence > 40 THEN 1 ELSE 0 END AS p
+  FROM rs r JOIN labels l ON l.doc_id = r.snippet_id)""", f"""
+SELECT metric, rules FROM (UNPIVOT (SELECT {_metrics('p')} FROM el)
+  ON COLUMNS(*) INTO NAME metric VALUE rules) WHERE NOT contains(metric, 'latency')""")
+
 # ---- review history ---------------------------------------------------------------------------------
 LATEST = REVIEWS + """,
 lt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC,

@@ -245,7 +245,7 @@ def array_issues(facts: DataFrame) -> DataFrame:
             F.col("init.name").alias("name"), n_items.cast(big).alias("size"),
             F.lit(0).alias("k"))),
         F.when(F.col("sized.name") != "", F.struct(
-            F.col("sized.name").alias("name"), F.col("sized.size").cast(big).alias("size"),
+            F.col("sized.name").alias("name"), F.col("sized.size").try_cast(big).alias("size"),
             F.lit(1).alias("k"))),
     ), lambda d: d.isNotNull())
     at = F.struct("n", "k")
@@ -255,7 +255,7 @@ def array_issues(facts: DataFrame) -> DataFrame:
     accesses = facts.select("snippet_id", "review_language", "n", F.inline("accesses"))
     rows = (accesses.groupBy("snippet_id", "review_language", "n", "name", "idx").count()
             .join(sizes, ["snippet_id", "name"])
-            .withColumn("i", F.col("idx").cast(big)).filter("i >= size"))
+            .withColumn("i", F.col("idx").try_cast(big)).filter("i >= size"))
     return rows.select(
         "snippet_id", F.lit("CJ-27").alias("rule"), issue_name("CJ-27").alias("name"),
         F.col("n").cast("int").alias("line"),

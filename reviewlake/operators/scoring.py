@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
 from reviewlake.functions.explanations import DEFAULT_TEMPLATE, TEMPLATES
-from reviewlake.functions.lang import resolve_review_language
 from reviewlake.functions.numbers import round_half_even, round_half_up
 from reviewlake.functions.text import contains_any, issue_fix, issue_name, lookup
 
@@ -57,10 +56,6 @@ def needs_model(n_issues: Column, loops: Column, conditions: Column) -> Column:
     return (n_issues < 2) & ~((n_issues == 0) & (loops <= 1) & (conditions <= 2))
 
 
-def score_language(language: Column) -> Column:
-    return resolve_review_language(language, F.lit(None), F.lit(None).cast("string"))
-
-
 def rank_of(name: Column) -> Column:
     return (F.when(name.isin(fixed.RANK_0), 0).when(name.isin(fixed.RANK_1), 1).otherwise(2))
 

@@ -14,7 +14,7 @@ from reviewlake.operators import (
 from reviewlake.operators.lines import explode_lines
 from reviewlake.operators.nodes import node_table, parse_status
 from reviewlake.operators.tokens import c_like_syntax
-from reviewlake.plans import inputs
+from reviewlake.plans import flows, inputs
 from reviewlake.plans.corpus import code_corpus
 from reviewlake.plans.review import (
     ReviewTables, find_syntax_error, logical_issues, review,
@@ -695,6 +695,30 @@ def ev_4(spark, sf_dir):
                                     limit=None).select("snippet_id", "label")
 
 
+@query("main_build_dataset")
+def main_build_dataset(spark, sf_dir):
+    return flows.build_dataset(code_corpus(spark, sf_dir))
+
+
+def _labeled_snippets(spark, sf_dir):
+    labels = inputs.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("snippet_id"), F.col("quality").alias("label"))
+    return code_corpus(spark, sf_dir).select("snippet_id", "code").join(labels, "snippet_id")
+
+
+@query("main_evaluate_rules")
+def main_evaluate_rules(spark, sf_dir):
+    """All labelled snippets, reviewed as Python; times differ from run to run."""
+    table = flows.evaluate(_labeled_snippets(spark, sf_dir))
+    return _round(table.filter(~F.col("metric").contains("latency")), "rules")
+
+
+@query("main_evaluate_model")
+def main_evaluate_model(spark, sf_dir):
+    package = models.train_models(_train_rows(spark, sf_dir), SMALL)
+    return flows.evaluate(_labeled_snippets(spark, sf_dir), package)
+
+
 # ---- review history ---------------------------------------------------------------------
 
 def _history_columns(rows):

@@ -115,7 +115,7 @@ def review_distinct(snippets: DataFrame) -> tuple[DataFrame, DataFrame, ReviewTa
     Returns the snippets with language, the distinct ones with ``code_hash``, and
     the tables of the latter.
     """
-    source = with_review_language(snippets)
+    source = with_review_language(snippets.withColumn("code", F.coalesce("code", F.lit(""))))
     distinct = staged(distinct_snippets(source), "distinct")
     tables = ReviewTables(distinct.select("snippet_id", "code", "review_language"))
     return source, distinct, tables

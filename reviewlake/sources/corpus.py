@@ -191,7 +191,7 @@ def read_labeled(spark: SparkSession, paths: list[str],
     label = (F.when(kind == "STRING", whole.try_cast("int"))
              .when(kind == "BOOLEAN", F.try_variant_get("raw", "$", "boolean").cast("int"))
              .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"),
-                   F.try_variant_get("raw", "$", "double").cast("int")))
+                   F.try_variant_get("raw", "$", "double").try_cast("int")))
     found = rows.withColumn("label", label).filter("code is not null and label is not null")
     found = found.drop("raw")
     if max_samples is not None:
@@ -222,6 +222,6 @@ def compiler_issues(logs: DataFrame) -> DataFrame:
         rows.filter(~((language == "cpp") & noise))
         .select("snippet_id", lookup(F.col("col.kind"), {
             "error": "Compiler Error", "warning": "Compiler Warning"}).alias("name"),
-            F.col("col.line").cast("int").alias("line"), message.alias("fix"),
+            F.col("col.line").try_cast("int").alias("line"), message.alias("fix"),
             F.col("pos").alias("o1"))
     )

@@ -49,7 +49,8 @@ def parse_result(col: Column) -> Column:
     """The result struct of a JSON text; an empty text gives null."""
     raw = F.from_json(F.nullif(col, F.lit("")), RESULT_JSON)
     issues = F.transform(raw["issues"], lambda i: F.struct(
-        i[0].alias("name"), i[1].cast("int").alias("line"), i[2].alias("fix")))
+        F.get(i, 0).alias("name"), F.get(i, 1).try_cast("int").alias("line"),
+        F.get(i, 2).alias("fix")))
     return F.when(raw.isNotNull(), F.struct(
         raw["confidence"].alias("confidence"), raw["syntax_error"].alias("syntax_error"),
         raw["error_line"].alias("error_line"), raw["error_msg"].alias("error_msg"),

@@ -19,7 +19,7 @@ def test_checks_belong_to_queries():
     assert set(queries) - set(checks) == {
         "io_9_model_package", "ml_4_tuned_forest", "ml_5_sigmoid_calibration",
         "ml_7_per_language_train", "ml_8_batch_score", "ml_11_issue_classifier",
-        "ml_13_severity_classifier"}
+        "ml_13_severity_classifier", "main_evaluate_model"}
 
 
 @pytest.fixture(scope="module")
