@@ -30,7 +30,8 @@ kids array<struct<field:string,idx:int,type:string,line:int,name:string,base:str
                   const_type:string,const:string,n:int>>,
 sig struct<args:array<string>,other:array<string>,defaults:array<string>,n_defaults:int,
            open:boolean>,
-path array<struct<node:int,type:string,field:string,name:string>>
+uses array<string>,
+path array<struct<node:int,type:string,field:string,name:string,names:array<string>,over:string>>
 """
 _TEXT, _INT = pa.string(), pa.int32()
 _KID = pa.struct([("field", _TEXT), ("idx", _INT), ("type", _TEXT), ("line", _INT),
@@ -38,13 +39,14 @@ _KID = pa.struct([("field", _TEXT), ("idx", _INT), ("type", _TEXT), ("line", _IN
                   ("n", _INT)])
 _SIG = pa.struct([("args", pa.list_(_TEXT)), ("other", pa.list_(_TEXT)),
                   ("defaults", pa.list_(_TEXT)), ("n_defaults", _INT), ("open", pa.bool_())])
-_STEP = pa.struct([("node", _INT), ("type", _TEXT), ("field", _TEXT), ("name", _TEXT)])
+_STEP = pa.struct([("node", _INT), ("type", _TEXT), ("field", _TEXT), ("name", _TEXT),
+                   ("names", pa.list_(_TEXT)), ("over", _TEXT)])
 ARROW_SCHEMA = pa.schema([
     ("snippet_id", pa.int64()), ("parse_ok", pa.bool_()), ("error_line", _INT),
     ("error_msg", _TEXT), ("node", _INT), ("type", _TEXT), ("field", _TEXT), ("idx", _INT),
     ("line", _INT), ("end_line", _INT), ("name", _TEXT), ("ctx", _TEXT),
     ("ops", pa.list_(_TEXT)), ("names", pa.list_(_TEXT)), ("kids", pa.list_(_KID)),
-    ("sig", _SIG), ("path", pa.list_(_STEP)),
+    ("sig", _SIG), ("uses", pa.list_(_TEXT)), ("path", pa.list_(_STEP)),
 ])
 BATCH = 4096
 # Expressions that get a row of their own; all statements and handlers do.
@@ -127,6 +129,14 @@ def _children(node):
     return out
 
 
+def _step(node, number):
+    """A statement as the nodes below it list it; a loop with its variables and its source."""
+    over = node.iter if isinstance(node, ast.For) else None
+    return {"node": number, "type": type(node).__name__, "name": _name(node),
+            "names": _bound(node) if over else None,
+            "over": over.id if isinstance(over, ast.Name) else None}
+
+
 def _parse(code):
     """Tree, or the line and message of the error."""
     try:
@@ -164,13 +174,13 @@ def node_rows(snippet_id, code):
                 else [type(node.op).__name__] if hasattr(node, "op") else None,
                 "kids": [] if isinstance(node, ast.Module)
                 else [_kid(f, i, c, node) for f, i, c in kids],
+                "uses": sorted({n.id for n in ast.walk(node.value) if isinstance(n, ast.Name)})
+                if isinstance(node, ast.Assign) else None,
                 "path": path,
             }
+        step = _step(node, number) if is_block else None
         for kid_field, kid_idx, kid in kids:
-            below = path
-            if is_block:
-                below = path + [{"node": number, "type": type(node).__name__,
-                                 "field": kid_field, "name": _name(node)}]
+            below = path + [{**step, "field": kid_field}] if step else path
             queue.append((kid, kid_field, kid_idx, below))
         number += 1
 

@@ -81,13 +81,14 @@ ONES = [("int", "1"), ("float", "1.0"), ("complex", "(1+0j)"), ("bool", "True")]
 ENTRY = "struct<rule:string,name:string,line:int,fix:string,phase:int,o1:int,o2:int>"
 
 
-def _entry(rule: str, phase: int, *args, line: Column | None = None,
+def _entry(rule: str, phase: int, *args, line: Column | None = None, o1: Column | None = None,
            o2: Column | int = 0) -> Column:
     """An issue found in the row at hand."""
     line = F.col("line") if line is None else line
+    o1 = F.col("node") if o1 is None else o1
     o2 = F.lit(o2) if isinstance(o2, int) else o2
     return F.struct(F.lit(rule.rstrip("ab")), issue_name(rule), line, issue_fix(rule, *args),
-                    F.lit(phase), F.col("node"), o2).cast(ENTRY)
+                    F.lit(phase), o1, o2).cast(ENTRY)
 
 
 def _found(types: list[str], test: Column, entry: Column) -> Column:
@@ -207,11 +208,29 @@ def dead_code_after_break() -> Column:
                                                   stop["line"], line=after["line"]))
 
 
+def shadowed_loop_variables() -> Column:
+    def shared(outer):
+        return F.transform(F.array_intersect(F.col("names"), outer["names"]),
+                           lambda v: _entry("PY-15", 10, v, o1=outer["node"], o2=F.col("node")))
+
+    outer = F.filter("path", lambda p: p["type"] == "For")
+    return F.when(F.col("type") == "For", F.flatten(F.transform(outer, shared)))
+
+
+def mutated_while_iterating() -> Column:
+    func = _kid("func")
+    loop = F.try_element_at(F.filter("path", lambda p: p["over"] == func["base"]), F.lit(1))
+    test = (func["type"] == "Attribute") & func["name"].isin(fixed.MUTATING_METHODS)
+    return _found(["Call"], test & loop.isNotNull(), _entry(
+        "PY-18", 13, func["name"], func["base"], o1=loop["node"], o2=F.col("node")))
+
+
 ROW_RULES = {
     "PY-1": infinite_loops, "PY-2": zero_divisions, "PY-3": input_in_loops, "PY-4": sort_in_loops,
     "PY-5": nested_loops, "PY-10": mutable_defaults, "PY-11": shadowed_builtins,
     "PY-12": none_comparisons, "PY-13": literal_identities, "PY-14": float_equalities,
-    "PY-16": dead_code_after_return, "PY-19": bare_excepts, "PY-21": boolean_comparisons,
+    "PY-15": shadowed_loop_variables, "PY-16": dead_code_after_return,
+    "PY-18": mutated_while_iterating, "PY-19": bare_excepts, "PY-21": boolean_comparisons,
     "PY-22": missing_self, "PY-24": dead_code_after_break,
 }
 
@@ -228,34 +247,58 @@ def row_issues(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 # ---- rules that join -------------------------------------------------------
 
-def function_facts(nodes: DataFrame) -> DataFrame:
-    """What lies below each function: returns, a call of itself, a test."""
+def _below(nodes: DataFrame) -> DataFrame:
+    """What lies below each function and each if: returns, calls of itself, tests."""
     func = _kid("func")
     inner = _of_type(nodes, "Return", "Call", "If").withColumn(
         "called", F.when((F.col("type") == "Call") & (func["type"] == "Name"), func["name"])
     ).withColumn("valued", (F.col("type") == "Return") & _kid("value").isNotNull())
-    below = _above(inner, "FunctionDef", keep=("type", "called", "valued"))
-    return below.groupBy("snippet_id", F.col("up.node").alias("node")).agg(
-        F.max(F.col("type") == "Return").alias("returns"),
-        F.max("valued").alias("returns_value"),
+    is_return, field = F.col("type") == "Return", F.col("up.field")
+    return _above(inner, "FunctionDef", "If", keep=("type", "called", "valued")).groupBy(
+        "snippet_id", F.col("up.node").alias("node")).agg(
+        F.max(is_return).alias("returns"), F.max("valued").alias("returns_value"),
+        F.max(is_return & (field == "body")).alias("body_returns"),
+        F.max(is_return & (field == "orelse")).alias("else_returns"),
         F.max(F.coalesce(F.col("called") == F.col("up.name"), F.lit(False))).alias("calls_self"),
         F.max(F.col("type") == "If").alias("guarded"))
 
 
-def _functions(nodes: DataFrame) -> DataFrame:
-    return _of_type(nodes, "FunctionDef")
+FUNCTION_RULES = ("PY-6", "PY-7", "PY-17")
+
+
+def function_rules(nodes: DataFrame, rules: tuple = FUNCTION_RULES) -> DataFrame:
+    """PY-6, PY-7 and PY-17, which all ask what lies below a function or an if."""
+    around = _around()
+    heads = _of_type(nodes, "FunctionDef", "If").select(
+        "snippet_id", "node", "line", "type",
+        F.when((around["type"] == "FunctionDef") & (around["field"] == "body")
+               & (F.size(_kids("orelse")) > 0), around["node"]).alias("func"))
+    facts = ["returns", "returns_value", "body_returns", "else_returns", "calls_self", "guarded"]
+    heads = heads.join(_below(nodes), ["snippet_id", "node"], "left").fillna(False, facts)
+    functions = heads.filter("type = 'FunctionDef'")
+    parts = []
+    if "PY-6" in rules:
+        parts.append(_issues(functions.filter("not returns"), "PY-6", 2, o2=1))
+    if "PY-7" in rules:
+        parts.append(_issues(functions.filter("calls_self and not guarded"), "PY-7", 2, o2=2))
+    if "PY-17" in rules:
+        valued = functions.filter("returns_value").select("snippet_id", F.col("node").alias("func"))
+        uneven = heads.filter("type = 'If' and func is not null and body_returns <> else_returns")
+        parts.append(_issues(uneven.join(valued, ["snippet_id", "func"], "left_semi"), "PY-17", 12,
+                             o1="func", o2=F.col("node")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def no_returns(nodes: DataFrame) -> DataFrame:
-    returning = function_facts(nodes).filter("returns")
-    return _issues(_functions(nodes).join(returning, ["snippet_id", "node"], "left_anti"),
-                   "PY-6", 2, o2=1)
+    return function_rules(nodes, ("PY-6",))
 
 
 def bare_recursions(nodes: DataFrame) -> DataFrame:
-    found = function_facts(nodes).filter("calls_self and not guarded")
-    return _issues(_functions(nodes).join(found, ["snippet_id", "node"], "left_semi"),
-                   "PY-7", 2, o2=2)
+    return function_rules(nodes, ("PY-7",))
+
+
+def missing_branch_returns(nodes: DataFrame) -> DataFrame:
+    return function_rules(nodes, ("PY-17",))
 
 
 def overwritten_accumulators(nodes: DataFrame) -> DataFrame:
@@ -265,25 +308,19 @@ def overwritten_accumulators(nodes: DataFrame) -> DataFrame:
     assigns = _of_type(nodes, "Assign")
     seeds = assigns.filter(is_seed).select(
         "snippet_id", F.explode("names").alias("target")).distinct()
-    # Names on the right side: their nearest statement is the assignment.
-    around = _around()
-    used = (_of_type(nodes, "Name").filter((around["type"] == "Assign") & (around["field"] == "value"))
-            .groupBy("snippet_id", around["node"].alias("node"))
-            .agg(F.collect_set("name").alias("used")))
-    loops = _of_type(nodes, "For").select(
-        "snippet_id", F.col("node").alias("loop"), F.col("names").alias("vars"))
     rows = (
-        _above(assigns, "For", keep=("names",))
-        .select("snippet_id", "node", "line", F.col("up.node").alias("loop"),
-                F.explode("names").alias("target"))
+        _above(assigns, "For", keep=("names", "uses"))
+        .filter(F.arrays_overlap("up.names", "uses"))
+        .select("snippet_id", "node", "line", "up", "uses", F.explode("names").alias("target"))
+        .filter(~F.array_contains("up.names", F.col("target"))
+                & ~F.array_contains("uses", F.col("target")))
         .join(seeds, ["snippet_id", "target"], "left_semi")
-        .join(used, ["snippet_id", "node"])
-        .join(loops, ["snippet_id", "loop"])
-        .filter(~F.array_contains("vars", F.col("target"))
-                & ~F.array_contains("used", F.col("target"))
-                & F.arrays_overlap("vars", "used"))
     )
-    return _issues(rows, "PY-8", 3, F.col("target"), o1="loop", o2=F.col("node"))
+    return _issues(rows, "PY-8", 3, F.col("target"), o1="up.node", o2=F.col("node"))
+
+
+def _functions(nodes: DataFrame) -> DataFrame:
+    return _of_type(nodes, "FunctionDef")
 
 
 def wrong_argument_counts(nodes: DataFrame) -> DataFrame:
@@ -304,49 +341,6 @@ def wrong_argument_counts(nodes: DataFrame) -> DataFrame:
     return few.unionByName(many)
 
 
-def shadowed_loop_variables(nodes: DataFrame) -> DataFrame:
-    loops = _of_type(nodes, "For")
-    outer = loops.select("snippet_id", F.col("node").alias("outer"), F.col("names").alias("vars"))
-    rows = (_above(loops, "For", keep=("names",))
-            .select("snippet_id", "node", "line", "names", F.col("up.node").alias("outer"))
-            .join(outer, ["snippet_id", "outer"])
-            .select("snippet_id", "outer", "node", "line", F.explode(
-                F.array_intersect("names", "vars")).alias("target")))
-    return _issues(rows, "PY-15", 10, F.col("target"), o1="outer", o2=F.col("node"))
-
-
-def missing_branch_returns(nodes: DataFrame) -> DataFrame:
-    around = _around()
-    valued = function_facts(nodes).filter("returns_value").select(
-        "snippet_id", F.col("node").alias("func"))
-    branches = (_of_type(nodes, "If").filter((around["type"] == "FunctionDef") & (around["field"] == "body")
-                        & (F.size(_kids("orelse")) > 0))
-                .select("snippet_id", "node", "line", around["node"].alias("func"))
-                .join(valued, ["snippet_id", "func"], "left_semi"))
-    returns = (_above(_of_type(nodes, "Return"), "If")
-               .groupBy("snippet_id", F.col("up.node").alias("node"))
-               .agg(F.max(F.col("up.field") == "body").alias("in_body"),
-                    F.max(F.col("up.field") == "orelse").alias("in_else")))
-    rows = branches.join(returns, ["snippet_id", "node"]).filter("in_body <> in_else")
-    return _issues(rows, "PY-17", 12, o1="func", o2=F.col("node"))
-
-
-def mutated_while_iterating(nodes: DataFrame) -> DataFrame:
-    func, it = _kid("func"), _kid("iter")
-    calls = _of_type(nodes, "Call").filter(
-        (func["type"] == "Attribute") & func["base"].isNotNull()
-        & func["name"].isin(fixed.MUTATING_METHODS) & _inside("For")
-    ).withColumn("method", func["name"]).withColumn("base", func["base"])
-    loops = _of_type(nodes, "For").filter(it["type"] == "Name").select(
-        "snippet_id", F.col("node").alias("loop"), it["name"].alias("base"))
-    rows = (_above(calls, "For", keep=("method", "base"))
-            .select("snippet_id", "node", "line", "method", "base",
-                    F.col("up.node").alias("loop"))
-            .join(loops, ["snippet_id", "loop", "base"]))
-    return _issues(rows, "PY-18", 13, F.col("method"), F.col("base"), o1="loop",
-                   o2=F.col("node"))
-
-
 def returns_in_finally(nodes: DataFrame) -> DataFrame:
     rows = (_above(_of_type(nodes, "Return"), "Try").filter("up.field = 'finalbody'")
             .groupBy("snippet_id", F.col("up.node").alias("try"))
@@ -414,10 +408,8 @@ def none_dereferences(nodes: DataFrame) -> DataFrame:
 
 JOIN_RULES = {
     "PY-6": no_returns, "PY-7": bare_recursions, "PY-8": overwritten_accumulators,
-    "PY-9": wrong_argument_counts, "PY-15": shadowed_loop_variables,
-    "PY-17": missing_branch_returns, "PY-18": mutated_while_iterating,
-    "PY-20": returns_in_finally, "PY-23": missing_globals, "PY-25": unused_variables,
-    "PY-26": none_dereferences,
+    "PY-9": wrong_argument_counts, "PY-17": missing_branch_returns, "PY-20": returns_in_finally,
+    "PY-23": missing_globals, "PY-25": unused_variables, "PY-26": none_dereferences,
 }
 PYTHON_RULES = {rule: {**ROW_RULES, **JOIN_RULES}[rule] for rule in (
     f"PY-{i}" for i in range(1, 27))}
@@ -430,5 +422,5 @@ def rule_issues(nodes: DataFrame, rule: str) -> DataFrame:
 
 def python_issues(nodes: DataFrame) -> DataFrame:
     """All Python rules but the loop count rule, which needs the features."""
-    return reduce(DataFrame.unionByName,
-                  [row_issues(nodes), *[rule(nodes) for rule in JOIN_RULES.values()]])
+    joined = [fn(nodes) for rule, fn in JOIN_RULES.items() if rule not in FUNCTION_RULES]
+    return reduce(DataFrame.unionByName, [row_issues(nodes), function_rules(nodes), *joined])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from reviewlake.functions.text import contains_any, issue_fix, issue_name, looku
 
 
 def distinct_issues(issues: DataFrame) -> DataFrame:
-    """One row per ``(snippet, name, line, fix)``, at its first place in report order."""
-    first = F.min(F.struct("phase", "o1", "o2", "rule"))
-    return (issues.groupBy("snippet_id", "name", "line", "fix").agg(first.alias("first"))
-            .select("snippet_id", "first.rule", "name", "line", "fix", "first.phase", "first.o1",
-                    "first.o2"))
+    """One row per ``(snippet, name, line, fix)``, with ``place``: its first in report order."""
+    # One number keeps the aggregate a hash aggregate; a struct would make it sort.
+    place = (F.col("phase") * F.lit(Decimal(10 ** 20)) + F.col("o1") * F.lit(Decimal(10 ** 10))
+             + F.col("o2"))
+    return issues.groupBy("snippet_id", "name", "line", "fix").agg(
+        F.min(place.cast("decimal(38,0)")).alias("place"))
 
 
 def complexity_issues(features: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def rank_of(name: Column) -> Column:
 def rank_issues(issues: DataFrame) -> DataFrame:
     """``position``: 1-based place by (rank, line), ties in report order."""
     ranked = issues.withColumn("rank", rank_of(F.col("name")))
-    order = Window.partitionBy("snippet_id").orderBy("rank", "line", "phase", "o1", "o2", "fix")
+    order = Window.partitionBy("snippet_id").orderBy("rank", "line", "place", "fix")
     return ranked.withColumn("position", F.row_number().over(order))
 
 

@@ -77,8 +77,7 @@ class ReviewTables:
 
     def results(self, probabilities: DataFrame | None = None) -> DataFrame:
         """One row per snippet. ``probabilities``: ``snippet_id, probability, threshold``."""
-        entry = F.struct(scoring.rank_of(F.col("name")).alias("rank"), "line", "phase", "o1", "o2",
-                         "fix", "name")
+        entry = F.struct(scoring.rank_of(F.col("name")).alias("rank"), "line", "place", "fix", "name")
         per = self.issues.groupBy("snippet_id").agg(
             F.array_sort(F.collect_list(entry)).alias("sorted"))
         joined = (

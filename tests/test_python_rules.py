@@ -5,14 +5,12 @@ from reviewlake.operators import features
 from reviewlake.operators.nodes import node_rows, node_table, parse_status
 from reviewlake.operators.rules_python import python_issues
 from reviewlake.plans.corpus import TEMPLATES
-from reviewlake.operators.scoring import distinct_issues
 from tests.conftest import code_frame
 
 
 def _issues(spark, codes):
     out = [set() for _ in codes]
-    rows = distinct_issues(python_issues(node_table(code_frame(spark, codes, "python"))))
-    for r in rows.collect():
+    for r in python_issues(node_table(code_frame(spark, codes, "python"))).collect():
         out[r.snippet_id].add((r.rule, r.line))
     return out
 

@@ -43,16 +43,16 @@ def test_distinct_keeps_the_first_place(spark):
     rows = [(1, "A", "n", 3, "f", 2, 5, 0), (1, "B", "n", 3, "f", 1, 9, 0), (1, "A", "n", 3, "g", 1, 1, 0)]
     frame = spark.createDataFrame(rows, "snippet_id long, rule string, name string, line int, "
                                         "fix string, phase int, o1 int, o2 int")
-    got = sorted((r.rule, r.fix, r.phase) for r in scoring.distinct_issues(frame).collect())
-    assert got == [("A", "g", 1), ("B", "f", 1)]
+    got = sorted((r.fix, int(r.place)) for r in scoring.distinct_issues(frame).collect())
+    assert got == [("f", 10 ** 20 + 9 * 10 ** 10), ("g", 10 ** 20 + 10 ** 10)]
 
 
 def test_ranking_keeps_report_order_in_ties(spark):
     rows = [("Unused variable", 1, 1), ("Division by zero", 9, 2), ("Bare except clause", 1, 0),
             ("Possible memory leak", 0, 3), ("Possible missing semicolon", 9, 1)]
     frame = spark.createDataFrame(
-        [(1, n, line, "f", 0, o, 0) for n, line, o in rows],
-        "snippet_id long, name string, line int, fix string, phase int, o1 int, o2 int")
+        [(1, n, line, "f", o) for n, line, o in rows],
+        "snippet_id long, name string, line int, fix string, place int")
     got = [r.name for r in scoring.rank_issues(frame).orderBy("position").collect()]
     assert got == ["Possible missing semicolon", "Division by zero", "Possible memory leak",
                    "Bare except clause", "Unused variable"]
