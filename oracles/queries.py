@@ -497,6 +497,19 @@ SELECT c.review_language, class, count(*) FILTER (label = class)::BIGINT AS supp
   round(2 * count(*) FILTER (label = class AND predicted = class)
     / (count(*) FILTER (label = class) + count(*) FILTER (predicted = class)), 6) AS f1
 FROM cls c JOIN pd USING (review_language) GROUP BY 1, 2""")
+SQL["ml_9c_report_summary"] = SQL["ml_9b_class_report"].replace(
+    "SELECT c.review_language, class,", ",\nrp AS (SELECT c.review_language, class,").replace(
+    ", 6) AS", ", 20) AS") + """),
+mw AS (
+  SELECT review_language, sum(support)::BIGINT AS support,
+    avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+    sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
+    sum(f1 * support) / sum(support) AS wf FROM rp GROUP BY 1)
+SELECT review_language, 'accuracy' AS class, round(wr, 6) AS precision, round(wr, 6) AS recall,
+  round(wr, 6) AS f1, support FROM mw
+UNION ALL SELECT review_language, 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), support FROM mw
+UNION ALL SELECT review_language, 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), support
+FROM mw"""
 SQL["ml_10_issue_dataset"] = sql(base.RESULTS + """,
 kc AS (SELECT first_name, row_number() OVER (ORDER BY first_name) - 1 AS label
        FROM rs GROUP BY first_name HAVING count(*) >= 2)""", """

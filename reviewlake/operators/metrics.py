@@ -162,6 +162,26 @@ def class_report(predictions: DataFrame, label: str, predicted: str,
                       _ratio(hit * 2.0, claimed + support).alias("f1"), "support")
 
 
+def report_summary(report: DataFrame, groups: tuple = ()) -> DataFrame:
+    """Accuracy, and the plain and support-weighted means of a class report."""
+    n = F.sum("support")
+    means = {c: (F.avg(c), F.sum(F.col(c) * F.col("support")) / n)
+             for c in ("precision", "recall", "f1")}
+
+    def row(name, values):
+        return F.struct(F.lit(name).alias("class"), *[v.alias(c) for c, v in values.items()],
+                        F.col("total").alias("support"))
+
+    per = report.groupBy(*groups).agg(
+        n.alias("total"), *[v.alias(f"{c}_{i}") for c, m in means.items() for i, v in enumerate(m)])
+    # Each row is in its class as often as its class is hit: accuracy is weighted recall.
+    rows = F.array(
+        row("accuracy", {c: F.col("recall_1") for c in means}),
+        row("macro avg", {c: F.col(f"{c}_0") for c in means}),
+        row("weighted avg", {c: F.col(f"{c}_1") for c in means}))
+    return per.select(*groups, F.inline(rows))
+
+
 def predict_flag(n_issues: Column, confidence: Column) -> Column:
     return F.when((n_issues > 0) | (confidence > 40), 1).otherwise(0)
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
 from reviewlake.operators import scoring
-from reviewlake.operators.metrics import binary_metrics, class_report, threshold_sweep
+from reviewlake.operators.metrics import (
+    binary_metrics, class_report, report_summary, threshold_sweep,
+)
 from reviewlake.operators.sampling import (
     class_guard, class_weights, stratified_folds, stratified_split,
 )
@@ -127,7 +129,9 @@ def train_language(rows: DataFrame, language: str, min_class: int,
     measured = binary_metrics(scored_test, ["review_language"]).first()
     report = class_report(
         scored_test.withColumn("predicted", (F.col("probability") >= threshold).cast("int")),
-        "label", "predicted").orderBy("class")
+        "label", "predicted")
+    report = report.withColumn("class", F.col("class").cast("int").cast("string")).unionByName(
+        report_summary(report))
     sizes = split.groupBy("is_test").count().collect()
     meta = {
         "language": language, "n_features": len(fixed.FEATURES),

@@ -38,7 +38,8 @@ def _fixed_text_issues(df: DataFrame, rule: Column, line: Column, phase: Column,
         lookup(rule, {r: ISSUE_TEXTS[r][0] for r in rules}).alias("name"),
         line.cast("int").alias("line"),
         lookup(rule, {r: ISSUE_TEXTS[r][1] for r in rules}).alias("fix"),
-        phase.cast("int").alias("phase"), o1.cast("int").alias("o1"), o2.cast("int").alias("o2"))
+        phase.cast("int").alias("phase"), o1.cast("bigint").alias("o1"),
+        o2.cast("bigint").alias("o2"))
 
 
 def line_issues(facts: DataFrame, rules: list[str] | None = None) -> DataFrame:
@@ -252,8 +253,11 @@ def array_issues(facts: DataFrame) -> DataFrame:
     sizes = (facts.select("snippet_id", "n", F.inline(decls))
              .groupBy("snippet_id", "name")
              .agg(F.max_by("size", at).alias("size"), F.min(at).alias("first")))
-    accesses = facts.select("snippet_id", "review_language", "n", F.inline("accesses"))
-    rows = (accesses.groupBy("snippet_id", "review_language", "n", "name", "idx").count()
+    placed = F.transform("accesses", lambda a, i: F.struct(
+        a["name"].alias("name"), a["idx"].alias("idx"), i.alias("pos")))
+    accesses = facts.select("snippet_id", "review_language", "n", F.inline(placed))
+    rows = (accesses.groupBy("snippet_id", "review_language", "n", "name", "idx")
+            .agg(F.min("pos").alias("pos"))
             .join(sizes, ["snippet_id", "name"])
             .withColumn("i", F.col("idx").try_cast(big)).filter("i >= size"))
     return rows.select(
@@ -261,9 +265,10 @@ def array_issues(facts: DataFrame) -> DataFrame:
         F.col("n").cast("int").alias("line"),
         issue_fix("CJ-27", F.col("name"), F.col("size"), F.col("size") - 1, F.col("i"),
                   lookup(F.col("review_language"), OUT_OF_BOUNDS_KIND)).alias("fix"),
-        F.lit(1).alias("phase"), F.col("n").cast("int").alias("o1"),
-        # Arrays in the order of their first declaration.
-        (F.col("first.n") * 2 + F.col("first.k")).cast("int").alias("o2"),
+        F.lit(1).alias("phase"),
+        # On a line, arrays in the order of their first declaration.
+        (F.col("first.n") * 2 + F.col("first.k")).cast("bigint").alias("o1"),
+        F.col("pos").cast("bigint").alias("o2"),
     )
 
 

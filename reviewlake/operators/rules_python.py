@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
@@ -29,7 +29,7 @@ def _issues(df: DataFrame, rule: str, phase: int, *args, line: Column | str = "l
     return df.select(
         "snippet_id", F.lit(public).alias("rule"), issue_name(rule).alias("name"),
         line.cast("int").alias("line"), issue_fix(rule, *args).alias("fix"),
-        F.lit(phase).alias("phase"), o1.cast("int").alias("o1"), o2.cast("int").alias("o2"))
+        F.lit(phase).alias("phase"), o1.cast("bigint").alias("o1"), o2.cast("bigint").alias("o2"))
 
 
 def _kids(field: str) -> Column:
@@ -78,7 +78,7 @@ ZEROS = [("int", "0"), ("float", "0.0"), ("complex", "0j"), ("bool", "False")]
 ONES = [("int", "1"), ("float", "1.0"), ("complex", "(1+0j)"), ("bool", "True")]
 
 
-ENTRY = "struct<rule:string,name:string,line:int,fix:string,phase:int,o1:int,o2:int>"
+ENTRY = "struct<rule:string,name:string,line:int,fix:string,phase:int,o1:bigint,o2:bigint>"
 
 
 def _entry(rule: str, phase: int, *args, line: Column | None = None, o1: Column | None = None,
@@ -247,6 +247,11 @@ def row_issues(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 # ---- rules that join -------------------------------------------------------
 
+def _nth_target() -> Column:
+    """Order of the targets of one statement, after that of the statements."""
+    return F.col("node").cast("bigint") * 100 + F.least(F.col("nth"), F.lit(99))
+
+
 def _below(nodes: DataFrame) -> DataFrame:
     """What lies below each function and each if: returns, calls of itself, tests."""
     func = _kid("func")
@@ -269,24 +274,31 @@ FUNCTION_RULES = ("PY-6", "PY-7", "PY-17")
 def function_rules(nodes: DataFrame, rules: tuple = FUNCTION_RULES) -> DataFrame:
     """PY-6, PY-7 and PY-17, which all ask what lies below a function or an if."""
     around = _around()
+    is_def = F.col("type") == "FunctionDef"
+    # Functions, and the ifs with an else at the top of a function.
     heads = _of_type(nodes, "FunctionDef", "If").select(
         "snippet_id", "node", "line", "type",
-        F.when((around["type"] == "FunctionDef") & (around["field"] == "body")
-               & (F.size(_kids("orelse")) > 0), around["node"]).alias("func"))
+        F.when(is_def, F.col("node")).when(
+            (around["type"] == "FunctionDef") & (around["field"] == "body")
+            & (F.size(_kids("orelse")) > 0), around["node"]).alias("func"))
     facts = ["returns", "returns_value", "body_returns", "else_returns", "calls_self", "guarded"]
-    heads = heads.join(_below(nodes), ["snippet_id", "node"], "left").fillna(False, facts)
-    functions = heads.filter("type = 'FunctionDef'")
-    parts = []
-    if "PY-6" in rules:
-        parts.append(_issues(functions.filter("not returns"), "PY-6", 2, o2=1))
-    if "PY-7" in rules:
-        parts.append(_issues(functions.filter("calls_self and not guarded"), "PY-7", 2, o2=2))
+    known = (heads.filter("func is not null")
+             .join(_below(nodes), ["snippet_id", "node"], "left").fillna(False, facts))
     if "PY-17" in rules:
-        valued = functions.filter("returns_value").select("snippet_id", F.col("node").alias("func"))
-        uneven = heads.filter("type = 'If' and func is not null and body_returns <> else_returns")
-        parts.append(_issues(uneven.join(valued, ["snippet_id", "func"], "left_semi"), "PY-17", 12,
-                             o1="func", o2=F.col("node")))
-    return reduce(DataFrame.unionByName, parts)
+        known = known.withColumn("func_value", F.max(is_def & F.col("returns_value")).over(
+            Window.partitionBy("snippet_id", "func")))
+    else:
+        known = known.filter(is_def).withColumn("func_value", F.lit(False))
+    found = {
+        "PY-6": F.when(is_def & ~F.col("returns"), _entry("PY-6", 2, o2=1)),
+        "PY-7": F.when(is_def & F.col("calls_self") & ~F.col("guarded"), _entry("PY-7", 2, o2=2)),
+        "PY-17": F.when(~is_def & F.col("func_value")
+                        & (F.col("body_returns") != F.col("else_returns")),
+                        _entry("PY-17", 12, o1=F.col("func"), o2=F.col("node"))),
+    }
+    entries = F.filter(F.array(*[found[r] for r in rules]), lambda e: e.isNotNull())
+    return known.select("snippet_id", F.inline(entries)).select(
+        "snippet_id", "rule", "name", "line", "fix", "phase", "o1", "o2")
 
 
 def no_returns(nodes: DataFrame) -> DataFrame:
@@ -311,12 +323,13 @@ def overwritten_accumulators(nodes: DataFrame) -> DataFrame:
     rows = (
         _above(assigns, "For", keep=("names", "uses"))
         .filter(F.arrays_overlap("up.names", "uses"))
-        .select("snippet_id", "node", "line", "up", "uses", F.explode("names").alias("target"))
+        .select("snippet_id", "node", "line", "up", "uses",
+                F.posexplode("names").alias("nth", "target"))
         .filter(~F.array_contains("up.names", F.col("target"))
                 & ~F.array_contains("uses", F.col("target")))
         .join(seeds, ["snippet_id", "target"], "left_semi")
     )
-    return _issues(rows, "PY-8", 3, F.col("target"), o1="up.node", o2=F.col("node"))
+    return _issues(rows, "PY-8", 3, F.col("target"), o1="up.node", o2=_nth_target())
 
 
 def _functions(nodes: DataFrame) -> DataFrame:
@@ -360,26 +373,27 @@ def missing_globals(nodes: DataFrame) -> DataFrame:
                         F.explode("names").alias("target")))
     assigns = (_above(_of_type(nodes, "Assign"), "FunctionDef", keep=("names",))
                .select("snippet_id", "node", "line", F.col("up.node").alias("func"),
-                       F.col("up.name").alias("func_name"), F.explode("names").alias("target"))
+                       F.col("up.name").alias("func_name"),
+                       F.posexplode("names").alias("nth", "target"))
                .filter("target <> func_name"))
     rows = (assigns.join(module_names, ["snippet_id", "target"], "left_semi")
             .join(declared, ["snippet_id", "func", "target"], "left_anti")
             .groupBy("snippet_id", "func", "func_name", "target")
-            .agg(F.min("node").alias("node"), F.min_by("line", "node").alias("line")))
+            .agg(F.min(_nth_target()).alias("first"), F.min_by("line", "node").alias("line")))
     return _issues(rows, "PY-23", 18, F.col("target"), F.col("func_name"), o1="func",
-                   o2=F.col("node"))
+                   o2=F.col("first"))
 
 
 def unused_variable_rows(nodes: DataFrame) -> DataFrame:
-    """``snippet_id, target, node, line``: names assigned but never read."""
+    """``snippet_id, target, first, line``: names assigned but never read."""
     # An augmented or annotated name is reported where the name stands.
     line = F.when(F.col("type") == "Assign", F.col("line")).otherwise(_kid("target")["line"])
     assigned = (_of_type(nodes, "Assign", "AugAssign", "AnnAssign")
                 .select("snippet_id", "node", line.alias("line"),
-                        F.explode("names").alias("target"))
+                        F.posexplode("names").alias("nth", "target"))
                 .filter(~F.col("target").startswith("_"))
                 .groupBy("snippet_id", "target")
-                .agg(F.min_by("line", "node").alias("line"), F.min("node").alias("node")))
+                .agg(F.min_by("line", "node").alias("line"), F.min(_nth_target()).alias("first")))
     read = F.when((F.col("type") == "Name") & (F.col("ctx") == "Load"), F.array("name")).when(
         F.col("type") == "FunctionDef", F.concat("sig.args", "sig.other"))
     used = _of_type(nodes, "Name", "FunctionDef").select(
@@ -388,7 +402,7 @@ def unused_variable_rows(nodes: DataFrame) -> DataFrame:
 
 
 def unused_variables(nodes: DataFrame) -> DataFrame:
-    return _issues(unused_variable_rows(nodes), "PY-25", 20, F.col("target"))
+    return _issues(unused_variable_rows(nodes), "PY-25", 20, F.col("target"), o1="first")
 
 
 def none_dereferences(nodes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from reviewlake.functions.text import contains_any, issue_fix, issue_name, looku
 def distinct_issues(issues: DataFrame) -> DataFrame:
     """One row per ``(snippet, name, line, fix)``, with ``place``: its first in report order."""
     # One number keeps the aggregate a hash aggregate; a struct would make it sort.
-    place = (F.col("phase") * F.lit(Decimal(10 ** 20)) + F.col("o1") * F.lit(Decimal(10 ** 10))
+    place = (F.col("phase") * F.lit(Decimal(10 ** 25)) + F.col("o1") * F.lit(Decimal(10 ** 12))
              + F.col("o2"))
     return issues.groupBy("snippet_id", "name", "line", "fix").agg(
         F.min(place.cast("decimal(38,0)")).alias("place"))
@@ -27,7 +27,7 @@ def complexity_issues(features: DataFrame) -> DataFrame:
     return features.filter("num_loops >= 3").select(
         "snippet_id", F.lit("CJ-28").alias("rule"), issue_name("CJ-28").alias("name"),
         F.lit(0).alias("line"), issue_fix("CJ-28").alias("fix"), F.lit(99).alias("phase"),
-        F.lit(0).alias("o1"), F.lit(0).alias("o2"))
+        F.lit(0).cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"))
 
 
 def complexity(num_loops: Column) -> Column:

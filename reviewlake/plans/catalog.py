@@ -627,6 +627,14 @@ def ml_9b(spark, sf_dir):
                   "precision", "recall", "f1")
 
 
+@query("ml_9c_report_summary")
+def ml_9c(spark, sf_dir):
+    rows = inputs.scored(spark, sf_dir).withColumn(
+        "predicted", (F.col("probability") >= 0.425).cast("int"))
+    report = metrics.class_report(rows, "label", "predicted", ("review_language",))
+    return _round(metrics.report_summary(report, ("review_language",)), "precision", "recall", "f1")
+
+
 @query("ml_10_issue_dataset")
 def ml_10(spark, sf_dir):
     tables = _tables(spark, sf_dir)

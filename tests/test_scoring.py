@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.numbers import round_half_even
 from reviewlake.operators import scoring
+from reviewlake.plans.review import review
 
 
 def test_rounding_is_exact(spark):
@@ -44,7 +45,7 @@ def test_distinct_keeps_the_first_place(spark):
     frame = spark.createDataFrame(rows, "snippet_id long, rule string, name string, line int, "
                                         "fix string, phase int, o1 int, o2 int")
     got = sorted((r.fix, int(r.place)) for r in scoring.distinct_issues(frame).collect())
-    assert got == [("f", 10 ** 20 + 9 * 10 ** 10), ("g", 10 ** 20 + 10 ** 10)]
+    assert got == [("f", 10 ** 25 + 9 * 10 ** 12), ("g", 10 ** 25 + 10 ** 12)]
 
 
 def test_ranking_keeps_report_order_in_ties(spark):
@@ -96,3 +97,16 @@ def test_scores_and_labels(spark):
         scoring.health_label(F.lit(35.0), F.lit(0)), scoring.app_band(F.lit(75)),
         scoring.panel_band(F.lit(75))).first()
     assert tuple(row) == (51, 10, 99, 20, 67, 10, "risky", "critical", "healthy", "green", "orange")
+
+
+def test_order_within_a_line(spark):
+    """Issues of one rank on one line keep the order in which they are found."""
+    rows = spark.createDataFrame([
+        (0, "int b[2];\nint a[2];\nx = a[9] + b[7] + a[3] + a[9];\n", "cpp", None),
+        (1, "z = y = 1\ndef f():\n    z = y = 2\n    return q\n", "python", None),
+    ], "snippet_id long, code string, language string, filename string")
+    got = {r.snippet_id: [(i.line, i.fix.split("'")[1], i.fix) for i in r.issues]
+           for r in review(rows).collect()}
+    bounds = [(line, name, fix.split("index ")[1].split()[0]) for line, name, fix in got[0]]
+    assert bounds == [(1, "b", "2"), (2, "a", "2"), (3, "b", "7"), (3, "a", "9"), (3, "a", "3")]
+    assert [(line, name) for line, name, _ in got[1]] == [(1, "z"), (1, "y"), (3, "z"), (3, "y")]
