@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import accumulate
 
 from pyspark.sql import functions as F
 
@@ -59,25 +60,19 @@ def _programs(parts, n, size, seed):
 
 
 def _fall_through(code):
-    """Cases that run on, read line by line."""
-    found, depth, base, case, done = [], 0, 0, None, True
+    """Cases whose next event is no break: another case, or the end of the switch."""
+    events, depth, base = [], 0, 0
     for n, line in enumerate(code.split("\n"), 1):
-        line = line.strip()
         depth += line.count("{") - line.count("}")
-        if re.search(fixed.SWITCH_OPEN, line):
-            base = depth
+        base = depth if re.search(fixed.SWITCH_OPEN, line) else base
         if base and depth < base:
-            if not done:
-                found.append(case)
-            base, case, done = 0, None, True
-            continue
-        if base and re.search(fixed.SWITCH_CASE, line):
-            if not done:
-                found.append(case)
-            case, done = n, False
-        if base and re.search(fixed.SWITCH_BREAK, line):
-            done = True
-    return sorted(set(found))
+            events.append((n, "end"))
+            base = 0
+        elif base:
+            events += [(n, "case")] if re.search(fixed.SWITCH_CASE, line) else []
+            events += [(n, "stop")] if re.search(fixed.SWITCH_BREAK, line) else []
+    return [n for (n, kind), (_, then) in zip(events, events[1:])
+            if kind == "case" and then != "stop"]
 
 
 def test_missing_break(spark):
@@ -93,40 +88,36 @@ def test_missing_break(spark):
 
 
 def _function_findings(code):
-    """Open functions kept on a list, innermost last."""
-    found, depth, waiting, running = set(), 0, None, []
-
-    def close(level):
-        while running and level < running[-1]["body"]:
-            f = running.pop()
-            if not f["returns"]:
-                found.add(("CJ-25", f["line"]))
-            if f["self"] and not f["guard"]:
-                found.add(("CJ-26", f["line"]))
-
-    for n, line in enumerate(code.split("\n"), 1):
-        line = line.strip()
-        if not line:
-            continue
-        now = max(0, depth - (len(line) - len(line.lstrip("}"))))
-        close(now)
-        for f in running:
-            f["returns"] |= bool(re.search(fixed.RETURN_WORD, line))
-            f["guard"] |= bool(re.search(fixed.GUARD_WORD, line))
-            f["self"] |= bool(re.search(rf"\b{f['name']}\s*\(", line))
-        if waiting and "{" in line:
-            running.append({**waiting, "body": now + 1})
-            waiting = None
-        sig = re.match(fixed.SIGNATURE, line)
-        if sig and sig.group(1) != "void":
-            f = {"name": sig.group(2), "line": n, "returns": False, "guard": False, "self": False}
-            if sig.group(3):
-                running.append({**f, "body": now + 1})
-            else:
-                waiting = f
-        depth += line.count("{") - line.count("}")
-        close(depth)
-    close(-10 ** 9)
+    """Each function on its own: where it opens, where it ends, what lies between."""
+    lines = [(n, x.strip()) for n, x in enumerate(code.split("\n"), 1) if x.strip()]
+    after = list(accumulate(x.count("{") - x.count("}") for _, x in lines))
+    at_start = [max(0, b - (len(x) - len(x.lstrip("}"))))
+                for b, (_, x) in zip([0, *after], lines)]
+    signatures = {k: m for k, (_, x) in enumerate(lines)
+                  if (m := re.match(fixed.SIGNATURE, x)) and m.group(1) != "void"}
+    found = set()
+    for k, sig in signatures.items():
+        opening = k
+        if not sig.group(3):
+            opening = next((j for j in range(k + 1, len(lines)) if "{" in lines[j][1]), None)
+            if opening is None or any(
+                    j in signatures and not signatures[j].group(3) for j in range(k + 1, opening)):
+                continue
+        body = at_start[opening] + 1
+        inside = []
+        if after[opening] >= body:
+            for j in range(opening + 1, len(lines)):
+                if at_start[j] < body:
+                    break
+                inside.append(lines[j][1])
+                if after[j] < body:
+                    break
+        text = "\n".join(inside)
+        if not re.search(fixed.RETURN_WORD, text):
+            found.add(("CJ-25", lines[k][0]))
+        calls = any(re.search(rf"\b{sig.group(2)}\s*\(", x) for x in inside)
+        if calls and not re.search(fixed.GUARD_WORD, text):
+            found.add(("CJ-26", lines[k][0]))
     return found
 
 
@@ -142,31 +133,26 @@ def test_function_ends(spark):
         assert got.get(i, set()) == _function_findings(code), code
 
 
+def _length(lines):
+    """Lines up to where the braces of a function opened here are closed."""
+    sums = accumulate(x.count("{") - x.count("}") for x in lines)
+    first = next((k for k, x in enumerate(lines) if "{" in x), None)
+    return next((k + 1 for k, total in enumerate(sums)
+                 if first is not None and k >= first and total <= 0), None)
+
+
 def _lengths(code):
-    """Function lengths, reading on after each one that closes."""
-    lines, out, i = code.splitlines(), [], 0
-    decl = re.compile(fixed.DECLARATION, re.M)
-    while i < len(lines):
-        step = 1
-        if decl.match(lines[i]):
-            total, opened = 0, False
-            for j in range(i, len(lines)):
-                total += lines[j].count("{") - lines[j].count("}")
-                opened |= "{" in lines[j]
-                if opened and total <= 0:
-                    out.append(j - i + 1)
-                    step = j - i + 1
-                    break
-        i += step
+    lines, out = code.splitlines(), []
+    while lines:
+        n = _length(lines) if re.match(fixed.DECLARATION, lines[0], re.M) else None
+        out += [n] if n else []
+        lines = lines[n or 1:]
     return out
 
 
 def _depth(code):
-    now = most = 0
-    for ch in code:
-        now = now + 1 if ch == "{" else max(0, now - 1) if ch == "}" else now
-        most = max(most, now)
-    return most
+    heights = list(accumulate([0] + [1 if c == "{" else -1 for c in code if c in "{}"]))
+    return max(h - low for h, low in zip(heights, accumulate(heights, min)))
 
 
 def test_function_lengths_and_depth(spark):

@@ -89,6 +89,32 @@ def test_hot_copies_collapse_before_the_shuffle(spark):
     assert back.filter("rep = 0").count() == 10000
 
 
+def test_hot_text_is_split_in_the_join_back(spark):
+    """One text in a third of all rows: its partition is cut and joined in parts."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 300000, 1, 8).select(
+            F.col("id").alias("snippet_id"), F.lit("python").alias("review_language"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("code"))
+        per_code = staged(rows.groupBy(F.sha2("code", 256).alias("code_hash"), "review_language")
+                          .agg(F.min("snippet_id").alias("rep")), "per-code")
+        joined = join_by_code(rows, per_code)
+        out = joined.collect()
+        assert len(out) == 300000 and sum(r.rep == 0 for r in out) == 100000
+        assert "skew=true" in plan(joined)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_one_user_with_a_third_of_all_reviews(spark):
     rows = spark.range(30000).select(
         F.col("id").alias("review_id"),
