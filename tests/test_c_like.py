@@ -2,7 +2,9 @@
 
 import random
 import re
+import sysconfig
 from itertools import accumulate
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -213,3 +215,24 @@ def test_missing_semicolons_exempt_control_and_labels(spark):
     assert _lines(issues, "CJ-7") == [(0, 3), (0, 7), (0, 8)]
     assert _lines(issues, "CJ-6") == [(0, 7)]
     assert _lines(issues, "CJ-8") == [(0, 8)]
+
+
+def test_real_texts(spark):
+    """The same checks on whole files of the standard library, read as C++."""
+    folder = Path(sysconfig.get_paths()["stdlib"])
+    raw = [p.read_text(encoding="utf-8") for p in sorted((folder / "email").glob("*.py"))]
+    raw += [p.read_text(encoding="utf-8") for p in sorted(folder.glob("t*.py"))]
+    got = {r.snippet_id: (r.error_line, r.error_msg)
+           for r in c_like_syntax(code_frame(spark, raw)).collect()}
+    assert [got.get(i) for i in range(len(raw))] == [_syntax(c) for c in raw]
+    no_comments = [re.sub("//.*", "", re.sub(r"/\*.*?\*/", "", c, flags=re.S)) for c in raw]
+    lines = ["\n".join(c.splitlines()) for c in no_comments]
+    facts = _facts(spark, raw)
+    functions, cases = {}, {}
+    for r in rules_clike.function_issues(facts).collect():
+        functions.setdefault(r.snippet_id, set()).add((r.rule, r.line))
+    for r in rules_clike.switch_issues(facts).collect():
+        cases.setdefault(r.snippet_id, []).append(r.line)
+    for i, code in enumerate(lines):
+        assert functions.get(i, set()) == _function_findings(code)
+        assert sorted(cases.get(i, [])) == _fall_through(code)
