@@ -43,6 +43,24 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_of_documents(table(spark, folder, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.pieces import token_digests
+
+    return token_digests(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.topk import nearest_vectors
+
+    return nearest_vectors(table(spark, folder, "embeddings"))
+
+
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.fingerprints import fingerprints_and_edits
+
+    return fingerprints_and_edits(table(spark, folder, "documents"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op")}
 
 SQL: dict[str, str] = {}
