@@ -43,6 +43,12 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_of_documents(table(spark, folder, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.urls import judge_pages
+
+    return judge_pages(table(spark, folder, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from reviewlake.llm.pieces import token_digests
 
