@@ -31,6 +31,12 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         "slot", "place", "in_mix")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.toxicity import toxicity_of_documents
+
+    return toxicity_of_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from reviewlake.llm.token_counts import count_tokens
 
