@@ -37,6 +37,12 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_of_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.jaccard import linked_documents
+
+    return linked_documents(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from reviewlake.llm.token_counts import count_tokens
 
