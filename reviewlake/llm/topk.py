@@ -21,38 +21,42 @@ QUERIES = 256
 
 
 class SortedLists:
-    """The lists of a block of candidates: for each component the order of its values, and each candidate's place."""
+    """The lists of a block of candidates: for each component its values in order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(len(ids))[:, None], axis=0)
-        self.sorted = np.take_along_axis(self.vectors, self.order, axis=0)
+        self.largest = int(np.abs(self.vectors).max(initial=0))
+        # One row for each list; 32 bits where they are enough.
+        self.lists = np.ascontiguousarray(self.vectors.T)
+        self.sorted = np.sort(self.lists, axis=1)
+        if self.largest < 1 << 30:
+            self.lists, self.sorted = self.lists.astype(np.int32), self.sorted.astype(np.int32)
 
     def top(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates but ``own``, ties to the smaller id."""
         n = len(self.ids)
         alive = np.flatnonzero(self.ids != own) if own is not None else np.arange(n)
-        lists = np.flatnonzero(query)
-        down = query[lists] > 0
-        weight = query[lists]
-        # What the last entry of each list contributes: the least that an unread one can.
-        least = weight * np.where(down, self.sorted[0, lists], self.sorted[-1, lists]) if n else weight
-        depth = max(16, n // 64)
-        while len(alive) > 2 * k and depth < n:
-            # Places from the good end; one that is below `depth` has been read.
-            place = self.place[np.ix_(alive, lists)]
-            read = np.where(down, n - 1 - place, place) < depth
-            product = self.vectors[np.ix_(alive, lists)] * weight
-            front = weight * np.where(down, self.sorted[n - depth, lists], self.sorted[depth - 1, lists])
-            low = np.where(read, product, least).sum(axis=1)
-            high = np.where(read, product, front).sum(axis=1)
-            bar = np.partition(low, len(low) - k)[len(low) - k]
-            # An equal bound may still win by its id.
-            alive = alive[high >= bar]
-            depth *= 2
+        used = query != 0
+        if n > 4 * k and used.any():
+            # Sums of products stay within 32 bits as long as this holds.
+            kind = self.lists.dtype if self.largest * int(np.abs(query).sum()) < 1 << 31 else np.int64
+            lists, ordered = (self.lists, self.sorted) if used.all() else (self.lists[used], self.sorted[used])
+            weight = query[used].astype(kind)[:, None]
+            product = lists * weight
+            down = weight[:, 0] > 0
+            # The last entry of each list is the least that an unread one can contribute.
+            least = np.where(down, ordered[:, 0], ordered[:, -1])[:, None] * weight
+            depth = n // 4
+            while depth < n and len(alive) > 4 * k:
+                # The last entries read; everything that contributes as much has been read.
+                front = np.where(down, ordered[:, n - depth], ordered[:, depth - 1])[:, None] * weight
+                high = np.maximum(product, front).sum(axis=0, dtype=kind)[alive]
+                low = np.where(product >= front, product, least).sum(axis=0, dtype=kind)[alive]
+                bar = np.partition(low, len(low) - k)[len(low) - k]
+                # An equal bound may still win by its id.
+                alive = alive[high >= bar]
+                depth *= 2
         score = self.vectors[alive] @ query
         best = np.lexsort((self.ids[alive], -score))[:k]
         return self.ids[alive][best], score[best]
