@@ -245,7 +245,7 @@ class Encoder:
         return ids, ends + 2 * np.arange(1, len(texts) + 1)
 
 
-def digest_step(path: str, columns: tuple[str, ...]):
+def digest_step(path: str, columns: tuple[str, ...], with_ids: bool):
     encoder = Encoder(path)
 
     def step(batch: pa.RecordBatch):
@@ -255,22 +255,24 @@ def digest_step(path: str, columns: tuple[str, ...]):
         begins = np.r_[0, ends[:-1]]
         raw = ids.astype("<u4")
         shas = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(begins, ends, strict=True)]
+        more = [pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), ids)] if with_ids else []
         return [*[batch.column(c) for c in columns], ends - begins, shas,
-                [hashlib.sha256(t).hexdigest() for t in decoded]]
+                [hashlib.sha256(t).hexdigest() for t in decoded], *more]
 
     return step
 
 
-def token_digests(documents: DataFrame, path: str, columns: str = "doc_id long") -> DataFrame:
-    """``columns`` of each document with the number of ids of its whole text, and digests of the ids and of their decoding.
+def token_digests(documents: DataFrame, path: str, columns: str = "doc_id long", with_ids: bool = False) -> DataFrame:
+    """``columns`` of each document with the number of ids of its whole text, and digests of the ids and of their decoding;
+    ``with_ids`` adds the ids themselves.
 
     ``path``: a model file that every executor has. A null text counts as an empty one: begin and end id, nothing decoded.
     Repeated rows give equal rows, a null doc_id stays null; other columns are not looked at.
     """
     names = tuple(part.split()[0] for part in columns.split(", "))
     return map_blocks(documents.select(*dict.fromkeys((*names, "text"))),
-                      f"{columns}, n_tokens long, ids_sha256 string, decoded_sha256 string", digest_step, path, names,
-                      block=BLOCK)
+                      f"{columns}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                      + ", ids array<int>" * with_ids, digest_step, path, names, with_ids, block=BLOCK)
 
 
 def encode_step(path: str):
