@@ -16,8 +16,7 @@ QUICK = ["cl_5_resolve_review_language", "cl_9_bug_risk_label", "sx_1_c_like_syn
 def test_checks_belong_to_queries():
     queries, checks = entry_module.queries(), entry_module.oracle_sql()
     assert set(checks) <= set(queries)
-    more = entry_module.llm()
-    queries = {k: v for k, v in queries.items() if more is None or k not in more.QUERIES}
+    queries = {k: v for k, v in queries.items() if k not in entry_module.llm()[0]}
     assert set(queries) - set(checks) == {
         "io_9_model_package", "ml_4_tuned_forest", "ml_5_sigmoid_calibration",
         "ml_7_per_language_train", "ml_8_batch_score", "ml_11_issue_classifier",
