@@ -13,10 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from reviewlake.llm.shared import WordTable, keep, map_blocks, partitions
+from reviewlake.llm.shared import WordTable, cut, keep, literal_table, map_blocks, partitions
 
 SAMPLES = 64
 BLOCK = 1 << 20
@@ -119,8 +121,9 @@ class Sampler:
         return out
 
 
-def as_hex(prints: np.ndarray) -> list[str]:
-    return [row.astype(">u4").tobytes().hex() for row in prints]
+def as_bytes(prints: np.ndarray) -> list[bytes]:
+    """Four bytes for each sample, highest first."""
+    return [row.tobytes() for row in prints.astype(">u4")]
 
 
 def print_step(samples: int):
@@ -128,7 +131,7 @@ def print_step(samples: int):
 
     def step(batch: pa.RecordBatch):
         return [batch.column("doc_id"),
-                as_hex(sampler.fingerprints([t or "" for t in batch.column("text").to_pylist()]))]
+                [p.hex() for p in as_bytes(sampler.fingerprints([t or "" for t in batch.column("text").to_pylist()]))]]
 
     return step
 
@@ -139,55 +142,77 @@ def fingerprint(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
                       block=BLOCK)
 
 
-def likeness(a: str, b: str, samples: int = SAMPLES):
-    """The share of samples in which two columns of fingerprints agree."""
-    same = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.when(
-        F.col(a).substr(i * 8 + 1, F.lit(8)) == F.col(b).substr(i * 8 + 1, F.lit(8)), 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda x, y: x + y) / float(samples)
+class Edits:
+    """Edited texts and fingerprints of rows in descending order of doc_id: a row's next document has come before it."""
 
+    def __init__(self, samples: int):
+        self.sampler = Sampler(samples)
+        self.key = None
+        # Text and fingerprint of the first row of the present doc_id, and of the doc_id before.
+        self.present: tuple[str, np.ndarray] | None = None
+        self.next: tuple[str, np.ndarray] | None = None
 
-def neighbours(documents: DataFrame) -> DataFrame:
-    """``doc_id, n, text_hash, next_id, previous_id``: each distinct doc_id with its neighbours in ascending order.
-
-    After the last comes the first. Ranges between quantiles make the order the work of many tasks; only the first and
-    last ids of ranges, as many as there are partitions, come to the driver. A null doc_id comes before all others.
-    """
-    spark = documents.sparkSession
-    ids = keep(documents.groupBy("doc_id").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("n"),
-                                               F.min(F.xxhash64("text")).alias("text_hash")))
-    parts = max(2, partitions(spark))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + F.when(F.col("doc_id") > c, 1).otherwise(0)
-    parted = ids.withColumn("part", part)
-    edges = sorted(((r.part, r.first, r.last) for r in parted.groupBy("part").agg(
-        F.min_by("doc_id", F.struct("doc_id")).alias("first"), F.max_by("doc_id", F.struct("doc_id")).alias("last"))
-        .collect()), key=lambda r: r[0])
-    order = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"))
-    after, before = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for i, (p, _, _) in enumerate(edges):
-        after = F.when(F.col("part") == p, F.lit(edges[(i + 1) % len(edges)][1]).cast("long")).otherwise(after)
-        before = F.when(F.col("part") == p, F.lit(edges[i - 1][2]).cast("long")).otherwise(before)
-    place, size = F.row_number().over(order), F.count("*").over(Window.partitionBy("part"))
-    return (parted.withColumn("place", place).withColumn("size", size)
-            .withColumn("next_id", F.when(F.col("place") == F.col("size"), after)
-                        .otherwise(F.lead("doc_id").over(order)))
-            .withColumn("previous_id", F.when(F.col("place") == 1, before).otherwise(F.lag("doc_id").over(order)))
-            .drop("part", "place", "size"))
-
-
-def edit_step(samples: int):
-    sampler = Sampler(samples)
+    def columns(self, texts: list[str], heads: list[str], prints: np.ndarray, next_prints: np.ndarray) -> list[list]:
+        edited = [t[:len(t) - len(t) // 4] + h[:len(t) // 4] for t, h in zip(texts, heads, strict=True)]
+        other = self.sampler.fingerprints(edited)
+        return [[len(t) for t in texts],
+                [hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest() for e in edited],
+                as_bytes(prints), as_bytes(other), (prints == other).mean(axis=1).tolist(),
+                (prints == next_prints).mean(axis=1).tolist()]
+
+    def block(self, keys: list[int], texts: list[str]) -> tuple[list[int], list[list]]:
+        """The rows whose next document is known, and their columns; the others are the first doc_id of the partition."""
+        prints = self.sampler.fingerprints(texts)
+        known, heads, next_prints = [], [], []
+        for i, key in enumerate(keys):
+            if key != self.key:
+                self.key, self.next, self.present = key, self.present, (texts[i], prints[i].copy())
+            if self.next is not None:
+                known.append(i)
+                heads.append(self.next[0])
+                next_prints.append(self.next[1])
+        if not known:
+            return known, []
+        return known, self.columns([texts[i] for i in known], heads, prints[known], np.stack(next_prints))
+
+
+DONE, WAITS, LAST = 0, 1, 2
+RESULT = ("n_chars long, edited binary, fingerprint binary, edited_fingerprint binary, near_edited double, "
+          "near_next double")
+
+
+def edit_partitions(batches, samples: int, fields: pa.Schema):
+    """Rows of one range of doc_ids, in descending order: results, rows that wait for the range before, and the last document."""
+    from pyspark import TaskContext
+
+    edits, part = Edits(samples), TaskContext.get().partitionId()
+
+    def rows(kind, ids, texts, columns):
+        n = len(ids)
+        columns = columns or [[None] * n] * 6
+        data = [[kind] * n, [part] * n, ids, texts or [None] * n, *columns]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(data, fields, strict=True)], schema=fields)
+
+    for batch in batches:
+        for piece in cut(batch, "text", BLOCK):
+            ids, texts = piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()
+            known, columns = edits.block(piece.column("key").to_pylist(), texts)
+            if known:
+                yield rows(DONE, [ids[i] for i in known], None, columns)
+            if len(known) < len(ids):
+                waits = sorted(set(range(len(ids))) - set(known))
+                yield rows(WAITS, [ids[i] for i in waits], [texts[i] for i in waits], None)
+    if edits.present is not None:
+        yield rows(LAST, [edits.key], [edits.present[0]], None)
+
+
+def finish_step(samples: int):
+    edits = Edits(samples)
 
     def step(batch: pa.RecordBatch):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        heads = [h or "" for h in batch.column("head").to_pylist()]
-        edited = [t[:len(t) - len(t) // 4] + h[:len(t) // 4] for t, h in zip(texts, heads, strict=True)]
-        own, other = sampler.fingerprints(texts), sampler.fingerprints(edited)
-        return [batch.column("doc_id"), batch.column("next_id"), batch.column("is_first"), [len(t) for t in texts],
-                [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], as_hex(own), as_hex(other),
-                (own == other).mean(axis=1)]
+        texts, heads = batch.column("text").to_pylist(), batch.column("head").to_pylist()
+        own, following = edits.sampler.fingerprints(texts), edits.sampler.fingerprints(heads)
+        return [batch.column("doc_id"), *edits.columns(texts, heads, own, following)]
 
     return step
 
@@ -197,31 +222,29 @@ def fingerprints_and_edits(documents: DataFrame, samples: int = SAMPLES) -> Data
 
     The edited text has its last quarter (rounded down) of code points replaced by the first as many, or all, of the next
     document's, in ascending order of doc_id; the last one's next is the first, a single one's it itself. A null text is an
-    empty one. Rows that repeat a doc_id all have the same next one, the following doc_id; of its own rows the next
-    document is the one with the least hash of its text. A null doc_id comes before all others. Two texts without words
-    are alike (1.0). Other columns are not looked at.
+    empty one. A null doc_id counts as the least number. Rows that repeat a doc_id all have the same next one, the following
+    doc_id; of its rows the next document is the one with the greatest hash of its text. Two texts without words are alike
+    (1.0). Other columns are not looked at.
+
+    Texts are dealt out once, by ranges of doc_id. Only the first doc_id of each range needs the range before.
     """
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = keep(neighbours(texts))
-    # Both joins below read one and the same exchange of the texts.
-    spread = texts.repartition(partitions(documents.sparkSession), "doc_id")
-    need = ids.select(F.col("doc_id").alias("before_id"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    own = (ids.select(F.col("doc_id").alias("id"), "text_hash", "previous_id")
-           .join(need, F.col("previous_id").eqNullSafe(F.col("before_id"))))
-    head = (spread.join(own, spread["doc_id"].eqNullSafe(own["id"]))
-            .filter(F.xxhash64("text") == F.col("text_hash"))
-            .select(F.col("previous_id").alias("of_id"), F.expr("substring(text, 1, need)").alias("head"))
-            .dropDuplicates(["of_id"]))
-    narrow = ids.select(F.col("doc_id").alias("id"), "next_id", "text_hash")
-    rows = (spread.join(head, spread["doc_id"].eqNullSafe(head["of_id"]))
-            .join(narrow, spread["doc_id"].eqNullSafe(narrow["id"]))
-            .select("doc_id", "text", "head", "next_id", (F.xxhash64("text") == F.col("text_hash")).alias("is_first")))
-    done = keep(map_blocks(
-        rows, "doc_id long, next_id long, is_first boolean, n_chars long, edited_sha256 string, fingerprint string, "
-        "edited_fingerprint string, near_edited double", edit_step, samples, block=BLOCK))
-    following = (done.filter("is_first").select(F.col("doc_id").alias("following_id"),
-                                                F.col("fingerprint").alias("next_fingerprint"))
-                 .dropDuplicates(["following_id"]))
-    return (done.join(following, F.col("next_id").eqNullSafe(F.col("following_id")))
-            .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-                    likeness("fingerprint", "next_fingerprint", samples).alias("near_next")))
+    spark = documents.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("key"))
+    order = [F.desc("key"), F.desc(F.xxhash64("text"))]
+    schema = f"kind int, part int, doc_id long, text string, {RESULT}"
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    ranges = rows.repartitionByRange(partitions(spark), F.desc("key")).sortWithinPartitions(*order)
+    found = keep(ranges.mapInArrow(lambda batches: edit_partitions(batches, samples, fields), schema))
+    # One row for each range that has documents.
+    parts = sorted(r.part for r in found.filter(F.col("kind") == LAST).select("part").collect())
+    before = literal_table(spark, [(p, parts[i - 1]) for i, p in enumerate(parts)], "part int, before int")
+    last = found.filter(F.col("kind") == LAST).select(F.col("part").alias("before"), F.col("text").alias("head"))
+    waits = (found.filter(F.col("kind") == WAITS).select("part", "doc_id", "text")
+             .join(F.broadcast(before), "part").join(last, "before").select("doc_id", "text", "head"))
+    names = [f.name for f in fields][4:]
+    finished = map_blocks(waits, f"doc_id long, {RESULT}", finish_step, samples, block=BLOCK)
+    done = found.filter(F.col("kind") == DONE).select("doc_id", *names).unionByName(finished)
+    return done.select("doc_id", "n_chars", F.lower(F.hex("edited")).alias("edited_sha256"),
+                       F.lower(F.hex("fingerprint")).alias("fingerprint"),
+                       F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
