@@ -42,10 +42,12 @@ COMPILER_NOISE = ["note:", "In function", "At global scope", "[-Wmain]", "unused
 MODIFIERS = (r"(?:(?:public|private|protected|static|final|virtual|inline|constexpr|friend|"
              r"synchronized|native|abstract)\s+)*")
 SIGNATURE = (r"^\s*" + MODIFIERS + r"([\w:<>\[\],*&]+)\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(\{)?\s*$")
-DECLARATION = (r"^\s*(?:(?:public|private|protected|static|final|virtual|inline|"
+DECLARATION = (r"^\s*+(?:(?:public|private|protected|static|final|virtual|inline|"
                r"constexpr|synchronized|native|abstract)\s+)*"
                r"(?:[\w:<>\[\],*&]+)\s+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*\{?\s*$")
-PANEL_FUNCTION = r"^\s*(?:[\w:<>\[\],*&]+\s+)+[A-Za-z_]\w*\s*\([^;{}]*\)\s*(?:\{|$)"
+# Possessive repeats that stop before the name: Java's matcher would recurse once for each word otherwise.
+PANEL_FUNCTION = (r"^\s*+(?:[\w:<>\[\],*&]++\s++(?!\())++[A-Za-z_]\w*+\s*+"
+                  r"\([^;{}]*\)\s*(?:\{|$)")
 BRANCH = r"\b(?:if|else\s+if|for|while|case|catch)\b|&&|\|\|"
 CALL = r"\b([A-Za-z_]\w*)\s*\("
 LOOP = r"\b(?:for|while)\s*\("

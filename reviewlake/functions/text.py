@@ -77,7 +77,10 @@ def line_count(col: Column) -> Column:
 
 def strip_c_comments(col: Column) -> Column:
     """Drop ``/* */`` with the line ends inside, then ``//`` to the line end (also in strings)."""
-    return F.regexp_replace(F.regexp_replace(col, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+    # An opening mark after the last closing one stays, so the pattern need not look for its end in vain.
+    closed = F.when(F.contains(col, F.lit("*/")), F.length(col) - F.instr(F.reverse(col), "/*") + 1).otherwise(0)
+    blocks = F.regexp_replace(F.substr(col, F.lit(1), closed), r"(?s)/\*.*?\*/", "")
+    return F.regexp_replace(F.concat(blocks, F.substr(col, closed + 1)), r"//[^\n]*", "")
 
 
 def blank_strings(col: Column) -> Column:

@@ -162,10 +162,15 @@ def c_like_function_lengths(clean: DataFrame) -> DataFrame:
         "snippet_id", F.col("t.n").alias("n_lengths"), F.col("t.total").alias("sum_lengths"))
 
 
+def _squeezed(text: Column) -> Column:
+    """Blank lines in a row as one line end: no count changes, and a pattern that skips blanks looks at each once."""
+    return F.regexp_replace(text, r"\n(?:[^\S\n]*+\n)++", "\n")
+
+
 def c_like_recursion(clean: DataFrame) -> DataFrame:
     """Snippets in which a declared name is followed by ``(`` more than once."""
     declared = clean.select("snippet_id", F.explode(F.array_distinct(
-        groups(F.col("clean"), fixed.DECLARATION, 1, "m"))).alias("name"))
+        groups(_squeezed(F.col("clean")), fixed.DECLARATION, 1, "m"))).alias("name"))
     called = (clean.select("snippet_id", F.explode(groups(F.col("clean"), fixed.CALL, 1))
                            .alias("name"))
               .groupBy("snippet_id", "name").count().filter("count > 1"))
@@ -193,7 +198,7 @@ def rich_c_like(snippets: DataFrame) -> DataFrame:
     text = F.col("clean")
     counts = source.select(
         "snippet_id", "review_language", _loc(F.col("code")),
-        hits(text, fixed.DECLARATION, "m").alias("num_functions"),
+        hits(_squeezed(text), fixed.DECLARATION, "m").alias("num_functions"),
         _brace_depth(text).alias("nesting_depth"),
         (hits(text, fixed.BRANCH) + 1).alias("cyclomatic_complexity"),
         hits(text, fixed.LOOP).alias("num_loops"),
@@ -244,7 +249,7 @@ def panel_stats(snippets: DataFrame, nodes: DataFrame, results: DataFrame) -> Da
     """Lines, functions, loops and rounded risk as the result panel shows them."""
     funcs = nodes.groupBy("snippet_id").agg(
         F.count_if(F.col("type") == "FunctionDef").alias("py_funcs"))
-    matched = hits(F.col("code"), fixed.PANEL_FUNCTION, "m")
+    matched = hits(_squeezed(F.col("code")), fixed.PANEL_FUNCTION, "m")
     return (
         snippets.select("snippet_id", "review_language", line_count(F.col("code")).alias("lines"),
                         F.when(F.col("review_language") != "python", matched).alias("c_funcs"))
@@ -260,14 +265,13 @@ def panel_stats(snippets: DataFrame, nodes: DataFrame, results: DataFrame) -> Da
 def distinct_snippets(snippets: DataFrame) -> DataFrame:
     """One row per distinct ``(code, review_language)``: the row with the lowest id.
 
-    Copies collapse in the map-side aggregate, so a text that fills a third of
-    the table still leaves each task as one row.
+    Copies collapse in the map-side hash aggregate over rows without text, so a text that fills a third
+    of the table still leaves each task as one row; then the kept ids fetch their texts.
     """
-    return (
-        snippets.groupBy(F.sha2("code", 256).alias("code_hash"), "review_language")
-        .agg(F.min(F.struct("snippet_id", "code")).alias("s"))
-        .select("code_hash", "review_language", "s.*")
-    )
+    kept = (snippets.groupBy(F.sha2("code", 256).alias("code_hash"), "review_language")
+            .agg(F.min("snippet_id").alias("snippet_id")))
+    return kept.join(snippets.select("snippet_id", "code"), "snippet_id").select(
+        "code_hash", "review_language", "snippet_id", "code")
 
 
 def join_by_code(snippets: DataFrame, per_code: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reviewlake.functions.numbers import round_half_up
 from reviewlake.operators.scoring import panel_score
@@ -65,11 +66,16 @@ def workspace_stats(reviews: DataFrame, now: Column) -> DataFrame:
 
 
 def score_series(reviews: DataFrame, points: int = 14) -> DataFrame:
-    """Scores of the newest reviews per user, oldest first."""
+    """Scores of the newest reviews per user, oldest first.
+
+    ``result`` may still be text: then only the rows that are kept are parsed.
+    """
     newest = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(),
                                                    F.col("review_id").desc())
     kept = (reviews.withColumn("place", F.row_number().over(newest))
             .filter(F.col("place") <= points))
+    if isinstance(reviews.schema["result"].dataType, StringType):
+        kept = kept.withColumn("result", parse_result(F.col("result")))
     oldest = Window.partitionBy("user_id").orderBy(F.col("place").desc())
     return kept.select("user_id", "review_id", F.row_number().over(oldest).alias("position"),
                        score(F.col("result")).alias("score"))

@@ -215,8 +215,8 @@ def eval_compare(rows: DataFrame, modes: list[str]) -> DataFrame:
 
 
 def synthetic_labels(samples: DataFrame, issues: DataFrame,
-                     limit: int | None = 500) -> DataFrame:
-    """Label 1 where the rules find an issue, for the first ``limit`` samples by id."""
+                     limit: int | None = None) -> DataFrame:
+    """Label 1 where the rules find an issue, for all samples or the first ``limit`` by id."""
     first = samples if limit is None else samples.orderBy("snippet_id").limit(limit)
     flagged = issues.select("snippet_id").distinct().withColumn("label", F.lit(1))
     return first.join(flagged, "snippet_id", "left").withColumn(

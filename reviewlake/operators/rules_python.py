@@ -249,7 +249,7 @@ def row_issues(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 def _nth_target() -> Column:
     """Order of the targets of one statement, after that of the statements."""
-    return F.col("node").cast("bigint") * 100 + F.least(F.col("nth"), F.lit(99))
+    return F.shiftleft(F.col("node").cast("bigint"), 31) + F.col("nth")
 
 
 def _below(nodes: DataFrame) -> DataFrame:

@@ -766,7 +766,7 @@ def rh_3(spark, sf_dir):
 
 @query("rh_4_score_series")
 def rh_4(spark, sf_dir):
-    return history.score_series(inputs.parsed_reviews(spark, sf_dir))
+    return history.score_series(inputs.reviews(spark, sf_dir))
 
 
 @query("rh_5_status_tag")

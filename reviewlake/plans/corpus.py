@@ -152,11 +152,8 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame(
         rows, "tid long, language string, filename string, path string, body string")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
-    # A table of a few files would keep most cores idle: spread its narrow rows before
-    # they are widened to code and parsed. A large table has files enough.
-    cores = spark.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) < cores:
-        docs = docs.repartition(cores, "doc_id")
+    # Three narrow columns are spread before they are widened to code and parsed.
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     # The template list has a fixed number of rows, so it is safe to broadcast.
     return (
         docs.withColumn("tid", F.col("doc_id") % len(TEMPLATES))

@@ -176,7 +176,7 @@ def _code_field() -> Column:
 
 
 def read_labeled(spark: SparkSession, paths: list[str],
-                 max_samples: int | None = 500) -> DataFrame:
+                 max_samples: int | None = None) -> DataFrame:
     """``code, label`` of rows that have both; a null ``bug_risk`` hides ``label``."""
     def field(name):
         return F.try_variant_get("obj", f"$.{name}", "variant")

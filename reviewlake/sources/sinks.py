@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,14 +48,18 @@ def result_json(confidence: Column, syntax_error: Column, error_line: Column, er
 
 def parse_result(col: Column) -> Column:
     """The result struct of a JSON text; an empty text gives null."""
-    raw = F.from_json(F.nullif(col, F.lit("")), RESULT_JSON)
-    issues = F.transform(raw["issues"], lambda i: F.struct(
-        F.get(i, 0).alias("name"), F.get(i, 1).try_cast("int").alias("line"),
-        F.get(i, 2).alias("fix")))
-    return F.when(raw.isNotNull(), F.struct(
-        raw["confidence"].alias("confidence"), raw["syntax_error"].alias("syntax_error"),
-        raw["error_line"].alias("error_line"), raw["error_msg"].alias("error_msg"),
-        issues.alias("issues"), raw["complexity"].alias("complexity")))
+    def unpacked(raw: Column) -> Column:
+        issues = F.transform(raw["issues"], lambda i: F.struct(
+            F.get(i, 0).alias("name"), F.get(i, 1).try_cast("int").alias("line"),
+            F.get(i, 2).alias("fix")))
+        return F.when(raw.isNotNull(), F.struct(
+            raw["confidence"].alias("confidence"), raw["syntax_error"].alias("syntax_error"),
+            raw["error_line"].alias("error_line"), raw["error_msg"].alias("error_msg"),
+            issues.alias("issues"), raw["complexity"].alias("complexity")))
+
+    # As the element of an array the parsed value is bound once; each field would parse the text again otherwise.
+    parsed = F.array(F.from_json(F.nullif(col, F.lit("")), RESULT_JSON))
+    return F.get(F.transform(parsed, unpacked), 0)
 
 
 def review_records(reviewed: DataFrame) -> DataFrame:
@@ -65,12 +70,19 @@ def review_records(reviewed: DataFrame) -> DataFrame:
                            "created_at")
 
 
+def write_records(records: DataFrame, folder: str, run_id: str, batch_id: int) -> None:
+    """One batch of one run: a batch that is repeated replaces its own rows and no others."""
+    records.write.mode("overwrite").parquet(f"{folder}/run_id={run_id}/batch_id={batch_id}")
+
+
 def append_reviews(reviewed: DataFrame, folder: str) -> None:
-    review_records(reviewed).write.mode("append").parquet(folder)
+    """Every call is a run of its own."""
+    write_records(review_records(reviewed), folder, uuid.uuid4().hex, 0)
 
 
 def read_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+    """All rows that batch and stream have written to the folder."""
+    return spark.read.parquet(folder).drop("run_id", "batch_id")
 
 
 def save_package(spark: SparkSession, models: dict[str, PipelineModel], meta: dict,
