@@ -200,7 +200,11 @@ class PieceModel:
                 a = byte_ends[spoken[k]] + 1
             text = data[a:b].tobytes()
             if risky[last] > risky[first]:
-                text = text.decode("utf-8", "one_each").encode()
+                # A control id ends a character that its bytes have not completed.
+                cuts = byte_ends[first + np.flatnonzero(self.silent[ids[first:last]])]
+                edges = [a, *cuts[cuts > a].tolist(), b]
+                text = "".join(data[x:y].tobytes().decode("utf-8", "one_each")
+                               for x, y in zip(edges, edges[1:], strict=False)).encode()
             out.append(text)
             first = last
         return out

@@ -98,6 +98,8 @@ class Vocabulary:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        if not len(data):
+            return np.zeros(0, np.int64), start
         end = np.repeat(start + sizes, sizes)
         # Every token at every place of a word.
         at, node = np.arange(len(data)), np.zeros(len(data), np.int64)
