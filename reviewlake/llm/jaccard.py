@@ -54,7 +54,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes of blocks of texts; hashes of words stay from block to block."""
 
-    def __init__(self, width: int = SHINGLE, most: int = 300_000):
+    def __init__(self, width: int = SHINGLE, most: int = 150_000):
         self.width, self.most, self.known = width, most, {}
 
     def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 """Text that one step of a Python task holds."""
 
 SALTS = 1024
@@ -113,7 +113,7 @@ class WordTable:
     Words are kept from block to block until there are ``most`` of them, which bounds the memory and changes no result.
     """
 
-    def __init__(self, add: Callable[[list[str]], None], clear: Callable[[], None], most: int = 300_000):
+    def __init__(self, add: Callable[[list[str]], None], clear: Callable[[], None], most: int = 200_000):
         self.index: dict[str, int] = {}
         self.add, self.clear, self.most = add, clear, most
 

@@ -23,6 +23,7 @@ from reviewlake.llm.shared import Pairs, WordTable, map_blocks
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+LONG = 256
 NEVER = np.iinfo(np.int32).max
 
 
@@ -52,6 +53,8 @@ class Vocabulary:
         self.left = np.r_[np.arange(256), left].astype(np.int32)
         self.right = np.r_[np.arange(256), right].astype(np.int32)
         self.merges = Pairs(self.left[256:], self.right[256:], merged)
+        self.made = dict(zip(zip(left, right, strict=True), merged.tolist(), strict=True))
+        self.checked: dict[tuple[int, int], bool] = {}
         self.special = [t["content"] for t in model.get("added_tokens", [])]
         self.build_trie(pieces)
 
@@ -67,6 +70,7 @@ class Vocabulary:
                     token.append(-1)
                 at = to
             token[at] = i
+        self.children, self.ends = step, token
         keys = np.array(list(step), np.int64)
         self.step = Pairs(keys[:, 0], keys[:, 1], np.fromiter(step.values(), np.int64, len(step)))
         self.token = np.array(token, np.int32)
@@ -93,8 +97,57 @@ class Vocabulary:
             a, b = np.where(first_later, self.right[a], a), np.where(first_later, b, self.left[b])
         return good
 
+    def two_side_by_side(self, a: int, b: int) -> bool:
+        """The same for one pair, remembered."""
+        known = self.checked.get((a, b))
+        if known is not None:
+            return known
+        if len(self.checked) > 500_000:
+            self.checked.clear()
+        x, y, until, good = a, b, NEVER, True
+        while good:
+            good = self.made.get((x, y), NEVER) >= until
+            if max(x, y) < 256:
+                break
+            if x > y:
+                x, until = int(self.right[x]), x
+            else:
+                y, until = int(self.left[y]), y + 1
+        self.checked[a, b] = good
+        return good
+
+    def counts_of_long(self, word: bytes) -> np.ndarray:
+        """Token counts of all prefixes of one long word."""
+        tokens: list[list[tuple[int, int]]] = [[] for _ in word]
+        for begin in range(len(word)):
+            at = 0
+            for i in range(begin, len(word)):
+                at = self.children.get((at, word[i]))
+                if at is None:
+                    break
+                if self.ends[at] >= 0:
+                    tokens[i].append((begin, self.ends[at]))
+        last, count = [0] * len(word), [0] * len(word)
+        for i, found in enumerate(tokens):
+            # Longest first, as it begins first.
+            for begin, t in found:
+                if begin == 0 or self.two_side_by_side(last[begin - 1], t):
+                    last[i], count[i] = t, (count[begin - 1] if begin else 0) + 1
+                    break
+        return np.array(count, np.int64)
+
     def prefix_counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token counts of all prefixes of all words, one after the other, and where each word's begin."""
+        """Token counts of all prefixes of all words, one after the other, and where each word's begin.
+
+        Words of up to LONG bytes go through the pass together, byte by byte; a longer one by itself.
+        """
+        if any(len(w) > LONG for w in words):
+            short, _ = self.prefix_counts([w for w in words if len(w) <= LONG])
+            ends = np.cumsum([len(w) for w in words if len(w) <= LONG])
+            parts = iter(np.split(short, ends[:-1]) if len(ends) else [])
+            sizes = np.array([len(w) for w in words])
+            return (np.concatenate([self.counts_of_long(w) if len(w) > LONG else next(parts) for w in words]),
+                    np.cumsum(sizes) - sizes)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)

@@ -214,9 +214,10 @@ def train_machine(toxic: list[str], clean: list[str], landmarks: list[str]) -> M
     root = vector[:, good] / np.sqrt(value[good])
     words = [*toxic, *with_gaps(toxic), *clean]
     y = np.r_[np.ones(2 * len(toxic)), -np.ones(len(clean))]
-    owner, key, weight = subsequences.of(words)
     kernel = np.zeros((len(words), len(landmarks)))
-    np.add.at(kernel, owner, weight[:, None] * mine[:, key].T)
+    for at in range(0, len(words), 500):
+        owner, key, weight = subsequences.of(words[at:at + 500])
+        np.add.at(kernel, at + owner, weight[:, None] * mine[:, key].T)
     features = kernel @ root
     scale = np.maximum(features.std(axis=0), 1e-6)
     w, bias = separate(features / scale, y)
