@@ -57,7 +57,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each whole text, their number, and digests of the ids and of their decoding."""
+    """Ids of each whole text, their number, and digests of the ids and of their decoding.
+
+    The place in the mixture goes along; documents that have not been mixed have none.
+    """
+    for place in ("mix_slot", "mix_place"):
+        if place not in docs.columns:
+            docs = docs.withColumn(place, F.lit(None).cast("long"))
     return pieces.token_digests(docs, tokenizer("piece_bpe_32k.model"),
                                 "doc_id long, source string, mix_slot long, mix_place long", with_ids=True)
 

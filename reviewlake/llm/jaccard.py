@@ -7,8 +7,9 @@ are one node.
    tells every part which of its hashes other parts have too. This gives each node an upper bound for its overlap with
    any other. Nodes whose bound is too small for their size are done: nothing links with them. A shingle that a third
    of all documents have is sent once by each part, not once by each document.
-2. The rest sends its shared shingles, and nodes with a common one among those that a link cannot do without (a
-   prefix of the reduced set) come into one family. Families hold every possible link.
+2. The rest does the same once more, now among itself and with counts. What no other node has is struck out, and nodes with
+   a common shingle among the rarest, those that a link cannot do without, come into one family. Families hold every
+   possible link.
 3. Blocks by family. A family is cut into blocks of nodes; a task multiplies two blocks of rows of the incidence matrix,
    shingle by shingle, adds up overlap counts, and keeps pairs that reach the bound that their sizes give. It returns
    links that connect what is connected, not all pairs.
@@ -17,7 +18,6 @@ are one node.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 # Words are what lies between these bytes: blank, tab, line feed, vertical tab, form feed, carriage return.
 BREAKS = regex.compile("[\x20\x09-\x0d]+")
+PART_BYTES = 8 << 20
+"""Text of one part, about."""
+FILTER_BITS = 1 << 23
 TILE = 1024
 """Nodes in a block of a family."""
 PRODUCTS = 4_000_000
@@ -102,12 +105,38 @@ def needed(size: int | np.ndarray) -> int | np.ndarray:
     return -(-PERCENT * size // 100)
 
 
-def first_step(blocks: int):
-    """Rows of one part of the documents: its documents (block -1), and its distinct hashes in each block.
+def in_blocks(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block number and lower 32 bits of each hash. Two hashes that agree in both are taken for one, which is seldom."""
+    return ((hashes >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
 
-    Of a hash, a part keeps the lower 32 bits; with the block's number that is enough for a bound that is seldom too large.
-    """
-    shingler = Shingler()
+
+def part_name(*content: bytes) -> bytes:
+    """A name of a task's block of rows, the same when the task runs again."""
+    from pyspark import TaskContext
+
+    digest = hashlib.blake2b(str(TaskContext.get().partitionId()).encode(), digest_size=16)
+    for c in content:
+        digest.update(c)
+    return digest.digest()
+
+
+def steps_of(numbers: np.ndarray) -> bytes:
+    """Ascending small numbers as differences, a byte each if all fit, else four."""
+    steps = np.diff(numbers, prepend=0)
+    return steps.astype("u1" if steps.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def numbers_of(steps: bytes, count: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, "u1" if len(steps) == count else "<u4"), dtype=np.int64)
+
+
+def in_portions(rows: list[tuple]) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)]
+
+
+def first_step(blocks: int, deals: int):
+    """Rows of one part of the documents: the documents (a negative block), and the distinct hashes in each block."""
+    shingler, parts = Shingler(), iter(range(1 << 62))
 
     def step(batch: pa.RecordBatch):
         hashes, ends = shingler.sets(batch.column("text").to_pylist())
@@ -120,93 +149,154 @@ def first_step(blocks: int):
         owner = np.repeat(np.arange(len(sizes)), sizes)
         use = standing[owner] == owner
         owner, hashes = owner[use], hashes[use]
-        block = (hashes >> np.uint64(32)) % np.uint64(blocks)
-        key = block << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+        block, low = in_blocks(hashes, blocks)
+        key = block << 32 | low
         order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.r_[start, len(key)])
         # What several nodes of the part have is shared already; what one has waits for the answer of the block.
         shared = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(sizes))
-        single = times == 1
-        part = uuid.uuid4().bytes
-        ids = pa.array(batch.column("doc_id"))
-        rows = [(part, -1, None, None, None, ids.to_pylist(), nodes.tolist(), sizes.tolist(), shared.tolist(),
-                 standing.tolist())]
-        numbers = (key[start] >> np.uint64(32)).astype(np.int64)
-        low = (key[start] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        who = np.where(single, owner[start], -1).astype("<i4")
-        edges = np.searchsorted(numbers, np.arange(blocks + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            x, y = edges[b], edges[b + 1]
+        ids, missing = batch.column("doc_id").fill_null(0).to_numpy().astype("<i8"), batch.column("doc_id").is_null()
+        part = part_name(str(next(parts)).encode(), ids.tobytes(), nodes.tobytes())
+        documents = np.stack([ids, missing.to_numpy(zero_copy_only=False), nodes, sizes, shared, standing]).astype("<i8")
+        rows = [(part, -1 - int.from_bytes(part[:4], "little") % deals, None, None, None, documents.tobytes())]
+        single, key, owner = times == 1, key[start], owner[start]
+        for b, x, y in runs_of(key >> 32):
             alone = single[x:y]
-            # Hashes of single nodes first, with their nodes; then those that are shared within the part.
-            rows.append((part, b, low[x:y][alone].tobytes(), who[x:y][alone].tobytes(), low[x:y][~alone].tobytes(),
-                         None, None, None, None, None))
-        return [list(c) for c in zip(*rows, strict=True)]
+            mine, who = key[x:y][alone], owner[x:y][alone]
+            by_owner = np.argsort(who, kind="stable")
+            rows.append((part, b, mine[by_owner].astype("<u4").tobytes(), steps_of(who[by_owner]),
+                         key[x:y][~alone].astype("<u4").tobytes(), None))
+        return in_portions(rows)
 
     return step
 
 
-FIRST = ("part binary, block int, low binary, who binary, shared_low binary, ids array<long>, nodes array<long>, "
-         "sizes array<int>, shared array<int>, standing array<int>")
+def runs_of(numbers: np.ndarray) -> list[tuple[int, int, int]]:
+    """(number, first, end) of the runs of equal numbers."""
+    start = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, np.int64)
+    return list(zip(numbers[start].tolist(), start.tolist(), [*start[1:].tolist(), len(numbers)][:len(start)], strict=True))
+
+
+FIRST = "part binary, block int, low binary, who binary, shared_low binary, documents binary"
 
 
 def shared_in_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each part the nodes whose single hashes other parts have too, and how many such hashes each has."""
+    """For each part the nodes whose single hashes other parts have too, and how many such hashes each has.
+
+    The rows of documents (negative blocks) go on as they are.
+    """
+    if rows.block.iloc[0] < 0:
+        return rows.assign(who=None, times=None)[["part", "who", "times", "documents"]]
     low = [np.frombuffer(x, "<u4") for x in rows.low]
-    more = [np.frombuffer(x, "<u4") for x in rows.shared_low]
-    every = np.sort(np.concatenate([*low, *more]))
+    every = np.sort(np.concatenate([*low, *[np.frombuffer(x, "<u4") for x in rows.shared_low]]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     out = []
     for part, own, who in zip(rows.part, low, rows.who, strict=True):
-        at = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
-        hit = twice[at] == own if len(twice) else np.zeros(len(own), bool)
-        nodes, count = np.unique(np.frombuffer(who, "<i4")[hit], return_counts=True)
+        hit = np.isin(own, twice, assume_unique=True) if len(twice) else np.zeros(len(own), bool)
+        nodes, count = np.unique(numbers_of(who, len(own))[hit], return_counts=True)
         if len(nodes):
-            out.append((part, nodes.astype("<i4").tobytes(), count.astype("<i4").tobytes()))
-    return pd.DataFrame(out, columns=["part", "who", "times"])
+            out.append((part, nodes.astype("<i4").tobytes(), count.astype("<i4").tobytes(), None))
+    return pd.DataFrame(out, columns=["part", "who", "times", "documents"])
 
 
-def bounds_of_part(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+def bounds_of_part(rows: pd.DataFrame) -> pd.DataFrame:
     """``doc_id, node, size, bound`` for the documents of a part."""
-    out = []
-    for r in own.itertuples():
-        bound = np.array(r.shared, np.int64)
-        for who, times in zip(found.who, found.times, strict=True):
-            np.add.at(bound, np.frombuffer(who, "<i4"), np.frombuffer(times, "<i4"))
-        out.append(pd.DataFrame({"doc_id": pd.array(list(r.ids), dtype="Int64"), "node": np.array(r.nodes, np.int64),
-                                 "size": np.array(r.sizes, np.int64), "bound": bound[np.array(r.standing, np.int64)]}))
-    return pd.concat(out)
+    own = rows.documents.dropna()
+    ids, missing, nodes, sizes, shared, standing = np.frombuffer(own.iloc[0], "<i8").reshape(6, -1)
+    bound = shared.copy()
+    for who, times in zip(rows.who.dropna(), rows.times.dropna(), strict=True):
+        np.add.at(bound, np.frombuffer(who, "<i4"), np.frombuffer(times, "<i4"))
+    return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), missing.astype(bool)), "node": nodes, "size": sizes,
+                         "bound": bound[standing]})
 
 
 def bounded_nodes(documents: DataFrame) -> DataFrame:
     """``doc_id, node, size, bound`` of every document; ``bound``: at most so many of its shingles are in any other node."""
-    spark = documents.sparkSession
-    blocks = 2 * partitions(spark)
-    rows = keep(map_blocks(documents.select("doc_id", "text"), FIRST, first_step, blocks, block=16 << 20))
-    found = (rows.filter("block >= 0").select("part", "block", "low", "who", "shared_low").groupBy("block")
-             .applyInPandas(shared_in_block, "part binary, who binary, times binary"))
-    own = rows.filter("block < 0").select("part", "ids", "nodes", "sizes", "shared", "standing")
-    return (own.groupBy("part").cogroup(found.groupBy("part"))
-            .applyInPandas(bounds_of_part, "doc_id long, node long, size long, bound long"))
+    deals = partitions(documents.sparkSession)
+    rows = map_blocks(documents.select("doc_id", "text"), FIRST, first_step, 2 * deals, deals, block=PART_BYTES)
+    found = rows.groupBy("block").applyInPandas(shared_in_block, "part binary, who binary, times binary, documents binary")
+    return found.groupBy("part").applyInPandas(bounds_of_part, "doc_id long, node long, size long, bound long")
 
 
-def set_step():
-    shingler = Shingler()
+def second_step(blocks: int, deals: int):
+    """Rows of one part of the nodes that are left: their sets (a negative block), and distinct hashes with their counts."""
+    shingler, parts = Shingler(), iter(range(1 << 62))
 
     def step(batch: pa.RecordBatch):
         hashes, ends = shingler.sets(batch.column("text").to_pylist())
-        starts = np.r_[0, ends[:-1]]
-        nodes = [node_of(hashes[a:b]) for a, b in zip(starts, ends, strict=True)]
-        good = np.array(nodes, np.int64) == batch.column("node").to_numpy()
-        sets = pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), hashes.view(np.int64))
-        mask = pa.array(good)
-        return [pa.array(nodes, pa.int64()).filter(mask), pa.array(ends - starts).filter(mask), sets.filter(mask)]
+        sizes = np.diff(np.r_[0, ends])
+        starts = ends - sizes
+        nodes = np.array([node_of(hashes[a:b]) for a, b in zip(starts, ends, strict=True)], np.int64)
+        # A doc_id that repeats brings other texts along.
+        good = np.flatnonzero(nodes == batch.column("node").to_numpy())
+        good = good[np.unique(nodes[good], return_index=True)[1]]
+        hashes = np.concatenate([hashes[starts[i]:ends[i]] for i in good]) if len(good) else hashes[:0]
+        nodes, sizes = nodes[good], sizes[good]
+        part = part_name(str(next(parts)).encode(), nodes.tobytes())
+        rows = [(part, -1 - int.from_bytes(part[:4], "little") % deals, None, None,
+                 np.stack([nodes, sizes]).astype("<i8").tobytes(), hashes.astype("<u8").tobytes())]
+        key, count = np.unique(np.asarray(in_blocks(hashes, blocks)[0]) << 32 | in_blocks(hashes, blocks)[1],
+                               return_counts=True)
+        for b, x, y in runs_of(key >> 32):
+            rows.append((part, b, key[x:y].astype("<u4").tobytes(), np.minimum(count[x:y], 255).astype("u1").tobytes(),
+                         None, None))
+        return in_portions(rows)
 
     return step
 
 
+SECOND = "part binary, block int, low binary, counts binary, nodes binary, sets binary"
+
+
+def counts_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each part, how many nodes have its hashes (255: at least so many); rows of sets go on as they are."""
+    if rows.block.iloc[0] < 0:
+        return rows[["part", "block", "counts", "nodes", "sets"]]
+    low = [np.frombuffer(x, "<u4") for x in rows.low]
+    distinct, back = np.unique(np.concatenate(low), return_inverse=True)
+    total = np.bincount(back, np.frombuffer(b"".join(rows.counts), "u1"), minlength=len(distinct))
+    answer = np.minimum(total, 255).astype("u1")[back]
+    ends = np.cumsum([len(x) for x in low])
+    return rows.assign(counts=[x.tobytes() for x in np.split(answer, ends[:-1])])[["part", "block", "counts", "nodes", "sets"]]
+
+
+def reduced_sets(blocks: int):
+    def of_part(rows: pd.DataFrame) -> pd.DataFrame:
+        """``node, size, set, prefix``: what of each set other nodes have too, and what of that a link cannot do without."""
+        own = rows[rows.block < 0].iloc[0]
+        nodes, sizes = np.frombuffer(own.nodes, "<i8").reshape(2, -1)
+        hashes = np.frombuffer(own.sets, "<u8")
+        # The answers lie in the order of block and lower bits.
+        block, low = in_blocks(hashes, blocks)
+        key, back = np.unique(block << 32 | low, return_inverse=True)
+        asked = rows[rows.block >= 0].sort_values("block")
+        count = np.frombuffer(b"".join(asked.counts), "u1")[back] if len(key) else np.zeros(0, "u1")
+        out, end = [], 0
+        for node, size in zip(nodes.tolist(), sizes.tolist(), strict=True):
+            mine, times = hashes[end:end + size], count[end:end + size]
+            end += size
+            spare = int((times > 1).sum()) - needed(size)
+            if spare < 0:
+                continue
+            # Rare hashes first: any order that all nodes have in common will do.
+            order = np.lexsort((mine, times))
+            order = order[times[order] > 1]
+            out.append((node, size, mine[np.sort(order)].astype(np.int64), mine[order[:spare + 1]].astype(np.int64)))
+        return pd.DataFrame(out, columns=["node", "size", "set", "prefix"])
+
+    return of_part
+
+
+def shared_sets(texts: DataFrame) -> DataFrame:
+    """``node, size, set, prefix`` of the nodes (``node, text``) that may be linked with another of them."""
+    deals = partitions(texts.sparkSession)
+    rows = map_blocks(texts.select("node", "text"), SECOND, second_step, 2 * deals, deals, block=PART_BYTES)
+    found = rows.groupBy("block").applyInPandas(counts_in_block, "part binary, block int, counts binary, nodes binary, sets binary")
+    return found.groupBy("part").applyInPandas(reduced_sets(2 * deals), "node long, size long, set array<long>, prefix array<long>")
+
+
 def smallest_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that can be reached over edges (``a, b``, both ways).
 
@@ -318,29 +408,20 @@ def links_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def node_links(sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links (``a, b``) that connect linked nodes; ``sets``: ``node, size, set``, each node once."""
+    """Links (``a, b``) that connect linked nodes; ``sets``: ``node, size, set, prefix``, each node once."""
     sets = keep(sets)
-    single = sets.select("node", "size", F.explode("set").alias("hash"))
-    # A hash that one node has alone cannot be in an overlap. The smallest node of a hash leads the others.
-    common = (single.groupBy("hash").agg(F.count("*").alias("times"), F.min("node").alias("leader"))
-              .filter("times > 1").select("hash", "leader"))
-    reduced = keep(single.join(common, "hash"))
-    kept = (reduced.groupBy("node").agg(F.count("*").alias("left"), F.first("size").alias("size"),
-                                        F.sort_array(F.collect_list(F.struct("hash", "leader"))).alias("entries"))
-            .filter(F.col("left") * 100 >= F.col("size") * PERCENT))
-    kept = keep(kept)
-    need = F.ceil(F.col("size") * PERCENT / 100)
-    prefix = F.slice("entries", F.lit(1), (F.col("left") - need + 1).cast("int"))
-    led = kept.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.transform(prefix, lambda e: e["leader"])))
-                      .alias("b"))
-    everyone = kept.select("node").unionByName(led.select(F.col("b").alias("node"))).distinct()
-    families = smallest_labels(everyone, led)
-    members = keep(kept.select("node", "size", F.transform("entries", lambda e: e["hash"]).alias("set"))
-                   .join(families, "node"))
-    counts = members.groupBy(F.col("label").alias("family")).agg(F.count("*").alias("many")).filter("many > 1")
-    tiles = F.ceil(F.col("many") / tile).cast("int")
-    placed = (members.join(counts, F.col("label") == F.col("family"))
-              .withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    entries = sets.select("node", F.explode("prefix").alias("hash"))
+    # The smallest node of a hash leads the others.
+    leaders = entries.groupBy("hash").agg(F.min("node").alias("leader"), F.count("*").alias("times")).filter("times > 1")
+    led = (entries.join(leaders.select(F.col("hash").alias("of_hash"), "leader"), F.col("hash") == F.col("of_hash"))
+           .select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    led = keep(led)
+    families = keep(smallest_labels(led.select(F.col("a").alias("node")).distinct(), led))
+    counts = families.groupBy(F.col("label").alias("family")).agg(F.count("*").alias("many")).filter("many > 1")
+    placed = (sets.select("node", "size", "set").join(families, "node")
+              .join(counts, F.col("label") == F.col("family"))
+              .withColumn("tiles", F.ceil(F.col("many") / tile).cast("int"))
+              .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
               .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")))
     buckets = 4 * partitions(sets.sparkSession)
@@ -350,6 +431,30 @@ def node_links(sets: DataFrame, tile: int = TILE) -> DataFrame:
             .groupBy("bucket").applyInPandas(links_of_bucket, "a long, b long"))
 
 
+def id_filter(ids: DataFrame) -> bytes:
+    """A bit for every hash value of the ``of_id``s: one MB, whatever their number. Where too many bits are set it holds
+    nothing back, and the join behind it does all the work."""
+    x = F.pmod(F.xxhash64("of_id"), F.lit(FILTER_BITS)) + 1
+    rows = (ids.select(F.bitmap_bucket_number(x).alias("bucket"), F.bitmap_bit_position(x).alias("at")).groupBy("bucket")
+            .agg(F.bitmap_construct_agg("at").alias("bits")).collect())
+    size = FILTER_BITS // 8
+    out = bytearray(size)
+    for r in rows:
+        out[(r.bucket - 1) * 4096:(r.bucket - 1) * 4096 + 4096] = r.bits
+    return bytes(out)
+
+
+def in_filter(column: str, bits: bytes):
+    x = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(x, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (x % 8).cast("int")) == 1
+
+
+def id_key():
+    """doc_id, of a row without one the least number."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
+
+
 def linked_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -362,11 +467,11 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     bounds = keep(bounded_nodes(documents))
     alive = bounds.filter(F.expr(f"size > 0 and 100 * bound >= {PERCENT} * size"))
-    # One document of each node brings its text along.
-    texts = alive.groupBy("node").agg(F.min("doc_id").alias("of_id")).filter("of_id is not null")
-    sets = map_blocks(documents.join(texts, F.col("doc_id") == F.col("of_id")).select("node", "text"),
-                      "node long, size long, set array<long>", set_step).dropDuplicates(["node"])
-    links = keep(node_links(sets))
+    # One document of each node brings its text along. Few do, so most texts stay out of the exchange.
+    wanted = keep(alive.groupBy("node").agg(F.min(id_key()).alias("of_id")))
+    texts = (documents.withColumn("key", id_key()).filter(in_filter("key", id_filter(wanted)))
+             .join(wanted, F.col("key") == F.col("of_id")).select("node", "text"))
+    links = keep(node_links(shared_sets(texts)))
     nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     labels = smallest_labels(nodes, links)
     named = bounds.join(labels, "node", "left").withColumn(
