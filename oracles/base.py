@@ -29,6 +29,11 @@ def m(column: str, pattern: str, flags: str = "") -> str:
     return f"regexp_matches({column}, {lit(pattern)}" + (f", '{flags}')" if flags else ")")
 
 
+def plain(pattern: str) -> str:
+    """The pattern without possessive repeats and the look-ahead that they need, which DuckDB does not know."""
+    return pattern.replace("*+", "*").replace("++", "+").replace(r"(?!\()", "")
+
+
 def cnt(column: str, pattern: str) -> str:
     return f"len(regexp_extract_all({column}, {lit(pattern)}))"
 
@@ -63,6 +68,17 @@ corpus AS (
 SNIPPETS = CORPUS + f""",
 snip AS (SELECT *, {REVIEW_LANGUAGE} AS review_language FROM corpus)"""
 
+# The same columns from whole texts in front of the templates.
+TEXT_SNIPPETS = "tmpl(tid, body) AS " + values([(i, t[3]) for i, t in enumerate(TEMPLATES)]) + f""",
+texts AS (
+  SELECT doc_id AS snippet_id, doc_id % {len(TEMPLATES)} AS tid, text FROM documents
+  UNION ALL
+  SELECT 1000000000 + conv_id * 1000 + turn, conv_id % {len(TEMPLATES)}, text FROM conversations),
+snip AS (
+  SELECT snippet_id, tid, replace(text, '. ', ';' || chr(10)) || chr(10) || replace(body, '@N', '7') AS code,
+         CASE WHEN snippet_id % 2 = 0 THEN 'cpp' ELSE 'java' END AS review_language
+  FROM texts JOIN tmpl USING (tid))"""
+
 CLEAN = SNIPPETS + """,
 cl AS (
   SELECT snippet_id, tid, review_language, code,

@@ -9,7 +9,7 @@ from reviewlake.functions.explanations import DEFAULT_TEMPLATE, TEMPLATES
 from reviewlake.functions.issue_texts import ISSUE_TEXTS
 from reviewlake.operators.metrics import CUTS
 from reviewlake.operators.rules_python import PYTHON_RULES
-from reviewlake.plans.catalog import CJ_NAMES
+from reviewlake.plans.catalog import CJ_NAMES, OVER_TEXTS
 from reviewlake.plans.inputs import HISTORY_ISSUES, ISSUE_NAMES, NOW
 
 SQL: dict[str, str] = {}
@@ -216,7 +216,7 @@ SQL["fe_3_features_legacy"] = sql(
     f"SELECT snippet_id, review_language, {', '.join(fixed.FEATURES[:5])} FROM fa")
 SQL["fe_7_distinct_features"] = sql(base.FEATURES, "SELECT * FROM fa")
 
-DECL_LINE = "^" + fixed.DECLARATION[1:]
+DECL_LINE = "^" + base.plain(fixed.DECLARATION)[1:]
 # Function lengths line by line: start and brace sum of the function being read.
 # A function that never closes sends the reader back to the line after its start.
 SQL["fe_4_rich_c_like"] = recursive(CLEAN + f""",
@@ -257,13 +257,13 @@ bd AS (
   GROUP BY snippet_id),
 dn AS (
   SELECT snippet_id, unnest(list_distinct(regexp_extract_all(clean,
-    {lit('(?m)' + fixed.DECLARATION)}, 1))) AS fname FROM cl),
+    {lit('(?m)' + base.plain(fixed.DECLARATION))}, 1))) AS fname FROM cl),
 rec AS (
   SELECT DISTINCT snippet_id FROM dn JOIN cl USING (snippet_id)
   WHERE len(regexp_extract_all(clean, '\\b' || fname || '\\s*\\(')) > 1)""", f"""
 SELECT c.snippet_id, c.review_language,
   greatest(1, len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> ''))) AS lines_of_code,
-  {cnt('clean', '(?m)' + fixed.DECLARATION)} AS num_functions,
+  {cnt('clean', '(?m)' + base.plain(fixed.DECLARATION))} AS num_functions,
   coalesce(bd.depth, 0)::INT AS nesting_depth,
   {cnt('clean', fixed.BRANCH)} + 1 AS cyclomatic_complexity,
   {cnt('clean', fixed.LOOP)} AS num_loops, {cnt('clean', fixed.IF)} AS num_conditions,
@@ -281,7 +281,7 @@ SQL["fe_5_rich_python"] = sql(
 SQL["fe_6_panel_stats"] = sql(base.RESULTS, f"""
 SELECT r.snippet_id, len(string_split(rtrim(s.code, chr(10)), chr(10)))::INT AS lines,
   CASE WHEN r.review_language = 'python' THEN pc.nf
-       ELSE {cnt('s.code', '(?m)' + fixed.PANEL_FUNCTION)} END::INT AS functions,
+       ELSE {cnt('s.code', '(?m)' + base.plain(fixed.PANEL_FUNCTION))} END::INT AS functions,
   r.complexity::INT AS loops, round_even(r.confidence, 0)::INT AS risk
 FROM rs r JOIN snip s USING (snippet_id) LEFT JOIN pc ON pc.tid = r.tid""")
 
@@ -626,3 +626,8 @@ SQL["uf_1_node_table"] = sql(
     + values([(t, *v) for t, v in golden.NODE_COUNTS.items()]),
     "SELECT snippet_id, names::BIGINT AS names, calls::BIGINT AS calls, last_line "
     "FROM snip JOIN nc USING (tid)")
+
+# ---- over whole texts ------------------------------------------------------------
+for _name in OVER_TEXTS:
+    assert SNIP in SQL[_name]
+    SQL[f"text_{_name}"] = SQL[_name].replace(SNIP, base.TEXT_SNIPPETS)

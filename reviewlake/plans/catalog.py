@@ -371,6 +371,25 @@ for _rule in CJ_NAMES:
     _c_like_query(_rule)
 
 
+# Queries that also run over real texts.
+OVER_TEXTS = ["cl_9_bug_risk_label", "cl_10_strip_c_comments", "cl_11_blank_strings_in_line", "cl_12_explode_lines",
+              "sx_1_c_like_syntax", "fe_1_features_c_like", "fe_4_rich_c_like", "cj_1_nested_loop",
+              "cj_7_statement_no_semicolon", "cj_8_literal_no_semicolon", "cj_14_string_concat_in_loop",
+              "cj_19_missing_break", "cj_21_empty_catch", "cj_25_no_return_value", "cj_27_array_out_of_bounds"]
+
+
+def _text_query(name):
+    def run(spark, sf_dir):
+        with inputs.snippets_from(inputs.text_snippets):
+            return REGISTRY[name](spark, sf_dir)
+
+    REGISTRY[f"text_{name}"] = run
+
+
+for _name in OVER_TEXTS:
+    _text_query(_name)
+
+
 def _python_query(rule, fn):
     def run(spark, sf_dir):
         return scoring.distinct_issues(rules_python.rule_issues(inputs.nodes(spark, sf_dir), rule))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from reviewlake.operators.clean import bug_risk_label
 from reviewlake.operators.features import features
 from reviewlake.operators.lines import clean_c_like, line_facts, with_review_language
 from reviewlake.operators.nodes import node_table
-from reviewlake.plans.corpus import code_corpus
+from reviewlake.plans.corpus import TEMPLATES, code_corpus
 from reviewlake.sources.sinks import parse_result, result_json
 from reviewlake.sources.stage import shared_folder
 
@@ -40,10 +43,42 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_review_language(code_corpus(spark, sf_dir))
 
 
+def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents and conversations, each in front of a snippet, as C++ (even ids) and Java."""
+    templates = spark.createDataFrame([(i, t[3]) for i, t in enumerate(TEMPLATES)], "tid long, body string")
+    texts = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("snippet_id"), (F.col("doc_id") % len(TEMPLATES)).alias("tid"), "text")
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.lit(10 ** 9) + F.col("conv_id") * 1000 + F.col("turn")).alias("snippet_id"),
+        (F.col("conv_id") % len(TEMPLATES)).alias("tid"), "text")
+    lines = F.replace(F.col("text"), F.lit(". "), F.lit(";\n"))
+    # The template list has a fixed number of rows, so it is safe to broadcast.
+    return texts.unionByName(turns).join(F.broadcast(templates), "tid").select(
+        "snippet_id", F.concat(lines, F.lit("\n"), F.replace("body", F.lit("@N"), F.lit("7"))).alias("code"),
+        F.when(F.col("snippet_id") % 2 == 0, "cpp").otherwise("java").alias("review_language"))
+
+
+_source = ContextVar("source", default=corpus_snippets)
+
+
+@contextmanager
+def snippets_from(source: Callable[[SparkSession, str], DataFrame]) -> Iterator[None]:
+    """Inside, all inputs below are derived from ``source``."""
+    token = _source.set(source)
+    try:
+        yield
+    finally:
+        _source.reset(token)
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _source.get()(spark, sf_dir)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(snippets(spark, sf_dir))
 
