@@ -32,6 +32,8 @@ LONGEST = 24
 SAMPLE = 2000
 """Labelled texts of each class, about, from which the machine is trained (chosen by a hash of doc_id)."""
 LANDMARKS = 48
+LEAST_SENTENCES = 8
+"""Distinct toxic sentences that a landmark must be in. Among a million pieces of words some are in fewer by chance alone."""
 ROUNDS = 2
 """Times that the hardest clean words are sought anew."""
 EXAMPLES = 3000
@@ -303,7 +305,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
     toxic = Counter({r.word: r.n_toxic for r in toxic_rows})
     clean = Counter({r.word: r.n_clean for r in common})
     # The choice saw the most frequent clean words; now all of them count.
-    offered = choose_landmarks(toxic, clean, max(3.0, 0.01 * n_toxic), 2 * LANDMARKS)
+    offered = choose_landmarks(toxic, clean, max(LEAST_SENTENCES, 0.01 * n_toxic), 2 * LANDMARKS)
     totals = seen.agg(*[F.sum(F.when(F.col("word").contains(s), F.col(n)).otherwise(0)).alias(f"{n}_{i}")
                         for i, s in enumerate(offered) for n in ("n_toxic", "n_clean")]).first() if offered else {}
     landmarks = [s for i, s in enumerate(offered)
