@@ -213,7 +213,7 @@ def rich_python(snippets: DataFrame, nodes: DataFrame) -> DataFrame:
     kind = F.col("type")
     is_func = kind.isin("FunctionDef", "AsyncFunctionDef")
     branches = kind.isin("If", "For", "While", "ExceptHandler", "With", "Assert")
-    level = F.size(F.filter("path", lambda p: p["type"].isin(NESTING))) + 1
+    level = F.col("level") + 1
     func = F.try_element_at(F.filter("kids", lambda k: k["field"] == "func"), F.lit(1))
     own_call = (kind == "Call") & (func["type"] == "Name") & F.exists(
         "path", lambda p: (p["type"] == "FunctionDef") & (p["name"] == func["name"]))

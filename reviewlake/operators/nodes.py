@@ -3,6 +3,8 @@
 Each text is parsed with the standard ``ast`` module and written out as rows.
 No rule is applied here; a row holds what the parser says about one node, a
 short description of its direct children, and the statements that enclose it.
+Of a chain of ``elif`` arms only the first ``if`` is listed among those, so the rows
+of a chain grow with its length; ``level`` counts all of them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE_SCHEMA = """
 snippet_id long, parse_ok boolean, error_line int, error_msg string,
-node int, type string, field string, idx int, line int, end_line int,
+node int, type string, field string, idx int, line int, end_line int, level int,
 name string, ctx string, ops array<string>, names array<string>,
 kids array<struct<field:string,idx:int,type:string,line:int,name:string,base:string,
                   const_type:string,const:string,n:int>>,
@@ -44,13 +46,15 @@ _STEP = pa.struct([("node", _INT), ("type", _TEXT), ("field", _TEXT), ("name", _
 ARROW_SCHEMA = pa.schema([
     ("snippet_id", pa.int64()), ("parse_ok", pa.bool_()), ("error_line", _INT),
     ("error_msg", _TEXT), ("node", _INT), ("type", _TEXT), ("field", _TEXT), ("idx", _INT),
-    ("line", _INT), ("end_line", _INT), ("name", _TEXT), ("ctx", _TEXT),
+    ("line", _INT), ("end_line", _INT), ("level", _INT), ("name", _TEXT), ("ctx", _TEXT),
     ("ops", pa.list_(_TEXT)), ("names", pa.list_(_TEXT)), ("kids", pa.list_(_KID)),
     ("sig", _SIG), ("uses", pa.list_(_TEXT)), ("path", pa.list_(_STEP)),
 ])
 BATCH = 4096
 # Expressions that get a row of their own; all statements and handlers do.
 KEPT_EXPR = (ast.BinOp, ast.BoolOp, ast.Call, ast.Compare, ast.Attribute, ast.Name)
+# Statements that count as a level of nesting.
+NESTING = (ast.If, ast.For, ast.While, ast.With, ast.Try)
 MARKS = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
 
 
@@ -156,10 +160,10 @@ def node_rows(snippet_id, code):
     if tree is None:
         yield {**blank, "error_line": line, "error_msg": message}
         return
-    queue = deque([(tree, None, None, [])])
+    queue = deque([(tree, None, None, [], 0, False)])
     number = 0
     while queue:
-        node, field, idx, path = queue.popleft()
+        node, field, idx, path, level, arm = queue.popleft()
         kids = _children(node)
         is_block = isinstance(node, (ast.stmt, ast.excepthandler))
         if is_block or isinstance(node, (ast.Module, *KEPT_EXPR)):
@@ -167,7 +171,7 @@ def node_rows(snippet_id, code):
                 "snippet_id": snippet_id, "parse_ok": True, "node": number,
                 "type": type(node).__name__, "field": field, "idx": idx,
                 "line": getattr(node, "lineno", None),
-                "end_line": getattr(node, "end_lineno", None),
+                "end_line": getattr(node, "end_lineno", None), "level": level,
                 "name": _name(node), "names": _bound(node), "sig": _signature(node),
                 "ctx": type(node.ctx).__name__ if hasattr(node, "ctx") else None,
                 "ops": [type(o).__name__ for o in node.ops] if isinstance(node, ast.Compare)
@@ -178,10 +182,12 @@ def node_rows(snippet_id, code):
                 if isinstance(node, ast.Assign) else None,
                 "path": path,
             }
-        step = _step(node, number) if is_block else None
+        step = _step(node, number) if is_block and not arm else None
+        deeper = level + isinstance(node, NESTING)
+        below = {f: path + [{**step, "field": f}] if step else path for f, _, _ in kids}
         for kid_field, kid_idx, kid in kids:
-            below = path + [{**step, "field": kid_field}] if step else path
-            queue.append((kid, kid_field, kid_idx, below))
+            further = isinstance(node, ast.If) and isinstance(kid, ast.If) and kid_field == "orelse"
+            queue.append((kid, kid_field, kid_idx, below[kid_field], deeper, further))
         number += 1
 
 

@@ -94,3 +94,11 @@ def test_copies_are_found_without_sorting_texts(spark):
     assert sorted((r.snippet_id, r.code) for r in distinct_snippets(rows).collect()) == [(0, "a"), (1, "b")]
     kept = distinct_snippets(rows)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in kept
+
+
+def test_rows_of_a_long_elif_chain_are_linear(spark):
+    code = "def f(x):\n    if x == 0:\n        return 0\n" + "".join(
+        f"    elif x == {i}:\n        y = {i}\n" for i in range(1, 400)) + "    else:\n        return 1\n"
+    nodes = node_table(code_frame(spark, [code], "python"))
+    rows, entries, deepest = nodes.agg(F.count("*"), F.sum(F.size("path")), F.max("level")).first()
+    assert entries < 3 * rows and deepest == 400
