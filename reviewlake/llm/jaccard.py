@@ -476,7 +476,8 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     labels = smallest_labels(nodes, links)
     named = bounds.join(labels, "node", "left").withColumn(
         "class", F.when(F.col("size") > 0, F.coalesce("label", "node")))
-    smallest = (named.filter("class is not null").groupBy(F.col("class").alias("of_class"))
-                .agg(F.min("doc_id").alias("component_id")))
+    # Kept apart, so that the join below does not share the sum's exchange: rows of one large class can then be split.
+    smallest = keep(named.filter("class is not null").groupBy(F.col("class").alias("of_class"))
+                    .agg(F.min("doc_id").alias("component_id")))
     return (named.join(smallest, F.col("class") == F.col("of_class"), "left")
             .select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
