@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import fixed
 from reviewlake.functions.lang import language_from_path
 from reviewlake.functions.text import lookup, rx, strip
+from reviewlake.sources.stage import staged
 
 CORPUS_COLUMNS = ["code", "docstring", "repo", "path", "language"]
 # Where a row stands in the input: format, file, split of the file, row.
@@ -87,61 +88,70 @@ def read_source_files(spark: SparkSession, folder: str, max_files: int | None =
         F.lit(0).cast("long").alias("seq"))
 
 
-def _java_code_column(header: list[str]) -> str | None:
-    """First known code column of a header, by trimmed lower-case name."""
-    by_name = {h.strip().lower(): h for h in header}
-    return next((by_name[c] for c in fixed.JAVA_CSV_COLUMNS if c in by_name), None)
+def _most_columns(spark: SparkSession, files: list[str]) -> int | None:
+    """The largest number of columns that a header of the files can have; None without files."""
+    header = (_reader(spark, "text", "*.csv").load(files).select("value", *_position(2))
+              .groupBy("file").agg(F.min_by("value", "seq").alias("header")))
+    commas = F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))
+    return header.agg(F.max(commas + 1)).first()[0]
 
 
-def _csv_groups(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """Files grouped by their header line; files of one group are read together."""
-    first = (
-        _reader(spark, "text", "*.csv").load(files)
-        .select("value", *_position(2)).filter("block = 0")
-        .groupBy("file").agg(F.min_by("value", "seq").alias("header"))
-    )
-    # One row per distinct header reaches the driver, with the paths a reader needs.
-    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [r["files"] for r in groups.orderBy("header").collect()]
+def _java_code_place(header: Column) -> Column:
+    """Place, from 1, of the first known code column of a header, by trimmed lower-case name; null without one."""
+    names = F.transform(header, lambda h: F.lower(strip(F.coalesce(h, F.lit("")))))
+    return F.coalesce(*[F.nullif(F.array_position(names, c), F.lit(0).cast("long")) for c in fixed.JAVA_CSV_COLUMNS])
 
 
 def read_java_csv(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Java sources in CSV cells; ``path`` is ``file#rowN``, blank cells are skipped."""
+    """Java sources in CSV cells; ``path`` is ``file#rowN``, blank cells are skipped.
+
+    All files are read alike, without headers: a file's first row says which of its cells holds the code.
+    """
     files = _files(spark, folder, "*.csv", max_files)
-    parts = []
-    for group in _csv_groups(spark, files) if files else []:
-        rows = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-                .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-                .option("ignoreTrailingWhiteSpace", False).csv(group))
-        column = _java_code_column(rows.columns)
-        if column is None:
-            continue
-        code = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-        numbered = rows.select(code.alias("code"), *_position(2))
-        # A multi-line file is read by one task, so ids rise by one per record.
-        start = numbered.groupBy("file").agg(F.min("seq").alias("start"))
-        number = (F.col("seq") - F.col("start") + 1).cast("string")
-        parts.append(
-            numbered.filter(strip(F.col("code")) != "").join(start, "file")
+    width = _most_columns(spark, files) if files else None
+    if width is None:
+        return _empty(spark)
+    names = [f"c{i}" for i in range(width)]
+    rows = (_reader(spark, "csv", "*.csv").schema(", ".join(f"{n} string" for n in names))
+            .option("multiLine", True).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).load(files))
+    # A multi-line file is read by one task, so ids rise by one per record.
+    numbered = rows.select(F.array(*names).alias("cells"), *_position(2))
+    start = numbered.groupBy(F.col("file").alias("of_file")).agg(F.min("seq").alias("start"))
+    header = (numbered.join(start, (F.col("file") == F.col("of_file")) & (F.col("seq") == F.col("start")))
+              .select("of_file", "start", _java_code_place(F.col("cells")).cast("int").alias("place"))
+              .filter("place is not null"))
+    code = F.coalesce(F.try_element_at("cells", F.col("place")), F.lit(""))
+    number = (F.col("seq") - F.col("start")).cast("string")
+    return (numbered.join(header, F.col("file") == F.col("of_file")).filter("seq > start")
+            .withColumn("code", code).filter(strip(F.col("code")) != "")
             .select("code", F.lit("").alias("docstring"), F.lit("").alias("repo"),
                     F.concat(_plain_path(F.col("file")), F.lit("#row"), number).alias("path"),
                     F.lit("java").alias("language"), *POSITION))
-    return reduce(DataFrame.unionByName, parts) if parts else _empty(spark)
 
 
 def take_first(rows: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows in input order, without bringing rows together.
 
-    Row counts per file split say in which split the last row lies. The splits
-    before it are taken whole, and only that one split is ranked.
+    Row counts per file split say in which split the last row lies. The splits before it are taken whole, and only
+    that one split is ranked. The counts themselves are sorted by ranges, and only the range that holds
+    the last row passes through a window.
     """
     split = POSITION[:3]
-    counts = rows.groupBy(*split).agg(F.count("*").alias("size"))
-    so_far = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    last = (counts.withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-            .filter((F.col("before") < n) & (F.col("before") + F.col("size") >= n)).first())
-    if last is None:        # no more than n rows in all, or n is 0
+    counts = staged(rows.groupBy(*split).agg(F.count("*").alias("size")).orderBy(*split)
+                    .withColumn("part", F.spark_partition_id()), "splits")
+    before, found = 0, None
+    for part, size in sorted(tuple(r) for r in counts.groupBy("part").agg(F.sum("size")).collect()):
+        if before < n <= before + size:
+            found = part
+            break
+        before += size
+    if found is None:       # no more than n rows in all, or n is 0
         return rows if n > 0 else rows.filter(F.lit(False))
+    so_far = Window.partitionBy("part").orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    last = (counts.filter(F.col("part") == found)
+            .withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0)) + before)
+            .filter((F.col("before") < n) & (F.col("before") + F.col("size") >= n)).first())
     here = F.struct(*split)
     edge = F.struct(*[F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in split])
     order = Window.partitionBy(*split).orderBy("seq")
