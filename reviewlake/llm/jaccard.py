@@ -34,7 +34,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 # Words are what lies between these bytes: blank, tab, line feed, vertical tab, form feed, carriage return.
 BREAKS = regex.compile("[\x20\x09-\x0d]+")
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 """Text of one part, about."""
 FILTER_BITS = 1 << 23
 TILE = 1024
@@ -431,23 +431,21 @@ def node_links(sets: DataFrame, tile: int = TILE) -> DataFrame:
             .groupBy("bucket").applyInPandas(links_of_bucket, "a long, b long"))
 
 
-def id_filter(ids: DataFrame) -> bytes:
-    """A bit for every hash value of the ``of_id``s: one MB, whatever their number. Where too many bits are set it holds
-    nothing back, and the join behind it does all the work."""
-    x = F.pmod(F.xxhash64("of_id"), F.lit(FILTER_BITS)) + 1
-    rows = (ids.select(F.bitmap_bucket_number(x).alias("bucket"), F.bitmap_bit_position(x).alias("at")).groupBy("bucket")
-            .agg(F.bitmap_construct_agg("at").alias("bits")).collect())
-    size = FILTER_BITS // 8
-    out = bytearray(size)
-    for r in rows:
-        out[(r.bucket - 1) * 4096:(r.bucket - 1) * 4096 + 4096] = r.bits
-    return bytes(out)
+def filtered(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``key`` may be among the ``of_id``s, by a bit for every value of a hash.
 
+    The bits are one MB, whatever the number of ids, so they may be sent to every task. Where too many bits are set they hold
+    nothing back, and the join behind does all the work.
+    """
+    def bit(column):
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
 
-def in_filter(column: str, bits: bytes):
-    x = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(x, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (x % 8).cast("int")) == 1
+    bits = (ids.select(F.bitmap_bucket_number(bit("of_id")).alias("bucket"), F.bitmap_bit_position(bit("of_id")).alias("at"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
+    at = F.bitmap_bit_position(bit("key"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (documents.withColumn("bucket", F.bitmap_bucket_number(bit("key"))).join(F.broadcast(bits), "bucket")
+            .filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "bits"))
 
 
 def id_key():
@@ -469,7 +467,7 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     alive = bounds.filter(F.expr(f"size > 0 and 100 * bound >= {PERCENT} * size"))
     # One document of each node brings its text along. Few do, so most texts stay out of the exchange.
     wanted = keep(alive.groupBy("node").agg(F.min(id_key()).alias("of_id")))
-    texts = (documents.withColumn("key", id_key()).filter(in_filter("key", id_filter(wanted)))
+    texts = (filtered(documents.withColumn("key", id_key()), wanted)
              .join(wanted, F.col("key") == F.col("of_id")).select("node", "text"))
     links = keep(node_links(shared_sets(texts)))
     nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()

@@ -106,18 +106,16 @@ def mix_sources(documents: DataFrame, weights: dict | None = None, temper: float
 
     # The first slot of a source that has no block left.
     until = min(slot_of(s, -(-b // block)) for s, b in totals.items())
-    plan = literal_table(spark, [(s, j, slot, shares[s]) for s, j, slot in pattern],
-                         "p_source string, p_block long, p_slot long, share long")
     placed = running_total(rows, ["source"], ["doc_id"], F.col("_size_of"), "place", "_spread")
     placed = placed.withColumn("block", F.expr(f"place div {block}"))
-    shared = literal_table(spark, [(s, a) for s, a in shares.items()], "s_source string, s_share long")
-    # Both tables have no more rows than the period has slots.
-    placed = placed.join(F.broadcast(shared), F.col("source").eqNullSafe(F.col("s_source")))
-    placed = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))
-                         & (F.col("block") % F.col("s_share") == F.col("p_block")))
+    # As many numbers as the period has slots.
+    plan = literal_table(spark, [(s, shares[s], own) for s, own in slots.items()],
+                         "p_source string, share long, p_slots array<long>")
+    placed = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))
+    placed = placed.withColumn("p_slot", F.get("p_slots", (F.col("block") % F.col("share")).cast("int")))
     return (placed.withColumn("weight", F.col("share") / F.lit(float(period)))
             .withColumn("release", F.expr(f"block * {period} div share"))
             .withColumn("deadline", F.expr(f"((block + 1) * {period} + share - 1) div share"))
             .withColumn("slot", F.expr(f"block div share * {period} + p_slot"))
             .withColumn("in_mix", F.col("slot") < F.lit(until))
-            .drop("_size_of", "_spread", "s_source", "s_share", "p_source", "p_block", "p_slot", "share"))
+            .drop("_size_of", "_spread", "p_source", "p_slots", "p_slot", "share"))
