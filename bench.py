@@ -67,6 +67,10 @@ def q_workspace_stats(spark):
     return history.workspace_stats(inputs.parsed_reviews(spark, SF_DIR), inputs.now())
 
 
+def q_score_series(spark):
+    return history.score_series(inputs.reviews(spark, SF_DIR))
+
+
 def q_threshold_sweep(spark):
     return metrics.threshold_sweep(inputs.scored(spark, SF_DIR), {"java": 2.0}, {"java": 0.7})
 
@@ -87,6 +91,8 @@ def main():
              .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    # Start-up is not part of any query: compile and read once before the clock runs.
+    source(spark).groupBy("review_language").count().write.format("noop").mode("overwrite").save()
     times = {}
     for name, fn in QUERIES.items():
         start = time.perf_counter()
