@@ -3,7 +3,7 @@
 The kernel of two strings counts their common subsequences of three and of four characters; every character skipped on the way, up to
 two between neighbours, costs a factor. Words carry a mark at either end. So a word with letters put in between, or another
 ending, still resembles the insult that it is made of.
-Landmarks (pieces of words that toxic texts have and clean ones lack) give the Nyström features of a string, and a linear
+Insults are words in more toxic sentences than chance explains, given the clean ones. Landmarks (pieces of them) give the Nyström features of a string, and a linear
 machine separates them. A sentence is as toxic as its worst word, a text as its worst sentence. Labels belong to texts,
 so of the sentences of toxic texts only words that clean sentences lack count as toxic examples; the hardest
 words of clean sentences are the examples against.
@@ -14,8 +14,10 @@ The machine is linear and the kernel a sum over subsequences, so the margin of a
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,15 @@ GAP = 2
 LONGEST = 24
 SAMPLE = 2000
 """Labelled texts of each class, about, from which the machine is trained (chosen by a hash of doc_id)."""
-LANDMARKS = 48
-LEAST_SENTENCES = 8
-"""Distinct toxic sentences that a landmark must be in. Among a million pieces of words some are in fewer by chance alone."""
+CLEAN_TIMES = 4
+"""Clean texts for each toxic one of the sample: the more there are, the fewer toxic sentences show that a word is no accident."""
+LANDMARKS = 400
+HARD = 24
+"""Clean words that become landmarks in each round."""
+FALSE_SHARE = 0.05
+"""Share of the words taken for insults that may be there by chance."""
+PIECES = 25
+"""Pieces that a word has, about."""
 ROUNDS = 2
 """Times that the hardest clean words are sought anew."""
 EXAMPLES = 3000
@@ -158,6 +166,45 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
+def chance(toxic: int, clean: int, p: float) -> float:
+    """Probability that of ``toxic + clean`` sentences at least ``toxic`` are toxic ones, if each is with probability ``p``."""
+    n = toxic + clean
+    if not 0 < p < 1:
+        return 1.0
+    ways = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p) for k in range(toxic, n + 1)]
+    top = max(ways)
+    return min(1.0, exp(top) * sum(exp(w - top) for w in ways))
+
+
+class Tested:
+    """How many words would by chance alone look as toxic as one that is in so many toxic and clean sentences."""
+
+    def __init__(self, words_by_sentences: dict[int, int], p: float):
+        self.p, self.sizes = p, sorted(words_by_sentences)
+        counts = np.array([words_by_sentences[n] for n in self.sizes], np.int64)
+        self.at_least = np.cumsum(counts[::-1])[::-1]
+
+    def expected(self, toxic: int, clean: int) -> float:
+        """A word in fewer sentences cannot look as toxic, so only those in at least as many are tried."""
+        at = bisect_left(self.sizes, toxic + clean)
+        tried = int(self.at_least[at]) if at < len(self.sizes) else 1
+        return max(1, tried) * chance(toxic, clean, self.p)
+
+
+def choose_insults(toxic: Counter, clean: dict[str, int], tested: Tested) -> list[str]:
+    """Words of which at most ``FALSE_SHARE`` are expected to be accidents; if there are none, the least accidental ones."""
+    memo: dict[tuple, float] = {}
+    found = []
+    for w, n in toxic.items():
+        key = (n, clean.get(w, 0))
+        if key not in memo:
+            memo[key] = tested.expected(*key)
+        found.append((memo[key], w))
+    found.sort()
+    many = max((i for i, (e, _) in enumerate(found, 1) if e <= FALSE_SHARE * i), default=0)
+    return [w for _, w in found[:many]] if many else [w for e, w in found if e == found[0][0]]
+
+
 def choose_landmarks(toxic: Counter, clean: Counter, least: float, many: int = LANDMARKS) -> list[str]:
     """Pieces of four to eight characters that cover most toxic occurrences and least clean ones, chosen one after the other."""
     left, chosen = dict(toxic), []
@@ -166,16 +213,19 @@ def choose_landmarks(toxic: Counter, clean: Counter, least: float, many: int = L
     for w, n in clean.items():
         for s in spans(w):
             in_clean[s] += n
+    gain: Counter = Counter()
+    for w, n in left.items():
+        for s in spans(w):
+            gain[s] += n
     while left and len(chosen) < many:
-        gain: Counter = Counter()
-        for w, n in left.items():
-            for s in spans(w):
-                gain[s] += n
         best = max(gain, key=lambda s: (gain[s] - 5 * in_clean[s], len(s), s), default=None)
         if best is None or gain[best] - 5 * in_clean[best] < least:
             break
         chosen.append(best)
-        left = {w: n for w, n in left.items() if best not in w}
+        for w in [w for w in left if best in w]:
+            n = left.pop(w)
+            for s in spans(w):
+                gain[s] -= n
     return chosen
 
 
@@ -190,9 +240,9 @@ def with_gaps(words: list[str], seed: int = 7) -> list[str]:
     return out
 
 
-def separate(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 250) -> tuple[np.ndarray, float]:
+def separate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, steps: int = 250) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine with squared hinge loss, both classes of equal weight (accelerated gradient)."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    share = weight * np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y < 0].sum())
     z = np.c_[x, np.ones(len(x))]
     ridge = np.r_[np.full(x.shape[1], 1.0), 1e-3]
     rate = 1 / (1 + 2 * cost * np.linalg.norm(z * np.sqrt(share)[:, None], 2) ** 2)
@@ -205,7 +255,12 @@ def separate(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 250)
 
 
 def train_machine(toxic: list[str], clean: list[str], landmarks: list[str]) -> Machine:
-    """Nyström features of example words against the landmarks, and the linear machine on them."""
+    """Nyström features of example words against the landmarks, and the linear machine on them.
+
+    Toxic words with the same (first) landmark share one weight: endings of one stem do not outweigh another insult.
+    """
+    stems = [next((s for s in landmarks if s in w), w) for w in toxic]
+    sizes = Counter(stems)
     subsequences = Subsequences(landmarks)
     owner, key, weight = subsequences.of(landmarks)
     mine = np.zeros((len(landmarks), subsequences.count))
@@ -217,12 +272,13 @@ def train_machine(toxic: list[str], clean: list[str], landmarks: list[str]) -> M
     words = [*toxic, *with_gaps(toxic), *clean]
     y = np.r_[np.ones(2 * len(toxic)), -np.ones(len(clean))]
     kernel = np.zeros((len(words), len(landmarks)))
-    for at in range(0, len(words), 500):
-        owner, key, weight = subsequences.of(words[at:at + 500])
+    for at in range(0, len(words), 100):
+        owner, key, weight = subsequences.of(words[at:at + 100])
         np.add.at(kernel, at + owner, weight[:, None] * mine[:, key].T)
     features = kernel @ root
     scale = np.maximum(features.std(axis=0), 1e-6)
-    w, bias = separate(features / scale, y)
+    weight = np.r_[np.tile([1 / sizes[s] for s in stems], 2), np.ones(len(clean))]
+    w, bias = separate(features / scale, y, weight, 10.0 * max(1.0, len(sizes) / 5))
     return Machine(subsequences, mine.T @ (root @ (w / scale)), bias)
 
 
@@ -281,7 +337,7 @@ def hardest_step(machine: Machine):
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """Train on a sample of labelled texts; None if a class is missing or nothing tells the classes apart.
+    """Train on a sample of labelled texts; None if a class is missing, or no word is in more than its share of toxic texts.
 
     ``labels``: ``doc_id, toxic``; rows with nulls are passed over, and of contradicting rows the toxic one counts.
     """
@@ -289,29 +345,43 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
     counts = {r.toxic: r["count"] for r in marked.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
+    shares = {0: min(1.0, CLEAN_TIMES * sample / counts[0]), 1: min(1.0, sample / counts[1])}
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
     chosen = marked.filter("toxic in (0, 1)").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    # About 2 x `sample` rows of two numbers, so they may be sent to every task.
+    # About 5 x `sample` rows of two numbers, so they may be sent to every task.
     texts = keep(documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id"))
     # A sentence counts once, however many copies of it there are: what copied toxic texts happen to say is not toxic.
     words = map_blocks(texts.select("text", "toxic"), "word string, sentence binary, toxic int", word_step).distinct()
     seen = keep(words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("n_toxic"),
                                           F.count_if(F.col("toxic") == 0).alias("n_clean")))
-    n_toxic = texts.filter("toxic = 1").count()
-    ratio = max(1.0, counts[0] / counts[1]) * min(1.0, sample / counts[0]) / min(1.0, sample / counts[1])
-    suspect = (F.col("n_toxic") >= 2) & (F.col("n_toxic") > 10 * F.col("n_clean") / F.lit(max(ratio, 1e-9)))
+    ratio = max(1.0, counts[0] / counts[1]) * shares[0] / shares[1]
+    suspect = (F.col("n_toxic") >= 1) & (F.col("n_toxic") > 10 * F.col("n_clean") / F.lit(max(ratio, 1e-9)))
+    sums = {r.n: r for r in seen.groupBy((F.col("n_toxic") + F.col("n_clean")).alias("n"))
+            .agg(F.count("*").alias("words"), F.sum("n_toxic").alias("n_toxic")).collect()}
+    pairs = sum(n * r.words for n, r in sums.items())
+    tested = Tested({n: r.words for n, r in sums.items()}, sum(r.n_toxic for r in sums.values()) / max(1, pairs))
     toxic_rows = seen.filter(suspect).orderBy(F.desc("n_toxic"), "word").limit(EXAMPLES).collect()
     common = seen.filter("n_clean > 0").orderBy(F.desc("n_clean"), "word").limit(5 * EXAMPLES).collect()
     toxic = Counter({r.word: r.n_toxic for r in toxic_rows})
+    if not toxic:
+        return None
     clean = Counter({r.word: r.n_clean for r in common})
+    insults = choose_insults(toxic, {r.word: r.n_clean for r in toxic_rows}, tested)
+    # Pieces of the insults; and pieces that are no accident taken together, though each word with them may be.
+    own = choose_landmarks(Counter({w: toxic[w] for w in insults}), clean, 1)
+    enough = max(2.0, log(FALSE_SHARE / PIECES) / log(min(max(tested.p, 1e-9), 0.99)))
+    offered = list(dict.fromkeys([*own, *choose_landmarks(toxic, clean, enough, len(own) + 48)]))
     # The choice saw the most frequent clean words; now all of them count.
-    offered = choose_landmarks(toxic, clean, max(LEAST_SENTENCES, 0.01 * n_toxic), 2 * LANDMARKS)
     totals = seen.agg(*[F.sum(F.when(F.col("word").contains(s), F.col(n)).otherwise(0)).alias(f"{n}_{i}")
                         for i, s in enumerate(offered) for n in ("n_toxic", "n_clean")]).first() if offered else {}
-    landmarks = [s for i, s in enumerate(offered)
-                 if totals[f"n_toxic_{i}"] * ratio > 20 * totals[f"n_clean_{i}"]][:LANDMARKS]
-    if not landmarks:
-        return None
+    landmarks = []
+    for i, s in enumerate(offered):
+        n, m = totals[f"n_toxic_{i}"], totals[f"n_clean_{i}"]
+        if n * ratio > 20 * m and (s in own or PIECES * tested.expected(n, m) <= FALSE_SHARE):
+            landmarks.append(s)
+    # An insult whose pieces clean words share is a landmark itself.
+    landmarks += [w for w in insults if not any(s in w for s in landmarks)]
+    landmarks = landmarks[:LANDMARKS]
     positive = [w for w in toxic if any(s in w for s in landmarks)]
     machine = train_machine(positive, list(clean)[:EXAMPLES], landmarks)
     # Again with the clean words that the machine finds hardest; the worst of them are landmarks too.
@@ -321,7 +391,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machin
         found = (map_blocks(held, "word string, margin double", hardest_step, machine, text="word")
                  .orderBy(F.desc("margin"), "word").limit(EXAMPLES).collect())
         hard |= dict.fromkeys(r.word for r in found)
-        landmarks += [r.word for r in found if r.word not in landmarks][:LANDMARKS // 2]
+        landmarks += [r.word for r in found if r.word not in landmarks][:HARD]
         machine = train_machine(positive, [*hard, *list(clean)[:EXAMPLES // 2]], landmarks)
     pairs = text_margins(texts, machine, "doc_id long, toxic int").select("toxic", "margin").collect()
     machine.slope, machine.shift = calibrate(np.array([r.margin for r in pairs]), np.array([r.toxic for r in pairs]))

@@ -130,6 +130,31 @@ def test_toxicity_of_odd_documents(spark, odd_documents, no_documents):
     assert {r.score for r in alone} == {0.0} and len(alone) == odd_documents.count()
 
 
+def test_rare_insults_are_learned(spark):
+    """Six toxic sentences among hundreds of clean ones are no accident; two are the best there is where nothing else is found."""
+    plain = ["house", "garden", "river", "walks", "under", "yellow", "patient", "stone", "clock", "riot"]
+    rng = np.random.default_rng(3)
+    for bad, each in ((["scumbag", "wretched"], 6), (["scumbag"], 2)):
+        rows = []
+        for i in range(400):
+            words = [plain[k] + str(rng.integers(9)) for k in rng.integers(0, len(plain), 12)]
+            toxic = int(i < each * len(bad))
+            rows.append((i, " ".join(words[:5] + [bad[i % len(bad)]] * toxic + words[5:]) + ".", toxic))
+        table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        machine = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+        texts = [*bad, *(f"under {w} river1" for w in bad), *(" ".join(w) for w in bad), "house garden river1 stone2"]
+        asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = [r.predicted for r in toxicity.score_texts(asked, machine).orderBy("doc_id").collect()]
+        assert got == [1] * 3 * len(bad) + [0]
+
+
+def test_chance_is_a_binomial_tail():
+    assert toxicity.chance(5, 0, 0.2) == pytest.approx(0.2 ** 5)
+    assert toxicity.chance(1, 1, 0.5) == pytest.approx(0.75)
+    tested = toxicity.Tested({1: 100, 5: 10, 7: 2}, 0.2)
+    assert tested.expected(5, 0) == pytest.approx(12 * 0.2 ** 5) and tested.expected(9, 0) == pytest.approx(0.2 ** 9)
+
+
 def test_pipeline_against_a_plain_one(spark, sf):
     """Each stage on what the one before it kept, with plain versions of what is not a trained model."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
