@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     size, spread = measured()
     narrow = table(spark, folder, "documents").select("doc_id", "source", size.alias("size"), spread.alias("spread"))
     mixed = mix_sources(narrow)
-    return mixed.select("doc_id", "source", "size", F.round("weight", 6).alias("weight"), "block", "release", "deadline",
+    return mixed.select("doc_id", "source", "size", F.round("weight", 12).alias("weight"), "block", "release", "deadline",
                         "slot", "place", "in_mix")
 
 

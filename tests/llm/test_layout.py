@@ -119,6 +119,21 @@ def test_mixture_places_every_document_once(documents):
     assert all(r.slot < last or not r.in_mix or r.slot == last for r in rows) and ends
 
 
+def test_many_small_sources_keep_the_targets(spark):
+    """12,000 sources of one block beside a large one: no limit, true weights, and every prefix within a block of its target."""
+    rows = [(i, "large", 300, i * 7919) for i in range(6000)] + [(10_000 + i, f"small{i}", 300, i) for i in range(12_000)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long, spread long")
+    weights = {"large": 0.94, **{f"small{i}": 0.06 / 12_000 for i in range(12_000)}}
+    got = mix_sources(table, weights, block=300).collect()
+    assert len(got) == len(rows) and len({r.slot for r in got}) == len(rows)
+    assert all(abs(r.weight - weights[r.source]) < 1e-11 and r.release <= r.slot < r.deadline for r in got)
+    seen = 0
+    for n, r in enumerate(sorted((r for r in got if r.in_mix), key=lambda r: r.slot), 1):
+        seen += r.source == "large"
+        assert abs(seen - 0.94 * n) < 1.001
+    assert seen > 5000
+
+
 def test_mixture_of_odd_documents(odd_documents, no_documents):
     rows = mix_sources(odd_documents, block=64).collect()
     assert len(rows) == odd_documents.count() and all(isinstance(r.block, int) for r in rows)
