@@ -12,6 +12,7 @@ from reviewlake.functions.text import (
     strip_c_comments,
 )
 from reviewlake.operators.rules_python import unused_variable_rows
+from reviewlake.sources.stage import staged
 
 NESTING = ["If", "For", "While", "With", "Try"]
 
@@ -262,15 +263,29 @@ def panel_stats(snippets: DataFrame, nodes: DataFrame, results: DataFrame) -> Da
     )
 
 
+def numbered(snippets: DataFrame) -> DataFrame:
+    """A stored table with a number for each row, so that ids made on the fly are the same for all who read it."""
+    return staged(snippets.withColumn("row_no", F.monotonically_increasing_id()), "snippets")
+
+
 def distinct_snippets(snippets: DataFrame) -> DataFrame:
-    """One row per distinct ``(code, review_language)``: the row with the lowest id.
+    """One row per distinct ``(code, review_language)``: the row with the lowest id, once, also if it repeats."""
+    return distinct_numbered(numbered(snippets.select("snippet_id", "code", "review_language")))
+
+
+def distinct_numbered(rows: DataFrame) -> DataFrame:
+    """The same for a table with ``row_no``.
 
-    Copies collapse in the map-side hash aggregate over rows without text, so a text that fills a third
-    of the table still leaves each task as one row; then the kept ids fetch their texts.
+    Copies collapse in the map-side hash aggregates over rows without text, so a text that fills a third
+    of the table still leaves each task as one row; then the kept rows fetch their texts.
     """
-    kept = (snippets.groupBy(F.sha2("code", 256).alias("code_hash"), "review_language")
-            .agg(F.min("snippet_id").alias("snippet_id")))
-    return kept.join(snippets.select("snippet_id", "code"), "snippet_id").select(
+    hashed = rows.select(F.sha2("code", 256).alias("code_hash"), "review_language", "snippet_id", "row_no")
+    by_id = hashed.groupBy("code_hash", "review_language", "snippet_id").agg(F.min("row_no").alias("row_no"))
+    lowest = (hashed.groupBy(F.col("code_hash").alias("l_hash"), F.col("review_language").alias("l_language"))
+              .agg(F.min("snippet_id").alias("l_id")))
+    kept = by_id.join(lowest, (F.col("code_hash") == F.col("l_hash")) & F.col("review_language").eqNullSafe(F.col("l_language"))
+                      & F.col("snippet_id").eqNullSafe(F.col("l_id")))
+    return kept.drop("l_hash", "l_language", "l_id").join(rows.select("row_no", "code"), "row_no").select(
         "code_hash", "review_language", "snippet_id", "code")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.operators import scoring
-from reviewlake.operators.features import distinct_snippets, features, join_by_code
+from reviewlake.operators.features import distinct_numbered, features, join_by_code, numbered
 from reviewlake.operators.lines import clean_c_like, line_facts, with_review_language
 from reviewlake.operators.models import batch_probabilities
 from reviewlake.operators.nodes import node_table
@@ -112,10 +112,11 @@ def review_distinct(snippets: DataFrame) -> tuple[DataFrame, DataFrame, ReviewTa
     """Resolve languages and review each distinct text once.
 
     Returns the snippets with language, the distinct ones with ``code_hash``, and
-    the tables of the latter.
+    the tables of the latter. Distinct ones have ids of their own, since rows with one id may have several texts.
     """
-    source = with_review_language(snippets.withColumn("code", F.coalesce("code", F.lit(""))))
-    distinct = staged(distinct_snippets(source), "distinct")
+    asked = with_review_language(snippets.withColumn("code", F.coalesce("code", F.lit(""))))
+    source = numbered(asked.select("snippet_id", "code", "review_language"))
+    distinct = staged(distinct_numbered(source).withColumn("snippet_id", F.monotonically_increasing_id()), "distinct")
     tables = ReviewTables(distinct.select("snippet_id", "code", "review_language"))
     return source, distinct, tables
 

@@ -89,6 +89,19 @@ def test_hot_copies_collapse_before_the_shuffle(spark):
     assert back.filter("rep = 0").count() == 10000
 
 
+def test_rows_that_repeat_and_ids_with_two_texts(spark):
+    """Each row gets the result of its own text, once, whatever ids it shares."""
+    loop = "for i in range(3):\n    print(i)\n"
+    rows = spark.createDataFrame([(1, loop), (1, loop), (2, "def f(:\n"), (2, "x = 1\n"), (3, loop)],
+                                 "snippet_id long, code string").selectExpr("*", "'python' language", "'a.py' filename")
+    with_language = rows.selectExpr("snippet_id", "code", "language review_language")
+    assert sorted((r.snippet_id, r.code) for r in distinct_snippets(with_language).collect()) == [
+        (1, loop), (2, "def f(:\n"), (2, "x = 1\n")]
+    got = sorted((r.snippet_id, r.syntax_error, r.complexity) for r in review(rows).collect())
+    alone = review(rows.filter("snippet_id = 3")).first()
+    assert got == sorted([(1, False, alone.complexity)] * 2 + [(2, True, 1), (2, False, 1), (3, False, alone.complexity)])
+
+
 def test_hot_text_is_split_in_the_join_back(spark):
     """One text in a third of all rows: its partition is cut and joined in parts."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
