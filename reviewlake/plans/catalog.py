@@ -538,6 +538,7 @@ def s_15(spark, sf_dir):
 
 # ---- models and evaluation -----------------------------------------------------------
 
+# For tests; the registered queries use the operators' defaults, on all labelled rows.
 SMALL = models.TrainSettings(candidates=2, folds=2, grid={
     "num_trees": [8], "max_depth": [4, 8], "min_split": [2, 4], "min_leaf": [1],
     "features": ["sqrt"]})
@@ -580,7 +581,7 @@ def _vectors(spark, sf_dir):
 
 @query("ml_4_tuned_forest")
 def ml_4(spark, sf_dir):
-    params, score = models.tune_forest(_vectors(spark, sf_dir), "python", 5, SMALL)
+    params, score = models.tune_forest(_vectors(spark, sf_dir), "python", 5, models.TrainSettings())
     return spark.createDataFrame(
         [(k, str(v)) for k, v in sorted(params.items())] + [("cv_score", f"{score:.6f}")],
         "param string, value string")
@@ -589,7 +590,8 @@ def ml_4(spark, sf_dir):
 @query("ml_5_sigmoid_calibration")
 def ml_5(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    model = models.calibrated_forest(vectors, {"numTrees": 8, "maxDepth": 4}, 3)
+    params, _ = models.tune_forest(vectors, "python", 5, models.TrainSettings())
+    model = models.calibrated_forest(vectors, params, 3)
     return models.predict_probability(model, vectors.drop("features")).select(
         "snippet_id", "label", "probability")
 
@@ -601,9 +603,20 @@ def ml_6(spark, sf_dir):
     return _round(rows, "threshold", "f1", "fbeta", "precision", "recall")
 
 
+_packages: dict[tuple, tuple[dict, dict]] = {}
+
+
+def _package(spark, sf_dir):
+    """The full search and fit, trained once for each session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _packages:
+        _packages[key] = models.train_models(_train_rows(spark, sf_dir))
+    return _packages[key]
+
+
 @query("ml_7_per_language_train")
 def ml_7(spark, sf_dir):
-    _, meta = models.train_models(_train_rows(spark, sf_dir), SMALL)
+    _, meta = _package(spark, sf_dir)
     rows = [(lang_, m["decision_threshold"], m["metrics"]["f1"], m["metrics"]["roc_auc"],
              m["train_size"], m["test_size"]) for lang_, m in meta["language_metrics"].items()]
     return spark.createDataFrame(rows, "review_language string, threshold double, f1 double, "
@@ -612,7 +625,7 @@ def ml_7(spark, sf_dir):
 
 def _scored_by_model(spark, sf_dir, folder=None):
     rows = _train_rows(spark, sf_dir)
-    package, meta = models.train_models(rows, SMALL)
+    package, meta = _package(spark, sf_dir)
     if folder:
         sinks.save_package(spark, package, meta, folder)
         package, meta = sinks.load_package(spark, folder)
@@ -621,7 +634,7 @@ def _scored_by_model(spark, sf_dir, folder=None):
 
 @query("ml_8_batch_score")
 def ml_8(spark, sf_dir):
-    package = models.train_models(_train_rows(spark, sf_dir), SMALL)
+    package = _package(spark, sf_dir)
     return review(code_corpus(spark, sf_dir), package).select(
         "snippet_id", "review_language", "confidence")
 
@@ -667,7 +680,7 @@ def ml_10(spark, sf_dir):
 def ml_11(spark, sf_dir):
     tables = _tables(spark, sf_dir)
     data = models.issue_dataset(tables.features, tables.results())
-    return models.train_issue_classifier(data, rounds=2, depth=3)[1]
+    return models.train_issue_classifier(data)[1]
 
 
 @query("ml_12_severity_dataset")
@@ -683,7 +696,7 @@ def ml_12(spark, sf_dir):
 def ml_13(spark, sf_dir):
     tables = _tables(spark, sf_dir)
     data = models.severity_dataset(tables.features, tables.results())
-    return models.train_severity_classifier(data, trees=8, depth=4, folds=2)[1]
+    return models.train_severity_classifier(data)[1]
 
 
 @query("ev_1_predict_flag")
@@ -742,7 +755,7 @@ def main_evaluate_rules(spark, sf_dir):
 
 @query("main_evaluate_model")
 def main_evaluate_model(spark, sf_dir):
-    package = models.train_models(_train_rows(spark, sf_dir), SMALL)
+    package = _package(spark, sf_dir)
     return flows.evaluate(_labeled_snippets(spark, sf_dir), package)
 
 

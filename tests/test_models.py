@@ -167,3 +167,43 @@ def test_candidates_are_distinct_and_repeatable():
         return [tuple(sorted((p.name, v) for p, v in m.items())) for m in maps]
 
     assert len(picked(1)) == 25 and picked(1) == picked(1) and picked(1) != picked(2)
+
+
+def test_registered_fits_are_the_full_ones(spark, sf, monkeypatch, train_rows):
+    """The queries pass no smaller settings on, and one package serves all of a data folder."""
+    from reviewlake.plans import catalog
+
+    asked = []
+
+    def full(settings):
+        assert settings is None or settings == models.TrainSettings()
+
+    def tune(train, language, min_class, settings):
+        full(settings)
+        asked.append("tune")
+        return {"numTrees": 3, "maxDepth": 2}, 0.5
+
+    def train(rows, settings=None):
+        full(settings)
+        asked.append("train")
+        return {}, {"language_metrics": {"python": {
+            "decision_threshold": 0.5, "metrics": {"f1": 0.5, "roc_auc": 0.5}, "train_size": 2, "test_size": 1}}}
+
+    def classify(data, **smaller):
+        assert not smaller
+        asked.append("classify")
+        return None, data
+
+    rows = train_rows.withColumn("label", F.col("bug_risk").cast("double")).withColumn("weight", F.lit(1.0))
+    monkeypatch.setattr(catalog, "_packages", {})
+    monkeypatch.setattr(catalog, "_train_rows", lambda *_: train_rows)
+    monkeypatch.setattr(catalog, "_vectors", lambda *_: models._assembler().transform(rows))
+    monkeypatch.setattr(catalog, "_tables", lambda *_: type("T", (), {"features": None, "results": lambda self: None})())
+    for name, fake in (("tune_forest", tune), ("train_models", train), ("issue_dataset", lambda *_: None),
+                       ("severity_dataset", lambda *_: None), ("train_issue_classifier", classify),
+                       ("train_severity_classifier", classify)):
+        monkeypatch.setattr(models, name, fake)
+    for name in ("ml_4_tuned_forest", "ml_5_sigmoid_calibration", "ml_7_per_language_train", "ml_7_per_language_train",
+                 "ml_11_issue_classifier", "ml_13_severity_classifier"):
+        catalog.REGISTRY[name](spark, sf)
+    assert asked == ["tune", "tune", "train", "classify", "classify"]
