@@ -261,12 +261,25 @@ class Counter:
         return self.totals[codes]
 
     def counted(self, text: str) -> Counted:
-        """All prefix counts of one text (without special strings)."""
-        words = [w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(text)]
-        count, start = self.vocabulary.prefix_counts(words)
-        inside = [count[s:s + len(w)] for s, w in zip(start.tolist(), words, strict=True)]
+        """All prefix counts of one text. A special string is a token that is there when its last byte is: a cut before that gives
+        the tokens of its part as a text by itself."""
+        words, special = [], []
+        at = 0
+        for m in [*self.special.finditer(text), None]:
+            part = text[at:m.start()] if m else text[at:]
+            own = self.pattern.findall(part)
+            words += own
+            special += [False] * len(own)
+            if m:
+                words.append(m.group())
+                special.append(True)
+                at = m.end()
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        count, start = self.vocabulary.prefix_counts(raw)
+        inside = [count[s:s + len(w)] for s, w in zip(start.tolist(), raw, strict=True)]
+        inside = [np.r_[x[:-1], 1] if own else x for x, own in zip(inside, special, strict=True)]
         before = np.r_[0, np.cumsum([x[-1] for x in inside])].astype(np.int64)
-        return Counted(words, inside, before, np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64))
+        return Counted(raw, inside, before, np.r_[0, np.cumsum([len(w) for w in raw])].astype(np.int64))
 
 
 def count_step(path: str, limit: int):

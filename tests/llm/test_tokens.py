@@ -48,6 +48,18 @@ def test_budgets_are_answered_without_encoding_again():
     assert found.longest_prefix(found.total()) == len(text.encode())
 
 
+def test_prefix_counts_with_special_strings():
+    """Totals and cuts agree with the library where a special string is one token."""
+    counter, library = token_counts.Counter(BPE), Tokenizer.from_file(BPE)
+    special = next(iter(counter.vocabulary.special))
+    for text in (special, f"one two{special}three four", f"{special}{special} x", f"end {special}"):
+        found = counter.counted(text)
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        assert found.total() == counter.counts([text])[0] == want
+        assert found.longest_prefix(want) == len(text.encode())
+    assert counter.counted(special + " word").longest_prefix(1) == len(special.encode())
+
+
 def test_truncation_points(spark, odd_documents, no_documents):
     rows = token_counts.truncation_points(odd_documents, BPE, (0, 3, 10**6)).collect()
     assert len(rows) == odd_documents.count() and all(r.prefix_bytes[0] == 0 for r in rows)
