@@ -20,8 +20,6 @@ from reviewlake.llm.shared import map_blocks
 WIDTH = 1024
 SAMPLE = 1500
 """Training texts of one language, about: the fit uses a sample of labelled rows that is bounded so."""
-LANGUAGES = 1000
-"""Languages that a fit can tell apart (the most frequent ones)."""
 
 NO_LANGUAGE = "und"
 
@@ -123,15 +121,20 @@ def fit(documents: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> Proto
     Rows without a language, a text or a doc_id are not learned from.
     """
     rows = documents.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    counts = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Prototypes([], np.zeros((0, width)))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, sample / r["count"]))])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    chosen = rows
+    if large := [r for r in counts if r["count"] > sample]:
+        # Only languages that are sampled need a share; all texts of the others count.
+        shares = rows.sparkSession.createDataFrame([(r.lang, sample / r["count"]) for r in large], "s_lang string, share double")
+        chosen = (rows.join(F.broadcast(shares), F.col("lang") == F.col("s_lang"), "left")
+                  .filter(F.col("share").isNull() | (draw < F.col("share") * (1 << 20))))
     partial = map_blocks(chosen.select("text", "lang"), "lang string, bundle array<double>", bundles, width)
     summed = (partial.select("lang", F.posexplode("bundle").alias("at", "x"))
               .groupBy("lang", "at").agg(F.sum("x").alias("x")))
-    # At most LANGUAGES x width numbers.
+    # As many rows as there are languages, of `width` numbers.
     found = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).collect()
     found = sorted(((r.lang, [e.x for e in r.v]) for r in found), key=lambda r: r[0])
     return Prototypes([r[0] for r in found], np.array([r[1] for r in found]).reshape(len(found), -1))

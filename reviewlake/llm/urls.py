@@ -26,6 +26,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
+MOST_LABELS = 127
+"""Labels of the longest name in DNS."""
+
+
 def host_and_path(df: DataFrame, url: str) -> DataFrame:
     """Add ``host`` (after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased) and ``path`` (from there up
     to ``?``, ``#`` or the end); both are empty for a null url or one without ``://``."""
@@ -53,7 +57,7 @@ def host_edges(pages: DataFrame, family: bool = True) -> DataFrame:
     """``src, dst, weight``: links between different hosts. ``pages`` has ``host`` and ``html``.
 
     With ``family`` a host of more than two labels also links to its parent domain, and so on upwards: a subdomain vouches
-    for its domain, and answers for it.
+    for its domain, and answers for it. A name of more labels than DNS allows links to its last ``MOST_LABELS`` at once.
     """
     linked = (pages.filter("host <> '' and html is not null")
               .select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
@@ -63,11 +67,16 @@ def host_edges(pages: DataFrame, family: bool = True) -> DataFrame:
         return linked
     hosts = (pages.select("host").distinct().unionByName(linked.select(F.col("dst").alias("host"))).distinct())
     labels = F.split("host", r"\.")
-    up = (hosts.withColumn("labels", labels).filter(F.size("labels").between(3, 50))
+    split = hosts.withColumn("all_labels", labels)
+    labels = F.slice("all_labels", F.greatest(F.lit(1), F.size("all_labels") - MOST_LABELS + 1), MOST_LABELS)
+    up = (split.withColumn("labels", labels).filter(F.size("labels") >= 3)
           .select(F.explode(F.transform(F.sequence(F.lit(1), F.size("labels") - 2), lambda i: F.struct(
               F.concat_ws(".", F.slice("labels", i, F.size("labels") - i + 1)).alias("src"),
               F.concat_ws(".", F.slice("labels", i + 1, F.size("labels") - i)).alias("dst")))).alias("e"))
-          .select("e.src", "e.dst").distinct())
+          .select("e.src", "e.dst"))
+    longer = (split.filter(F.size("all_labels") > MOST_LABELS)
+              .select(F.col("host").alias("src"), F.concat_ws(".", labels).alias("dst")))
+    up = up.unionByName(longer).distinct()
     return (linked.unionByName(up.withColumn("weight", F.lit(1.0)))
             .groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 

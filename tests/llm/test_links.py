@@ -219,3 +219,16 @@ def test_repeated_queries_and_empty_tables(spark):
     found = topk.nearest_vectors(frame).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 1, 524288)] * 2 + [(2, 1, 524288)] * 2
     assert topk.nearest_vectors(frame.limit(0)).collect() == []
+
+
+def test_hosts_of_many_labels_reach_their_domain(spark):
+    from reviewlake.llm.urls import host_edges
+
+    for n in (60, 200):
+        host = ".".join(["a"] * (n - 2) + ["site", "org"])
+        pages = spark.createDataFrame([(host, "x")], "host string, html string")
+        edges = {r.src: r.dst for r in host_edges(pages).collect()}
+        steps = 0
+        while host in edges and steps < 300:
+            host, steps = edges[host], steps + 1
+        assert host == "site.org"

@@ -23,6 +23,11 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_language_is_learned(spark):
+    table = spark.range(1010).selectExpr("id doc_id", "concat('text', id) text", "concat('lang', id) lang")
+    assert len(language.fit(table, width=64).languages) == 1010
+
+
 def plain_profile(text, width=language.WIDTH):
     """The bundle of one text, letter by letter."""
     letters = [c if c.isalpha() else "\n" for c in text.lower()]
