@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm.shared import table
+from reviewlake.llm.sql import SQL  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -79,6 +80,22 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints_and_edits(table(spark, folder, "documents"))
 
 
-QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op")}
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.lexical import rank_documents
+
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, folder, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from reviewlake.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op")}

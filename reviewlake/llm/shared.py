@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from reviewlake.sources.stage import shared_folder
+
 BLOCK_BYTES = 2 << 20
 """Text that one step of a Python task holds."""
 
@@ -24,12 +25,11 @@ SALTS = 1024
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared checkpoint folder, and read them from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset, as in tests, a local one is made.
+    The folder is the session's ``spark.checkpoint.dir``; a local one is made only in local mode where that is unset.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="reviewlake-llm-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -110,20 +110,22 @@ def map_blocks(df: DataFrame, schema: str, start: Callable, *args, text: str = "
 class WordTable:
     """Numbers the distinct words of a task's texts; ``add`` is told of new ones, ``clear`` when all are forgotten.
 
-    Words are kept from block to block until there are ``most`` of them, which bounds the memory and changes no result.
+    Words are kept from block to block until there are ``most`` of them, or ``longest`` characters in all, which bounds the
+    memory and changes no result.
     """
 
-    def __init__(self, add: Callable[[list[str]], None], clear: Callable[[], None], most: int = 200_000):
-        self.index: dict[str, int] = {}
-        self.add, self.clear, self.most = add, clear, most
+    def __init__(self, add: Callable[[list], None], clear: Callable[[], None], most: int = 200_000, longest: int = 4 << 20):
+        self.index: dict = {}
+        self.add, self.clear, self.most, self.longest, self.held = add, clear, most, longest, 0
 
-    def codes(self, words: list[str]) -> np.ndarray:
-        if len(self.index) > self.most:
-            self.index = {}
+    def codes(self, words: list) -> np.ndarray:
+        if len(self.index) > self.most or self.held > self.longest:
+            self.index, self.held = {}, 0
             self.clear()
         index = self.index
         new = [w for w in dict.fromkeys(words) if w not in index]
         if new:
+            self.held += sum(map(len, new))
             index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self.add(new)
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
