@@ -59,10 +59,10 @@ WITH RECURSIVE bits AS (
                 ELSE run END AS word, n FROM summed)
   WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
 ), shorter AS (
-  SELECT word, n, at, array_to_string(list_concat(string_split(word, '')[1:at - 1], string_split(word, '')[at + 1:]), '') AS rest
-  FROM words, range(1, 200000) t(at) WHERE at <= length(word)
+  SELECT word, n, place, array_to_string(list_concat(string_split(word, '')[1:place - 1], string_split(word, '')[place + 1:]), '') AS rest
+  FROM words, range(1, 200000) t(place) WHERE place <= length(word)
 ), near AS (
-  SELECT DISTINCT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.at = b.at AND a.word <> b.word
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
   UNION
   SELECT DISTINCT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
   UNION
