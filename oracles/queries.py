@@ -466,6 +466,18 @@ bestrow AS (
     cut) AS r FROM fb)""", """
 SELECT review_language, round(cut, 6) AS threshold, round(f1, 6) AS f1, round(fbeta, 6) AS fbeta,
   round(precision, 6) AS precision, round(recall, 6) AS recall FROM bestrow WHERE r = 1""")
+# The steps by their other definition: the largest, over all beginnings, of the least mean up to a later end.
+SQL["ml_13b_isotonic_curve"] = sql(SCORED + """,
+pt AS (SELECT review_language, probability AS score, sum(2 * label + 1) AS w, sum((2 * label + 1) * label) AS t FROM sd GROUP BY 1, 2),
+cm AS (
+  SELECT *, row_number() OVER o AS r, sum(w) OVER o AS cw, sum(t) OVER o AS ct FROM pt
+  WINDOW o AS (PARTITION BY review_language ORDER BY score)),
+sg AS (
+  SELECT b.review_language, b.r AS first, e.r AS last, (e.ct - b.ct + b.t) / (e.cw - b.cw + b.w)::DOUBLE AS mean
+  FROM cm b JOIN cm e ON e.review_language = b.review_language AND e.r >= b.r),
+least AS (
+  SELECT review_language, first, last AS r, min(mean) OVER (PARTITION BY review_language, first ORDER BY last DESC) AS low FROM sg)""", """
+SELECT review_language, score, round(max(low), 6) AS value FROM least JOIN cm USING (review_language, r) GROUP BY 1, 2""")
 SQL["ml_9_binary_metrics"] = sql(SCORED + """,
 b AS (
   SELECT review_language, count(*) AS n_samples,

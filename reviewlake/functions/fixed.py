@@ -165,7 +165,7 @@ SEARCH_BETA = {"python": 1.0, "cpp": 1.0, "java": 2.0}
 MIN_RECALL = {"java": 0.70}
 FOREST_GRID = {
     "num_trees": [200, 300, 500, 700],
-    "max_depth": [30, 8, 12, 20, 30],
+    "max_depth": [None, 8, 12, 20, 30],
     "min_split": [2, 4, 8, 12],
     "min_leaf": [1, 2, 4, 6],
     "features": ["sqrt", "log2", "all"],

@@ -540,7 +540,7 @@ def s_15(spark, sf_dir):
 
 # For tests; the registered queries use the operators' defaults, on all labelled rows.
 SMALL = models.TrainSettings(candidates=2, folds=2, grid={
-    "num_trees": [8], "max_depth": [4, 8], "min_split": [2, 4], "min_leaf": [1],
+    "num_trees": [8, 12], "max_depth": [4, None], "min_split": [2, 4], "min_leaf": [1],
     "features": ["sqrt"]})
 
 
@@ -573,27 +573,33 @@ def _train_rows(spark, sf_dir):
     return staged(rows, "train-rows")
 
 
-def _vectors(spark, sf_dir):
-    rows = _train_rows(spark, sf_dir).filter("review_language = 'python'").withColumn(
-        "label", F.col("bug_risk").cast("double"))
-    return staged(models._assembler().transform(sampling.class_weights(rows, "label")), "vectors")
+_packages: dict[tuple, tuple[dict, dict]] = {}
+
+
+def _package(spark, sf_dir):
+    """The full search and fit, trained once for each session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _packages:
+        _packages[key] = models.train_models(_train_rows(spark, sf_dir))
+    return _packages[key]
 
 
 @query("ml_4_tuned_forest")
 def ml_4(spark, sf_dir):
-    params, score = models.tune_forest(_vectors(spark, sf_dir), "python", 5, models.TrainSettings())
-    return spark.createDataFrame(
-        [(k, str(v)) for k, v in sorted(params.items())] + [("cv_score", f"{score:.6f}")],
-        "param string, value string")
+    """The parameters that the search found, by language."""
+    _, meta = _package(spark, sf_dir)
+    rows = [(k, name, str(value)) for k, m in meta["language_metrics"].items()
+            for name, value in [*sorted(m["best_params"].items()), ("cv_score", f"{m['best_cv_score']:.6f}")]]
+    return spark.createDataFrame(rows, "review_language string, param string, value string")
 
 
 @query("ml_5_sigmoid_calibration")
 def ml_5(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    params, _ = models.tune_forest(vectors, "python", 5, models.TrainSettings())
-    model = models.calibrated_forest(vectors, params, 3)
-    return models.predict_probability(model, vectors.drop("features")).select(
-        "snippet_id", "label", "probability")
+    """Calibrated probabilities of all labelled rows of the languages that have a model."""
+    package, _ = _package(spark, sf_dir)
+    rows = _train_rows(spark, sf_dir).filter(F.col("review_language").isin(list(package)))
+    return models.predict_probability(package, rows).select(
+        "snippet_id", "review_language", F.col("bug_risk").alias("label"), "probability")
 
 
 @query("ml_6_threshold_sweep")
@@ -603,17 +609,6 @@ def ml_6(spark, sf_dir):
     return _round(rows, "threshold", "f1", "fbeta", "precision", "recall")
 
 
-_packages: dict[tuple, tuple[dict, dict]] = {}
-
-
-def _package(spark, sf_dir):
-    """The full search and fit, trained once for each session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _packages:
-        _packages[key] = models.train_models(_train_rows(spark, sf_dir))
-    return _packages[key]
-
-
 @query("ml_7_per_language_train")
 def ml_7(spark, sf_dir):
     _, meta = _package(spark, sf_dir)
@@ -699,6 +694,18 @@ def ml_13(spark, sf_dir):
     return models.train_severity_classifier(data)[1]
 
 
+@query("ml_13b_isotonic_curve")
+def ml_13b(spark, sf_dir):
+    """The curve of each language at each of its scores, rows weighing more where labels are rare."""
+    rows = inputs.scored(spark, sf_dir).select("review_language", F.col("probability").alias("score"), F.col("label").alias("hit"),
+                                               (F.col("label") * 2 + 1).cast("double").alias("weight"))
+    curve = models.isotonic_curves(rows, ["review_language"])
+    asked = rows.select("review_language", "score").distinct()
+    steps = curve.withColumnRenamed("review_language", "language")
+    return _round(asked.join(steps, (F.col("language") == F.col("review_language")) & F.col("score").between(
+        F.col("low"), F.col("high"))).select("review_language", "score", "value"), "value")
+
+
 @query("ev_1_predict_flag")
 def ev_1(spark, sf_dir):
     return _results(spark, sf_dir).select("snippet_id", metrics.predict_flag(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.ml import PipelineModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
+from reviewlake.operators.models import CalibratedForest, read_meta, write_meta
 
 RESULT_JSON = ("confidence double, syntax_error boolean, error_line int, error_msg string, "
                "issues array<array<string>>, complexity int")
@@ -85,23 +85,23 @@ def read_reviews(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).drop("run_id", "batch_id")
 
 
-def save_package(spark: SparkSession, models: dict[str, PipelineModel], meta: dict,
+def save_package(spark: SparkSession, models: dict[str, CalibratedForest], meta: dict,
                  folder: str) -> None:
-    """One saved pipeline per language and the meta data as JSON text."""
+    """One saved forest per language and the meta data as JSON text."""
     for language, model in models.items():
-        model.write().overwrite().save(f"{folder}/models/{language}")
-    rows = spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string")
-    rows.coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
-
-
-def load_package(spark: SparkSession, folder: str) -> tuple[dict[str, PipelineModel], dict]:
-    """``(models, meta)``; a bare pipeline counts as a package of the default language."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/meta")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return ({"python": PipelineModel.load(folder)},
+        model.save(f"{folder}/models/{language}")
+    write_meta(spark, meta, folder)
+
+
+def load_package(spark: SparkSession, folder: str) -> tuple[dict[str, CalibratedForest], dict]:
+    """``(models, meta)``; a bare forest counts as a package of the default language."""
+    try:
+        meta = read_meta(spark, folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return ({"python": CalibratedForest.load(spark, folder)},
                 {"artifact_version": "legacy", "default_language": "python"})
-    meta = json.loads(spark.read.text(f"{folder}/meta").first()["value"])
-    models = {lang: PipelineModel.load(f"{folder}/models/{lang}")
+    models = {lang: CalibratedForest.load(spark, f"{folder}/models/{lang}")
               for lang in meta["trained_languages"]}
     return models, meta

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
-from reviewlake.operators import metrics, models, sampling
+from reviewlake.operators import boosting, metrics, models, sampling, trees
 from reviewlake.plans.catalog import SMALL
 from reviewlake.sources import sinks
 
@@ -143,30 +143,231 @@ def test_training_saving_and_scoring(spark, train_rows, tmp_path):
     settled = train_rows.withColumn("n_issues", F.lit(2))
     assert models.batch_probabilities(settled, package, meta).count() == 0
     bare = str(tmp_path / "bare")
-    package["python"].write().save(bare)
-    assert sinks.load_package(spark, bare)[1]["artifact_version"] == "legacy"
-
-
-def test_calibration_keeps_the_order(spark, train_rows):
-    rows = train_rows.filter("review_language = 'python'").withColumn(
-        "label", F.col("bug_risk").cast("double")).withColumn("weight", F.lit(1.0))
-    vectors = models._assembler().transform(rows)
-    model = models.calibrated_forest(vectors, {"numTrees": 8, "maxDepth": 4}, 3)
-    scored = model.transform(rows)
-    pairs = sorted((r.score[0], r.probability[1]) for r in scored.collect())
-    assert all(x[1] <= y[1] + 1e-12 for x, y in zip(pairs, pairs[1:]))
+    package["python"].save(bare)
+    legacy, legacy_meta = sinks.load_package(spark, bare)
+    assert legacy_meta["artifact_version"] == "legacy"
+    a = models.predict_probability(package, train_rows.filter("review_language = 'python'")).select("snippet_id", "probability")
+    b = models.predict_probability(legacy, train_rows.filter("review_language = 'python'")).select("snippet_id", "probability")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    # no model, no probability; null features count as 0
+    odd = train_rows.filter("snippet_id in (0, 1001)").withColumn("num_ifs", F.lit(None).cast("int"))
+    got = {r.snippet_id: r.probability for r in models.predict_probability(package, odd).collect()}
+    assert got[1001] is None and 0 <= got[0] <= 1
+
+
+def test_fit_rows_bound_the_sample_only(spark, train_rows):
+    settings = models.TrainSettings(candidates=2, folds=2, grid=SMALL.grid, fit_rows=60)
+    _, meta = models.train_models(train_rows, settings)
+    python = meta["language_metrics"]["python"]
+    assert 50 <= python["fit_size"] <= 60 and python["train_size"] == 96 and python["test_size"] == 24
+
+
+# ---- forests ------------------------------------------------------------------------
+
+def _rows(n=200, seed=1, classes=2):
+    rng = np.random.default_rng(seed)
+    values = rng.poisson(2, (n, 12)).astype(float)
+    label = np.clip(((values[:, 2] + values[:, 11] + rng.normal(0, 1, n)) / 3).astype(int), 0, classes - 1)
+    cuts = [trees.bin_edges(values[:, f]) for f in range(12)]
+    bins = np.stack([np.searchsorted(c, values[:, f]) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    rows = trees.Rows(bins, label, np.arange(n) % 5, rng.integers(0, 2**63, n).astype(np.uint64), np.arange(n))
+    return rows, values, cuts
+
+
+def _plain_tree(rows, use, number, classes, n_features, least_leaf, least_split, deepest, seed):
+    """One tree by recursion, trying every cut of a node: {row: votes}."""
+    drawn = trees.draws(rows.key[use], np.array([number]), seed)[0]
+    bag = [(int(i), int(c)) for i, c in zip(use, drawn) if c]
+    whole = [sum(c for i, c in bag if rows.label[i] == k) for k in range(classes)]
+    weight = [sum(whole) / (sum(n > 0 for n in whole) * n) if n else 0.0 for n in whole]
+    leaves = {}
+
+    def counts(own):
+        return np.array([sum(c for i, c in own if rows.label[i] == k) for k in range(classes)], float)
+
+    def grow(own, test, path, depth):
+        total = counts(own)
+        votes = total * weight / (total * weight).sum()
+        best = (-1.0, None, None)
+        if depth < deepest and total.sum() >= max(least_split, 2 * least_leaf) and (total > 0).sum() > 1:
+            order = trees.mixed(path + np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+            varies = [len({rows.bins[i, f] for i, _ in own}) > 1 for f in range(12)]
+            for f in [f for f in np.argsort(order, kind="stable") if varies[f]][:n_features]:
+                for cut in range(int(rows.bins.max())):
+                    left = counts([(i, c) for i, c in own if rows.bins[i, f] <= cut])
+                    right = total - left
+                    if min(left.sum(), right.sum()) >= max(1, least_leaf):
+                        a, b = left * weight, right * weight
+                        gain = (a * a).sum() / a.sum() + (b * b).sum() / b.sum()
+                        if gain > best[0]:
+                            best = (gain, f, cut)
+        if best[1] is None:
+            leaves.update({int(i): votes for i in test})
+            return
+        _, f, cut = best
+        with np.errstate(over="ignore"):
+            for side, step in ((False, 1), (True, 2)):
+                grow([(i, c) for i, c in own if (rows.bins[i, f] > cut) == side],
+                     [i for i in test if (rows.bins[i, f] > cut) == side],
+                     trees.mixed(path * np.uint64(2) + np.uint64(step)), depth + 1)
+
+    with np.errstate(over="ignore"):
+        root = trees.mixed(np.uint64(number) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    grow(bag, range(len(rows.label)), root, 0)
+    return leaves
+
+
+@pytest.mark.parametrize("shape", [(3, 1, 2, trees.DEEPEST), (12, 2, 8, 4), (3, 6, 2, trees.DEEPEST)])
+@pytest.mark.parametrize("classes", [2, 3])
+def test_trees_equal_a_plain_grower(shape, classes, monkeypatch):
+    monkeypatch.setattr(trees, "CELLS", 500)
+    n_features, least_leaf, least_split, deepest = shape
+    rows, _, _ = _rows(120, 7, classes)
+    use = np.flatnonzero(rows.fold != 1)
+    forest = trees.grow(rows, use, np.arange(5, 9), classes, n_features, least_leaf, least_split, deepest, seed=3)
+    found = forest.votes[trees.reached(forest, rows.bins, 4)]
+    for t in range(4):
+        plain = _plain_tree(rows, use, 5 + t, classes, n_features, least_leaf, least_split, deepest, 3)
+        assert np.allclose(found[t], [plain[i] for i in range(120)])
+
+
+def test_smaller_settings_are_cut_out_of_larger_forests():
+    rows, _, _ = _rows()
+    use = np.flatnonzero(rows.fold != 0)
+    large = trees.grow(rows, use, np.arange(20), 2, 3, 2)
+    for least_split, deepest, n in ((8, 5, 20), (2, 3, 7), (12, trees.DEEPEST, 1)):
+        small = trees.grow(rows, use, np.arange(n), 2, 3, 2, least_split, deepest)
+        a = large.votes[trees.reached(large, rows.bins, 20, least_split, deepest)[:n]]
+        assert np.array_equal(a, small.votes[trees.reached(small, rows.bins, n)])
+
+
+def test_pieces_and_portions_change_nothing(spark, monkeypatch):
+    rows, values, cuts = _rows()
+    fit = [trees.Fit("all", fold, 30, 3, 1) for fold in range(2)]
+    asked = [[(0, 30, 2, trees.DEEPEST), (1, 12, 6, 4)]] * 2
+    frame = spark.createDataFrame([("all", i, *map(float, v)) for i, v in enumerate(values)],
+                                  "m string, i int, " + ", ".join(f"{f} double" for f in fixed.FEATURES))
+    seen = []
+    for entries, portion in ((trees.ENTRIES, trees.PORTION), (1000, 500)):
+        monkeypatch.setattr(trees, "ENTRIES", entries)
+        monkeypatch.setattr(trees, "PORTION", portion)
+        votes = trees.fold_scores(spark, {"all": rows}, fit, asked)
+        nodes = trees.fit_forests(spark, {"all": rows}, {"all": cuts}, fit, 2).cache()
+        scores = trees.forest_scores(frame, nodes, fixed.FEATURES, "m")
+        seen.append(({(r.candidate, r.fold, r.snippet_id): round(r.votes, 9) for r in votes.collect()},
+                     {r.i: [round(s, 9) for s in r.scores] for r in scores.collect()}))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 2 * 80
+    # what the search has seen of a fold is what the fitted forest says about it
+    assert all(abs(seen[0][1][i][2 * fold + 1] - v) < 1e-8 for (c, fold, i), v in seen[0][0].items() if c == 0)
+
+
+def test_sigmoid_curve_is_the_best_one():
+    rng = np.random.default_rng(5)
+    for n, spread in ((40, 0.5), (400, 0.05), (6, 0.0)):
+        label = (rng.random(n) < 0.4).astype(int)
+        label[:2] = (0, 1)
+        score = np.clip(label * 0.4 + 0.3 + rng.normal(0, spread, n), 0, 1)
+        a, b = models.sigmoid_curve(score, label, np.ones(n))
+        hits, misses = label.sum(), (1 - label).sum()
+        target = np.where(label == 1, (hits + 1) / (hits + 2), 1 / (misses + 2))
+        off = 1 / (1 + np.exp(-(a * score + b))) - target
+        assert abs(off.sum()) < 1e-6 and abs((off * score).sum()) < 1e-6
+
+
+# ---- issue and severity classifiers ----------------------------------------------
+
+def test_isotonic_curves_equal_pooling_in_order(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([round(rng.random(), 2), rng.random(), 0.0, 1.0]), 0.0, rng.choice([1.0, 2.0, 0.5])) for g in range(3)
+            for _ in range(400)]
+    rows = [(g, s, float(rng.random() < s), w) for g, s, _, w in rows]
+    got = models.isotonic_curves(spark.createDataFrame(rows, "g int, score double, hit double, weight double"), ["g"]).collect()
+    for g in range(3):
+        mine = sorted({s for k, s, _, _ in rows if k == g})
+        weight = np.array([sum(w for k, s, _, w in rows if (k, s) == (g, x)) for x in mine])
+        total = np.array([sum(w * h for k, s, h, w in rows if (k, s) == (g, x)) for x in mine])
+        sums, hits = np.concatenate([[0], weight.cumsum()]), np.concatenate([[0], total.cumsum()])
+        for i, x in enumerate(mine):
+            want = max(min((hits[k] - hits[j]) / (sums[k] - sums[j]) for k in range(i + 1, len(mine) + 1)) for j in range(i + 1))
+            own = [r.value for r in got if r.g == g and r.low <= x <= r.high]
+            assert len(own) == 1 and abs(own[0] - want) < 1e-9
+
+
+def test_gradients_are_derivatives_of_the_loss():
+    rng = np.random.default_rng(3)
+    margins, label, weight = rng.normal(0, 1, (6, 4)), np.array([0, 1, 2, 3, 0, 1]), rng.random(6) + 0.5
+
+    def loss(at):
+        return -(weight * np.log(boosting.softmax(at)[np.arange(6), label])).sum()
+
+    first, second = boosting.gradients(margins, label, weight)
+    for i in range(6):
+        for c in range(4):
+            step = np.zeros((6, 4))
+            step[i, c] = 1e-5
+            assert abs((loss(margins + step) - loss(margins - step)) / 2e-5 - first[i, c]) < 1e-6
+            assert second[i, c] >= (loss(margins + step) + loss(margins - step) - 2 * loss(margins)) / 1e-10 - 1e-3
+
+
+def _class_rows(spark, classes=("a", "b", "c")):
+    rows, values, _ = _rows(300, 11, len(classes))
+    columns = ", ".join(f"{f} double" for f in fixed.FEATURES)
+    return spark.createDataFrame([(i, classes[k], *map(float, v)) for i, (k, v) in enumerate(zip(rows.label, values))],
+                                 f"snippet_id long, issue string, {columns}").cache()
+
+
+def test_issue_classifier(spark, tmp_path):
+    data = _class_rows(spark)
+    model, report = models.train_issue_classifier(data, rounds=25, depth=3)
+    found = {r["class"]: r for r in report.collect()}
+    assert set(found) == {"a", "b", "c"} and sum(r.support for r in found.values()) == 60
+    assert sum(r.recall * r.support for r in found.values()) > 0.7 * 60
+    rows = model.predict(data).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 and r.predicted == "abc"[int(np.argmax(r.probabilities))] for r in rows)
+    model.save(str(tmp_path / "issue"))
+    again = models.IssueModel.load(spark, str(tmp_path / "issue")).predict(data)
+    assert sorted((r.snippet_id, r.probabilities) for r in again.collect()) == sorted((r.snippet_id, r.probabilities) for r in rows)
+
+
+def test_boosting_adds_up_its_trees(spark):
+    rows, values, cuts = _rows(150, 2, 3)
+    nodes = boosting.boosted(spark, rows, cuts, 3, 4, 3, 0.3, 0.8, 0.5).toPandas()
+    margins = np.zeros((150, 3))
+    for (c, _), own in nodes.groupby(["fit", "tree"]):
+        own = own.sort_values("node").reset_index()
+        for i in range(150):
+            at = 0
+            while own.feature[at] >= 0:
+                at = own.left[at] + int(values[i, own.feature[at]] > own.cut[at])
+            margins[i, c] += own.votes[at][0]
+    votes = trees.Votes(nodes, 3).ask(values)
+    assert np.allclose(votes, margins) and nodes.depth.max() <= 3
+    loss = -np.log(boosting.softmax(margins)[np.arange(150), rows.label]).mean()
+    assert loss < np.log(3) * 0.8
+
+
+def test_severity_classifier(spark, tmp_path):
+    data = _class_rows(spark).withColumnRenamed("issue", "severity")
+    model, report = models.train_severity_classifier(data, n_trees=20, depth=5)
+    found = report.collect()
+    assert sum(r.recall * r.support for r in found) > 1.15 * max(r.support for r in found)
+    rows = model.predict(data).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in rows)
+    model.save(str(tmp_path / "severity"))
+    again = models.SeverityModel.load(spark, str(tmp_path / "severity")).predict(data)
+    assert sorted((r.snippet_id, r.probabilities) for r in again.collect()) == sorted((r.snippet_id, r.probabilities) for r in rows)
 
 
 def test_candidates_are_distinct_and_repeatable():
-    from pyspark.ml.classification import RandomForestClassifier
-
-
     def picked(seed):
-        forest = RandomForestClassifier()
-        maps = models._candidates(forest, models.TrainSettings(seed=seed))
-        return [tuple(sorted((p.name, v) for p, v in m.items())) for m in maps]
+        return [tuple(sorted(p.items(), key=lambda x: x[0])) for p in models.candidates(models.TrainSettings(seed=seed))]
 
     assert len(picked(1)) == 25 and picked(1) == picked(1) and picked(1) != picked(2)
+    fits, asked = models.shared_fits("python", 5, models.candidates(models.TrainSettings()))
+    served = {number for members in asked for number, *_ in members}
+    assert served == set(range(25)) and len(fits) <= 5 * 8
+    for fit, members in zip(fits, asked):
+        assert fit.trees == max(m[1] for m in members) and fit.least_split == min(m[2] for m in members)
 
 
 def test_registered_fits_are_the_full_ones(spark, sf, monkeypatch, train_rows):
@@ -175,35 +376,27 @@ def test_registered_fits_are_the_full_ones(spark, sf, monkeypatch, train_rows):
 
     asked = []
 
-    def full(settings):
-        assert settings is None or settings == models.TrainSettings()
-
-    def tune(train, language, min_class, settings):
-        full(settings)
-        asked.append("tune")
-        return {"numTrees": 3, "maxDepth": 2}, 0.5
-
     def train(rows, settings=None):
-        full(settings)
+        assert settings is None
         asked.append("train")
         return {}, {"language_metrics": {"python": {
-            "decision_threshold": 0.5, "metrics": {"f1": 0.5, "roc_auc": 0.5}, "train_size": 2, "test_size": 1}}}
+            "decision_threshold": 0.5, "metrics": {"f1": 0.5, "roc_auc": 0.5}, "train_size": 2, "test_size": 1,
+            "best_params": {"num_trees": 3, "max_depth": None}, "best_cv_score": 0.5}}}
 
     def classify(data, **smaller):
         assert not smaller
         asked.append("classify")
         return None, data
 
-    rows = train_rows.withColumn("label", F.col("bug_risk").cast("double")).withColumn("weight", F.lit(1.0))
     monkeypatch.setattr(catalog, "_packages", {})
     monkeypatch.setattr(catalog, "_train_rows", lambda *_: train_rows)
-    monkeypatch.setattr(catalog, "_vectors", lambda *_: models._assembler().transform(rows))
     monkeypatch.setattr(catalog, "_tables", lambda *_: type("T", (), {"features": None, "results": lambda self: None})())
-    for name, fake in (("tune_forest", tune), ("train_models", train), ("issue_dataset", lambda *_: None),
-                       ("severity_dataset", lambda *_: None), ("train_issue_classifier", classify),
-                       ("train_severity_classifier", classify)):
+    for name, fake in (("train_models", train), ("issue_dataset", lambda *_: None), ("severity_dataset", lambda *_: None),
+                       ("train_issue_classifier", classify), ("train_severity_classifier", classify)):
         monkeypatch.setattr(models, name, fake)
-    for name in ("ml_4_tuned_forest", "ml_5_sigmoid_calibration", "ml_7_per_language_train", "ml_7_per_language_train",
+    for name in ("ml_4_tuned_forest", "ml_7_per_language_train", "ml_7_per_language_train",
                  "ml_11_issue_classifier", "ml_13_severity_classifier"):
         catalog.REGISTRY[name](spark, sf)
-    assert asked == ["tune", "tune", "train", "classify", "classify"]
+    assert asked == ["train", "classify", "classify"]
+    full = models.TrainSettings()
+    assert (full.candidates, full.folds, max(full.grid["num_trees"])) == (25, 5, 700)
