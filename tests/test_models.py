@@ -107,6 +107,24 @@ def test_eval_metrics(spark):
     assert abs(r.p95_latency_ms - np.percentile([10, 20, 30, 40, 50], 95)) < 1e-9
 
 
+def test_percentiles_are_exact(spark):
+    """Bit for bit what the buffering aggregate gives, without its buffer."""
+    rng = random.Random(12)
+    special = [0.0, -0.0, 1e-308, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, 2.0, 0.9999999999999999,
+               1.9999999999999998, 2.0000000000000004, 4.0, 8.0, 1024.0, -1024.0, 0.1, 0.2, 0.30000000000000004]
+    rows = [("mixed", rng.choice(special)) for _ in range(300)] + [("one", 7.5), ("none", None), (None, 3.0), (None, 4.0)]
+    rows += [("smooth", rng.expovariate(1) * 10 ** rng.randrange(-5, 6)) for _ in range(2000)]
+    rows += [("near", 1 + rng.randrange(40) * 2.0 ** -52) for _ in range(500)] + [("nan", float("nan")), ("nan", 1.0)]
+    frame = spark.createDataFrame(rows, "g string, v double").cache()
+    for share in (0.0, 0.25, 0.5, 0.95, 0.999, 1.0):
+        found = metrics.exact_percentile(frame, ["g"], "v", share, "p")
+        want = {r.g: r.p for r in frame.groupBy("g").agg(F.percentile("v", share).alias("p")).collect()}
+        got = {r.g: r.p for r in found.collect()}
+        assert want.pop("none") is None
+        assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().toString()
+
+
 @pytest.fixture(scope="module")
 def train_rows(spark):
     rng = random.Random(9)
