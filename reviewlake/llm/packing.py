@@ -38,6 +38,23 @@ LETTERS = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or
 LETTERS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in LETTERS)}
 
 
+NO_LEAD = bytes(range(0xC0))
+MARK_ALONE = re.compile(rb"(?<![A-Za-z0-9\x80-\xbf])[.,;:!?](?=[ \t\n\r\x0b\x0c]|$)")
+
+
+def spread(text: bytes) -> bytes:
+    """The text in small letters and with blanks before its marks, where that is sure to leave the ids as they are.
+
+    That is so if all is ASCII or letters of Latin-1, and marks at the end of a part follow a letter or a digit.
+    """
+    if (text.translate(None, NO_LEAD).strip(b"\xc3") or b"\xc3\x97" in text or b"\xc3\xb7" in text or MARK_ALONE.search(text)):
+        return text
+    for mark in (b".", b",", b";", b":", b"!", b"?"):
+        if mark in text:
+            text = text.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b"\n")
+    return text.lower()
+
+
 class Encoder:
     """Ids of blocks of texts; what has been encoded between two blanks stays known from block to block.
 
@@ -65,21 +82,24 @@ class Encoder:
     def learn(self, parts: list[bytes]) -> None:
         lengths, plain, words, others = np.zeros(len(parts), np.int64), [], [], []
         for i, part in enumerate(parts):
+            if part.isalpha() and len(part) < LONG:
+                plain.append(i)
+                words.append(part.lower())
+                continue
             text = part.decode("utf-8", "replace")
             head = text[:-1] if text[-1:] in MARKS else text
             # Letters beyond Latin-1 may change with what follows them.
             if head.isalpha() and len(head) < LONG and (head.isascii() or max(head) < "Ā"):
-                head = head.lower()
-                word = head if head.isascii() else head.encode().decode("latin-1").translate(LETTERS)
+                word = head.lower().encode().decode("latin-1").translate(LETTERS).encode()
                 plain.append(i)
-                words.append(f"{word} {text[-1]}" if text[-1] in MARKS else word)
+                words.append(word + b" " + text[-1].encode() if text[-1] in MARKS else word)
             else:
                 others.append((i, text))
         found = np.concatenate([np.zeros(0, np.uint32)] + [
             np.array(e.ids, np.uint32) for e in self.words.encode_batch_fast(
-                [" ".join(words[a:a + 200]) for a in range(0, len(words), 200)], add_special_tokens=False)])
+                [b" ".join(words[a:a + 200]).decode() for a in range(0, len(words), 200)], add_special_tokens=False)])
         ends = np.flatnonzero(self.ends_word[found]) + 1
-        last = np.cumsum([2 if " " in w else 1 for w in words], dtype=np.int64) - 1
+        last = np.cumsum([2 if b" " in w else 1 for w in words], dtype=np.int64) - 1
         lengths[plain] = np.diff(ends[last], prepend=0)
         rest = self.encoded([text for _, text in others])
         lengths[[i for i, _ in others]] = [len(ids) for ids in rest]
@@ -103,7 +123,7 @@ class Encoder:
         """All ids of the texts, and how many each has; ``ended`` adds the end id to each."""
         parts, ends = [], []
         for text in texts:
-            parts += text.split()
+            parts += spread(text).split()
             if ended:
                 parts.append(b"")
             ends.append(len(parts))
