@@ -786,7 +786,10 @@ def rh_1(spark, sf_dir):
 
 @query("rh_1b_latest_reviews_of_user")
 def rh_1b(spark, sf_dir):
-    return _history_columns(history.latest_reviews(inputs.reviews(spark, sf_dir), user_id=7))
+    """Only the user's part of the stored history is read."""
+    folder = inputs.fresh_folder(spark, "by-user")
+    sinks.write_records(inputs.reviews(spark, sf_dir), folder, "all", 0)
+    return _history_columns(history.latest_reviews(sinks.read_reviews(spark, folder, user_id=7)))
 
 
 @query("rh_2_reviews_with_user")

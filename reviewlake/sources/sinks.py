@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reviewlake.functions import fixed
 from reviewlake.operators.models import CalibratedForest, read_meta, write_meta
+from reviewlake.sources.stage import staged
 
 RESULT_JSON = ("confidence double, syntax_error boolean, error_line int, error_msg string, "
                "issues array<array<string>>, complexity int")
@@ -70,9 +73,43 @@ def review_records(reviewed: DataFrame) -> DataFrame:
                            "created_at")
 
 
+RECORDS = ("review_id long, user_id long, code string, filename string, result string, created_at timestamp, "
+           "run_id string, batch_id long")
+STORED = RECORDS + ", version string, bucket int"
+LOG = "run_id string, batch_id long, version string, written long, compacted int"
+BUCKETS = 256
+"""Parts of a history by user; fixed, since readers of one user go by it."""
+
+
+def user_bucket(user_id: Column) -> Column:
+    return F.pmod(F.xxhash64(user_id.cast("long")), F.lit(BUCKETS)).cast("int")
+
+
+def _write_version(records: DataFrame, folder: str) -> str:
+    """Rows in a folder of their own that no reader sees yet: by bucket, a user's rows together, newest first."""
+    version = f"v-{uuid.uuid4().hex}"
+    typed = records.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(RECORDS)])
+    (typed.withColumn("bucket", user_bucket(F.col("user_id"))).repartition("bucket")
+     .sortWithinPartitions("bucket", "user_id", F.desc("created_at"))
+     .write.partitionBy("bucket").parquet(f"{folder}/data/version={version}"))
+    return version
+
+
+def _commit(entries: DataFrame, folder: str) -> None:
+    """One new file in the log, which appears under its name whole or not at all: from then on readers see its versions."""
+    entries.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+
+
 def write_records(records: DataFrame, folder: str, run_id: str, batch_id: int) -> None:
-    """One batch of one run: a batch that is repeated replaces its own rows and no others."""
-    records.write.mode("overwrite").parquet(f"{folder}/run_id={run_id}/batch_id={batch_id}")
+    """One batch of one run: a batch that is repeated replaces its own rows and no others.
+
+    Its rows are written first and become visible, all at once, with an entry in the log; what an unfinished writer
+    leaves behind is never read. Until a repeated batch is committed, readers see the rows of the first time.
+    """
+    stamped = records.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    started = time.time_ns()
+    version = _write_version(stamped, folder)
+    _commit(records.sparkSession.createDataFrame([(run_id, batch_id, version, started, 0)], LOG), folder)
 
 
 def append_reviews(reviewed: DataFrame, folder: str) -> None:
@@ -80,9 +117,51 @@ def append_reviews(reviewed: DataFrame, folder: str) -> None:
     write_records(review_records(reviewed), folder, uuid.uuid4().hex, 0)
 
 
-def read_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows that batch and stream have written to the folder."""
-    return spark.read.parquet(folder).drop("run_id", "batch_id")
+def _read_or_empty(spark: SparkSession, schema: str, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """``run_id, batch_id, version, written`` of the rows that count: of each batch what was written last.
+
+    A compacted copy has the time of the batch that it copies, and so never hides a newer one.
+    """
+    log = _read_or_empty(spark, LOG, f"{folder}/log")
+    newest = F.max(F.struct("written", "compacted", "version")).alias("newest")
+    return log.groupBy("run_id", "batch_id").agg(newest).select("run_id", "batch_id", "newest.version", "newest.written")
+
+
+def read_reviews(spark: SparkSession, folder: str, user_id: int | None = None) -> DataFrame:
+    """All committed rows of batches and streams, or those of one user: then only the user's bucket is read.
+
+    The log is read before the rows are listed, so a reader sees whole batches as of then. A folder without a history is empty.
+    """
+    visible = staged(committed(spark, folder).select("run_id", "batch_id", "version"), "snapshot")
+    rows = _read_or_empty(spark, STORED, f"{folder}/data")
+    if user_id is not None:
+        rows = rows.filter((F.col("bucket") == user_bucket(F.lit(user_id))) & (F.col("user_id") == user_id))
+    return rows.join(visible, ["run_id", "batch_id", "version"], "left_semi").drop("run_id", "batch_id", "version", "bucket")
+
+
+def compact(spark: SparkSession, folder: str) -> int:
+    """Copy all committed rows into one version with few files a bucket; returns how many batches were copied.
+
+    Batches stay apart in the copy, so one that is repeated later still replaces its own rows. Old files stay for readers that
+    have begun; a batch without rows keeps its entry.
+    """
+    batches = staged(committed(spark, folder), "batches")
+    rows = _read_or_empty(spark, STORED, f"{folder}/data").join(
+        batches.select("run_id", "batch_id", "version"), ["run_id", "batch_id", "version"], "left_semi")
+    n = batches.count()
+    if n:
+        version = _write_version(rows, folder)
+        _commit(batches.select("run_id", "batch_id", F.lit(version).alias("version"), "written", F.lit(1).alias("compacted")), folder)
+    return n
 
 
 def save_package(spark: SparkSession, models: dict[str, CalibratedForest], meta: dict,

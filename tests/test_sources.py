@@ -1,5 +1,6 @@
 import csv
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,80 @@ def test_compiler_logs(spark):
     assert [(r.snippet_id, r.name, r.line, r.fix) for r in rows] == [
         (1, "Compiler Error", 3, "expected ';'"), (1, "Compiler Warning", 6, "late"),
         (2, "Compiler Error", 7, "cannot find symbol"), (2, "Compiler Warning", 8, "unused variable")]
+
+
+# ---- history ------------------------------------------------------------------------
+
+def _records(spark, ids, note):
+    return spark.createDataFrame([(i, i % 5, note, "a.py", "", datetime(2024, 1, 1 + i % 20)) for i in ids],
+                                 "review_id int, user_id long, code string, filename string, result string, created_at timestamp")
+
+
+def _stored(spark, folder, **user):
+    return sorted((r.review_id, r.code) for r in sinks.read_reviews(spark, folder, **user).collect())
+
+
+def test_history_shows_whole_batches_only(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "history")
+    assert _stored(spark, folder) == []
+    sinks.write_records(_records(spark, range(6), "first"), folder, "run", 0)
+    sinks.write_records(_records(spark, range(6, 9), "first"), folder, "run", 1)
+    whole = [(i, "first") for i in range(9)]
+    assert _stored(spark, folder) == whole
+    # a writer that stops before its commit leaves nothing to see, and takes nothing away
+    monkeypatch.setattr(sinks, "_commit", lambda *_: None)
+    sinks.write_records(_records(spark, range(4), "again"), folder, "run", 0)
+    sinks.write_records(_records(spark, range(90, 95), "lost"), folder, "run", 2)
+    assert _stored(spark, folder) == whole
+    monkeypatch.undo()
+    # a reader that has begun keeps its rows
+    begun = sinks.read_reviews(spark, folder)
+    sinks.write_records(_records(spark, range(4), "again"), folder, "run", 0)
+    assert sorted((r.review_id, r.code) for r in begun.collect()) == whole
+    after = [(i, "again") for i in range(4)] + [(i, "first") for i in range(6, 9)]
+    assert _stored(spark, folder) == after
+    sinks.write_records(_records(spark, [50], "other"), folder, "other", 0)
+    assert _stored(spark, folder) == [*after, (50, "other")]
+
+
+def test_compaction_keeps_batches_replaceable(spark, tmp_path):
+    folder = str(tmp_path / "history")
+    assert sinks.compact(spark, folder) == 0
+    for batch in range(4):
+        sinks.write_records(_records(spark, range(10 * batch, 10 * batch + 10), "first"), folder, "run", batch)
+    before = _stored(spark, folder)
+    assert sinks.compact(spark, folder) == 4 and _stored(spark, folder) == before
+    versions = {r.version for r in sinks.committed(spark, folder).collect()}
+    assert len(versions) == 1
+    sinks.write_records(_records(spark, [10, 11], "again"), folder, "run", 1)
+    want = sorted([r for r in before if not 10 <= r[0] < 20] + [(10, "again"), (11, "again")])
+    assert _stored(spark, folder) == want
+    sinks.write_records(_records(spark, [], "none"), folder, "run", 2)
+    assert sinks.compact(spark, folder) == 4
+    assert _stored(spark, folder) == [r for r in want if not 20 <= r[0] < 30]
+
+
+def test_compaction_does_not_undo_a_later_write(spark, tmp_path, monkeypatch):
+    """A batch that is written again while a compaction runs wins, whichever commits first."""
+    folder = str(tmp_path / "history")
+    sinks.write_records(_records(spark, [1], "first"), folder, "run", 0)
+    commit = sinks._commit
+
+    def late(entries, where):
+        monkeypatch.setattr(sinks, "_commit", commit)
+        sinks.write_records(_records(spark, [1], "again"), folder, "run", 0)
+        commit(entries, where)
+
+    monkeypatch.setattr(sinks, "_commit", late)
+    sinks.compact(spark, folder)
+    assert _stored(spark, folder) == [(1, "again")]
+
+
+def test_one_user_reads_one_bucket(spark, tmp_path):
+    folder = str(tmp_path / "history")
+    sinks.write_records(_records(spark, range(40), "x"), folder, "run", 0)
+    rows = sinks.read_reviews(spark, folder, user_id=3)
+    assert sorted(r.review_id for r in rows.collect()) == list(range(3, 40, 5))
+    plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    bucket = spark.range(1).select(sinks.user_bucket(F.lit(3))).first()[0]
+    assert f"(bucket#" in plan and f"= {bucket})" in plan.split("PartitionFilters:")[1].split("\n")[0]
