@@ -17,6 +17,8 @@ SMOOTHING = 1.0
 """Added to the sum of second derivatives of a leaf."""
 LEAST_BEND = 1.0
 """Least sum of second derivatives on each side of a split."""
+TASK_ROWS = 50_000
+"""Rows, once for each class, that are worth a task of their own."""
 
 
 def softmax(margins: np.ndarray) -> np.ndarray:
@@ -100,7 +102,7 @@ def boosted(spark: SparkSession, rows: Rows, cuts: list[np.ndarray], classes: in
     n_features = max(1, int(round(features_a_tree * rows.bins.shape[1])))
     margins = np.zeros((len(rows.label), classes))
     shared = spark.sparkContext.broadcast((rows.bins, rows.label, weight, rows.key))
-    tasks = max(1, min(classes, spark.sparkContext.defaultParallelism))
+    tasks = max(1, min(classes, spark.sparkContext.defaultParallelism, len(rows.label) * classes // TASK_ROWS))
     out = []
     for turn in range(rounds):
         state = spark.sparkContext.broadcast(margins)

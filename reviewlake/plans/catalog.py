@@ -306,7 +306,7 @@ def fe_4(spark, sf_dir):
 @query("fe_5_rich_python")
 def fe_5(spark, sf_dir):
     source = inputs.snippets(spark, sf_dir)
-    return features.rich_python(source, node_table(source))
+    return features.rich_python(source, staged(node_table(source), "nodes"))
 
 
 @query("fe_6_panel_stats")
@@ -392,7 +392,10 @@ for _name in OVER_TEXTS:
 
 def _python_query(rule, fn):
     def run(spark, sf_dir):
-        return scoring.distinct_issues(rules_python.rule_issues(inputs.nodes(spark, sf_dir), rule))
+        nodes = inputs.nodes(spark, sf_dir)
+        # Rules that join nodes to nodes read them several times: the texts are parsed once all the same.
+        nodes = staged(nodes, "nodes") if rule in rules_python.JOIN_RULES else nodes
+        return scoring.distinct_issues(rules_python.rule_issues(nodes, rule))
 
     _issue_query(f"py_{rule[3:]}_{fn.__name__}", run)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +138,23 @@ def review(snippets: DataFrame, package: tuple[dict, dict] | None = None) -> Dat
     return join_by_code(source, per_code).select("snippet_id", "review_language", *RESULT_COLUMNS)
 
 
+def review_unseen(snippets: DataFrame, recall: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The review by rules, for which only texts that ``recall`` does not know are parsed.
+
+    ``recall`` turns ``code_hash, review_language`` into the result columns of those it knows. Returns the results of all
+    snippets, and by ``code_hash, review_language`` those that are new.
+    """
+    asked = with_review_language(snippets.withColumn("code", F.coalesce("code", F.lit(""))))
+    source = numbered(asked.select("snippet_id", "code", "review_language"))
+    distinct = staged(distinct_numbered(source).withColumn("snippet_id", F.monotonically_increasing_id()), "distinct")
+    keys = ["code_hash", "review_language"]
+    known = staged(recall(distinct.select(*keys)).select(*keys, *RESULT_COLUMNS), "known")
+    unseen = staged(distinct.join(known.select(*keys), keys, "left_anti"), "unseen")
+    tables = ReviewTables(unseen.select("snippet_id", "code", "review_language"))
+    new = staged(unseen.select("snippet_id", "code_hash").join(tables.results(), "snippet_id").select(*keys, *RESULT_COLUMNS), "new")
+    return join_by_code(source, known.unionByName(new)).select("snippet_id", "review_language", *RESULT_COLUMNS), new
+
+
 def logical_issues(results: DataFrame) -> DataFrame:
     """``name, line`` of the ranked issues, without any model."""
     return results.select("snippet_id", F.posexplode("issues")).select(

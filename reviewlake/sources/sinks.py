@@ -85,12 +85,13 @@ def user_bucket(user_id: Column) -> Column:
     return F.pmod(F.xxhash64(user_id.cast("long")), F.lit(BUCKETS)).cast("int")
 
 
-def _write_version(records: DataFrame, folder: str) -> str:
-    """Rows in a folder of their own that no reader sees yet: by bucket, a user's rows together, newest first."""
+def _write_version(records: DataFrame, folder: str, schema: str = RECORDS, bucket: Column | None = None,
+                   order: tuple[str, ...] = ("user_id", "-unix_micros(created_at)")) -> str:
+    """Rows in a folder of their own that no reader sees yet: by bucket, and in order within it."""
     version = f"v-{uuid.uuid4().hex}"
-    typed = records.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(RECORDS)])
-    (typed.withColumn("bucket", user_bucket(F.col("user_id"))).repartition("bucket")
-     .sortWithinPartitions("bucket", "user_id", F.desc("created_at"))
+    bucket = user_bucket(F.col("user_id")) if bucket is None else bucket
+    typed = records.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema)])
+    (typed.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", *map(F.expr, order))
      .write.partitionBy("bucket").parquet(f"{folder}/data/version={version}"))
     return version
 
@@ -164,6 +165,45 @@ def compact(spark: SparkSession, folder: str) -> int:
     return n
 
 
+# ---- results remembered by code ---------------------------------------------------
+
+REMEMBERED = "code_hash string, review_language string, result string, seen_at timestamp, run_id string, batch_id long"
+
+
+def code_bucket(code_hash: Column) -> Column:
+    return F.pmod(F.xxhash64(code_hash), F.lit(BUCKETS)).cast("int")
+
+
+def remember(results: DataFrame, folder: str, run_id: str, batch_id: int) -> None:
+    """Keep review results by ``code_hash, review_language``; a repeated batch replaces its own."""
+    packed = results.select(
+        "code_hash", "review_language", result_json(*[F.col(c) for c in (
+            "confidence", "syntax_error", "error_line", "error_msg", "issues", "complexity")]).alias("result"),
+        F.current_timestamp().alias("seen_at"), F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"))
+    started = time.time_ns()
+    version = _write_version(packed, folder, REMEMBERED, code_bucket(F.col("code_hash")), ("code_hash", "review_language"))
+    _commit(results.sparkSession.createDataFrame([(run_id, batch_id, version, started, 0)], LOG), folder)
+
+
+def recall(asked: DataFrame, folder: str, keep_days: float | None = None) -> DataFrame:
+    """``code_hash, review_language`` and the result columns of those asked for that are remembered.
+
+    ``asked``: distinct ``code_hash, review_language``. Results older than ``keep_days`` count as forgotten; the newest
+    of several is taken.
+    """
+    spark = asked.sparkSession
+    visible = staged(committed(spark, folder).select("run_id", "batch_id", "version"), "snapshot")
+    rows = _read_or_empty(spark, REMEMBERED + ", version string, bucket int", f"{folder}/data")
+    if keep_days is not None:
+        rows = rows.filter(F.col("seen_at") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(keep_days * 86400.0)))
+    keys = asked.select("code_hash", "review_language", code_bucket(F.col("code_hash")).alias("bucket"))
+    known = (rows.join(keys, ["bucket", "code_hash", "review_language"], "left_semi")
+             .join(visible, ["run_id", "batch_id", "version"], "left_semi")
+             .groupBy("code_hash", "review_language").agg(F.max(F.struct("seen_at", "result")).alias("newest")))
+    parsed = known.withColumn("result", parse_result(F.col("newest.result")))
+    return parsed.select("code_hash", "review_language", "result.*")
+
+
 def save_package(spark: SparkSession, models: dict[str, CalibratedForest], meta: dict,
                  folder: str) -> None:
     """One saved forest per language and the meta data as JSON text."""

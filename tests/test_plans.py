@@ -178,3 +178,12 @@ def test_corpus_templates_are_ascii_and_resolve(spark, sf):
              with_review_language(code_corpus(spark, sf)).select("review_language").distinct()
              .collect()}
     assert langs == {"python", "cpp", "java"}
+
+
+def test_registered_rules_parse_the_texts_once(spark, sf):
+    """Rules that join nodes read them back; the plan itself parses nothing a second time."""
+    from reviewlake.plans.catalog import REGISTRY
+
+    for name, run in REGISTRY.items():
+        if re.match(r"py_\d+_|fe_5", name):
+            assert plan(run(spark, sf)).count("MapInArrow") <= 1, name
