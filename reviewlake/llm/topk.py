@@ -1,10 +1,13 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 A block of candidate vectors has one list for each component, sorted by value. For a query a list is read from the end that
-gives it the larger products. What has been read gives every candidate a lower bound (unread products are at least the
-list's last) and an upper bound (at most the last one read). Candidates whose upper bound is below the k-th best
-lower bound are out; when few enough are left, or everything has been read, their final scores are resolved.
-Queries and candidates meet in blocks: each task holds one block of either.
+gives it the larger products, all lists one step further at a time. What has been read of a candidate counts as it is; what has not
+contributes at most as much as the last entry read of its list, and at least as much as the list's other end. So every candidate
+has an upper and a lower bound. Candidates whose upper bound is below the k-th best lower bound are out; when few enough are
+left, or everything has been read, their final scores are resolved.
+
+Queries and candidates meet in blocks: each task holds one block of either. The lists are read once for all queries of a block,
+whose bounds are products of their positive and negative parts with what has been read from the top and from the bottom.
 """
 
 from __future__ import annotations
@@ -18,6 +21,12 @@ from reviewlake.llm.shared import keep
 
 CANDIDATES = 4096
 QUERIES = 256
+STEPS = 16
+"""Steps in which a list is read from end to end."""
+FIRST_LOOK = 8
+"""Step from which bounds are compared; with less than half read they are too wide to rule anything out."""
+FEW = 16
+"""Reading ends when no query has more than one candidate in so many left."""
 
 
 class SortedLists:
@@ -27,39 +36,52 @@ class SortedLists:
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
         self.largest = int(np.abs(self.vectors).max(initial=0))
-        # One row for each list; 32 bits where they are enough.
-        self.lists = np.ascontiguousarray(self.vectors.T)
-        self.sorted = np.sort(self.lists, axis=1)
-        if self.largest < 1 << 30:
-            self.lists, self.sorted = self.lists.astype(np.int32), self.sorted.astype(np.int32)
-
-    def top(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates but ``own``, ties to the smaller id."""
+        self.order = np.argsort(self.vectors, axis=0, kind="stable")
+        self.resolved = self.seen = 0
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the k best candidates but ``own``, ties to the smaller id."""
+        others = self.ids[None, :] != own[:, None]
+        alive = self.read(queries, k, others) if len(self.ids) > 4 * k and queries.shape[1] else others
+        self.resolved += int(alive.sum())
+        self.seen += int(others.sum())
+        out = []
+        for query, left in zip(queries, alive, strict=True):
+            at = np.flatnonzero(left)
+            score = self.vectors[at] @ query
+            best = np.lexsort((self.ids[at], -score))[:k]
+            out.append((self.ids[at][best], score[best]))
+        return out
+
+    def read(self, queries: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
+        """Which candidates may be among the k best of each query."""
         n = len(self.ids)
-        alive = np.flatnonzero(self.ids != own) if own is not None else np.arange(n)
-        used = query != 0
-        if n > 4 * k and used.any():
-            # Sums of products stay within 32 bits as long as this holds.
-            kind = self.lists.dtype if self.largest * int(np.abs(query).sum()) < 1 << 31 else np.int64
-            lists, ordered = (self.lists, self.sorted) if used.all() else (self.lists[used], self.sorted[used])
-            weight = query[used].astype(kind)[:, None]
-            product = lists * weight
-            down = weight[:, 0] > 0
-            # The last entry of each list is the least that an unread one can contribute.
-            least = np.where(down, ordered[:, 0], ordered[:, -1])[:, None] * weight
-            depth = n // 4
-            while depth < n and len(alive) > 4 * k:
-                # The last entries read; everything that contributes as much has been read.
-                front = np.where(down, ordered[:, n - depth], ordered[:, depth - 1])[:, None] * weight
-                high = np.maximum(product, front).sum(axis=0, dtype=kind)[alive]
-                low = np.where(product >= front, product, least).sum(axis=0, dtype=kind)[alive]
-                bar = np.partition(low, len(low) - k)[len(low) - k]
-                # An equal bound may still win by its id.
-                alive = alive[high >= bar]
-                depth *= 2
-        score = self.vectors[alive] @ query
-        best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][best], score[best]
+        # Whole numbers up to 2^53 are exact as doubles, and so are their sums and products.
+        exact = self.largest * int(np.abs(queries).sum(axis=1).max(initial=0)) < 1 << 53
+        kind = np.float64 if exact else np.int64
+        values = self.vectors.astype(kind)
+        ordered = np.take_along_axis(values, self.order, axis=0)
+        least = np.iinfo(np.int64).min // 2
+        up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+        from_top, from_bottom = np.zeros(values.shape, bool), np.zeros(values.shape, bool)
+        alive, done = others, 0
+        for step in range(1, STEPS):
+            depth = n * step // STEPS
+            np.put_along_axis(from_top, self.order[n - depth:n - done], True, axis=0)
+            np.put_along_axis(from_bottom, self.order[done:depth], True, axis=0)
+            done = depth
+            if step < FIRST_LOOK or not depth:
+                continue
+            low = (up @ np.where(from_top, values, ordered[0]).T + down @ np.where(from_bottom, values, ordered[-1]).T)
+            low = np.where(others, low, least)
+            bar = np.partition(low, n - k, axis=1)[:, n - k]
+            high = (up @ np.where(from_top, values, ordered[n - depth]).T
+                    + down @ np.where(from_bottom, values, ordered[depth - 1]).T)
+            # An equal bound may still win by its id.
+            alive = alive & (high >= bar[:, None])
+            if alive.sum(axis=1).max(initial=0) <= max(4 * k, n // FEW):
+                break
+        return alive
 
 
 def search_block(key, queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -69,8 +91,8 @@ def search_block(key, queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -
         if not len(asked):
             continue
         lists = SortedLists(own.vec_id.to_numpy(np.int64), np.stack(own.vector.to_numpy()).astype(np.int64))
-        for q, n, v in zip(asked.vec_id, asked.copy_no, asked.vector, strict=True):
-            ids, scores = lists.top(np.asarray(v, np.int64), k, int(q))
+        found = lists.top(np.stack(asked.vector.to_numpy()).astype(np.int64), k, asked.vec_id.to_numpy(np.int64))
+        for q, n, (ids, scores) in zip(asked.vec_id, asked.copy_no, found, strict=True):
             out.append(pd.DataFrame({"query_id": q, "copy_no": n, "vec_id": ids, "score": scores}))
     return pd.concat(out) if out else pd.DataFrame(
         {c: np.zeros(0, np.int64) for c in ("query_id", "copy_no", "vec_id", "score")})

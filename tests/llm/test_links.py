@@ -213,6 +213,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == plain_top(rows, 50, 7)
 
 
+def test_reading_rules_out_nearly_all_candidates(spark, sf):
+    """On the given embeddings, and with numbers too large for doubles."""
+    rows = spark.read.parquet(sf.replace("0.001", "0.01") + "/embeddings.parquet")
+    found = [(r.vec_id, r.vector) for r in topk.whole_vectors(rows).collect()]
+    ids, vectors = np.array([i for i, _ in found]), np.array([v for _, v in found], np.int64)
+    for factor in (1, 1 << 18):
+        lists = topk.SortedLists(ids, vectors * factor)
+        queries, own = vectors[::50] * factor, ids[::50]
+        for q, mine, (best, scores) in zip(queries, own, lists.top(queries, 10, own), strict=True):
+            all_scores = (vectors * factor) @ q
+            order = [i for i in np.lexsort((ids, -all_scores)) if ids[i] != mine][:10]
+            assert best.tolist() == ids[order].tolist() and scores.tolist() == all_scores[order].tolist()
+        assert lists.resolved < 0.1 * lists.seen
+
+
 def test_repeated_queries_and_empty_tables(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
