@@ -573,6 +573,25 @@ el AS (
 SELECT metric, rules FROM (UNPIVOT (SELECT {_metrics('p')} FROM el)
   ON COLUMNS(*) INTO NAME metric VALUE rules) WHERE NOT contains(metric, 'latency')""")
 
+UNLABELED = base.RESULTS + """,
+ul AS (
+  SELECT r.*, r.review_language <> 'python' OR r.confidence = 95 AS failed
+  FROM rs r JOIN corpus c USING (snippet_id) WHERE length(c.code) > 20)"""
+SQL["main_evaluate_unlabeled"] = sql(UNLABELED + """,
+el AS (
+  SELECT CASE WHEN review_language = 'python' AND n > 0 THEN 1 ELSE 0 END AS label, 0.0 AS latency_ms,
+    CASE WHEN review_language <> 'python' OR n > 0 OR confidence > 40 THEN 1 ELSE 0 END AS p FROM ul)""", f"""
+SELECT metric, rules FROM (UNPIVOT (SELECT {_metrics('p')} FROM el)
+  ON COLUMNS(*) INTO NAME metric VALUE rules) WHERE NOT contains(metric, 'latency')""")
+
+SQL["main_classifier_rows"] = sql(WORST + """,
+uc AS (
+  SELECT CASE WHEN r.review_language = 'python' THEN r.first_name ELSE 'clean' END AS issue,
+    CASE WHEN r.review_language = 'python' THEN wo.severity ELSE 'LOW' END AS severity
+  FROM rs r JOIN corpus c USING (snippet_id) JOIN wo USING (snippet_id) WHERE length(c.code) > 20)""", """
+SELECT 'issue' AS classifier, issue AS class, count(*) AS n FROM uc GROUP BY issue HAVING count(*) >= 2
+UNION ALL SELECT 'severity', severity, count(*) FROM uc GROUP BY severity""")
+
 # ---- review history ---------------------------------------------------------------------------------
 LATEST = REVIEWS + """,
 lt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC,

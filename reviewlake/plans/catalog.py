@@ -763,6 +763,29 @@ def main_evaluate_rules(spark, sf_dir):
     return _round(table.filter(~F.col("metric").contains("latency")), "rules")
 
 
+def _unlabeled_files(spark, sf_dir):
+    folder = inputs.fresh_folder(spark, "unlabeled")
+    inputs.write_jsonl(code_corpus(spark, sf_dir).select("code"), folder)
+    return [folder]
+
+
+@query("main_evaluate_unlabeled")
+def main_evaluate_unlabeled(spark, sf_dir):
+    """Files without labels: the rules give the labels that they are then measured by."""
+    samples = flows.samples_of_files(spark, _unlabeled_files(spark, sf_dir), max_samples=None)
+    table = flows.evaluate(samples)
+    return _round(table.filter(~F.col("metric").contains("latency")), "rules")
+
+
+@query("main_classifier_rows")
+def main_classifier_rows(spark, sf_dir):
+    """How many rows of each class files without labels give to the two classifiers."""
+    issue, severity = flows.classifier_rows(spark, _unlabeled_files(spark, sf_dir))
+    kinds = issue.select(F.lit("issue").alias("classifier"), F.col("issue").alias("class")).unionByName(
+        severity.select(F.lit("severity").alias("classifier"), F.col("severity").alias("class")))
+    return kinds.groupBy("classifier", "class").agg(F.count("*").alias("n"))
+
+
 @query("main_evaluate_model")
 def main_evaluate_model(spark, sf_dir):
     package = _package(spark, sf_dir)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
-from reviewlake.operators import metrics
+from reviewlake.operators import metrics, models
 from reviewlake.operators.clean import clean_dataset, with_bug_risk
 from reviewlake.operators.features import features
 from reviewlake.operators.nodes import node_table
-from reviewlake.plans.review import review
+from reviewlake.plans.review import ReviewTables, review
+from reviewlake.sources import corpus as readers
 from reviewlake.sources.stage import staged
 
 
@@ -29,15 +30,58 @@ def build_dataset(corpus: DataFrame, allowed: list[str] | None = None) -> DataFr
         "snippet_id", "review_language", *fixed.FEATURES, "bug_risk")
 
 
+def as_python(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("language", F.lit("python")).withColumn("filename", F.lit(None).cast("string"))
+
+
+def unlabeled_samples(spark: SparkSession, paths: list[str], max_samples: int | None = None) -> DataFrame:
+    """``snippet_id, code`` of the samples in JSONL files, in the order of the files up to ``max_samples``."""
+    rows = readers.read_unlabeled(spark, paths)
+    if max_samples is not None:
+        rows = readers.take_first(rows, max_samples)
+    return staged(rows.select(F.monotonically_increasing_id().alias("snippet_id"), "code"), "samples")
+
+
+def samples_of_files(spark: SparkSession, paths: list[str], max_samples: int | None = 500) -> DataFrame:
+    """``snippet_id, code, label``: the labelled samples of the files, or all of them where none has a label.
+
+    Without labels a sample counts as risky if the rules find an issue in it.
+    """
+    labeled = staged(readers.read_labeled(spark, paths, max_samples).select(
+        F.monotonically_increasing_id().alias("snippet_id"), "code", "label"), "labeled")
+    if not labeled.isEmpty():
+        return labeled
+    samples = unlabeled_samples(spark, paths, max_samples)
+    found = review(as_python(samples)).filter(F.size("issues") > 0).select("snippet_id")
+    return staged(metrics.synthetic_labels(samples, found), "synthetic")
+
+
+def classifier_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The training rows of the issue and of the severity classifier from samples without labels."""
+    samples = unlabeled_samples(spark, paths)
+    tables = ReviewTables(samples.withColumn("review_language", F.lit("python")))
+    results = staged(tables.results(), "results")
+    return models.issue_dataset(tables.features, results), models.severity_dataset(tables.features, results)
+
+
+def train_classifiers(spark: SparkSession, paths: list[str], folder: str, issue: dict | None = None,
+                      severity: dict | None = None) -> dict[str, DataFrame]:
+    """Train both classifiers on the samples of the files, save them below ``folder``, and return their class reports."""
+    issue_rows, severity_rows = classifier_rows(spark, paths)
+    issue_model, issue_report = models.train_issue_classifier(issue_rows, **(issue or {}))
+    severity_model, severity_report = models.train_severity_classifier(severity_rows, **(severity or {}))
+    issue_model.save(f"{folder}/issue")
+    severity_model.save(f"{folder}/severity")
+    return {"issue": issue_report, "severity": severity_report}
+
+
 def predict(samples: DataFrame, package: tuple[dict, dict] | None = None) -> DataFrame:
     """``snippet_id, label, predicted, latency_ms`` of Python samples.
 
     Snippets are reviewed together, so each one's latency is its share of the time.
     """
     start = time.perf_counter()
-    asked = samples.withColumn("language", F.lit("python")).withColumn(
-        "filename", F.lit(None).cast("string"))
-    results = staged(review(asked, package).select(
+    results = staged(review(as_python(samples), package).select(
         "snippet_id", metrics.predict_flag(F.size("issues"), F.col("confidence"))
         .alias("predicted")), "predicted")
     share = 1000 * (time.perf_counter() - start) / max(1, results.count())

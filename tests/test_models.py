@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -418,3 +419,25 @@ def test_registered_fits_are_the_full_ones(spark, sf, monkeypatch, train_rows):
     assert asked == ["train", "classify", "classify"]
     full = models.TrainSettings()
     assert (full.candidates, full.folds, max(full.grid["num_trees"])) == (25, 5, 700)
+
+
+def test_files_without_labels(spark, tmp_path):
+    """The rules label them; both classifiers are trained on them and saved."""
+    from reviewlake.plans import flows
+
+    folder = tmp_path / "samples"
+    folder.mkdir()
+    codes = [f"x = {i} / 0\nprint('a long enough line {i}')\n" for i in range(12)]
+    codes += [f"def f{i}(a):\n    return a + {i}\n" for i in range(12)] + [f"while True:\n    print({i})\n" for i in range(12)]
+    lines = [json.dumps({"code": c}) for c in [*codes, "x = 1"]]
+    (folder / "a.jsonl").write_text("\n".join(lines) + "\n{broken\n")
+    rows = {r.code: r.label for r in flows.samples_of_files(spark, [str(folder)]).collect()}
+    assert len(rows) == 36 and {rows[c] for c in codes[:12]} == {1} and {rows[c] for c in codes[12:24]} == {0}
+    (folder / "b.jsonl").write_text(json.dumps({"code": codes[0], "label": 0}) + "\n")
+    assert [(r.code, r.label) for r in flows.samples_of_files(spark, [str(folder)]).collect()] == [(codes[0], 0)]
+    small = {"issue": {"rounds": 3, "depth": 2}, "severity": {"n_trees": 4, "depth": 3}}
+    reports = flows.train_classifiers(spark, [str(folder / "a.jsonl")], str(tmp_path / "models"), **small)
+    assert {r["class"] for r in reports["issue"].collect()} >= {"Division by zero", "clean"}
+    features = spark.range(1).select(*[F.lit(1).alias(f) for f in fixed.FEATURES])
+    assert models.IssueModel.load(spark, str(tmp_path / "models" / "issue")).predict(features).first().predicted
+    assert models.SeverityModel.load(spark, str(tmp_path / "models" / "severity")).predict(features).first().predicted
