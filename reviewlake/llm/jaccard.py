@@ -55,15 +55,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of shingle hashes of blocks of texts; hashes of words stay from block to block."""
+    """Sets of shingle hashes of blocks of texts; hashes of words stay from block to block, up to so many words and characters."""
 
-    def __init__(self, width: int = SHINGLE, most: int = 150_000):
-        self.width, self.most, self.known = width, most, {}
+    def __init__(self, width: int = SHINGLE, most: int = 150_000, longest: int = 4 << 20):
+        self.width, self.most, self.longest, self.known, self.held = width, most, longest, {}, 0
 
     def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of all texts, one set after the other, and where each set ends."""
-        if len(self.known) > self.most:
-            self.known = {}
+        if len(self.known) > self.most or self.held > self.longest:
+            self.known, self.held = {}, 0
         words, sizes = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             own = [w for w in BREAKS.split(text.translate(TO_LOWER)) if w] if text else []
@@ -73,6 +73,7 @@ class Shingler:
         for w in dict.fromkeys(words):
             if w not in known:
                 known[w] = word_hash(w)
+                self.held += len(w)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         owner = np.repeat(np.arange(len(texts)), sizes)
         # All windows, also the short ones at the end of a text; of these only a whole short text counts.

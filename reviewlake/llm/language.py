@@ -8,6 +8,7 @@ the prototype with the largest cosine. Runs of anything but letters count as one
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,11 @@ SAMPLE = 1500
 
 NO_LANGUAGE = "und"
 
+HELD = 16_384
+"""N-grams whose vectors a task holds."""
+PLACES = 1 << 20
+"""Places of a text whose n-grams are counted at a time."""
+
 
 def letter_vectors(points: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """A row of +1 and -1 for each code point (0 is the separator), from a fixed mixing of its bits."""
@@ -35,28 +41,53 @@ def letter_vectors(points: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1)
 
 
-def gram_vectors(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Rows of three positions in ``letters`` bound into one vector each."""
-    return (np.roll(letters, 2, axis=1)[grams[:, 0]] * np.roll(letters, 1, axis=1)[grams[:, 1]]
-            * letters[grams[:, 2]])
+def gram_vectors(grams: np.ndarray, letters: np.ndarray, twice: np.ndarray | None = None, once: np.ndarray | None = None) -> np.ndarray:
+    """Rows of three positions in ``letters`` bound into one vector each; ``twice`` and ``once`` are ``letters`` rotated so often."""
+    twice = np.roll(letters, 2, axis=1) if twice is None else twice
+    once = np.roll(letters, 1, axis=1) if once is None else once
+    return twice[grams[:, 0]] * once[grams[:, 1]] * letters[grams[:, 2]]
 
 
-@dataclass
 class Grams:
-    """Letter n-grams of a block of texts: how often each text has each of the block's distinct ones."""
+    """Letter n-grams of a block of texts: how often each text has each of the block's distinct ones.
 
-    vectors: np.ndarray
-    text: np.ndarray
-    gram: np.ndarray
-    count: np.ndarray
-    has_letter: np.ndarray
+    Vectors are made for ``HELD`` n-grams at a time; only a block that has no more keeps them. Sums are whole numbers, so
+    portions change nothing.
+    """
+
+    def __init__(self, spelled: np.ndarray, letters: np.ndarray, text: np.ndarray, gram: np.ndarray, count: np.ndarray,
+                 has_letter: np.ndarray):
+        self.spelled, self.letters = spelled, letters
+        self.rotated = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
+        self.text, self.gram, self.count, self.has_letter = text, gram, count, has_letter
+        self.kept = self.bound(0) if len(spelled) <= HELD else None
+
+    def bound(self, first: int) -> np.ndarray:
+        return gram_vectors(self.spelled[first:first + HELD], self.letters, *self.rotated).astype(np.float32)
 
     def profiles(self, first: int, last: int) -> np.ndarray:
         """Profiles of texts ``first`` to ``last`` - 1."""
         a, b = np.searchsorted(self.text, (first, last))
-        dense = np.zeros((last - first, len(self.vectors)), np.float32)
-        dense[self.text[a:b] - first, self.gram[a:b]] = self.count[a:b]
-        return dense @ self.vectors
+        text, gram, count = self.text[a:b] - first, self.gram[a:b], self.count[a:b]
+        out = np.zeros((last - first, self.letters.shape[1]), np.float32)
+        for start in range(0, len(self.spelled), HELD):
+            own = np.flatnonzero((gram >= start) & (gram < start + HELD))
+            if len(own):
+                vectors = self.bound(start) if self.kept is None else self.kept
+                dense = np.zeros((last - first, len(vectors)), np.float32)
+                dense[text[own], gram[own] - start] = count[own]
+                out += dense @ vectors
+        return out
+
+
+def counted(key: Callable[[int, int], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers that ``key`` gives for 0 to ``n`` - 1, and how often; ``PLACES`` at a time."""
+    parts = [np.unique(key(a, min(n, a + PLACES)), return_counts=True) for a in range(0, n, PLACES)]
+    if len(parts) == 1:
+        return parts[0]
+    values = np.concatenate([np.zeros(0, np.int64), *[v for v, _ in parts]])
+    distinct, place = np.unique(values, return_inverse=True)
+    return distinct, np.bincount(place, np.concatenate([np.zeros(0, np.int64), *[c for _, c in parts]]), len(distinct)).astype(np.int64)
 
 
 def grams_of(texts: list[str | None], width: int) -> Grams:
@@ -75,14 +106,16 @@ def grams_of(texts: list[str | None], width: int) -> Grams:
     has_letter = np.zeros(len(lower), bool)
     has_letter[owner[symbol > 0]] = True
     n = len(letters) + 1
-    whole = (owner[:-2] == owner[2:]) & (symbol[1:-1] + symbol[:-2] + symbol[2:] > 0)
-    key = (symbol[:-2].astype(np.int64) * n + symbol[1:-1]) * n + symbol[2:]
-    both, count = np.unique(owner[:-2][whole] * n**3 + key[whole], return_counts=True)
+
+    def key(a: int, b: int) -> np.ndarray:
+        one, two, three = (symbol[a + i:b + i].astype(np.int64) for i in range(3))
+        whole = (owner[a:b] == owner[a + 2:b + 2]) & (one + two + three > 0)
+        return (owner[a:b] * n**3 + (one * n + two) * n + three)[whole]
+
+    both, count = counted(key, max(0, len(symbol) - 2))
     distinct, gram = np.unique(both % n**3, return_inverse=True)
     spelled = np.stack([distinct // (n * n), distinct // n % n, distinct % n], axis=1)
-    alphabet = letter_vectors(np.r_[0, letters], width)
-    vectors = gram_vectors(spelled, alphabet).astype(np.float32)
-    return Grams(vectors, both // n**3, gram, count.astype(np.float32), has_letter)
+    return Grams(spelled, letter_vectors(np.r_[0, letters], width), both // n**3, gram, count.astype(np.float32), has_letter)
 
 
 def bundles(width: int):

@@ -203,3 +203,38 @@ def test_stages_on_odd_and_empty_documents(spark, sf, odd_documents, no_document
         if name == "jaccard_join":
             assert Counter(r.doc_id for r in rows)[1] == 2          # two texts under one id; the repeated row once
         assert stage(spark, no_documents, sf).collect() == []
+
+
+def test_portions_of_grams_change_no_profile(monkeypatch):
+    """Also for one long text without blanks, whose trigrams nearly all differ; its vectors are never held at once."""
+    rng = random.Random(1)
+    texts = [None, "", "!!", "a", "ab"] + ["".join(rng.choice("abcdé ,.日本") for _ in range(rng.randrange(80))) for _ in range(300)]
+    texts.append("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20_000)))
+
+    def profiles():
+        grams = language.grams_of(texts, 256)
+        return np.concatenate([grams.profiles(a, min(a + 100, len(texts))) for a in range(0, len(texts), 100)]), grams.kept
+
+    whole, kept = profiles()
+    assert kept is None
+    monkeypatch.setattr(language, "HELD", 1 << 20)
+    at_once, kept = profiles()
+    monkeypatch.setattr(language, "HELD", 500)
+    monkeypatch.setattr(language, "PLACES", 57)
+    assert kept is not None and np.array_equal(whole, at_once) and np.array_equal(whole, profiles()[0])
+
+
+def test_word_tables_are_bounded_by_characters():
+    from reviewlake.llm.jaccard import Shingler
+    from reviewlake.llm.shared import WordTable
+
+    added = []
+    table = WordTable(added.extend, added.clear, longest=100)
+    for i in range(50):
+        codes = table.codes([f"{i}" * 40, "b", f"{i}" * 40])
+        assert codes[0] == codes[2] and added[codes[0]] == f"{i}" * 40 and sum(map(len, added)) < 300
+    shingler, fresh = Shingler(longest=100), Shingler()
+    for i in range(20):
+        text = f"{'x' * 60}{i} two three four five six"
+        assert all(np.array_equal(a, b) for a, b in zip(shingler.sets([text]), fresh.sets([text])))
+        assert sum(map(len, shingler.known)) < 300
