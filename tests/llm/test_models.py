@@ -1,5 +1,6 @@
 """Language and toxicity: held-out accuracy, plain versions of the arithmetic, odd input; the pipeline against a plain one."""
 
+import random
 import zlib
 from collections import Counter
 
