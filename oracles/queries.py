@@ -609,6 +609,7 @@ ws AS (
     count(*) FILTER (us < 30 * 86400000000) AS recent_reviews
   FROM rv GROUP BY 1)"""
 SQL["rh_3_workspace_stats"] = sql(STATS, "SELECT * FROM ws")
+SQL["rh_3b_maintained_stats"] = SQL["rh_3_workspace_stats"]
 SQL["rh_4_score_series"] = sql(LATEST, """
 SELECT user_id, review_id,
   row_number() OVER (PARTITION BY user_id ORDER BY place DESC)::INT AS position,

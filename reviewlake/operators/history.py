@@ -65,6 +65,26 @@ def workspace_stats(reviews: DataFrame, now: Column) -> DataFrame:
         F.count("*").alias("unique_files"), F.sum("recent").alias("recent_reviews"))
 
 
+def maintained_stats(totals: DataFrame, reviews: DataFrame, now: Column) -> DataFrame:
+    """``workspace_stats`` from the totals by file and day that batches have brought along.
+
+    Of the ``reviews`` only the rows of the one day are counted on which the last 30 days begin, and none is parsed.
+    """
+    begin = F.timestamp_micros(F.unix_micros(now) - F.lit(30 * DAY * 1_000_000))
+    files = totals.groupBy("user_id", "filename").agg(
+        F.sum("n").alias("n"), F.sum("issues").alias("issues"), F.sum("scores").alias("scores"),
+        F.sum(F.when(F.col("day") > F.to_date(begin), F.col("n")).otherwise(0)).alias("recent"), F.lit(1).alias("files"))
+    # As a range of times, which the files' statistics can answer.
+    edge = reviews.filter((F.col("created_at") > begin) & (F.col("created_at") < F.date_add(F.to_date(begin), 1).cast("timestamp")))
+    first_day = edge.groupBy("user_id").agg(F.count("*").alias("recent")).select(
+        "user_id", *[F.lit(0).cast("long").alias(c) for c in ("n", "issues", "scores")], "recent", F.lit(0).alias("files"))
+    columns = ["user_id", "n", "issues", "scores", "recent", "files"]
+    return files.select(*columns).unionByName(first_day).groupBy("user_id").agg(
+        F.sum("n").alias("total_reviews"), F.sum("issues").alias("total_issues"),
+        round_half_up(F.sum("scores") / F.sum("n")).cast("int").alias("avg_score"),
+        F.sum("files").alias("unique_files"), F.sum("recent").alias("recent_reviews"))
+
+
 def score_series(reviews: DataFrame, points: int = 14) -> DataFrame:
     """Scores of the newest reviews per user, oldest first.
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from reviewlake.functions import fixed
 from reviewlake.operators.models import CalibratedForest, read_meta, write_meta
+from reviewlake.operators.scoring import panel_score
 from reviewlake.sources.stage import staged
 
 RESULT_JSON = ("confidence double, syntax_error boolean, error_line int, error_msg string, "
@@ -76,8 +77,9 @@ def review_records(reviewed: DataFrame) -> DataFrame:
 RECORDS = ("review_id long, user_id long, code string, filename string, result string, created_at timestamp, "
            "run_id string, batch_id long")
 STORED = RECORDS + ", version string, bucket int"
+TOTALS = ("user_id long, filename string, day date, n long, issues long, scores long, run_id string, batch_id long")
 LOG = "run_id string, batch_id long, version string, written long, compacted int"
-BUCKETS = 256
+BUCKETS = 64
 """Parts of a history by user; fixed, since readers of one user go by it."""
 
 
@@ -85,14 +87,37 @@ def user_bucket(user_id: Column) -> Column:
     return F.pmod(F.xxhash64(user_id.cast("long")), F.lit(BUCKETS)).cast("int")
 
 
+def day_totals(records: DataFrame) -> DataFrame:
+    """What a history's rows add to the totals of their users, by file and day (of the session's time zone).
+
+    Sums of such rows are the totals of any set of batches, so a batch brings its own and takes them away when it is replaced.
+    """
+    result = F.col("parsed")
+    parsed = records.select("user_id", "filename", "run_id", "batch_id", F.to_date("created_at").alias("day"),
+                            parse_result(F.col("result")).alias("parsed"))
+    issues = F.size(result["issues"]) + result["syntax_error"].cast("int")
+    return parsed.groupBy("user_id", "filename", "day", "run_id", "batch_id").agg(
+        F.count("*").alias("n"), F.sum(issues).alias("issues"),
+        F.sum(panel_score(result["confidence"], result["syntax_error"])).alias("scores"))
+
+
+def _write_history(records: DataFrame, folder: str) -> str:
+    """Rows and their totals under one version."""
+    version = _write_version(records, folder)
+    totals = day_totals(_read_or_empty(records.sparkSession, STORED, f"{folder}/data").filter(F.col("version") == version))
+    _write_version(totals, folder, TOTALS, order=("user_id", "day"), place="totals", version=version)
+    return version
+
+
 def _write_version(records: DataFrame, folder: str, schema: str = RECORDS, bucket: Column | None = None,
-                   order: tuple[str, ...] = ("user_id", "-unix_micros(created_at)")) -> str:
+                   order: tuple[str, ...] = ("user_id", "-unix_micros(created_at)"), place: str = "data",
+                   version: str | None = None) -> str:
     """Rows in a folder of their own that no reader sees yet: by bucket, and in order within it."""
-    version = f"v-{uuid.uuid4().hex}"
+    version = version or f"v-{uuid.uuid4().hex}"
     bucket = user_bucket(F.col("user_id")) if bucket is None else bucket
     typed = records.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema)])
     (typed.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", *map(F.expr, order))
-     .write.partitionBy("bucket").parquet(f"{folder}/data/version={version}"))
+     .write.partitionBy("bucket").parquet(f"{folder}/{place}/version={version}"))
     return version
 
 
@@ -109,7 +134,7 @@ def write_records(records: DataFrame, folder: str, run_id: str, batch_id: int) -
     """
     stamped = records.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
     started = time.time_ns()
-    version = _write_version(stamped, folder)
+    version = _write_history(stamped, folder)
     _commit(records.sparkSession.createDataFrame([(run_id, batch_id, version, started, 0)], LOG), folder)
 
 
@@ -149,6 +174,13 @@ def read_reviews(spark: SparkSession, folder: str, user_id: int | None = None) -
     return rows.join(visible, ["run_id", "batch_id", "version"], "left_semi").drop("run_id", "batch_id", "version", "bucket")
 
 
+def read_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """``user_id, filename, day, n, issues, scores`` of the batches that ``read_reviews`` would show; sums over rows count."""
+    visible = staged(committed(spark, folder).select("run_id", "batch_id", "version"), "snapshot")
+    rows = _read_or_empty(spark, TOTALS + ", version string, bucket int", f"{folder}/totals")
+    return rows.join(visible, ["run_id", "batch_id", "version"], "left_semi").drop("run_id", "batch_id", "version", "bucket")
+
+
 def compact(spark: SparkSession, folder: str) -> int:
     """Copy all committed rows into one version with few files a bucket; returns how many batches were copied.
 
@@ -160,7 +192,7 @@ def compact(spark: SparkSession, folder: str) -> int:
         batches.select("run_id", "batch_id", "version"), ["run_id", "batch_id", "version"], "left_semi")
     n = batches.count()
     if n:
-        version = _write_version(rows, folder)
+        version = _write_history(rows, folder)
         _commit(batches.select("run_id", "batch_id", F.lit(version).alias("version"), "written", F.lit(1).alias("compacted")), folder)
     return n
 

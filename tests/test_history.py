@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from reviewlake.operators import history
+from reviewlake.sources import sinks
 from reviewlake.sources.sinks import result_json
 
 NOW = datetime(2024, 3, 10, 12, 0, 0)
@@ -82,3 +83,30 @@ def test_users(spark):
     got = {r.user_id: (r.total_reviews, r.total_issues) for r in
            history.user_profile_stats(users, stats).collect()}
     assert got == {1: (1, 2), 3: (0, 0)}
+
+
+def test_totals_follow_every_batch(spark, tmp_path):
+    """They equal the full computation after each batch, a repeated one and a compaction, up to the second of the 30 days."""
+    folder, day = str(tmp_path / "history"), 86400
+    edges = [30 * day - 1, 30 * day, 30 * day + 1, 30 * day - 43_000, 30 * day + 40_000, 29 * day, 31 * day, -5, 0]
+    rows = [(u, f, s + extra, 12.5 * (s % 7), s % 4 == 0, s % 3) for u in (1, 2) for f in ("a.py", None) for s in edges
+            for extra in (0, 3600)]
+
+    def batch(part):
+        return (_reviews(spark, rows).filter(F.pmod("review_id", F.lit(4)) == part).withColumn("code", F.lit(""))
+                .select("review_id", "user_id", "code", "filename", "result", "created_at"))
+
+    def check():
+        stored = sinks.read_reviews(spark, folder)
+        parsed = stored.withColumn("result", sinks.parse_result(F.col("result")))
+        want = history.workspace_stats(parsed, F.lit(NOW)).collect()
+        got = history.maintained_stats(sinks.read_totals(spark, folder), stored, F.lit(NOW)).select(*want[0].asDict()).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r.recent_reviews for r in want) > 0
+
+    for number, part in ((0, 0), (1, 1), (0, 2), (2, 3)):
+        sinks.write_records(batch(part), folder, "run", number)
+        check()
+    assert sinks.compact(spark, folder) == 3
+    check()
+    sinks.write_records(batch(0), folder, "run", 1)
+    check()
