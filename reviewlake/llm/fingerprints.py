@@ -224,7 +224,7 @@ def fingerprints_and_edits(documents: DataFrame, samples: int = SAMPLES) -> Data
     document's, in ascending order of doc_id; the last one's next is the first, a single one's it itself. A null text is an
     empty one. A null doc_id counts as the least number. Rows that repeat a doc_id all have the same next one, the following
     doc_id; of its rows the next document is the one with the greatest hash of its text. Two texts without words are alike
-    (1.0). Other columns are not looked at.
+    (1.0). Other columns are not looked at. Very long texts are sampled whole; an empty table gives no rows.
 
     Texts are dealt out once, by ranges of doc_id. Only the first doc_id of each range needs the range before.
     """

@@ -461,7 +461,8 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     the whole. Two sets are linked from 75 % of their union on. ``component_id``: the smallest doc_id that links reach.
     A text without words (null, empty, blank) has no shingles and is linked with nothing, so it has its own doc_id. Rows that
     repeat are linked like copies. A null doc_id is never the smallest one unless nothing else is reached. Sets are compared
-    by 64-bit hashes of words and shingles. Other columns are not looked at.
+    by 64-bit hashes of words and shingles. Other columns are not looked at. Very long texts count with all their shingles; an
+    empty table gives no rows.
     """
     documents = documents.select("doc_id", "text")
     bounds = keep(bounded_nodes(documents))

@@ -195,6 +195,7 @@ def identify(documents: DataFrame, prototypes: Prototypes, columns: str = "doc_i
     """``columns`` of the documents with ``lang_pred`` and ``score`` (the cosine, 0 to 1) for each whole text.
 
     ``und`` with score 0: a null text, one without a letter, or no language to choose from. Rows that repeat give equal rows.
+    Very long texts are judged whole; an empty table gives no rows.
     """
     width = prototypes.vectors.shape[1] or WIDTH
     names = tuple(part.split()[0] for part in columns.split(", "))
@@ -208,7 +209,7 @@ def held_out(rest: int = 1, parts: int = 3):
 
 
 def language_of_documents(documents: DataFrame) -> DataFrame:
-    """Each document's language, learned from the documents that are not held out."""
+    """Each document's language, learned from the documents that are not held out; see ``identify`` for unusual rows."""
     prototypes = fit(documents.filter(~held_out()))
     found = identify(documents, prototypes)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

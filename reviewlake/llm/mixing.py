@@ -56,23 +56,6 @@ def deadline(j: int, share: int, period: int) -> int:
     return -(-(j + 1) * period // share)
 
 
-def period_pattern(shares: dict, period: int) -> list[tuple]:
-    """(source, block in the period, slot) by earliest deadline first among the released blocks."""
-    waiting = [(0, str(s), 0, s) for s in shares]
-    heapq.heapify(waiting)
-    ready: list = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, name, j, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(j, shares[s], period), name, j, s))
-        _, name, j, s = heapq.heappop(ready)
-        out.append((s, j, slot))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, (release(j + 1, shares[s], period), name, j + 1, s))
-    return out
-
-
 def block_slots(shares: dict, blocks: dict, period: int) -> Iterator[tuple]:
     """(source, block, slot) of the blocks that are there, by earliest deadline first; slots for which none is released stay empty."""
     waiting = [(0, str(s), 0, s) for s in shares if blocks[s]]
@@ -108,7 +91,8 @@ def mix_sources(documents: DataFrame, weights: dict | None = None, temper: float
     none is dropped: ``in_mix`` is true up to the first slot that a source, having run out, leaves empty (up to there the
     targets hold to less than a block); later the remaining sources keep to their releases and deadlines, so to their weights
     among each other. Nulls: a null source is a source by itself, a null text has no bytes. Repeated rows are rows of their own. ``period``
-    is the unit of weights: each is a multiple of one part of it. Other columns stay; of clashing names the new column wins.
+    is the unit of weights: each is a multiple of one part of it. Other columns stay; of clashing names the new column wins. A very long
+    document lies whole in the block that it begins in. An empty table gives no rows.
     """
     spark = documents.sparkSession
     rows = documents.drop("weight", "block", "release", "deadline", "slot", "place", "in_mix", "_size_of", "_spread")

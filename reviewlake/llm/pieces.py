@@ -271,7 +271,8 @@ def token_digests(documents: DataFrame, path: str, columns: str = "doc_id long",
     ``with_ids`` adds the ids themselves.
 
     ``path``: a model file that every executor has. A null text counts as an empty one: begin and end id, nothing decoded.
-    Repeated rows give equal rows, a null doc_id stays null; other columns are not looked at.
+    Repeated rows give equal rows, a null doc_id stays null; other columns are not looked at. A very long text is encoded whole, in a
+    block of its own; an empty table gives no rows.
     """
     names = tuple(part.split()[0] for part in columns.split(", "))
     return map_blocks(documents.select(*dict.fromkeys((*names, "text"))),
@@ -306,6 +307,9 @@ def decode_step(path: str):
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """``doc_id`` and the text of each row's ``ids`` (null or no ids: the empty text)."""
+    """``doc_id`` and the text of each row's ``ids`` (null or no ids: the empty text); repeated rows give equal rows.
+
+    Ids must be the model's: one that it does not have fails the job.
+    """
     return map_blocks(rows.selectExpr("doc_id", "ids", "cast('' as string) as pad"), "doc_id long, text string",
                       decode_step, path, text="pad")

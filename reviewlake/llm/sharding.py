@@ -139,7 +139,7 @@ def shard_documents(documents: DataFrame, shards: int = 40, overhead: int = 16)
 
     Size: UTF-8 bytes of the text plus ``overhead``. A null text has no bytes; it lies with the empty texts, and its
     checksum is theirs, 0. Rows that repeat are rows of their own with a slot each; a null doc_id is a value like others.
-    Other columns of the input are not looked at.
+    A very long text counts with all its bytes; an empty table gives no rows. Other columns of the input are not looked at.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = keep(documents.select(

@@ -298,7 +298,8 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
     """Bytes and tokens of each whole text, and whether it is above the limit.
 
     ``path``: a vocabulary file that every executor has. A null text counts as an empty one (no bytes, no tokens). Rows that
-    repeat give equal rows, and a null doc_id stays null; other columns are not looked at.
+    repeat give equal rows, and a null doc_id stays null; other columns are not looked at. A very long text is counted whole, in a
+    block of its own; an empty table gives no rows.
     """
     return map_blocks(documents.select("doc_id", "text"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean",
                       count_step, path, limit)
@@ -316,5 +317,8 @@ def prefix_step(path: str, budgets: tuple[int, ...]):
 
 
 def truncation_points(documents: DataFrame, path: str, budgets: tuple[int, ...]) -> DataFrame:
-    """For each text the bytes of its longest prefix within each token budget, from one pass over the text."""
+    """For each text the bytes of its longest prefix within each token budget, from one pass over the text.
+
+    A null text counts as an empty one; repeated rows give equal rows, an empty table none. Very long texts are counted whole.
+    """
     return map_blocks(documents.select("doc_id", "text"), "doc_id long, prefix_bytes array<long>", prefix_step, path, budgets)

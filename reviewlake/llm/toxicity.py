@@ -419,7 +419,7 @@ def score_texts(texts: DataFrame, machine: Machine | None, columns: str = "doc_i
     """``columns`` of each row with ``score`` (0 to 1) and ``predicted`` (1 from 0.5) for its whole text.
 
     Null and empty texts have the score of a text without any suspicious word. Without a machine all scores are 0. Repeated
-    rows give equal rows; a null doc_id stays null.
+    rows give equal rows; a null doc_id stays null. Very long texts are scored whole; an empty table gives no rows.
     """
     names = [part.split()[0] for part in columns.split(", ")]
     if machine is None:
@@ -436,6 +436,6 @@ def held_out():
 
 
 def toxicity_of_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each document's toxicity, learned from the labelled documents that are not held out."""
+    """Each document's toxicity, learned from the labelled documents that are not held out; see ``score_texts`` for unusual rows."""
     machine = fit(documents.filter(~held_out()), labels.filter(~held_out()))
     return score_texts(documents, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")

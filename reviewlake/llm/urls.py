@@ -115,7 +115,7 @@ def judge_pages(pages: DataFrame, rules: list[Rule] = RULES, threshold: float =
     host of only such pages gets from itself; so a ``threshold`` of 0.5 means: as distrusted as a host with half of its pages
     blocked. A page of the empty host is allowed unless a rule says otherwise, as are pages of hosts that nothing is known about.
     Nulls: a null url has an empty host and path, null html has no links; repeated rows get a row each and count as often.
-    Other columns are not looked at.
+    Very long urls and pages are read whole; an empty table gives no rows. Other columns are not looked at.
     """
     name, kind = rule_of(rules)
     rows = host_and_path(pages.select("page_id", "url", "html"), "url")

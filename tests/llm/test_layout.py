@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.llm.mixing import measured, mix_sources, period_pattern, release, whole_shares
+from reviewlake.llm.mixing import block_slots, measured, mix_sources, release, whole_shares
 from reviewlake.llm.sharding import Cells, minimax_shards, shard_documents
 
 
@@ -81,12 +81,28 @@ def test_cells_without_groups():
     assert Cells([]).doubtful(3) == [] and Cells([]).cuts(0, 3, None) == [0, 0, 0]
 
 
+def plain_schedule(shares, blocks, period):
+    """Slot by slot: of the blocks that may start the one with the earliest deadline, then by name; (source, block, slot)."""
+    out, done, slot = [], {s: 0 for s in shares}, 0
+    while any(done[s] < blocks[s] for s in shares):
+        ready = [(-(-(done[s] + 1) * period // a), str(s), s) for s, a in shares.items()
+                 if done[s] < blocks[s] and done[s] * period // a <= slot]
+        if ready:
+            s = min(ready)[2]
+            out.append((s, done[s], slot))
+            done[s] += 1
+        slot += 1
+    return out
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {i: i + 1 for i in range(30)}])
-def test_pattern_keeps_within_a_block(weights):
+def test_slots_equal_a_plain_schedule_and_keep_within_a_block(weights):
     period = 997
     shares = whole_shares(weights, period)
     assert sum(shares.values()) == period and min(shares.values()) >= 1
-    placed, done = period_pattern(shares, period), Counter()
+    for blocks in (dict(shares), {s: 1 + 7 * i % 40 for i, s in enumerate(shares)}):
+        assert list(block_slots(shares, blocks, period)) == plain_schedule(shares, blocks, period)
+    placed, done = list(block_slots(shares, dict(shares), period)), Counter()
     assert [s for _, _, s in placed] == list(range(period))
     for source, j, slot in placed:
         assert j == done[source] and release(j, shares[source], period) <= slot < -(-(j + 1) * period // shares[source])
@@ -95,6 +111,20 @@ def test_pattern_keeps_within_a_block(weights):
             assert abs(done[s] - (slot + 1) * a / period) < 1
 
 
+def test_mixture_equals_a_plain_schedule(documents):
+    """Every block of the given documents lies in the slot that the plain schedule gives it."""
+    weights, period, block = {"src0": 3.0, "src1": 1.0}, 100, 4096
+    rows = mix_sources(documents, weights, period=period, block=block).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += len((r.text or "").encode()) + 16
+    shares = whole_shares({s: weights.get(s, 1.0) for s in sizes}, period)
+    # A block more for each source marks where it has run out.
+    plain = plain_schedule(shares, {s: -(-n // block) + 1 for s, n in sizes.items()}, period)
+    slots = {(s, j): slot for s, j, slot in plain}
+    assert all(r.slot == slots[r.source, r.block] for r in rows)
+
+
 def test_too_many_sources():
     with pytest.raises(ValueError):
         whole_shares({i: 1 for i in range(11)}, 10)
