@@ -31,7 +31,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine does not take for toxic; without labels of both classes all stay."""
+    """Documents that the machine does not take for toxic; without labels of both classes all stay.
+
+    A null text is not toxic; nulls in other columns and repeated rows stay, empty input stays empty.
+    """
     labels = table(spark, sf_dir, "labels")
     machine = toxicity.fit(docs.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out()))
     return toxicity.score_texts(docs.select(*COLUMNS), machine, SCHEMA).filter("predicted = 0").select(*COLUMNS)
@@ -51,7 +54,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their place in the mixture of sources: sort by (mix_slot, mix_place) to read it."""
+    """All documents with their place in the mixture of sources: sort by (mix_slot, mix_place) to read it.
+
+    A null source is one by itself; nulls and repeated rows stay, empty input stays empty.
+    """
     placed = mixing.mix_sources(docs.select(*COLUMNS))
     return placed.select(*COLUMNS, F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
 
@@ -59,7 +65,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each whole text, their number, and digests of the ids and of their decoding.
 
-    The place in the mixture goes along; documents that have not been mixed have none.
+    The place in the mixture goes along; documents that have not been mixed have none. A null text is an empty one, repeated rows
+    give equal rows, empty input stays empty.
     """
     for place in ("mix_slot", "mix_place"):
         if place not in docs.columns:
