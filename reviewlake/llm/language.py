@@ -24,6 +24,8 @@ SAMPLE = 1500
 
 NO_LANGUAGE = "und"
 
+BLOCK = 1 << 20
+"""Text that a task holds at a time."""
 HELD = 16_384
 """N-grams whose vectors a task holds."""
 PLACES = 1 << 20
@@ -164,7 +166,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> Proto
         shares = rows.sparkSession.createDataFrame([(r.lang, sample / r["count"]) for r in large], "s_lang string, share double")
         chosen = (rows.join(F.broadcast(shares), F.col("lang") == F.col("s_lang"), "left")
                   .filter(F.col("share").isNull() | (draw < F.col("share") * (1 << 20))))
-    partial = map_blocks(chosen.select("text", "lang"), "lang string, bundle array<double>", bundles, width)
+    partial = map_blocks(chosen.select("text", "lang"), "lang string, bundle array<double>", bundles, width, block=BLOCK)
     summed = (partial.select("lang", F.posexplode("bundle").alias("at", "x"))
               .groupBy("lang", "at").agg(F.sum("x").alias("x")))
     # As many rows as there are languages, of `width` numbers.
@@ -200,7 +202,7 @@ def identify(documents: DataFrame, prototypes: Prototypes, columns: str = "doc_i
     width = prototypes.vectors.shape[1] or WIDTH
     names = tuple(part.split()[0] for part in columns.split(", "))
     rows = documents.select(*dict.fromkeys((*names, "text")))
-    return map_blocks(rows, f"{columns}, lang_pred string, score double", classifier, prototypes, width, names)
+    return map_blocks(rows, f"{columns}, lang_pred string, score double", classifier, prototypes, width, names, block=BLOCK)
 
 
 def held_out(rest: int = 1, parts: int = 3):
