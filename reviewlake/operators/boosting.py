@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.operators.trees import NODES, Rows, mixed
+from reviewlake.operators.trees import NODES, Rows, alike, mixed
 
 SMOOTHING = 1.0
 """Added to the sum of second derivatives of a leaf."""

@@ -118,15 +118,19 @@ def fit_sample(train: DataFrame, folds: dict[str, dict[str, int]], settings: Tra
     return sample
 
 
+def _sum_if(met: Column) -> Column:
+    return F.sum(F.when(met, F.col("n")).otherwise(0))
+
+
 def fold_f_betas(votes: DataFrame) -> DataFrame:
-    """``language, candidate, fold, f_beta`` of class 1, where more than half of the votes are for it.
+    """``language, candidate, fold, f_beta`` of class 1, where more than half of the votes are for it; a row stands for ``n``.
 
     Votes are rounded, since their sum depends in its last digits on the order of the parts.
     """
     said = F.round("votes", 9) > 0.5
     counts = votes.groupBy("language", "candidate", "fold").agg(
-        F.count_if(said & (F.col("label") == 1)).alias("tp"), F.count_if(said & (F.col("label") == 0)).alias("fp"),
-        F.count_if(~said & (F.col("label") == 1)).alias("fn"))
+        _sum_if(said & (F.col("label") == 1)).alias("tp"), _sum_if(said & (F.col("label") == 0)).alias("fp"),
+        _sum_if(~said & (F.col("label") == 1)).alias("fn"))
     betas = {**{k: 1.0 for k in fixed.SUPPORTED}, **fixed.SEARCH_BETA}
     beta = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in betas.items() for x in (F.lit(k), F.lit(float(v)))]),
                                        F.col("language")), F.lit(1.0))

@@ -55,6 +55,23 @@ def draws(keys: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
     return np.searchsorted(DRAWN, (bits >> np.uint64(11)) * 2.0 ** -53, side="right").astype(np.uint8)
 
 
+def alike(bins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of rows with the same bins and class, and the number of the set of each row."""
+    table = np.ascontiguousarray(np.column_stack([bins, label]).astype(np.int32))
+    _, first, number = np.unique(table.view(np.dtype((np.void, table.itemsize * table.shape[1]))).ravel(), return_index=True,
+                                 return_inverse=True)
+    return first, number
+
+
+def drawn_alike(keys: np.ndarray, trees: np.ndarray, seed: int, number: np.ndarray) -> np.ndarray:
+    """How often each tree draws the rows of each set: (trees, sets). Rows are drawn one by one, ``ENTRIES`` at a time."""
+    order = np.argsort(number, kind="stable")
+    starts = np.searchsorted(number[order], np.arange(number.max(initial=-1) + 1))
+    step, keys = max(1, ENTRIES // max(1, len(keys))), keys[order]
+    return np.concatenate([np.add.reduceat(draws(keys, trees[a:a + step], seed), starts, axis=1, dtype=np.int64)
+                           for a in range(0, len(trees), step)])
+
+
 @dataclass
 class Rows:
     """Rows of one language: a byte for each feature, the class, the fold, and a hash of the id."""
@@ -122,9 +139,13 @@ def best_splits(starts: np.ndarray, node: np.ndarray, rows: np.ndarray, count: n
 
 def grow(rows: Rows, use: np.ndarray, trees: np.ndarray, classes: int, n_features: int, least_leaf: int = 1, least_split: int = 2,
          deepest: int = DEEPEST, seed: int = 42, weight: np.ndarray | None = None) -> Forest:
-    """The given trees on the rows ``use``; without ``weight`` the classes of each tree's draw weigh the same."""
-    bins, label = rows.bins[use], rows.label[use].astype(np.int64)
-    drawn = draws(rows.key[use], trees, seed)
+    """The given trees on the rows ``use``; without ``weight`` the classes of each tree's draw weigh the same.
+
+    Rows that no cut can part and that have the same class grow as one entry with the sum of their draws.
+    """
+    first, number = alike(rows.bins[use], rows.label[use])
+    bins, label = rows.bins[use][first], rows.label[use][first].astype(np.int64)
+    drawn = drawn_alike(rows.key[use], trees, seed, number) if len(use) else np.zeros((len(trees), 0), np.int64)
     node, at = np.nonzero(drawn)
     count = drawn[node, at].astype(float)
     y = label[at]
@@ -235,10 +256,11 @@ class Fit:
 
 
 def pieces(fits: list[Fit], blocks: dict[str, Rows]) -> list[tuple[int, int, int]]:
-    """(fit, first tree, trees), each of about ``ENTRIES`` pairs of tree and row."""
+    """(fit, first tree, trees), each of about ``ENTRIES`` pairs of tree and set of rows that are alike."""
     out = []
+    sizes = {language: len(alike(rows.bins, rows.label)[0]) for language, rows in blocks.items()}
     for i, fit in enumerate(fits):
-        step = int(max(1, min(64, ENTRIES // max(1, len(blocks[fit.language].label)))))
+        step = int(max(1, min(64, ENTRIES // max(1, sizes[fit.language]))))
         out += [(i, first, min(step, fit.trees - first)) for first in range(0, fit.trees, step)]
     return out
 
@@ -246,17 +268,16 @@ def pieces(fits: list[Fit], blocks: dict[str, Rows]) -> list[tuple[int, int, int
 def for_pieces(spark: SparkSession, work: list[tuple[int, int, int]], schema: str, step) -> DataFrame:
     """Run ``step(fit, first, n)``, which gives a frame or None, for each piece; pieces are dealt out evenly."""
     tasks = max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism))
-    dealt = [(i % tasks, *piece) for i, piece in enumerate(work)]
-    frame = spark.createDataFrame(pd.DataFrame(dealt, columns=["task", "fit", "first", "n"]))
 
     def run(frames):
         for given in frames:
-            for fit, first, n in zip(given["fit"], given["first"], given["n"], strict=True):
-                found = step(int(fit), int(first), int(n))
-                if found is not None:
-                    yield found
+            for task in given["id"]:
+                for fit, first, n in work[task::tasks]:
+                    found = step(fit, first, n)
+                    if found is not None:
+                        yield found
 
-    return frame.repartition(tasks, "task").drop("task").mapInPandas(run, schema)
+    return spark.range(0, tasks, 1, tasks).mapInPandas(run, schema)
 
 
 def grown(blocks: dict[str, Rows], fit: Fit, classes: int, first: int, n: int, seed: int) -> Forest:
@@ -267,8 +288,9 @@ def grown(blocks: dict[str, Rows], fit: Fit, classes: int, first: int, n: int, s
 
 def fold_scores(spark: SparkSession, blocks: dict[str, Rows], fits: list[Fit], asked: list[list[tuple[int, int, int, int]]],
                 seed: int = 42) -> DataFrame:
-    """``language, candidate, fold, snippet_id, label, votes``: what forests say about the rows of the fold they left out.
+    """``language, candidate, fold, snippet_id, label, n, votes``: what forests say about the rows of the fold they left out.
 
+    Rows with the same bins and class come as one row with their number ``n`` and the id of the first.
     ``asked`` lists for each fit the candidates (number, trees, least_split, deepest) that its trees serve.
     """
     shared = spark.sparkContext.broadcast(blocks)
@@ -276,6 +298,8 @@ def fold_scores(spark: SparkSession, blocks: dict[str, Rows], fits: list[Fit], a
     def step(i, first, n):
         fit, rows = fits[i], shared.value[fits[i].language]
         out = np.flatnonzero(rows.fold == fit.fold)
+        kept, number = alike(rows.bins[out], rows.label[out])
+        out, alike_rows = out[kept], np.bincount(number, minlength=len(kept))
         forest = grown(shared.value, fit, 2, first, n, seed)
         parts = []
         for number, trees, least_split, deepest in asked[i]:
@@ -283,12 +307,12 @@ def fold_scores(spark: SparkSession, blocks: dict[str, Rows], fits: list[Fit], a
             if use > 0 and len(out):
                 ends = reached(forest, rows.bins[out], n, least_split, deepest)[:use]
                 parts.append(pd.DataFrame({"language": fit.language, "candidate": number, "fold": fit.fold, "snippet_id": rows.ids[out],
-                                           "label": rows.label[out], "votes": forest.votes[ends][:, :, 1].sum(axis=0) / trees}))
+                                           "label": rows.label[out], "n": alike_rows, "votes": forest.votes[ends][:, :, 1].sum(axis=0) / trees}))
         return pd.concat(parts) if parts else None
 
-    found = for_pieces(spark, pieces(fits, blocks), "language string, candidate int, fold int, snippet_id long, label int, votes double",
-                       step)
-    return found.groupBy("language", "candidate", "fold", "snippet_id", "label").agg(F.sum("votes").alias("votes"))
+    found = for_pieces(spark, pieces(fits, blocks),
+                       "language string, candidate int, fold int, snippet_id long, label int, n long, votes double", step)
+    return found.groupBy("language", "candidate", "fold", "snippet_id", "label", "n").agg(F.sum("votes").alias("votes"))
 
 
 def fit_forests(spark: SparkSession, blocks: dict[str, Rows], cuts: dict[str, list[np.ndarray]], fits: list[Fit], classes: int,
@@ -394,18 +418,20 @@ def forest_scores(rows: DataFrame, nodes: DataFrame, features: list[str], model:
 
 
 def _asker(shared, features: list[str], model: str, fields: pa.Schema):
+    """Ask the trees once for each distinct row of a batch."""
     def run(batches):
         for batch in batches:
-            models = np.array(batch.column(model).to_pylist(), dtype=object)
-            found: list = [None] * batch.num_rows
-            values = None
+            models = batch.column(model).dictionary_encode()
+            names, of_model = models.dictionary.to_pylist(), models.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            values = np.stack([np.nan_to_num(batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False))
+                               for f in features], axis=1) + 0.0
+            first, number = alike(np.ascontiguousarray(values).view(np.int32), of_model)
+            found: list = [None] * len(first)
             for language, votes in shared.value.items():
-                at = np.flatnonzero(models == language)
+                at = np.flatnonzero(of_model[first] == names.index(language)) if language in names else []
                 if len(at):
-                    if values is None:
-                        values = np.stack([np.nan_to_num(batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False))
-                                           for f in features], axis=1)
-                    for i, row in zip(at.tolist(), votes.ask(values[at]).tolist(), strict=True):
+                    for i, row in zip(at.tolist(), votes.ask(values[first[at]]).tolist(), strict=True):
                         found[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], schema=fields)
+            column = pa.array(found, pa.list_(pa.float64())).take(pa.array(number))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], schema=fields)
     return run

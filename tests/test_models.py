@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,46 @@ def test_pieces_and_portions_change_nothing(spark, monkeypatch):
     assert all(abs(seen[0][1][i][2 * fold + 1] - v) < 1e-8 for (c, fold, i), v in seen[0][0].items() if c == 0)
 
 
+def _copied_rows(classes=2):
+    """20 different rows, each 30 times under ids of its own."""
+    few, values, cuts = _rows(20, 3, classes)
+    n = 600
+    rows = trees.Rows(np.tile(few.bins, (30, 1)), np.tile(few.label, 30), np.arange(n) // 20 % 5,
+                      np.random.default_rng(2).integers(0, 2**63, n).astype(np.uint64), np.arange(n))
+    return rows, np.tile(values, (30, 1)), cuts
+
+
+def test_copies_grow_and_are_asked_as_one(spark, monkeypatch):
+    rows, values, cuts = _copied_rows()
+    use = np.flatnonzero(rows.fold != 1)
+    assert len(trees.alike(rows.bins[use], rows.label[use])[0]) <= 20
+    assert trees.pieces([trees.Fit("all", 0, 64, 3, 1)], {"all": rows}) == [(0, 0, 64)]
+    one, sets = trees.alike(rows.bins[use], rows.label[use])
+    for entries in (trees.ENTRIES, 1000):
+        monkeypatch.setattr(trees, "ENTRIES", entries)
+        each = trees.draws(rows.key[use], np.arange(5), 3)
+        assert np.array_equal(trees.drawn_alike(rows.key[use], np.arange(5), 3, sets),
+                              [[int(t[sets == i].sum()) for i in range(len(one))] for t in each])
+    forest = trees.grow(rows, use, np.arange(5, 7), 2, 3, 1, 2, seed=3)
+    found = forest.votes[trees.reached(forest, rows.bins, 2)]
+    for t in range(2):
+        plain = _plain_tree(rows, use, 5 + t, 2, 3, 1, 2, trees.DEEPEST, 3)
+        assert np.allclose(found[t], [plain[i] for i in range(600)])
+    fit, asked = [trees.Fit("all", 1, 10, 3, 1)], [[(0, 10, 2, trees.DEEPEST)]]
+    votes = trees.fold_scores(spark, {"all": rows}, fit, asked).collect()
+    assert len(votes) <= 20 and sum(r.n for r in votes) == 120
+    nodes = trees.fit_forests(spark, {"all": rows}, {"all": cuts}, fit, 2).toPandas()
+    seen = []
+    monkeypatch.setattr(trees.Votes, "ask", lambda self, v, ask=trees.Votes.ask: seen.append(len(v)) or ask(self, v))
+    shared = type("Shared", (), {"value": {"all": trees.Votes(nodes.assign(fit=0), 1)}})
+    batch = pa.RecordBatch.from_pydict({"m": ["all"] * 600 + [None], **{
+        f: [*values[:, i], None] for i, f in enumerate(fixed.FEATURES)}})
+    fields = batch.schema.append(pa.field("s", pa.list_(pa.float64())))
+    got = next(trees._asker(shared, fixed.FEATURES, "m", fields)([batch])).column("s").to_pylist()
+    assert got[-1] is None and sum(seen) <= 20
+    assert np.allclose(got[:-1], shared.value["all"].ask(values))
+
+
 def test_sigmoid_curve_is_the_best_one():
     rng = np.random.default_rng(5)
     for n, spread in ((40, 0.5), (400, 0.05), (6, 0.0)):
