@@ -331,7 +331,8 @@ def severity_dataset(features: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def encode_labels(rows: DataFrame, column: str):
-    """Add ``label``: classes numbered by name."""
+    """Add ``label``: classes numbered by name. The rows are stored, since they are read for the names and for the numbers."""
+    rows = staged(rows, "unencoded")
     model = StringIndexer(inputCol=column, outputCol="label",
                           stringOrderType="alphabetAsc").fit(rows)
     return model.transform(rows), model.labels

@@ -17,7 +17,7 @@ from reviewlake.operators.tokens import c_like_syntax
 from reviewlake.plans import flows, inputs
 from reviewlake.plans.corpus import code_corpus
 from reviewlake.plans.review import (
-    ReviewTables, find_syntax_error, logical_issues, review,
+    SnippetTables, find_syntax_error, logical_issues, review,
 )
 from reviewlake.sources import corpus as readers
 from reviewlake.sources import sinks
@@ -406,10 +406,9 @@ for _rule, _fn in rules_python.PYTHON_RULES.items():
 
 # ---- scoring ------------------------------------------------------------------------
 
-def _tables(spark, sf_dir) -> ReviewTables:
+def _tables(spark, sf_dir) -> SnippetTables:
     """Review tables of all snippets, copies included."""
-    source = inputs.snippets(spark, sf_dir).select("snippet_id", "code", "review_language")
-    return ReviewTables(staged(source, "snippets"))
+    return SnippetTables(inputs.snippets(spark, sf_dir).withColumn("code", F.coalesce("code", F.lit(""))))
 
 
 def _results(spark, sf_dir) -> DataFrame:
@@ -418,8 +417,7 @@ def _results(spark, sf_dir) -> DataFrame:
 
 @query("s_1_distinct_issues")
 def s_1(spark, sf_dir):
-    return _tables(spark, sf_dir).issues.groupBy("name", "line", "fix").agg(
-        F.count("*").alias("snippets"))
+    return _tables(spark, sf_dir).issue_counts()
 
 
 @query("s_2_complexity")
@@ -741,8 +739,9 @@ def ev_3(spark, sf_dir):
 @query("ev_4_synthetic_labels")
 def ev_4(spark, sf_dir):
     tables = _tables(spark, sf_dir)
-    return metrics.synthetic_labels(tables.snippets.select("snippet_id"), tables.issues,
-                                    limit=None).select("snippet_id", "label")
+    texts = tables.of_texts
+    return tables.given(metrics.synthetic_labels(texts.snippets.select("snippet_id"), texts.issues,
+                                                 limit=None).select("snippet_id", "label"))
 
 
 @query("main_build_dataset")

@@ -12,7 +12,7 @@ from reviewlake.operators import metrics, models
 from reviewlake.operators.clean import clean_dataset, with_bug_risk
 from reviewlake.operators.features import features
 from reviewlake.operators.nodes import node_table
-from reviewlake.plans.review import ReviewTables, review
+from reviewlake.plans.review import SnippetTables, review
 from reviewlake.sources import corpus as readers
 from reviewlake.sources.stage import staged
 
@@ -59,7 +59,7 @@ def samples_of_files(spark: SparkSession, paths: list[str], max_samples: int | N
 def classifier_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """The training rows of the issue and of the severity classifier from samples without labels."""
     samples = unlabeled_samples(spark, paths)
-    tables = ReviewTables(samples.withColumn("review_language", F.lit("python")))
+    tables = SnippetTables(samples.withColumn("review_language", F.lit("python")))
     results = staged(tables.results(), "results")
     return models.issue_dataset(tables.features, results), models.severity_dataset(tables.features, results)
 

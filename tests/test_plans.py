@@ -187,3 +187,22 @@ def test_registered_rules_parse_the_texts_once(spark, sf):
     for name, run in REGISTRY.items():
         if re.match(r"py_\d+_|fe_5", name):
             assert plan(run(spark, sf)).count("MapInArrow") <= 1, name
+
+
+def test_snippet_tables_parse_each_text_once(spark):
+    """Copies get the tables of their text, row for row as if each were reviewed by itself."""
+    from reviewlake.plans.review import ReviewTables, SnippetTables
+
+    texts = [("python", "while True:\n    x = 1 / 0\n"), ("python", "def f(:\n"), ("cpp", "int f() {\n  return 1 / 0;\n}\n"),
+             ("java", "while True:\n    x = 1 / 0\n")]
+    rows = spark.createDataFrame([(i, texts[i % 4][1], texts[i % 4][0]) for i in range(40)],
+                                 "snippet_id long, code string, review_language string")
+    every, plain = SnippetTables(rows), ReviewTables(rows)
+    assert every.of_texts.snippets.count() == 4 and every.of_texts.nodes.select("snippet_id").distinct().count() == 2
+
+    def seen(frame):
+        return sorted(map(repr, frame.select(sorted(frame.columns)).collect()))
+
+    assert seen(every.issues) == seen(plain.issues) and seen(every.features) == seen(plain.features)
+    assert seen(every.ranked()) == seen(plain.ranked()) and seen(every.results()) == seen(plain.results())
+    assert seen(every.issue_counts()) == seen(plain.issues.groupBy("name", "line", "fix").agg(F.count("*").alias("snippets")))
