@@ -27,11 +27,13 @@ def clean_c_like(snippets: DataFrame) -> DataFrame:
 
 
 def explode_lines(df: DataFrame, text: str = "clean", keep: tuple = ()) -> DataFrame:
-    """One row per non-blank line: 1-based ``n`` and the stripped ``line``."""
+    """One row per non-blank line: 1-based ``n`` and the stripped ``line``.
+
+    Lines are stripped before they become rows: a filter on rows would strip a line anew for each test in it.
+    """
     return (
-        df.select("snippet_id", "review_language", *keep, F.posexplode(split_lines(F.col(text))))
-        .select("snippet_id", "review_language", *keep, (F.col("pos") + 1).alias("n"),
-                strip(F.col("col")).alias("line"))
+        df.select("snippet_id", "review_language", *keep, F.posexplode(F.transform(split_lines(F.col(text)), strip)))
+        .select("snippet_id", "review_language", *keep, (F.col("pos") + 1).alias("n"), F.col("col").alias("line"))
         .filter(F.col("line") != "")
     )
 
@@ -66,7 +68,8 @@ def _line_tests() -> dict:
         "CJ-5": by_language(lang, sorts, lambda p: has(line, p, words=("sort",)), no),
         "CJ-6": has(line, fixed.RETURN_NO_SEMICOLON, words=("return",)),
         "CJ-7": line.endswith(")") & has(line, fixed.STATEMENT_NO_SEMICOLON),
-        "CJ-8": quoted & has(blanked, fixed.LITERAL_NO_SEMICOLON) & ~blanked.startswith("#"),
+        # Blanking keeps what a line begins with.
+        "CJ-8": quoted & ~line.startswith("#") & has(blanked, fixed.LITERAL_NO_SEMICOLON),
         "CJ-9": has(line, fixed.ASSIGN_IN_CONDITION, words=("if",)),
         "CJ-10": cpp & has(line, fixed.ENDL, words=("endl",)),
         "CJ-11": cpp & has(line, fixed.POW_TO_INT, words=("pow",)),
@@ -80,10 +83,11 @@ def _line_tests() -> dict:
     }
 
 
-def line_facts(clean: DataFrame) -> DataFrame:
+def line_facts(clean: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """All facts of a line in one pass over the text; the text itself is not kept.
 
-    What goes into a shuffle later is this narrow row, never the code.
+    What goes into a shuffle later is this narrow row, never the code. With ``rules`` a line is tested for these line
+    rules only, and for loops if one of them looks for loops before the line.
     """
     line, lang = F.col("line"), F.col("review_language")
     lines = explode_lines(
@@ -91,6 +95,9 @@ def line_facts(clean: DataFrame) -> DataFrame:
         .withColumn("switch_word", has(F.col("clean"), fixed.SWITCH_OPEN)),
         keep=("string_word", "switch_word"))
     tests = _line_tests()
+    asked = set(rules or tests)
+    if any(LINE_RULES[r] for r in asked):
+        asked.add("CJ-1")
     none = F.array().cast("array<string>")
     returns, name = group(line, fixed.SIGNATURE, 1), group(line, fixed.SIGNATURE, 2)
     indexed = line.contains("[")
@@ -105,7 +112,7 @@ def line_facts(clean: DataFrame) -> DataFrame:
     return lines.select(
         "snippet_id", "review_language", "n",
         tests["CJ-1"].alias("has_loop"),
-        F.filter(F.array(*[F.when(t, F.lit(r)) for r, t in tests.items()]),
+        F.filter(F.array(*[F.when(t, F.lit(r)) for r, t in tests.items() if r in asked]),
                  lambda r: r.isNotNull()).alias("tests"),
         occurrences(line, "{").alias("opens"),
         occurrences(line, "}").alias("closes"),

@@ -11,7 +11,7 @@ from reviewlake.functions import fixed, lang, text
 from reviewlake.operators import (
     clean, features, history, metrics, models, rules_clike, rules_python, sampling, scoring,
 )
-from reviewlake.operators.lines import explode_lines
+from reviewlake.operators.lines import LINE_RULES, explode_lines
 from reviewlake.operators.nodes import node_table, parse_status
 from reviewlake.operators.tokens import c_like_syntax
 from reviewlake.plans import flows, inputs
@@ -355,14 +355,14 @@ def _c_like_query(rule):
             return scoring.complexity_issues(inputs.feature_rows(spark, sf_dir))
         if rule in rules_clike.FILE_RULES:
             return rules_clike.file_issues(inputs.clean(spark, sf_dir), [rule])
+        if rule in LINE_RULES:
+            return rules_clike.line_issues(inputs.facts(spark, sf_dir, [rule]), [rule])
         facts = inputs.facts(spark, sf_dir)
         if rule == "CJ-19":
             return rules_clike.switch_issues(facts)
         if rule == "CJ-27":
             return rules_clike.array_issues(facts)
-        if rule in ("CJ-25", "CJ-26"):
-            return rules_clike.function_issues(facts, (rule,))
-        return rules_clike.line_issues(facts, [rule])
+        return rules_clike.function_issues(facts, (rule,))
 
     _issue_query(f"cj_{rule[3:]}_{CJ_NAMES[rule]}", run)
 

@@ -11,6 +11,7 @@ from reviewlake.operators.nodes import node_table
 from reviewlake.operators.rules_python import JOIN_RULES, row_issues
 from reviewlake.operators.tokens import c_like_syntax
 from reviewlake.plans import inputs
+from reviewlake.plans.catalog import REGISTRY
 from reviewlake.plans.corpus import TEMPLATES, code_corpus
 from reviewlake.plans.review import review
 from reviewlake.sources.stage import staged
@@ -40,6 +41,17 @@ def test_line_rules_without_loops_need_no_shuffle(spark, sf):
     assert len(exchanges(text)) == 1 and "hashpartitioning(snippet_id" in text
 
 
+def test_a_line_rule_tests_lines_for_itself_only(spark, sf):
+    # Each test for another rule, and each time that a line is stripped again, is work on every line of every text.
+    text = plan(REGISTRY["text_cj_8_literal_no_semicolon"](spark, sf))
+    assert text.count("trim(") == 1 and "THEN CJ-8" in text and "THEN CJ-1 " not in text and "THEN CJ-3 " not in text
+    clean = staged(inputs.clean(spark, sf), "clean")
+    whole = staged(rules_clike.line_issues(line_facts(clean)), "issues")
+    for rule in ("CJ-1", "CJ-4", "CJ-8", "CJ-14"):
+        found = rules_clike.line_issues(line_facts(clean, [rule]), [rule])
+        assert found.count() and sorted(found.collect()) == sorted(whole.filter(F.col("rule") == rule).collect())
+
+
 def test_function_and_bracket_windows_share_one_exchange(spark, sf):
     facts = staged(line_facts(inputs.clean(spark, sf)), "lines")
     assert len(exchanges(plan(rules_clike.function_extents(facts)))) == 1
