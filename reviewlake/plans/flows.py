@@ -45,15 +45,17 @@ def unlabeled_samples(spark: SparkSession, paths: list[str], max_samples: int |
 def samples_of_files(spark: SparkSession, paths: list[str], max_samples: int | None = 500) -> DataFrame:
     """``snippet_id, code, label``: the labelled samples of the files, or all of them where none has a label.
 
-    Without labels a sample counts as risky if the rules find an issue in it.
+    Without labels a sample counts as risky if the rules find an issue in it. Such samples bring ``predicted, latency_ms`` of
+    that review along, so ``evaluate`` need not review them by the rules again.
     """
     labeled = staged(readers.read_labeled(spark, paths, max_samples).select(
         F.monotonically_increasing_id().alias("snippet_id"), "code", "label"), "labeled")
     if not labeled.isEmpty():
         return labeled
     samples = unlabeled_samples(spark, paths, max_samples)
-    found = review(as_python(samples)).filter(F.size("issues") > 0).select("snippet_id")
-    return staged(metrics.synthetic_labels(samples, found), "synthetic")
+    flagged = flags(samples)
+    labels = metrics.synthetic_labels(flagged, flagged.filter("found")).drop("found")
+    return staged(samples.join(labels, "snippet_id"), "synthetic")
 
 
 def classifier_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -75,26 +77,31 @@ def train_classifiers(spark: SparkSession, paths: list[str], folder: str, issue:
     return {"issue": issue_report, "severity": severity_report}
 
 
-def predict(samples: DataFrame, package: tuple[dict, dict] | None = None) -> DataFrame:
-    """``snippet_id, label, predicted, latency_ms`` of Python samples.
+def flags(samples: DataFrame, package: tuple[dict, dict] | None = None) -> DataFrame:
+    """``snippet_id, found, predicted, latency_ms`` of Python samples: is there an issue, and is the sample taken for risky.
 
     Snippets are reviewed together, so each one's latency is its share of the time.
     """
     start = time.perf_counter()
     results = staged(review(as_python(samples), package).select(
-        "snippet_id", metrics.predict_flag(F.size("issues"), F.col("confidence"))
-        .alias("predicted")), "predicted")
+        "snippet_id", (F.size("issues") > 0).alias("found"),
+        metrics.predict_flag(F.size("issues"), F.col("confidence")).alias("predicted")), "predicted")
     share = 1000 * (time.perf_counter() - start) / max(1, results.count())
-    return samples.select("snippet_id", "label").join(results, "snippet_id").withColumn(
-        "latency_ms", F.lit(share))
+    return results.withColumn("latency_ms", F.lit(share))
+
+
+def predict(samples: DataFrame, package: tuple[dict, dict] | None = None) -> DataFrame:
+    """``snippet_id, label, predicted, latency_ms`` of Python samples."""
+    return samples.select("snippet_id", "label").join(flags(samples, package).drop("found"), "snippet_id")
 
 
 def evaluate(samples: DataFrame, package: tuple[dict, dict] | None = None) -> DataFrame:
     """Metrics of the rules alone, and next to them those of rules and model.
 
-    ``samples``: ``snippet_id, code, label``.
+    ``samples``: ``snippet_id, code, label``; with ``predicted, latency_ms`` the rules have judged them already.
     """
-    rows = predict(samples).withColumn("mode", F.lit("rules"))
+    judged = samples.select("snippet_id", "label", "predicted", "latency_ms") if "predicted" in samples.columns else predict(samples)
+    rows = judged.withColumn("mode", F.lit("rules"))
     modes = ["rules"]
     if package is not None:
         rows = rows.unionByName(predict(samples, package).withColumn("mode", F.lit("model")))

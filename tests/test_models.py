@@ -462,6 +462,21 @@ def test_registered_fits_are_the_full_ones(spark, sf, monkeypatch, train_rows):
     assert (full.candidates, full.folds, max(full.grid["num_trees"])) == (25, 5, 700)
 
 
+def test_labels_of_the_rules_need_one_review(spark, tmp_path, monkeypatch):
+    """The review that gives the labels is the one that is measured by them."""
+    from reviewlake.plans import flows
+
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"code": c}) for c in (
+        "x = 1 / 0\nprint('a long enough line')\n", "def f(a):\n    return a + 1\n", "def broken(:\n    return 12\n") * 2))
+    reviews, plain = [], flows.review
+    monkeypatch.setattr(flows, "review", lambda *given: reviews.append(given) or plain(*given))
+    samples = flows.samples_of_files(spark, [str(tmp_path)], max_samples=None)
+    found = {r.metric: r.rules for r in flows.evaluate(samples).collect()}
+    assert len(reviews) == 1 and found["avg_latency_ms"] > 0
+    again = {r.metric: r.rules for r in flows.evaluate(samples.select("snippet_id", "code", "label")).collect()}
+    assert len(reviews) == 2 and all(found[m] == again[m] for m in found if "latency" not in m)
+
+
 def test_files_without_labels(spark, tmp_path):
     """The rules label them; both classifiers are trained on them and saved."""
     from reviewlake.plans import flows
