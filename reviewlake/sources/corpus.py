@@ -16,6 +16,8 @@ CORPUS_COLUMNS = ["code", "docstring", "repo", "path", "language"]
 # Where a row stands in the input: format, file, split of the file, row.
 POSITION = ["fmt", "file", "block", "seq"]
 SNIPPET_SCHEMA = ", ".join(f"{f} string" for f in fixed.SNIPPET_FIELDS)
+TASKS_A_CORE = 16
+"""Tasks that read whole files, for each core. Spark alone counts 4 MB for opening a file, so a task would get a few small ones."""
 
 
 def _plain_path(col: Column) -> Column:
@@ -33,8 +35,7 @@ def _files(spark: SparkSession, folder: str, glob: str, max_files: int | None) -
     """The folder, or with a cap the first files of it by path."""
     if max_files is None:
         return [folder]
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-               .option("pathGlobFilter", glob).load(folder).select("path"))
+    listing = _whole_files(spark, glob, folder).select("path")
     return [r["path"] for r in listing.orderBy("path").limit(max_files).collect()]
 
 
@@ -43,6 +44,11 @@ def _reader(spark: SparkSession, fmt: str, glob: str):
             .option("pathGlobFilter", glob))
 
 
+def _whole_files(spark: SparkSession, glob: str, paths: str | list[str]) -> DataFrame:
+    """A row for each file. How many tasks read them follows the cores, not the number of files."""
+    return _reader(spark, "binaryFile", glob).load(paths).coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+
+
 def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SNIPPET_SCHEMA + ", fmt int, file string, block long, seq long")
 
@@ -78,7 +84,7 @@ def read_source_files(spark: SparkSession, folder: str, max_files: int | None =
     files = _files(spark, folder, glob, max_files)
     if not files:
         return _empty(spark)
-    rows = _reader(spark, "binaryFile", glob).load(files)
+    rows = _whole_files(spark, glob, files)
     code = F.regexp_replace(decode_ignoring_errors(F.col("content")), "\r\n?", "\n")
     return rows.select(
         code.alias("code"), F.lit("").alias("docstring"), F.lit("").alias("repo"),

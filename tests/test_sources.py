@@ -217,3 +217,18 @@ def test_source_files_in_a_store_that_arrow_does_not_know(spark, tmp_path):
     inputs.write_source_tree(rows, "viewfs://trees/in/tree")
     got = readers.read_source_files(spark, "viewfs://trees/in/tree").collect()
     assert sorted(r.code for r in got) == ["int a;\n", "int b;\nint c;\n"]
+
+
+def test_many_small_source_files_share_tasks(spark, tmp_path):
+    most = readers.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    texts = {f"f{i}.cpp": f"int v{i};\n" for i in range(most + 40)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        rows = readers.read_source_files(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() <= most
+        assert {r.path.rsplit("/", 1)[1]: r.code for r in rows.collect()} == texts
+        assert readers.read_source_files(spark, str(tmp_path), max_files=3).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
