@@ -18,7 +18,7 @@ SMOOTHING = 1.0
 LEAST_BEND = 1.0
 """Least sum of second derivatives on each side of a split."""
 TASK_ROWS = 50_000
-"""Rows, once for each class, that are worth a task of their own."""
+"""Distinct rows, once for each class, that are worth a task of their own."""
 
 
 def softmax(margins: np.ndarray) -> np.ndarray:
@@ -41,8 +41,14 @@ def chance(keys: np.ndarray, number: int) -> np.ndarray:
 
 
 def grow_class(bins: np.ndarray, first: np.ndarray, second: np.ndarray, use: np.ndarray, features: np.ndarray, depth: int,
-               rate: float) -> dict[str, np.ndarray]:
-    """One tree: ``feature`` (-1: leaf), ``cut`` (last bin on the left), ``left``, ``depth``, ``value`` of each node."""
+               rate: float, count: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """One tree: ``feature`` (-1: leaf), ``cut`` (last bin on the left), ``left``, ``depth``, ``value`` of each node.
+
+    With ``count`` a row stands for so many, and its derivatives are those of one of them.
+    """
+    if count is None:
+        count = np.ones(len(bins), np.int64)
+    first, second = first * count, second * count
     width = int(bins.max(initial=0)) + 1
     node = np.zeros(len(use), np.int64)
     rows, given, out = use, 1, []
@@ -68,7 +74,7 @@ def grow_class(bins: np.ndarray, first: np.ndarray, second: np.ndarray, use: np.
         left = np.full(n, -1, np.int64)
         left[split] = given + 2 * np.arange(len(split))
         out.append({"feature": feature, "cut": cut, "left": left, "depth": np.full(n, level), "value": -rate * g / (h + SMOOTHING),
-                    "size": np.bincount(node, minlength=n)})
+                    "size": np.bincount(node, count[rows], n).astype(np.int64)})
         if not len(split):
             break
         kept = feature[node] >= 0
@@ -96,27 +102,31 @@ def boosted(spark: SparkSession, rows: Rows, cuts: list[np.ndarray], classes: in
     """The nodes of all rounds and classes in the layout of ``trees.NODES``: a class is a fit, a round is a tree with one vote.
 
     Classes weigh the same. A round draws its share of rows, a tree its share of features, by hashes of (seed, round, class).
+    Rows with the same bins and class have the same margins, so trees grow on one of them with the number that the round drew.
     """
     counts = np.bincount(rows.label, minlength=classes)
-    weight = (len(rows.label) / np.maximum(1, classes * counts))[rows.label]
+    kept, number = alike(rows.bins, rows.label)
+    own_bins, own_label = rows.bins[kept], rows.label[kept]
+    weight = (len(rows.label) / np.maximum(1, classes * counts))[own_label]
     n_features = max(1, int(round(features_a_tree * rows.bins.shape[1])))
-    margins = np.zeros((len(rows.label), classes))
-    shared = spark.sparkContext.broadcast((rows.bins, rows.label, weight, rows.key))
-    tasks = max(1, min(classes, spark.sparkContext.defaultParallelism, len(rows.label) * classes // TASK_ROWS))
+    margins = np.zeros((len(kept), classes))
+    shared = spark.sparkContext.broadcast((own_bins, own_label, weight, rows.key, number))
+    tasks = max(1, min(classes, spark.sparkContext.defaultParallelism, len(kept) * classes // TASK_ROWS))
     out = []
     for turn in range(rounds):
         state = spark.sparkContext.broadcast(margins)
 
         def step(frames, state=state, turn=turn):
-            bins, label, weights, keys = shared.value
+            bins, label, weights, keys, number = shared.value
             first, second = gradients(state.value, label, weights)
-            use = np.flatnonzero(chance(keys, seed * 1_000_003 + turn) < subsample)
+            count = np.bincount(number[chance(keys, seed * 1_000_003 + turn) < subsample], minlength=len(bins))
+            use = np.flatnonzero(count)
             for given in frames:
                 found = []
                 for c in given["id"]:
                     order = chance(np.arange(bins.shape[1]), (seed * 1_000_003 + turn) * 1009 + int(c) + 1)
                     own = np.sort(np.argsort(order, kind="stable")[:n_features])
-                    tree = grow_class(bins, first[:, c], second[:, c], use, own, depth, rate)
+                    tree = grow_class(bins, first[:, c], second[:, c], use, own, depth, rate, count)
                     found.append({"class": int(c), **{k: v.tolist() for k, v in tree.items()}})
                 yield pd.DataFrame(found, columns=["class", "feature", "cut", "left", "depth", "value", "size"])
 
@@ -125,7 +135,7 @@ def boosted(spark: SparkSession, rows: Rows, cuts: list[np.ndarray], classes: in
         margins = margins.copy()
         for r in sorted(found, key=lambda r: r["class"]):
             tree = {k: np.array(r[k]) for k in ("feature", "cut", "left", "depth", "value", "size")}
-            margins[:, r["class"]] += tree_values(tree, rows.bins)
+            margins[:, r["class"]] += tree_values(tree, own_bins)
             limit = [float(cuts[f][c]) if f >= 0 else 0.0 for f, c in zip(tree["feature"], tree["cut"], strict=True)]
             out.append(pd.DataFrame({"language": "", "fit": r["class"], "piece": turn, "tree": turn, "node": np.arange(len(limit)),
                                      "feature": tree["feature"], "cut": limit, "left": tree["left"], "size": tree["size"],

@@ -406,6 +406,19 @@ def test_boosting_adds_up_its_trees(spark):
     assert loss < np.log(3) * 0.8
 
 
+def test_boosted_trees_of_counted_rows_are_those_of_all_rows():
+    rows, _, _ = _rows(200, 5, 2)
+    rng = np.random.default_rng(1)
+    count = rng.integers(0, 4, 200)
+    first, second = rng.normal(0, 1, 200), rng.random(200) + 0.5
+    whole = np.repeat(np.arange(200), count)
+    features = np.arange(rows.bins.shape[1])
+    asked = boosting.grow_class(rows.bins[whole], first[whole], second[whole], np.arange(len(whole)), features, 4, 0.1)
+    found = boosting.grow_class(rows.bins, first, second, np.flatnonzero(count), features, 4, 0.1, count)
+    assert len(asked["feature"]) > 5 and asked["size"][0] == count.sum()
+    assert all(np.allclose(asked[k], found[k]) for k in asked)
+
+
 def test_severity_classifier(spark, tmp_path):
     data = _class_rows(spark).withColumnRenamed("issue", "severity")
     model, report = models.train_severity_classifier(data, n_trees=20, depth=5)
