@@ -1,12 +1,15 @@
 """Multiclass boosting on softmax gradients: in each round one tree per class, all from the same binned rows.
 
-The rows are a bounded sample, a byte a feature. A round is one Spark job with a task for each class, which grows the class's
+All rows are grown on, rows with the same bins and class as one, a byte a feature. A round is one Spark job with a task for each class, which grows the class's
 tree level by level from one histogram of gradients keyed by (node, feature, bin); the trees of a round come back as some dozens of
-nodes each and move the margins that the next round's gradients follow from.
+nodes each. They are all that is sent to the next round: Python workers keep the margins that the gradients follow from, and add to them the
+rounds that they have not seen yet.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +37,34 @@ def gradients(margins: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tup
     return first * weight[:, None], np.maximum(2 * p * (1 - p), 1e-16) * weight[:, None]
 
 
+def class_gradients(margins: np.ndarray, most: np.ndarray, total: np.ndarray, c: int, label: np.ndarray, weight: np.ndarray
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """``gradients`` of one class, by the rows' ``softmax_sums``."""
+    p = np.exp(margins[:, c] - most) / total
+    return (p - (label == c)) * weight, np.maximum(2 * p * (1 - p), 1e-16) * weight
+
+
+def softmax_sums(margins: np.ndarray, step: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's largest margin and sum of exponentials, ``step`` rows at a time."""
+    most = margins.max(axis=1)
+    parts = [np.exp(margins[a:a + step] - most[a:a + step, None]).sum(axis=1) for a in range(0, len(margins), step)]
+    return most, np.concatenate([np.zeros(0), *parts])
+
+
+_held: dict = {"name": None}
+
+
+def margins_after(name: str, bins: np.ndarray, classes: int, rounds: list) -> np.ndarray:
+    """The margins after all ``rounds`` (broadcasts of trees by class); this process keeps them for the rounds that follow."""
+    if _held["name"] != name or _held["turn"] > len(rounds):
+        _held.update(name=name, turn=0, margins=np.zeros((len(bins), classes)))
+    while _held["turn"] < len(rounds):
+        for c, tree in enumerate(rounds[_held["turn"]].value):
+            _held["margins"][:, c] += tree_values(tree, bins)
+        _held["turn"] += 1
+    return _held["margins"]
+
+
 def chance(keys: np.ndarray, number: int) -> np.ndarray:
     """A fixed number from 0 to 1 for each key."""
     bits = mixed(keys.astype(np.uint64) ^ mixed(np.array([number], np.uint64)))
@@ -104,21 +135,21 @@ def boosted(spark: SparkSession, rows: Rows, cuts: list[np.ndarray], classes: in
     Classes weigh the same. A round draws its share of rows, a tree its share of features, by hashes of (seed, round, class).
     Rows with the same bins and class have the same margins, so trees grow on one of them with the number that the round drew.
     """
-    counts = np.bincount(rows.label, minlength=classes)
     kept, number = alike(rows.bins, rows.label)
     own_bins, own_label = rows.bins[kept], rows.label[kept]
-    weight = (len(rows.label) / np.maximum(1, classes * counts))[own_label]
+    number = (number if rows.number is None else number[rows.number]).astype(np.int32)
+    counts = np.bincount(own_label[number], minlength=classes)
+    weight = (len(number) / np.maximum(1, classes * counts))[own_label]
     n_features = max(1, int(round(features_a_tree * rows.bins.shape[1])))
-    margins = np.zeros((len(kept), classes))
     shared = spark.sparkContext.broadcast((own_bins, own_label, weight, rows.key, number))
     tasks = max(1, min(classes, spark.sparkContext.defaultParallelism, len(kept) * classes // TASK_ROWS))
-    out = []
+    out, done, name = [], [], uuid.uuid4().hex
     for turn in range(rounds):
-        state = spark.sparkContext.broadcast(margins)
 
-        def step(frames, state=state, turn=turn):
+        def step(frames, done=tuple(done), turn=turn):
             bins, label, weights, keys, number = shared.value
-            first, second = gradients(state.value, label, weights)
+            margins = margins_after(name, bins, classes, done)
+            most, total = softmax_sums(margins)
             count = np.bincount(number[chance(keys, seed * 1_000_003 + turn) < subsample], minlength=len(bins))
             use = np.flatnonzero(count)
             for given in frames:
@@ -126,18 +157,19 @@ def boosted(spark: SparkSession, rows: Rows, cuts: list[np.ndarray], classes: in
                 for c in given["id"]:
                     order = chance(np.arange(bins.shape[1]), (seed * 1_000_003 + turn) * 1009 + int(c) + 1)
                     own = np.sort(np.argsort(order, kind="stable")[:n_features])
-                    tree = grow_class(bins, first[:, c], second[:, c], use, own, depth, rate, count)
+                    first, second = class_gradients(margins, most, total, int(c), label, weights)
+                    tree = grow_class(bins, first, second, use, own, depth, rate, count)
                     found.append({"class": int(c), **{k: v.tolist() for k, v in tree.items()}})
                 yield pd.DataFrame(found, columns=["class", "feature", "cut", "left", "depth", "value", "size"])
 
-        found = spark.range(0, classes, 1, tasks).mapInPandas(step, TREE).collect()
-        state.destroy()
-        margins = margins.copy()
-        for r in sorted(found, key=lambda r: r["class"]):
-            tree = {k: np.array(r[k]) for k in ("feature", "cut", "left", "depth", "value", "size")}
-            margins[:, r["class"]] += tree_values(tree, own_bins)
-            limit = [float(cuts[f][c]) if f >= 0 else 0.0 for f, c in zip(tree["feature"], tree["cut"], strict=True)]
-            out.append(pd.DataFrame({"language": "", "fit": r["class"], "piece": turn, "tree": turn, "node": np.arange(len(limit)),
+        found = sorted(spark.range(0, classes, 1, tasks).mapInPandas(step, TREE).collect(), key=lambda r: r["class"])
+        grown = [{k: np.array(r[k]) for k in ("feature", "cut", "left", "depth", "value", "size")} for r in found]
+        done.append(spark.sparkContext.broadcast(grown))
+        for c, tree in enumerate(grown):
+            limit = [float(cuts[f][c_]) if f >= 0 else 0.0 for f, c_ in zip(tree["feature"], tree["cut"], strict=True)]
+            out.append(pd.DataFrame({"language": "", "fit": c, "piece": turn, "tree": turn, "node": np.arange(len(limit)),
                                      "feature": tree["feature"], "cut": limit, "left": tree["left"], "size": tree["size"],
                                      "depth": tree["depth"], "votes": [[float(v)] for v in tree["value"]]}))
+    for sent in done:
+        sent.destroy()
     return spark.createDataFrame(pd.concat(out), NODES)

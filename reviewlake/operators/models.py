@@ -30,17 +30,17 @@ ALL = "all"
 
 @dataclass
 class TrainSettings:
-    """Size of the search; the defaults are the full procedure.
+    """Size of the search; the defaults are the full procedure on all labelled rows.
 
-    ``fit_rows`` bounds the labelled rows of a language that trees are grown on: an even sample in hash order within each
-    class. Thresholds and metrics always use all rows.
+    ``fit_rows``, if given, bounds the labelled rows of a language that trees are grown on: an even sample in hash order within
+    each class. Thresholds and metrics always use all rows.
     """
 
     candidates: int = 25
     grid: dict = field(default_factory=lambda: dict(fixed.FOREST_GRID))
     folds: int = 5
     seed: int = 42
-    fit_rows: int = 50_000
+    fit_rows: int | None = None
 
 
 @dataclass
@@ -103,13 +103,15 @@ def shared_fits(language: str, folds: int, sets: list[dict]) -> tuple[list[trees
 
 
 def fit_sample(train: DataFrame, folds: dict[str, dict[str, int]], settings: TrainSettings) -> DataFrame:
-    """At most ``fit_rows`` rows of each language, with a column for each kind of fold (name -> language -> folds)."""
-    keys = ["review_language", "label"]
-    ranked = hashed_rank(train, keys, "snippet_id", settings.seed)
-    sizes = {r["review_language"]: r["count"] for r in train.groupBy("review_language").count().collect()}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, settings.fit_rows / n)))])
-    most = F.greatest(F.lit(2), F.floor(F.col("group_size") * F.try_element_at(share, F.col("review_language"))))
-    sample = ranked.filter(F.col("hash_rank") <= most).drop("hash_rank", "group_size")
+    """All rows (at most ``fit_rows`` of each language, if that is given), with a column for each kind of fold
+    (name -> language -> folds)."""
+    keys, sample = ["review_language", "label"], train
+    if settings.fit_rows is not None:
+        ranked = hashed_rank(train, keys, "snippet_id", settings.seed)
+        sizes = {r["review_language"]: r["count"] for r in train.groupBy("review_language").count().collect()}
+        share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, settings.fit_rows / n)))])
+        most = F.greatest(F.lit(2), F.floor(F.col("group_size") * F.try_element_at(share, F.col("review_language"))))
+        sample = ranked.filter(F.col("hash_rank") <= most).drop("hash_rank", "group_size")
     for step, (name, per_language) in enumerate(folds.items(), 1):
         number = F.try_element_at(F.create_map(*[x for k, n in per_language.items() for x in (F.lit(k), F.lit(n))]),
                                   F.col("review_language"))
@@ -185,12 +187,18 @@ def sigmoid_curve(score: np.ndarray, label: np.ndarray, count: np.ndarray) -> tu
 
 
 def sigmoid_curves(held_out: DataFrame) -> dict[str, list[tuple[float, float]]]:
-    """A curve for each language and fold from ``review_language, fit, score, label``; equal scores are counted first."""
-    frame = held_out.groupBy("review_language", "fit", "score", "label").count().toPandas()
+    """A curve for each language and fold from ``review_language, fit, score, label``; equal scores are counted first, a task a curve."""
+    def curve(key, own):
+        own = own.sort_values(["score", "label"])
+        slope, intercept = sigmoid_curve(own["score"].to_numpy(float), own["label"].to_numpy(int), own["count"].to_numpy(float))
+        return pd.DataFrame({"review_language": [key[0]], "fit": [key[1]], "slope": [slope], "intercept": [intercept]})
+
+    counted = held_out.groupBy("review_language", "fit", "score", "label").count()
+    found = counted.groupBy("review_language", "fit").applyInPandas(
+        curve, "review_language string, fit int, slope double, intercept double").collect()
     out: dict[str, list] = {}
-    for (language, _), own in frame.sort_values(["review_language", "fit", "score", "label"]).groupby(["review_language", "fit"]):
-        out.setdefault(language, []).append(
-            sigmoid_curve(own["score"].to_numpy(float), own["label"].to_numpy(int), own["count"].to_numpy(float)))
+    for r in sorted(found, key=lambda r: (r["review_language"], r["fit"])):
+        out.setdefault(r["review_language"], []).append((r["slope"], r["intercept"]))
     return out
 
 
@@ -276,7 +284,7 @@ def train_models(rows: DataFrame, settings: TrainSettings | None = None
         "language": k, "n_features": len(fixed.FEATURES),
         "train_size": sum(n for (own, is_test, _), n in sizes.items() if own == k and not is_test),
         "test_size": sum(n for (own, is_test, _), n in sizes.items() if own == k and is_test),
-        "fit_size": len(blocks[k].label), "cv_splits_tuner": tuner[k], "cv_splits_calibrator": parts[k],
+        "fit_size": len(blocks[k].key), "cv_splits_tuner": tuner[k], "cv_splits_calibrator": parts[k],
         "best_params": best[k][0], "search_beta": fixed.SEARCH_BETA.get(k, 1.0),
         "best_cv_score": best[k][1], "decision_threshold": thresholds[k],
         "threshold_selection_train": choice[k], "metrics": measured.get(k, {}),
@@ -343,9 +351,9 @@ def _one_model(rows: DataFrame) -> DataFrame:
     return rows.withColumn("review_language", F.lit(ALL))
 
 
-def balanced_weights(labels: np.ndarray, classes: int) -> np.ndarray:
-    counts = np.bincount(labels, minlength=classes)
-    return np.where(counts > 0, len(labels) / np.maximum(1, classes * counts), 0.0)
+def balanced_weights(labels: np.ndarray, classes: int, many: np.ndarray) -> np.ndarray:
+    counts = np.bincount(labels, many, classes).astype(np.int64)
+    return np.where(counts > 0, counts.sum() / np.maximum(1, classes * counts), 0.0)
 
 
 def _label_column(labels: list[str], number: Column) -> Column:
@@ -381,16 +389,17 @@ class IssueModel:
 
 
 def train_issue_classifier(dataset: DataFrame, rounds: int = 300, depth: int = 6, rate: float = 0.1, subsample: float = 0.8,
-                           features_a_tree: float = 0.8, fit_rows: int = 50_000, seed: int = 42) -> tuple[IssueModel, DataFrame]:
+                           features_a_tree: float = 0.8, fit_rows: int | None = None, seed: int = 42) -> tuple[IssueModel, DataFrame]:
     """Boosted trees on softmax gradients, a tree a class in each round; returns the model and a class report.
 
-    At most ``fit_rows`` rows of the training part are grown on, an even sample of each class.
+    All rows of the training part are grown on; with ``fit_rows`` at most so many, an even sample of each class.
     """
     spark = dataset.sparkSession
     encoded, labels = encode_labels(dataset, "issue")
     split = staged(_one_model(stratified_split(encoded.withColumn("label", F.col("label").cast("int")), ["label"], "snippet_id",
                                                seed=seed)), "issue-split")
-    sample = fit_sample(split.filter("not is_test"), {"fold": {ALL: 1}}, TrainSettings(seed=seed, fit_rows=fit_rows))
+    sample = staged(fit_sample(split.filter("not is_test"), {"fold": {ALL: 1}}, TrainSettings(seed=seed, fit_rows=fit_rows)),
+                    "issue-sample")
     blocks, cuts = trees.collected(sample, fixed.FEATURES)
     nodes = boosting.boosted(spark, blocks[ALL], cuts[ALL], len(labels), rounds, depth, rate, subsample, features_a_tree, seed)
     model = IssueModel(staged(nodes.withColumn("language", F.lit(ALL)), "issue-nodes"), labels, rounds)
@@ -466,8 +475,8 @@ class SeverityModel:
 def calibrated(scored: DataFrame, curves: DataFrame, classes: int) -> DataFrame:
     """Replace ``_scores`` (fit by fit) by ``probabilities``: scores through their curves, made to sum to 1, averaged over the fits.
 
-    Curves run straight between their steps and are level beyond the first and the last. They hold no more points than the
-    fits had rows, which is bounded, and are broadcast.
+    Curves run straight between their steps and are level beyond the first and the last. What is left of pooling, far fewer points
+    than rows, is broadcast.
     """
     points: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     frame = curves.toPandas().sort_values(["fit", "class", "low"])
@@ -496,7 +505,7 @@ def calibrated(scored: DataFrame, curves: DataFrame, classes: int) -> DataFrame:
 
 
 def train_severity_classifier(dataset: DataFrame, n_trees: int = 300, depth: int = 10, least_split: int = 5, folds: int = 3,
-                              fit_rows: int = 50_000, seed: int = 42) -> tuple[SeverityModel, DataFrame]:
+                              fit_rows: int | None = None, seed: int = 42) -> tuple[SeverityModel, DataFrame]:
     """A forest for each fold, and isotonic curves per class on the scores of the fold it has not seen; model and class report."""
     spark = dataset.sparkSession
     encoded, labels = encode_labels(dataset, "severity")
@@ -505,7 +514,7 @@ def train_severity_classifier(dataset: DataFrame, n_trees: int = 300, depth: int
     settings = TrainSettings(seed=seed, fit_rows=fit_rows)
     sample = staged(fit_sample(split.filter("not is_test"), {"fold": {ALL: folds}}, settings), "severity-sample")
     blocks, cuts = trees.collected(sample, fixed.FEATURES)
-    weight = balanced_weights(blocks[ALL].label, len(labels))
+    weight = balanced_weights(blocks[ALL].label, len(labels), blocks[ALL].sizes())
     fits = [trees.Fit(ALL, fold, n_trees, _features_looked_at("sqrt"), 1, least_split, depth, tuple(weight)) for fold in range(folds)]
     nodes = staged(trees.fit_forests(spark, blocks, cuts, fits, len(labels), seed), "severity-nodes")
     own = own_fold_scores(sample, nodes, "fold", len(labels))

@@ -1,9 +1,9 @@
 """Forests for many fits in shared passes.
 
 A fit is a language, a fold that is left out, and what shapes its trees (smallest leaf, features a node looks at). Fits are cut
-into pieces of some trees, and one Spark job grows the pieces of all fits, each in a task that holds the fit's rows: a bounded sample of
-the labelled rows, one byte a feature. The trees of a piece grow side by side, level by level, from one histogram per level keyed
-by (tree, node, feature, bin, class).
+into pieces of some trees, and one Spark job grows the pieces of all fits, each in a task that holds the fit's rows: rows with the same
+bins, class and fold once, one byte a feature, and twelve bytes for each labelled row (its hash and the number of its set), from which its
+draws follow. The trees of a piece grow side by side, level by level, from one histogram per level keyed by (tree, node, feature, bin, class).
 
 How deep a tree is, how small a node may be split, and how many trees a forest has only cut off what the full forest holds: a tree's
 randomness depends on (seed, tree, node) alone. Settings that differ in these only are scored from the same trees.
@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructType
 
 BINS = 64
 ENTRIES = 400_000
@@ -74,13 +75,36 @@ def drawn_alike(keys: np.ndarray, trees: np.ndarray, seed: int, number: np.ndarr
 
 @dataclass
 class Rows:
-    """Rows of one language: a byte for each feature, the class, the fold, and a hash of the id."""
+    """Rows of one language: a byte for each feature, the class, the fold, and a hash of the id.
+
+    With ``number``, bins, class and fold are those of sets of rows that have them in common, the id is the set's, and ``key`` and
+    ``number`` are each row's hash and set.
+    """
 
     bins: np.ndarray
     label: np.ndarray
     fold: np.ndarray
     key: np.ndarray
     ids: np.ndarray
+    number: np.ndarray | None = None
+
+    def sizes(self) -> np.ndarray:
+        """How many rows each entry of ``label`` stands for."""
+        return np.ones(len(self.label), np.int64) if self.number is None else np.bincount(self.number, minlength=len(self.label))
+
+    def drawn(self, use: np.ndarray, trees: np.ndarray, seed: int, merged: np.ndarray) -> np.ndarray:
+        """How often each tree draws the rows of each set ``merged`` of ``use``."""
+        if self.number is None:
+            return drawn_alike(self.key[use], trees, seed, merged)
+        asked = (trees.tobytes(), seed)
+        if getattr(self, "_asked", None) != asked:  # fits of a language share their draws, which follow from row, tree and seed alone
+            self._drawn, self._asked = drawn_alike(self.key, trees, seed, self.number), asked
+        order = np.argsort(merged, kind="stable")
+        starts = np.searchsorted(merged[order], np.arange(merged.max(initial=-1) + 1))
+        return np.add.reduceat(self._drawn[:, use[order]], starts, axis=1, dtype=np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
 
 
 @dataclass
@@ -145,7 +169,7 @@ def grow(rows: Rows, use: np.ndarray, trees: np.ndarray, classes: int, n_feature
     """
     first, number = alike(rows.bins[use], rows.label[use])
     bins, label = rows.bins[use][first], rows.label[use][first].astype(np.int64)
-    drawn = drawn_alike(rows.key[use], trees, seed, number) if len(use) else np.zeros((len(trees), 0), np.int64)
+    drawn = rows.drawn(use, np.asarray(trees), seed, number) if len(use) else np.zeros((len(trees), 0), np.int64)
     node, at = np.nonzero(drawn)
     count = drawn[node, at].astype(float)
     y = label[at]
@@ -225,19 +249,80 @@ def bin_edges(values: np.ndarray) -> np.ndarray:
     return (own[1:] + own[:-1]) / 2
 
 
+def counted_edges(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``bin_edges`` of distinct ascending values that are there so many times."""
+    own = values
+    if len(own) > BINS:
+        ranks = np.rint((counts.sum() - 1) * np.linspace(0, 1, BINS))
+        own = np.unique(values[np.searchsorted(counts.cumsum(), ranks, side="right")])
+    return (own[1:] + own[:-1]) / 2
+
+
+def all_edges(rows: DataFrame, features: list[str]) -> dict[str, list[np.ndarray]]:
+    """The cuts of each ``review_language`` and feature, from all rows. A task holds the distinct values of a feature."""
+    values = rows.select("review_language", F.posexplode(F.array(*map(F.col, features))).alias("feature", "value"))
+    counted = values.groupBy("review_language", "feature", "value").count()
+
+    def edges(key, frame):
+        frame = frame.sort_values("value")
+        return pd.DataFrame({"review_language": [key[0]], "feature": [key[1]],
+                             "cuts": [counted_edges(frame["value"].to_numpy(float), frame["count"].to_numpy(np.int64))]})
+
+    found = counted.groupBy("review_language", "feature").applyInPandas(edges, "review_language string, feature int, cuts array<double>")
+    cuts: dict[str, list[np.ndarray]] = {}
+    for r in found.collect():
+        cuts.setdefault(r["review_language"], [np.zeros(0)] * len(features))[r["feature"]] = np.array(r["cuts"], float)
+    return cuts
+
+
+KEY_PARTS = 64
+"""Portions in which the hashes of a set's rows come, so that no row of a common set grows with all of them."""
+
+
+def binned(rows: DataFrame, features: list[str], cuts: dict[str, list[np.ndarray]]) -> DataFrame:
+    """``review_language, label, fold, snippet_id, key, bins``: a byte for each feature."""
+    shared = rows.sparkSession.sparkContext.broadcast(cuts)
+    schema = StructType([rows.schema[c] for c in ("review_language", "label", "fold", "snippet_id", "key")]).add("bins", BinaryType())
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            names = np.array(batch.column("review_language").to_pylist(), object)
+            bins = np.zeros((batch.num_rows, len(features)), np.uint8)
+            for language in set(names.tolist()):
+                at = np.flatnonzero(names == language)
+                for f, name in enumerate(features):
+                    values = batch.column(name).to_numpy(zero_copy_only=False)
+                    bins[at, f] = np.searchsorted(shared.value[language][f], values[at], side="left")
+            packed = [x.tobytes() for x in bins]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in schema.names[:-1]], pa.array(packed, pa.binary())], schema=fields)
+
+    return rows.mapInArrow(run, schema)
+
+
 def collected(rows: DataFrame, features: list[str], fold: str = "fold") -> tuple[dict[str, Rows], dict[str, list[np.ndarray]]]:
-    """The rows of each ``review_language`` and the cuts between their bins; the caller bounds how many rows there are."""
+    """The rows of each ``review_language`` and the cuts between their bins.
+
+    Rows with the same bins, class and fold come as one with the hashes of their ids, so the driver holds some bytes for each
+    such set and twelve for each row.
+    """
     numbers = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
-    frame = rows.select("review_language", "snippet_id", F.col("label").cast("int").alias("label"), F.col(fold).alias("fold"),
-                        F.xxhash64("snippet_id").alias("key"), *numbers).toPandas()
-    blocks, cuts = {}, {}
-    for language, own in frame.groupby("review_language"):
-        own = own.sort_values("snippet_id")
-        values = own[features].to_numpy(float)
-        cuts[language] = [bin_edges(values[:, f]) for f in range(len(features))]
-        bins = np.stack([np.searchsorted(c, values[:, f], side="left") for f, c in enumerate(cuts[language])], axis=1)
-        blocks[language] = Rows(bins.astype(np.uint8), own["label"].to_numpy(np.int64), own["fold"].to_numpy(np.int64),
-                                own["key"].to_numpy(np.int64).view(np.uint64), own["snippet_id"].to_numpy())
+    given = rows.select("review_language", F.col("label").cast("int").alias("label"), F.col(fold).cast("int").alias("fold"),
+                        F.col("snippet_id").cast("long").alias("snippet_id"), F.xxhash64("snippet_id").alias("key"), *numbers)
+    cuts = all_edges(given, features)
+    same = ["review_language", "label", "fold", "bins"]
+    sets = binned(given, features, cuts).groupBy(*same, F.pmod("key", F.lit(KEY_PARTS)).alias("_part")).agg(F.collect_list("key").alias("keys"))
+    table = sets.select(*same, "keys").toArrow()
+    blocks = {}
+    for language in sorted(cuts):
+        own = table.filter(pc.equal(table["review_language"], language)).combine_chunks()
+        label, fold = (own[c].to_numpy().astype(np.int32) for c in ("label", "fold"))
+        bins = np.frombuffer(pa.concat_arrays(own["bins"].chunks).cast(pa.binary(len(features))).buffers()[1], np.uint8)
+        bins = bins[:len(label) * len(features)].reshape(-1, len(features))
+        keys = pa.concat_arrays(own["keys"].chunks)
+        first, number = alike(np.column_stack([bins, fold]), label)
+        blocks[language] = Rows(bins[first], label[first], fold[first], keys.flatten().to_numpy().view(np.uint64), np.arange(len(first)),
+                                np.repeat(number, keys.value_lengths().to_numpy()).astype(np.int32))
     return blocks, cuts
 
 
@@ -265,14 +350,23 @@ def pieces(fits: list[Fit], blocks: dict[str, Rows]) -> list[tuple[int, int, int
     return out
 
 
-def for_pieces(spark: SparkSession, work: list[tuple[int, int, int]], schema: str, step) -> DataFrame:
-    """Run ``step(fit, first, n)``, which gives a frame or None, for each piece; pieces are dealt out evenly."""
+def for_pieces(spark: SparkSession, work: list[tuple[int, int, int]], fits: list[Fit], schema: str, step) -> DataFrame:
+    """Run ``step(fit, first, n)``, which gives a frame or None, for each piece.
+
+    A task gets pieces of the same trees of several fits, whose draws are the same. Each language's pieces are dealt out evenly.
+    """
     tasks = max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism))
+    dealt: list[list] = [[] for _ in range(tasks)]
+    for language in sorted({fit.language for fit in fits}):
+        own = sorted((first, fit, n) for fit, first, n in work if fits[fit].language == language)
+        least = sorted(range(tasks), key=lambda t: len(dealt[t]))
+        for i, (first, fit, n) in enumerate(own):
+            dealt[least[i * min(tasks, len(own)) // len(own)]].append((fit, first, n))
 
     def run(frames):
         for given in frames:
             for task in given["id"]:
-                for fit, first, n in work[task::tasks]:
+                for fit, first, n in dealt[task]:
                     found = step(fit, first, n)
                     if found is not None:
                         yield found
@@ -290,7 +384,7 @@ def fold_scores(spark: SparkSession, blocks: dict[str, Rows], fits: list[Fit], a
                 seed: int = 42) -> DataFrame:
     """``language, candidate, fold, snippet_id, label, n, votes``: what forests say about the rows of the fold they left out.
 
-    Rows with the same bins and class come as one row with their number ``n`` and the id of the first.
+    Rows with the same bins and class come as one row with their number ``n`` and the id of the first, or of their set.
     ``asked`` lists for each fit the candidates (number, trees, least_split, deepest) that its trees serve.
     """
     shared = spark.sparkContext.broadcast(blocks)
@@ -299,7 +393,7 @@ def fold_scores(spark: SparkSession, blocks: dict[str, Rows], fits: list[Fit], a
         fit, rows = fits[i], shared.value[fits[i].language]
         out = np.flatnonzero(rows.fold == fit.fold)
         kept, number = alike(rows.bins[out], rows.label[out])
-        out, alike_rows = out[kept], np.bincount(number, minlength=len(kept))
+        out, alike_rows = out[kept], np.bincount(number, rows.sizes()[out], len(kept)).astype(np.int64)
         forest = grown(shared.value, fit, 2, first, n, seed)
         parts = []
         for number, trees, least_split, deepest in asked[i]:
@@ -310,7 +404,7 @@ def fold_scores(spark: SparkSession, blocks: dict[str, Rows], fits: list[Fit], a
                                            "label": rows.label[out], "n": alike_rows, "votes": forest.votes[ends][:, :, 1].sum(axis=0) / trees}))
         return pd.concat(parts) if parts else None
 
-    found = for_pieces(spark, pieces(fits, blocks),
+    found = for_pieces(spark, pieces(fits, blocks), fits,
                        "language string, candidate int, fold int, snippet_id long, label int, n long, votes double", step)
     return found.groupBy("language", "candidate", "fold", "snippet_id", "label", "n").agg(F.sum("votes").alias("votes"))
 
@@ -329,7 +423,7 @@ def fit_forests(spark: SparkSession, blocks: dict[str, Rows], cuts: dict[str, li
                              "node": np.arange(len(forest.tree)), "feature": forest.feature, "cut": limit, "left": forest.left,
                              "size": forest.size, "depth": forest.depth, "votes": list(forest.votes)})
 
-    return for_pieces(spark, pieces(fits, blocks), NODES, step)
+    return for_pieces(spark, pieces(fits, blocks), fits, NODES, step)
 
 
 # ---- scoring ----------------------------------------------------------------------

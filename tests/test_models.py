@@ -1,3 +1,4 @@
+import inspect
 import json
 import random
 
@@ -321,6 +322,44 @@ def test_copies_grow_and_are_asked_as_one(spark, monkeypatch):
     assert np.allclose(got[:-1], shared.value["all"].ask(values))
 
 
+def test_all_rows_are_collected_as_counted_sets(spark):
+    """No row is left out, cuts are those of all rows, and sets draw and grow what their rows one by one would."""
+    rng = np.random.default_rng(8)
+    values = np.column_stack([np.round(rng.normal(0, 1, 900), 2) if f < 2 else rng.integers(0, 3, 900) for f in range(12)]).astype(float)
+    values[300:600] = values[:300]
+    label, ids = (values[:, 0] > 0).astype(int), rng.permutation(900)
+    label[300:600] = label[:300]
+    frame = spark.createDataFrame([("python" if i % 3 else "cpp", int(ids[i]), int(label[i]), int(ids[i]) % 4, *map(float, v))
+                                   for i, v in enumerate(values)], "review_language string, snippet_id long, label int, fold int, "
+                                  + ", ".join(f"{f} double" for f in fixed.FEATURES))
+    blocks, cuts = trees.collected(frame, fixed.FEATURES)
+    keys = {r.snippet_id: r.key for r in frame.select("snippet_id", F.xxhash64("snippet_id").alias("key")).collect()}
+    for language, own in (("python", np.arange(900) % 3 > 0), ("cpp", np.arange(900) % 3 == 0)):
+        assert all(np.array_equal(cuts[language][f], trees.bin_edges(values[own, f])) for f in range(12))
+        bins = np.stack([np.searchsorted(c, values[own, f]) for f, c in enumerate(cuts[language])], axis=1).astype(np.uint8)
+        plain = trees.Rows(bins, label[own], ids[own] % 4, np.array([keys[int(i)] for i in ids[own]]).view(np.uint64), ids[own])
+        sets = blocks[language]
+        assert len(sets.key) == own.sum() > len(sets.label) == len(set(map(tuple, np.column_stack([bins, plain.label, plain.fold]).tolist())))
+        want = trees.grow(plain, np.flatnonzero(plain.fold != 1), np.arange(3, 6), 2, 3, seed=5)
+        for _ in range(2):
+            got = trees.grow(sets, np.flatnonzero(sets.fold != 1), np.arange(3, 6), 2, 3, seed=5)
+            assert all(np.array_equal(getattr(want, f), getattr(got, f)) for f in want.__dataclass_fields__)
+    many = rng.normal(0, 1, 5001).round(2)
+    assert np.array_equal(trees.bin_edges(many), trees.counted_edges(*np.unique(many, return_counts=True)))
+
+
+def test_fits_use_all_rows_by_default(spark):
+    """More rows of a language than the 50,000 that trees were once grown on."""
+    rows = spark.range(66_000).select(
+        F.col("id").alias("snippet_id"), F.lit("python").alias("review_language"), (F.col("id") % 2).cast("int").alias("bug_risk"),
+        *[(F.xxhash64("id", F.lit(i)) % 2 + F.col("id") % 2).alias(f) for i, f in enumerate(fixed.FEATURES)])
+    meta = models.train_models(rows, SMALL)[1]["language_metrics"]["python"]
+    assert meta["fit_size"] == meta["train_size"] == 52_800
+    assert models.TrainSettings().fit_rows is None
+    for fit in (models.train_issue_classifier, models.train_severity_classifier):
+        assert inspect.signature(fit).parameters["fit_rows"].default is None
+
+
 def test_sigmoid_curve_is_the_best_one():
     rng = np.random.default_rng(5)
     for n, spread in ((40, 0.5), (400, 0.05), (6, 0.0)):
@@ -406,6 +445,24 @@ def test_boosting_adds_up_its_trees(spark):
     assert loss < np.log(3) * 0.8
 
 
+def test_margins_are_made_again_from_the_rounds_alone():
+    """A process that has seen no round, one that has seen some, and gradients class by class."""
+    rows, _, _ = _rows(150, 4, 3)
+    rng = np.random.default_rng(6)
+    rounds = [type("Sent", (), {"value": [boosting.grow_class(rows.bins, rng.normal(0, 1, 150), rng.random(150) + 0.5, np.arange(150),
+                                                               np.arange(12), 3, 0.1) for _ in range(3)]}) for _ in range(5)]
+    want = sum(np.stack([boosting.tree_values(t, rows.bins) for t in r.value], axis=1) for r in rounds)
+    for name, seen in (("a", 5), ("b", 2), ("b", 5), ("a", 4), ("a", 3), ("a", 5)):
+        found = boosting.margins_after(name, rows.bins, 3, rounds[:seen])
+    assert np.allclose(found, want)
+    weight = rng.random(150)
+    first, second = boosting.gradients(found, rows.label, weight)
+    sums = boosting.softmax_sums(found, step=40)
+    for c in range(3):
+        own = boosting.class_gradients(found, *sums, c, rows.label, weight)
+        assert np.array_equal(own[0], first[:, c]) and np.array_equal(own[1], second[:, c])
+
+
 def test_boosted_trees_of_counted_rows_are_those_of_all_rows():
     rows, _, _ = _rows(200, 5, 2)
     rng = np.random.default_rng(1)
