@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions import fixed
 from reviewlake.functions.lang import language_from_path
 from reviewlake.functions.text import lookup, rx, strip
-from reviewlake.sources.stage import staged
+from reviewlake.sources.stage import shared_folder, staged
 
 CORPUS_COLUMNS = ["code", "docstring", "repo", "path", "language"]
 # Where a row stands in the input: format, file, split of the file, row.
@@ -31,12 +34,83 @@ def _position(fmt: int) -> list[Column]:
             F.monotonically_increasing_id().alias("seq")]
 
 
-def _files(spark: SparkSession, folder: str, glob: str, max_files: int | None) -> list[str]:
-    """The folder, or with a cap the first files of it by path."""
+def _is_hidden(name: str) -> bool:
+    """What Spark's file sources pass over."""
+    return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+
+
+def _place(folder: str) -> tuple[str, str] | None:
+    """What stands before all paths of the folder as Spark writes them, and the rest for Arrow; None where Arrow cannot list it."""
+    plain = re.sub(r"^file:(//)?(?=/)", "", folder).rstrip("/")
+    if re.search(r"[*?\[\]{}\\%]", plain):
+        return None
+    try:
+        store, top = FileSystem.from_uri(plain)
+        if not plain.endswith(top) or store.get_file_info(top).type != FileType.Directory:
+            return None
+    except (OSError, ValueError):
+        return None
+    return ("file:" if plain == top else plain[:-len(top)]), top
+
+
+def _opened(before: str, top: str) -> FileSystem:
+    return FileSystem.from_uri(top if before == "file:" else before + top)[0]
+
+
+def _listing(spark: SparkSession, folder: str) -> DataFrame | None:
+    """``path, name`` of all files with content below the folder, listed by tasks, level by level; None where only Spark can.
+
+    Spark's own listing brings the paths of all files to the driver, for each reader and whatever names it looks for.
+    """
+    place = _place(folder)
+    try:
+        shared_folder(spark)
+    except ValueError:
+        place = None
+    if place is None:
+        return None
+    before, top = place
+
+    def listed(frames):
+        store = _opened(before, top)
+        for frame in frames:
+            for parent in frame["path"]:
+                found = [(before + i.path, i.base_name, i.type == FileType.Directory, i.size or 0)
+                         for i in store.get_file_info(FileSelector(parent.removeprefix(before))) if not _is_hidden(i.base_name)]
+                yield pd.DataFrame(found, columns=["path", "name", "folder", "size"])
+
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    level, levels = spark.range(1).select(F.lit(before + top).alias("path")), []
+    while True:
+        found = staged(level.mapInPandas(listed, "path string, name string, folder boolean, size long"), "listing")
+        levels.append(found.filter("not folder and size > 0").select("path", "name"))
+        folders = found.filter("folder").select("path")
+        many = folders.count()
+        if not many:
+            return reduce(DataFrame.unionByName, levels)
+        level = folders.repartition(min(tasks, many), "path")
+
+
+def _named(listing: DataFrame, endings: list[str]) -> DataFrame:
+    return listing.filter(reduce(Column.__or__, [F.col("name").endswith(f".{e}") for e in endings]))
+
+
+MOST_PATHS = 10_000
+"""Files that are named to a reader one by one; of more it gets the folder."""
+
+
+def _files(spark: SparkSession, folder: str, ending: str, max_files: int | None, listing: DataFrame | None) -> list[str]:
+    """The files of the folder (or the folder itself, where there are too many), or with a cap the first of them by path."""
+    if listing is not None:
+        most = MOST_PATHS + 1 if max_files is None else max_files
+        found = [r["path"] for r in _named(listing, [ending]).select("path").orderBy("path").limit(most).collect()]
+        # A reader takes some characters of a path for a pattern.
+        by_name = max_files is not None or len(found) <= MOST_PATHS and not any(re.search(r"[*?\[\]{}\\]", p) for p in found)
+        return found if by_name else [folder]
     if max_files is None:
         return [folder]
-    listing = _whole_files(spark, glob, folder).select("path")
-    return [r["path"] for r in listing.orderBy("path").limit(max_files).collect()]
+    names = _whole_files(spark, f"*.{ending}", folder).select("path")
+    return [r["path"] for r in names.orderBy("path").limit(max_files).collect()]
 
 
 def _reader(spark: SparkSession, fmt: str, glob: str):
@@ -53,9 +127,9 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SNIPPET_SCHEMA + ", fmt int, file string, block long, seq long")
 
 
-def read_jsonl(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, folder: str, max_files: int | None = None, listing: DataFrame | None = None) -> DataFrame:
     """``**/*.jsonl``, five text fields, missing ones empty; a bad line fails the job."""
-    files = _files(spark, folder, "*.jsonl", max_files)
+    files = _files(spark, folder, "jsonl", max_files, listing)
     if not files:
         return _empty(spark)
     rows = (_reader(spark, "json", "*.jsonl").schema(SNIPPET_SCHEMA).option("mode", "FAILFAST")
@@ -75,16 +149,35 @@ def decode_ignoring_errors(content: Column) -> Column:
     return F.replace(text, held, bad)
 
 
-def read_source_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def _contents(spark: SparkSession, files: DataFrame, place: tuple[str, str]) -> DataFrame:
+    """``path, content`` of listed files. A file is opened only where its content is asked for, and some hundred are held at a time."""
+    opened: list[FileSystem] = []
+
+    def content(path):
+        if not opened:
+            opened.append(_opened(*place))
+        with opened[0].open_input_stream(path.removeprefix(place[0])) as file:
+            return file.read()
+
+    dealt = files.select("path").repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "path")
+    return dealt.withColumn("content", F.udf(content, "binary", useArrow=False)("path"))
+
+
+def read_source_files(spark: SparkSession, folder: str, max_files: int | None = None, listing: DataFrame | None = None) -> DataFrame:
     """C and C++ files, one row each.
 
     Spark's file sources pass over empty files; cleaning would drop their rows.
     """
-    glob = "*.{" + ",".join(fixed.SOURCE_EXTENSIONS) + "}"
-    files = _files(spark, folder, glob, max_files)
-    if not files:
-        return _empty(spark)
-    rows = _whole_files(spark, glob, files)
+    listing = _listing(spark, folder) if listing is None else listing
+    if listing is not None:
+        files = _named(listing, fixed.SOURCE_EXTENSIONS)
+        rows = _contents(spark, files if max_files is None else files.orderBy("path").limit(max_files), _place(folder))
+    else:
+        glob = "{" + ",".join(fixed.SOURCE_EXTENSIONS) + "}"
+        files = _files(spark, folder, glob, max_files, None)
+        if not files:
+            return _empty(spark)
+        rows = _whole_files(spark, f"*.{glob}", files)
     code = F.regexp_replace(decode_ignoring_errors(F.col("content")), "\r\n?", "\n")
     return rows.select(
         code.alias("code"), F.lit("").alias("docstring"), F.lit("").alias("repo"),
@@ -108,12 +201,12 @@ def _java_code_place(header: Column) -> Column:
     return F.coalesce(*[F.nullif(F.array_position(names, c), F.lit(0).cast("long")) for c in fixed.JAVA_CSV_COLUMNS])
 
 
-def read_java_csv(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def read_java_csv(spark: SparkSession, folder: str, max_files: int | None = None, listing: DataFrame | None = None) -> DataFrame:
     """Java sources in CSV cells; ``path`` is ``file#rowN``, blank cells are skipped.
 
     All files are read alike, without headers: a file's first row says which of its cells holds the code.
     """
-    files = _files(spark, folder, "*.csv", max_files)
+    files = _files(spark, folder, "csv", max_files, listing)
     width = _most_columns(spark, files) if files else None
     if width is None:
         return _empty(spark)
@@ -169,9 +262,9 @@ def take_first(rows: DataFrame, n: int) -> DataFrame:
 def read_corpus(spark: SparkSession, folder: str, max_files: int | None = None,
                 max_rows: int | None = None) -> DataFrame:
     """All three formats: JSONL, then sources, then CSV; the row cap counts in that order."""
+    listing = _listing(spark, folder)
     rows = reduce(DataFrame.unionByName, [
-        read_jsonl(spark, folder, max_files), read_source_files(spark, folder, max_files),
-        read_java_csv(spark, folder, max_files)])
+        read(spark, folder, max_files, listing) for read in (read_jsonl, read_source_files, read_java_csv)])
     if max_rows is not None:
         rows = take_first(rows, max_rows)
     return rows.select(*CORPUS_COLUMNS)

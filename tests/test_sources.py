@@ -219,6 +219,25 @@ def test_source_files_in_a_store_that_arrow_does_not_know(spark, tmp_path):
     assert sorted(r.code for r in got) == ["int a;\n", "int b;\nint c;\n"]
 
 
+def test_no_reader_lists_the_source_tree_on_the_driver(spark, tmp_path):
+    """Plans name the few files that a reader of Spark's gets, and none of the source files; what is read is what Spark would."""
+    (tmp_path / "part=0" / "deep").mkdir(parents=True)
+    (tmp_path / "_hidden").mkdir()
+    for i in range(40):
+        (tmp_path / "part=0" / f"f {i}.cpp").write_text(f"int v{i};\n")
+    for name, text in (("part=0/deep/a.h", "int h;"), ("part=0/empty.c", ""), (".x.cpp", "int x;"), ("_hidden/y.cpp", "int y;"),
+                       ("part=0/z.txt", "z"), ("p.jsonl", '{"code": "p"}\n'), ("part=0/q[1].jsonl", '{"code": "q"}\n')):
+        (tmp_path / name).write_text(text)
+    rows = readers.read_corpus(spark, str(tmp_path))
+    assert "binaryFile" not in rows._jdf.queryExecution().toString()
+    found = {r.path: r.code for r in rows.collect() if r.path}
+    assert found == {f"{tmp_path}/part=0/{n}": t for n, t in [*[(f"f {i}.cpp", f"int v{i};\n") for i in range(40)], ("deep/a.h", "int h;")]}
+    assert sorted(r.code for r in rows.filter("path = ''").collect()) == ["p", "q"]
+    (tmp_path / "part=0" / "q[1].jsonl").rename(tmp_path / "part=0" / "q.jsonl")
+    again = readers.read_jsonl(spark, str(tmp_path), listing=readers._listing(spark, str(tmp_path)))
+    assert len(again.inputFiles()) == 2 and again.count() == 2
+
+
 def test_many_small_source_files_share_tasks(spark, tmp_path):
     most = readers.TASKS_A_CORE * spark.sparkContext.defaultParallelism
     texts = {f"f{i}.cpp": f"int v{i};\n" for i in range(most + 40)}
