@@ -39,6 +39,8 @@ PART_BYTES = 4 << 20
 FILTER_BITS = 1 << 23
 TILE = 1024
 """Nodes in a block of a family."""
+GATHER = 1_000_000
+"""Links that one task joins up, at 16 bytes each."""
 PRODUCTS = 4_000_000
 """Terms of a product that are added up at once."""
 
@@ -298,11 +300,41 @@ def shared_sets(texts: DataFrame) -> DataFrame:
     return found.groupBy("part").applyInPandas(reduced_sets(2 * deals), "node long, size long, set array<long>, prefix array<long>")
 
 
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links that are not the smallest one they reach, and that one."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[:len(a)], ends[len(a):]
+    label = np.arange(len(nodes))
+    while len(x):
+        left, right = label[x], label[y]
+        np.minimum.at(label, np.maximum(left, right), np.minimum(left, right))
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+    led = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[led], nodes[label[led]]
+
+
+def stars(frames):
+    """What the links of a task connect, as a link of each node with the smallest one."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for frame in frames:
+        a, b = connected(np.concatenate([a, frame["a"].to_numpy(np.int64)]), np.concatenate([b, frame["b"].to_numpy(np.int64)]))
+    yield pd.DataFrame({"a": a, "b": b})
+
+
 def smallest_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that can be reached over edges (``a, b``, both ways).
 
-    Each round takes the smallest label of the neighbours, then the label's own label; a chain halves in every round.
+    Tasks first leave no more links than connect what theirs do. Up to ``GATHER`` of these one task joins up, which spares the driver the
+    plans and jobs of rounds. Of more, labels are passed on: each round takes the smallest label of the neighbours, then the label's own
+    label; a chain halves in every round.
     """
+    edges = keep(edges.select("a", "b").mapInPandas(stars, "a long, b long"))
+    if edges.count() <= GATHER:
+        found = edges.coalesce(1).mapInPandas(stars, "a long, b long")
+        return nodes.select("node").join(found, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("label"))
     both = keep(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(
         F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = keep(nodes.select("node", F.col("node").alias("label")))
